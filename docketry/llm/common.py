@@ -35,3 +35,13 @@ def cores(spark: SparkSession) -> int:
 def remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo; the folds of the contracts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def vocabulary(name: str, folder: str | None = None) -> str:
+    """Path of a public vocabulary file: in folder, else where DOCKETRY_TOKENIZERS or the installed package keeps them."""
+    folder = folder or os.environ.get("DOCKETRY_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -2,15 +2,60 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docketry.llm import simhash
-from docketry.llm.common import table
+from docketry.llm import bpe, mixing, simhash
+from docketry.llm.common import table, vocabulary
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def _digests(e: bpe.Encoded) -> tuple:
+    hexed = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+    return e.n_tokens, hexed(e.ids_text), hexed(e.decoded)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, vocabulary("word_bpe_49k.json"), _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
+
+
+ORACLE_OP6 = r"""
+WITH sized AS (
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS stop,
+         ([3.0, 1.0, 2.0]::DOUBLE[])[CAST((row_number() OVER (ORDER BY encode(source) ASC NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM totals
+), ranked AS (
+  SELECT *, stop / weight AS reach,
+         coalesce(sum(stop) OVER w, 0) AS stopped, coalesce(sum(weight) OVER w, 0) AS done,
+         sum(source_size) OVER () * 1.5::DOUBLE AS share, sum(weight) OVER () AS weights
+  FROM weighed WINDOW w AS (ORDER BY stop / weight, encode(source) ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT (share - stopped) / (weights - done) AS level FROM ranked
+  WHERE (share - stopped) / (weights - done) <= reach ORDER BY reach, encode(source) ASC NULLS LAST LIMIT 1
+), rates AS (
+  SELECT source, source_size, least(stop, coalesce((SELECT level FROM level) * weight, stop)) AS target FROM ranked
+), drawn AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+         CAST(('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+  FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM drawn
+"""
+
+QUERIES = {"op1_simhash": op1_simhash, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing}
+ORACLES: dict[str, str] = {"op6_mixing": ORACLE_OP6}
