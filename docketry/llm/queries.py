@@ -7,8 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, mixing, simhash
-from docketry.llm.common import table, vocabulary
+from docketry.llm import bpe, language, mixing, simhash
+from docketry.llm.common import remainder, table, vocabulary
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    content = language.learn(docs, remainder("doc_id", 3) != 1)
+    found = language.identify(docs, content)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
 ORACLE_OP6 = r"""
 WITH sized AS (
   SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -57,5 +64,5 @@ SELECT doc_id, size, source_size, target,
        CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM drawn
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op8_language": op8_language}
 ORACLES: dict[str, str] = {"op6_mixing": ORACLE_OP6}
