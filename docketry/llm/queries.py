@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, language, mixing, simhash
+from docketry.llm import bpe, language, mixing, simhash, toxicity
 from docketry.llm.common import remainder, table, vocabulary
 
 
@@ -15,6 +15,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learned from labelled rows outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & (remainder("doc_id", 5) != 0))
+    return toxicity.learn(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def _digests(e: bpe.Encoded) -> tuple:
     hexed = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
     return e.n_tokens, hexed(e.ids_text), hexed(e.decoded)
@@ -64,5 +75,5 @@ SELECT doc_id, size, source_size, target,
        CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM drawn
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op8_language": op8_language}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op8_language": op8_language}
 ORACLES: dict[str, str] = {"op6_mixing": ORACLE_OP6}
