@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, language, mixing, simhash, toxicity
+from docketry.llm import bpe, fingerprints, language, mixing, simhash, toxicity
 from docketry.llm.common import remainder, table, vocabulary
 
 
@@ -48,6 +48,18 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    seen = fingerprints.with_next(docs.withColumn("s", fingerprints.sketch(F.col("text"))), ["text", "s"])
+    made = seen.select("doc_id", "text", "s", F.col("next.s").alias("z"), fingerprints.edited(F.col("text"), F.col("next.text")).alias("e"))
+    made = made.withColumn("t", fingerprints.sketch(F.col("e")))
+    return made.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("e"), 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("s")).alias("fingerprint"), fingerprints.as_text(F.col("t")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("s"), F.col("t")).alias("near_edited"), fingerprints.likeness(F.col("s"), F.col("z")).alias("near_next"),
+    )
+
+
 ORACLE_OP6 = r"""
 WITH sized AS (
   SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -75,5 +87,5 @@ SELECT doc_id, size, source_size, target,
        CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM drawn
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op8_language": op8_language}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op8_language": op8_language, "op10_fingerprints": op10_fingerprints}
 ORACLES: dict[str, str] = {"op6_mixing": ORACLE_OP6}
