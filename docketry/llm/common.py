@@ -16,15 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's own (spark.checkpoint.dir). Only a session that names none, as in
-    local tests, gets one here.
+    Only a session that names none, as in local tests, gets one here.
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints", "docketry"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    here = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if here.isEmpty():
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints", "docketry"))
+        here = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return here.get().rstrip("/")
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and cuts its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

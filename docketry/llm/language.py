@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -134,3 +135,17 @@ def identify(docs: DataFrame, content: dict[str, bytes], margin: float = MARGIN,
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first) + ", lang_pred string, score double, margin double, accepted boolean"
     return docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, out)
+
+
+def judged(text: Column, content: dict[str, bytes], margin: float = MARGIN) -> Column:
+    """As a column, struct(lang_pred, score, margin, accepted), so that other columns stay where they are."""
+    key = tuple(content.items())
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        predict = _compressors(key).predict
+        for part in parts:
+            rows = [predict(t) for t in part]
+            yield pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "margin": [r[2] for r in rows], "accepted": [r[0] != "und" and r[2] >= margin for r in rows]})
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, "lang_pred string, score double, margin double, accepted boolean")(text.cast("string"))

@@ -76,9 +76,10 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "do
     return picked.mapInArrow(run, "doc_id long, fp long")
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int, steps: tuple[int, ...] = ()) -> list[tuple[int, int]]:
     """Links (index, index) that span the components of all pairs of a with b (b None: within a) at
-    radius or fewer differing bits. Indices are into a followed by b."""
+    radius or fewer differing bits. Indices are into a followed by b. steps are smaller radii whose
+    links come first, so that nearer pairs are preferred."""
     own = b is None
     other, shift = (a, 0) if own else (b, len(a))
     label = np.arange(len(a) + (0 if own else len(b)))
@@ -90,35 +91,39 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
     kinds_b, first_b = np.unique(key_b[order_b], return_index=True)
     ends_b = np.append(first_b[1:], len(order_b))
     links: list[tuple[int, int]] = []
-    for kind in np.unique(key_a):
-        near = np.abs(kinds_b // 64 - kind // 64) + np.abs(kinds_b % 64 - kind % 64) <= radius
-        if own:
-            near &= kinds_b >= kind
-        if not near.any():
-            continue
-        ia = np.flatnonzero(key_a == kind)
-        ib = np.concatenate([order_b[s:e] for s, e in zip(first_b[near], ends_b[near])])
-        vb = other[ib]
-        step = max(1, _CHUNK // len(ib))
-        for at in range(0, len(ia), step):
-            rows = ia[at : at + step]
-            hit = np.bitwise_count(a[rows][:, None] ^ vb[None, :]) <= radius
-            if not hit.any():
+    for within in (*steps, radius):
+        for kind in np.unique(key_a):
+            near = np.abs(kinds_b // 64 - kind // 64) + np.abs(kinds_b % 64 - kind % 64) <= within
+            if own:
+                near &= kinds_b >= kind
+            if not near.any():
                 continue
-            i, j = np.nonzero(hit)
-            i, j = rows[i], ib[j] + shift
-            while True:
-                open_ = label[i] != label[j]
-                if not open_.any():
-                    break
-                i, j = i[open_], j[open_]
-                x, y = label[i[0]], label[j[0]]
-                links.append((int(i[0]), int(j[0])))
-                label[label == max(x, y)] = min(x, y)
+            ia = np.flatnonzero(key_a == kind)
+            ib = np.concatenate([order_b[s:e] for s, e in zip(first_b[near], ends_b[near])])
+            vb = other[ib]
+            step = max(1, _CHUNK // len(ib))
+            for at in range(0, len(ia), step):
+                rows = ia[at : at + step]
+                hit = np.bitwise_count(a[rows][:, None] ^ vb[None, :]) <= within
+                if hit.any():
+                    i, j = np.nonzero(hit)
+                    _join(label, rows[i], ib[j] + shift, links)
     return links
 
 
-def near_links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray, links: list[tuple[int, int]]) -> None:
+    """Adds a link for each pair (i, j) that joins two components as yet apart."""
+    while True:
+        apart = label[i] != label[j]
+        if not apart.any():
+            return
+        i, j = i[apart], j[apart]
+        x, y = label[i[0]], label[j[0]]
+        links.append((int(i[0]), int(j[0])))
+        label[label == max(x, y)] = min(x, y)
+
+
+def near_links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE, steps: tuple[int, ...] = ()) -> DataFrame:
     """reps(fp) of distinct fingerprints -> (u, v): spanning links at radius or fewer differing bits.
 
     The driver gets the 65 counts of fingerprints for each population count, nothing else.
@@ -145,7 +150,7 @@ def near_links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataF
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [np.asarray(x, np.int64).view(np.uint64) for x in pdf.sort_values("side")["fps"]]
         both = np.concatenate(sides)
-        links = np.array(forest(sides[0], sides[1] if len(sides) > 1 else None, radius), np.int64).reshape(-1, 2)
+        links = np.array(forest(sides[0], sides[1] if len(sides) > 1 else None, radius, steps), np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": both[links[:, 0]].view(np.int64), "v": both[links[:, 1]].view(np.int64)})
 
     return members.groupBy("t", "w").applyInPandas(compare, "u long, v long")
@@ -163,3 +168,63 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     of = labelled.join(least, "label").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(id, text) -> (id, hashes): the distinct shingle hashes, sorted."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(words_of(t), k)).view(np.int64) for t in (x.as_py() or b"" for x in part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
+
+    return docs.mapInArrow(run, "id long, hashes array<long>")
+
+
+def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """-> (id, group): one row for each id; group is the smallest id of its near copies.
+
+    Candidates are links of fingerprints at `radius` or fewer bits, nearest first; a link between
+    different texts holds if their shingle sets have a Jaccard similarity of `similarity` or more,
+    computed exactly. Only the texts that stand in a candidate are read again.
+    """
+
+    def run(batches):
+        for batch in batches:
+            texts = [x.as_py() or b"" for x in batch.column(1)]
+            fps = np.array([fingerprint(shingle_hashes(words_of(t), shingle)) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())], names=["id", "fp", "digest"])
+
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("id is not null")
+    rows = stable(picked.mapInArrow(run, "id long, fp long, digest binary"))
+    # equal texts fold into one, then equal fingerprints point at one of them
+    texts = stable(rows.groupBy("fp", "digest").agg(F.min("id").alias("first")))
+    reps = stable(texts.groupBy("fp").agg(F.min("first").alias("rep"), F.count("*").alias("n")))
+    twins = texts.join(reps.filter("n > 1"), "fp").filter("first <> rep").select(F.col("rep").alias("u"), F.col("first").alias("v"))
+    links = near_links(reps.select("fp"), radius, steps=tuple(r for r in (3, 7) if r < radius))
+    at = reps.select("fp", "rep")
+    apart = links.join(at.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(at.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
+    tried = stable(twins.unionByName(apart.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))).distinct())
+    needed = tried.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = stable(_sets(picked.join(needed, "id", "left_semi").dropDuplicates(["id"]), shingle))
+    both = tried.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
+    common = F.size(F.array_intersect("x", "y"))
+    held = both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
+    labels = components(held).select(F.col("u").alias("first"), "label")
+    grouped = texts.join(labels, "first", "left").select("fp", "digest", F.coalesce("label", "first").alias("group"))
+    return rows.join(grouped, ["fp", "digest"]).groupBy("id").agg(F.min("group").alias("group"))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each group of near copies that with the smallest id.
+
+    Of rows that repeat an id one stays; rows without an id all stay.
+    """
+    groups = stable(near_copy_groups(docs, shingle, similarity, radius, id_col, text_col))
+    kept = docs.join(groups.filter("id <> group").select(F.col("id").alias("_id")), F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    if docs.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():
+        return kept
+    some = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return some.unionByName(kept.filter(F.col(id_col).isNull()))

@@ -21,8 +21,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the learning sample: so many labelled texts, each of up to so many characters.
@@ -184,3 +185,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "score"])
 
     return docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, out)
+
+
+def scored(text: Column, model: Model) -> Column:
+    """The score as a column, so that other columns stay where they are."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = _scorer(model).score
+        for part in parts:
+            yield pd.Series([of(t or "") for t in part], dtype="float64")
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "double")(text.cast("string"))
