@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, fingerprints, knn, language, mixing, simhash, toxicity
-from docketry.llm.common import remainder, table, vocabulary
+from docketry.llm import bpe, fingerprints, knn, language, mixing, simhash, toxicity, warc
+from docketry.llm.common import remainder, shared_folder, table, vocabulary
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.resolved(warc.captures(warc.read(spark, path, payloads=False).drop("payload")))
+    of = lambda name: F.coalesce(f"original.{name}", f"response.{name}").alias(name)
+    return found.select(
+        F.col("metadata.page_id").alias("page_id"), of("payload_bytes"), of("payload_digest"),
+        F.col("response.type").alias("record_type"), F.col("original.page_id").alias("refers_to"),
+    )
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     content = language.learn(docs, remainder("doc_id", 3) != 1)
@@ -105,5 +117,5 @@ SELECT doc_id, size, source_size, target,
        CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM drawn
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_knn": op3_knn, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op8_language": op8_language, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_knn": op3_knn, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_language": op8_language, "op10_fingerprints": op10_fingerprints}
 ORACLES: dict[str, str] = {"op3_knn": ORACLE_OP3, "op6_mixing": ORACLE_OP6}
