@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, fingerprints, knn, language, mixing, simhash, toxicity, warc
+from docketry.llm import bpe, extraction, fingerprints, knn, language, mixing, simhash, toxicity, warc
 from docketry.llm.common import remainder, shared_folder, table, vocabulary
 
 
@@ -32,6 +32,11 @@ def op3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def _digests(e: bpe.Encoded) -> tuple:
     hexed = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
     return e.n_tokens, hexed(e.ids_text), hexed(e.decoded)
@@ -117,5 +122,5 @@ SELECT doc_id, size, source_size, target,
        CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM drawn
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_knn": op3_knn, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_language": op8_language, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_knn": op3_knn, "op4_extraction": op4_extraction, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_language": op8_language, "op10_fingerprints": op10_fingerprints}
 ORACLES: dict[str, str] = {"op3_knn": ORACLE_OP3, "op6_mixing": ORACLE_OP6}
