@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, extraction, fingerprints, knn, language, mixing, simhash, toxicity, warc
+from docketry.llm import bpe, extraction, fingerprints, knn, language, lm, mixing, simhash, toxicity, warc
 from docketry.llm.common import remainder, shared_folder, table, vocabulary
 
 
@@ -70,6 +70,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return scored.withColumn("held_out", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     seen = fingerprints.with_next(docs.withColumn("s", fingerprints.sketch(F.col("text"))), ["text", "s"])
@@ -122,5 +127,5 @@ SELECT doc_id, size, source_size, target,
        CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM drawn
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_knn": op3_knn, "op4_extraction": op4_extraction, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_language": op8_language, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_knn": op3_knn, "op4_extraction": op4_extraction, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_language": op8_language, "op9_lm": op9_lm, "op10_fingerprints": op10_fingerprints}
 ORACLES: dict[str, str] = {"op3_knn": ORACLE_OP3, "op6_mixing": ORACLE_OP6}
