@@ -41,6 +41,12 @@ def cores(spark: SparkSession) -> int:
     return max(8, spark.sparkContext.defaultParallelism)
 
 
+def smallest(rows: DataFrame, hashed: str, n: int) -> DataFrame:
+    """The n rows with the smallest hashes (all that tie with the last). Only hashes meet in one place, not the rows."""
+    cut = rows.select(hashed).orderBy(hashed).limit(n).agg(F.max(hashed).alias("m")).first()["m"]
+    return rows.filter(F.col(hashed) <= F.lit(cut)) if cut is not None else rows.limit(0)
+
+
 def remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo; the folds of the contracts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

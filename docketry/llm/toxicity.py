@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.common import smallest
+
 #: Bounds of the learning sample: so many labelled texts, each of up to so many characters.
-SAMPLE_DOCS = 12_000
-SAMPLE_CHARS = 20_000
-#: Features kept, by their likelihood ratio with the label; each occurs in LEAST texts or more.
-FEATURES = 1_024
-LEAST = 4
+SAMPLE_DOCS = 6_000
+SAMPLE_CHARS = 10_000
+#: Features kept, by their likelihood ratio with the label; each occurs in LEAST toxic texts or more.
+FEATURES = 512
+LEAST = 3
 PREFIXES = (4, 5, 6, 7)
 #: Weight of the penalty on squared counterfactual score changes, and of that on squared weights.
 FAIRNESS = 4.0
@@ -88,13 +90,18 @@ def fit(texts: list[str], labels: list[int], fairness: float = FAIRNESS) -> Mode
     if not n or toxic in (0, n):
         share = toxic / n if n else 0.0
         return Model((), (), math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    sets = [words_of(t) for t in texts]
-    seen, bad = Counter(), Counter()
-    for words, label in zip(sets, labels):
-        found = {f for w in words for f in features_of(w)}
-        seen.update(found)
+    # candidates occur in LEAST toxic texts or more, which are few; the others are counted for these alone
+    bad: Counter[str] = Counter()
+    for text, label in zip(texts, labels):
         if label:
-            bad.update(found)
+            bad.update({f for w in words_of(text) for f in features_of(w)})
+    bad = Counter({f: c for f, c in bad.items() if c >= LEAST or f in _KIND})
+    seen, sets = Counter({t: 0 for t in _KIND}), []
+    for text in texts:
+        words = words_of(text)
+        found = {f for w in words for f in features_of(w) if f in bad or f in _KIND}
+        seen.update(found)
+        sets.append(({w for w in words if w in _KIND}, found))
 
     def ratio(f: str) -> float:  # log likelihood ratio of the feature's 2 x 2 table
         def part(k: float, m: float, p: float) -> float:
@@ -102,21 +109,18 @@ def fit(texts: list[str], labels: list[int], fairness: float = FAIRNESS) -> Mode
 
         return part(bad[f], toxic, seen[f] / n) + part(seen[f] - bad[f], n - toxic, seen[f] / n)
 
-    kept = sorted((f for f, c in seen.items() if LEAST <= c < n), key=lambda f: (-ratio(f), f))[:FEATURES]
+    kept = sorted((f for f, c in seen.items() if c < n and bad[f] >= LEAST), key=lambda f: (-ratio(f), f))[:FEATURES]
     kept = list(dict.fromkeys([*(t for t in _KIND if seen[t]), *kept]))
     at = {f: i for i, f in enumerate(kept)}
 
-    def row(words: set[str]) -> list[int]:
-        return sorted({at[f] for w in words for f in features_of(w) if f in at})
-
     x = np.zeros((n, len(kept)), np.float32)
     changes = []
-    for i, words in enumerate(sets):
-        x[i, row(words)] = 1
-        if (other := swapped(words, i)) is not None:
+    for i, (named, found) in enumerate(sets):
+        x[i, [at[f] for f in found if f in at]] = 1
+        if (other := swapped(named, i)) is not None:
             d = np.zeros(len(kept), np.float32)
-            d[row(words)] += 1
-            d[row(other)] -= 1
+            for words, sign in ((named, 1), (other, -1)):
+                d[[k for k in {at[f] for w in words for f in features_of(w) if f in at}]] += sign
             changes.append(d)
     change = np.array(changes, np.float32).reshape(-1, len(kept))
     w, b = np.zeros(len(kept), np.float32), math.log(toxic / (n - toxic))
@@ -169,8 +173,12 @@ def learn(labelled: DataFrame, fairness: float = FAIRNESS, id_col: str = "doc_id
     """Fits on the SAMPLE_DOCS labelled texts with the smallest hashes of their ids."""
     rows = labelled.filter(F.col(label_col).isNotNull() & (F.coalesce(F.length(text_col), F.lit(0)) <= SAMPLE_CHARS))
     picked = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(label_col) != 0).cast("int").alias("label"), F.xxhash64(F.col(id_col), F.lit(2)).alias("h"))
-    got = picked.orderBy("h", "text", "label").limit(SAMPLE_DOCS).select("text", "label").collect()
-    return fit([r["text"] for r in got], [r["label"] for r in got], fairness)
+    got = smallest(picked, "h", SAMPLE_DOCS).select("h", "text", "label").toLocalIterator()
+    texts, labels = [], []
+    for _, text, label in sorted((tuple(r) for r in got)):
+        texts.append(text)
+        labels.append(label)
+    return fit(texts, labels, fairness)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
