@@ -44,16 +44,16 @@ _DATE = "2024-01-01T00:00:00Z"
 _FIELDS = "type string, record_id string, concurrent_to string, refers_to string, uri string, stated_digest string, page_id long, payload_bytes long, payload_digest string, payload binary"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column."""
-    parts = [F.lpad(F.conv(F.substring(F.sha1(payload), 1 + 10 * i, 10), 16, 2), 40, "0") for i in range(4)]
-    bits = F.concat(*parts)
-    five = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit(_BASE32), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.array_join(five, "")
+def base32(sha1_hex: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: its 160 bits are written out once, then taken by fives."""
+    parts = lambda h: [F.lpad(F.conv(F.substring(h, 1 + 10 * i, 10), 16, 2), 40, "0") for i in range(4)]
+    letter = lambda b, i: F.substring(F.lit(_BASE32), F.conv(F.substring(b, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
+    bits = F.transform(F.array(sha1_hex), lambda h: F.concat(*parts(h)))
+    return F.element_at(F.transform(bits, lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: letter(b, i)), "")), 1)
 
 
 def decided(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """-> (id, url, html, bytes, digest, turn, first): first is the id of the page to refer to, else null.
+    """-> (id, url, html, bytes, digest, turn, first): first is the id of the page to refer to, else null; digest is SHA-1 in hex.
 
     turn counts the rows of an id. Groups of equal payloads are cut down by a partial aggregate; only
     payloads that occur more than once come back, broadcast if they were counted to be few, else by
@@ -62,7 +62,7 @@ def decided(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"),
-        F.octet_length(payload).cast("long").alias("bytes"), base32_sha1(payload).alias("digest"),
+        F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("digest"),
     )
     ids = rows.groupBy("id").agg(F.count("*").alias("n"))
     if ids.filter("n > 1").isEmpty():
@@ -108,7 +108,7 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
         _record("request", record_id(ident, turn, "request"), [target, ("WARC-Concurrent-To", response)], "application/http; msgtype=request", F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{_CRLF}{_CRLF}"))),
         _record(
             F.when(revisit, "revisit").otherwise("response"), response,
-            [target, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), ("WARC-Refers-To", refers), ("WARC-Profile", F.when(revisit, PROFILE))],
+            [target, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))), ("WARC-Refers-To", refers), ("WARC-Profile", F.when(revisit, PROFILE))],
             "application/http; msgtype=response", F.concat(head, F.when(revisit, "").otherwise(F.col("html"))),
         ),
         _record("metadata", record_id(ident, turn, "metadata"), [target, ("WARC-Concurrent-To", response)], "application/warc-fields", F.concat(F.lit("pageId: "), F.coalesce(ident.cast("string"), F.lit("")), F.lit(_CRLF))),
