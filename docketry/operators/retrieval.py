@@ -52,7 +52,9 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id"
     terms were counted to be few.
     """
     posts = postings(docs, id_col, text_col)
-    sizes = docs.select(F.size(tokenize(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # the total length follows from the postings, so that texts are cut into tokens once
+    total = posts.agg(F.sum("tf").alias("all")).crossJoin(docs.agg(F.count("*").alias("n")))
+    sizes = total.select("n", (F.col("all") / F.col("n")).alias("avgdl"))
     asked = queries.select(query_id, F.explode(tokenize(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
     weights = idf(posts, sizes)
     norm = F.lit(fixed.BM25_K1) * (F.lit(1 - fixed.BM25_B) + F.lit(fixed.BM25_B) * F.col("dl") / F.col("avgdl"))

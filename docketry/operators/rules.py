@@ -174,10 +174,11 @@ def build_line(docs: DataFrame, teams: DataFrame, extra: DataFrame, rules: DataF
 
 
 def execution_category(title: Column, categories: list[tuple[str, tuple[str, ...]]]) -> Column:
-    """Key of the category whose keyword stands furthest to the right; the last category without one."""
-    spots = [F.struct(F.greatest(*[F.length(title) - F.length(F.substring_index(title, k, -1)) for k in ks], F.lit(0)).alias("at"), F.lit(-i).alias("i"), F.lit(key).alias("key")) for i, (key, ks) in enumerate(categories) if ks]
-    spots = [F.when(s["at"] > 0, s) for s in spots]
-    return F.coalesce(F.array_max(F.array(*spots))["key"], F.lit(categories[-1][0]))
+    """Key of the category whose keyword starts furthest to the right; the last category without one."""
+    start = lambda k: F.when(title.contains(k), F.length(F.substring_index(title, k, -1)) + len(k))  # noqa: E731  characters from its start to the end
+    spots = [F.struct((-start(k)).alias("at"), F.lit(-i).alias("i"), F.lit(key).alias("key")) for i, (key, ks) in enumerate(categories) for k in ks]
+    found = [F.when(s["at"].isNotNull(), s) for s in spots]
+    return F.coalesce(F.array_max(F.array(*found))["key"], F.lit(categories[-1][0]))
 
 
 def is_execution(title: Column, strong: tuple[str, ...], weak: tuple[str, ...], excluded_ending: str | None = None) -> Column:

@@ -551,3 +551,63 @@ def vector_topk(spark, d):
 @query(f"WITH {_VECTORS} SELECT query_id, count(*) FILTER (WHERE same) AS same, count(*) FILTER (WHERE same) > 0 AS any_same FROM h WHERE rank <= 3 GROUP BY 1")
 def same_kind_at_k(spark, d):
     return retrieval.same_kind_at(_vector_hits(spark, d, 3), _t(spark, d, "embeddings"), 3)
+
+
+# ---------------------------------------------------------------- further rules and sources
+@query("""
+WITH r(org, ord, titles, required, triggers) AS (VALUES ('en', 0, ['finance'], false, ['token', 'zqx']), ('en', 1, ['audit', 'finance'], true, NULL), ('fr', 0, ['achat'], false, ['eau']), ('de', 0, ['amt'], false, ['zqx'])),
+h AS (SELECT doc_id, ord, unnest(titles) AS title, generate_subscripts(titles, 1) AS i FROM documents JOIN r ON r.org = lang AND (required OR len(list_filter(coalesce(triggers, []), lambda k: contains(text, k))) > 0)),
+f AS (SELECT doc_id, title, min(ord * 100 + i) AS o FROM h GROUP BY 1, 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS ord, title FROM f
+""")
+def cooperation_titles(spark, d):
+    table = _rows(spark, [("en", 0, None, ["finance"], False, ["token", "zqx"]), ("en", 1, None, ["audit", "finance"], True, None), ("fr", 0, None, ["achat"], False, ["eau"]), ("de", 0, None, ["amt"], False, ["zqx"])],
+                  "org string, ord int, work_types array<string>, titles array<string>, required boolean, triggers array<string>")
+    docs = _t(spark, d, "documents").select("doc_id", F.col("lang").alias("org"), F.col("source").alias("work_type"), F.col("text").alias("title"))
+    return rules.cooperation(docs, table)
+
+
+@query("""
+WITH p AS (SELECT concat('n', c_custkey % 1000) AS name, c_mktsegment AS org, CAST(c_nationkey AS VARCHAR) AS title FROM customer), q AS (SELECT o_orderkey, concat('n', o_custkey % 1600) AS name FROM orders),
+g AS (SELECT name, count(*) AS n, min(org) AS org, min(title) AS title FROM p GROUP BY 1)
+SELECT o_orderkey AS req, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN org END AS org, CASE WHEN n = 1 THEN title END AS title FROM q LEFT JOIN g USING (name)
+""")
+def identify_people(spark, d):
+    people = _t(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_custkey") % 1000).alias("name"), F.col("c_mktsegment").alias("org"), F.col("c_nationkey").cast("string").alias("title"))
+    asked = _t(spark, d, "orders").select(F.col("o_orderkey").alias("req"), F.concat(F.lit("n"), F.col("o_custkey") % 1600).alias("name"))
+    return rules.identify(people, asked)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)")
+def missing_vectors(spark, d):
+    from docketry.sources import files
+
+    cached = _t(spark, d, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("doc_id"))
+    return files.missing(_t(spark, d, "documents").select("doc_id"), cached, "doc_id")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def last_row_wins(spark, d):
+    from docketry.sources import files
+
+    return files.last_wins(_t(spark, d, "events"), ["user_id"], "event_type", "event_id")
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    """The windowed counts of the event stream, over the whole table at once."""
+    from docketry.streaming import events
+
+    table = _t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = events.windowed(table, "1 hour", "10 minutes", "event_type")
+    return counted.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""
+WITH k AS (SELECT doc_id, lower(text) AS t FROM documents), p AS (SELECT doc_id, unnest([length(t) - strpos(reverse(t), 'eht') - 1, length(t) - strpos(reverse(t), 'dna') - 1, length(t) - strpos(reverse(t), 'tnem') - 2]) AS place, unnest(['the', 'and', 'ment']) AS w, unnest([contains(t, 'the'), contains(t, 'and'), contains(t, 'ment')]) AS has FROM k),
+b AS (SELECT doc_id, arg_max(w, place) AS w FROM p WHERE has GROUP BY 1)
+SELECT doc_id, CASE w WHEN 'the' THEN 'goods' WHEN 'and' THEN 'works' WHEN 'ment' THEN 'service' ELSE 'other' END AS category FROM documents LEFT JOIN b USING (doc_id)
+""")
+def execution_category(spark, d):
+    kinds = [("goods", ("the",)), ("works", ("and",)), ("service", ("ment",)), ("other", ())]
+    return _t(spark, d, "documents").select("doc_id", rules.execution_category(F.lower("text"), kinds).alias("category"))
