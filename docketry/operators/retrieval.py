@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +49,11 @@ def idf(posts: DataFrame, sizes: DataFrame, pool: list[str] = ()) -> DataFrame:
     return raw.select(*pool, "term", "avgdl", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+#: Vectors or queries that may stand on the broadcast side of an exact search, and cells of a queries' matrix (32 MB).
+MOST_QUERIES = 20_000
+MOST_CELLS = 4_000_000
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query", id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
     """-> (query, rank, id, score): the k best documents of each query, ties to the smaller id.
 
@@ -60,10 +70,55 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id"
     norm = F.lit(fixed.BM25_K1) * (F.lit(1 - fixed.BM25_B) + F.lit(fixed.BM25_B) * F.col("dl") / F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / (F.col("tf") + norm)
     weighted = posts.join(weights.join(asked.select("term").distinct(), "term", "left_semi"), "term").select(id_col, "term", part.alias("w"))
+    terms, n = (asked.select("term").distinct().limit(MOST_CELLS + 1).count(), queries.limit(MOST_QUERIES + 1).count())
+    if 0 < terms * n <= MOST_CELLS:
+        scores = _in_blocks(weighted, asked, k, query_id, id_col, digits)
+        return top_with_zeros(scores, queries.select(query_id).distinct(), docs.select(id_col), k, query_id, id_col)
     scores = weighted.join(asked, "term").groupBy(query_id, id_col).agg(F.round(F.sum(F.col("w") * F.col("qtf")), digits).alias("score"))
     return top_with_zeros(scores, queries.select(query_id).distinct(), docs.select(id_col), k, query_id, id_col)
 
 
+def _in_blocks(weighted: DataFrame, asked: DataFrame, k: int, query_id: str, id_col: str, digits: int) -> DataFrame:
+    """Scores as products of blocks of documents with the queries' matrix; each block keeps its k best of each query.
+
+    Most query terms are bigrams that nearly every document has, so that a join makes a row for almost
+    every document, query and term. The matrix has MOST_CELLS cells at most; blocks have 256 documents.
+    """
+    rows = asked.collect()
+    at = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+    ids = sorted({r[query_id] for r in rows})
+    place = {q: i for i, q in enumerate(ids)}
+    matrix = np.zeros((len(at), len(ids)))
+    for r in rows:
+        matrix[at[r["term"]], place[r[query_id]]] = r["qtf"]
+    index = weighted.sparkSession.createDataFrame(list(at.items()), "term string, i int")
+    kinds = dict(weighted.dtypes) | dict(asked.dtypes)
+    by_doc = weighted.join(F.broadcast(index), "term").groupBy(id_col).agg(F.collect_list(F.struct("i", "w")).alias("ws"))
+    held, kind = weighted.sparkSession.sparkContext.broadcast(matrix), asked.schema[query_id].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, names = held.value, np.array(ids, dtype=object)
+        kind_q = to_arrow_type(kind)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                lists, docs = part.column(1), np.array(part.column(0).to_pylist(), dtype=object)
+                flat = lists.flatten()
+                row = np.repeat(np.arange(len(docs)), np.diff(np.asarray(lists.offsets)))
+                x = np.zeros((len(docs), len(m)))
+                x[row, np.asarray(flat.field(0))] = np.asarray(flat.field(1))
+                scores = np.round(x @ m, digits)
+                order = np.argsort(docs, kind="stable")
+                best = order[np.argsort(-scores[order], axis=0, kind="stable")[:k]]
+                got = np.take_along_axis(scores, best, axis=0)
+                keep = got != 0
+                q = np.broadcast_to(np.arange(len(names)), best.shape)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(list(names[q]), kind_q), pa.array(list(docs[best[keep]]), part.column(0).type), pa.array(got[keep])], names=[query_id, id_col, "score"])
+
+    out = by_doc.mapInArrow(run, f"`{query_id}` {kinds[query_id]}, `{id_col}` {kinds[id_col]}, score double")
+    return out
+
+
 def top_with_zeros(scores: DataFrame, queries: DataFrame, ids: DataFrame, k: int, query_id: str, id_col: str) -> DataFrame:
     """Ranks scores; queries with fewer than k rows are filled up with unscored ids, smallest first.
 
@@ -86,10 +141,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Vectors that may stand on the broadcast side of an exact search.
-MOST_QUERIES = 20_000
-
-
 def vectors(queries: DataFrame, data: DataFrame, k: int, query_id: str = "query_id", id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, same_id: bool = False) -> DataFrame:
     """-> (query, rank, id, score): exact cosine top k. The stated query set is broadcast after its size was checked."""
     n = queries.limit(MOST_QUERIES + 1).count()
