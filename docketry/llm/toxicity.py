@@ -40,7 +40,7 @@ FAIRNESS = 4.0
 RIDGE = 3e-5
 STEPS = 800
 #: Words in a worker's cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 #: Terms that name groups of people, by kind; a counterfactual swaps within a kind.
 IDENTITY = {
