@@ -54,21 +54,23 @@ def plain(text: str) -> bytes:
 def learn(docs: DataFrame, chosen: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
     """Raw dictionary content by language, from the rows where chosen holds.
 
-    Each task keeps its own smallest hashes first (a window over hash buckets), so a language that
-    holds most rows is cut down before it meets in one place.
+    Which texts have the smallest hashes is found from the hashes alone, cut down by hash buckets before
+    a language's meet in one place; only the texts below the cut are then read.
     """
-    bucket = F.pmod(F.xxhash64(id_col), F.lit(256))
-    rows = docs.filter(chosen & F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS)).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(8)).alias("h"), F.col(text_col).alias("text"), bucket.alias("b")
-    )
-    most = max(1, SAMPLE_DOCS // 64)
-    dealt = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang", "b").orderBy("h"))).filter(F.col("r") <= most)
-    picked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= SAMPLE_DOCS)
+    fits = chosen & F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS)
+    rows = docs.filter(fits).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(8)).alias("h"), F.col(text_col).alias("text"))
+    dealt = rows.select("lang", "h", F.pmod(F.xxhash64("h"), F.lit(256)).alias("b"))
+    few = dealt.withColumn("r", F.row_number().over(Window.partitionBy("lang", "b").orderBy("h"))).filter(F.col("r") <= max(1, SAMPLE_DOCS // 64))
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= SAMPLE_DOCS)
+    cut = {r["lang"]: r["m"] for r in few.groupBy("lang").agg(F.max("h").alias("m")).collect()}
+    within = F.lit(False)
+    for lang, most in cut.items():
+        within = within | ((F.col("lang") == lang) & (F.col("h") <= F.lit(most)))
     out: dict[str, bytearray] = {}
-    for row in picked.select("lang", "h", "text").orderBy("lang", "h").toLocalIterator():
-        body = out.setdefault(row["lang"], bytearray())
+    for lang, _, text in sorted(tuple(r) for r in rows.filter(within).collect()):
+        body = out.setdefault(lang, bytearray())
         if len(body) < DICTIONARY_BYTES:
-            body += plain(row["text"])
+            body += plain(text)
     # ties are decided by this order
     often = {r["lang"]: r["n"] for r in docs.filter(chosen & F.col(lang_col).isin(list(out))).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     return {k: bytes(v[:DICTIONARY_BYTES]) for k, v in sorted(out.items(), key=lambda x: (-often.get(x[0], 0), x[0])) if v}
