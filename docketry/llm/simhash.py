@@ -33,6 +33,8 @@ RADIUS = 4
 #: Fingerprints in a tile, about; a pair of tiles is one unit of work of two arrays of 8 bytes each.
 TILE = 16_384
 _CHUNK = 1 << 15
+#: Texts in a slice of those that candidates join, about, whose shingle sets are compared at once.
+BLOCK = 256
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -183,11 +185,68 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, hashes array<long>")
 
 
+def alike(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float) -> list[tuple[int, int]]:
+    """Links (index, index) that span the components of all pairs of a with b (b None: within a) whose sets
+    have a Jaccard similarity of `similarity` or more. Each pair is compared. Indices are into a followed by b."""
+    own = b is None
+    other, shift = (a, 0) if own else (b, len(a))
+    label = np.arange(len(a) + (0 if own else len(b)))
+    sizes = np.array([len(x) for x in other], np.int64)
+    flat, owner = np.concatenate([np.empty(0, np.int64), *other]), np.repeat(np.arange(len(other)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    links: list[tuple[int, int]] = []
+    for i, x in enumerate(a):
+        start = np.searchsorted(flat, x, "left")
+        n = np.searchsorted(flat, x, "right") - start
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(other))
+        fits = common >= similarity * (len(x) + sizes - common)
+        if own:
+            fits[: i + 1] = False
+        j = np.flatnonzero(fits)
+        _join(label, np.full(len(j), i), j + shift, links)
+    return links
+
+
+def held_links(candidates: DataFrame, picked: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """candidates(u, v), picked(id, text) -> (u, v): links that span the groups of near copies.
+
+    All texts that candidates join, however far around, are compared with each other, not the candidates
+    alone; so a candidate that fails never stands in for a pair that holds. Joined texts up to `block` share a
+    block with others; more are dealt into slices, and each pair of slices is a block.
+    """
+    spark = candidates.sparkSession
+    joined = stable(components(candidates).withColumnRenamed("u", "id"))
+    total = joined.count()
+    sizes = joined.groupBy("label").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
+    bins = max(1, -(-total // block))
+    sliced = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+    dealt = joined.join(sizes, "label").select("id", "label", "n", sliced.alias("s"))
+    one = F.array(F.struct(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side")))
+    pair = lambda t: F.struct(F.col("label").alias("g"), F.least("s", t).alias("i"), F.greatest("s", t).alias("j"), (F.col("s") > t).cast("int").alias("side"))
+    many = F.transform(F.sequence(F.lit(0), F.col("n") - 1), pair)
+    sets = _sets(picked.join(joined.select("id"), "id", "left_semi").dropDuplicates(["id"]), shingle)
+    placed = dealt.select("id", F.when(F.col("n") == 1, one).otherwise(many).alias("at")).join(sets, "id")
+    members = placed.select("id", "hashes", F.explode("at").alias("at")).select("id", "hashes", "at.*")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [part for _, part in pdf.groupby("side")]
+        alone = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        if not alone and len(sides) < 2:
+            return pd.DataFrame({"u": [], "v": []}).astype("int64")
+        found = alike(*[[np.asarray(x, np.int64) for x in part["hashes"]] for part in sides], *([None] if alone else []), similarity)
+        ids, links = np.concatenate([part["id"].to_numpy() for part in sides]), np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": ids[links[:, 0]], "v": ids[links[:, 1]]})
+
+    return members.repartition(int(min(20_000, max(4 * cores(spark), bins))), "g", "i", "j").groupBy("g", "i", "j").applyInPandas(compare, "u long, v long")
+
+
 def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> (id, group): one row for each id; group is the smallest id of its near copies.
 
-    Candidates are links of fingerprints at `radius` or fewer bits, nearest first; a link between
-    different texts holds if their shingle sets have a Jaccard similarity of `similarity` or more,
+    Candidates are links of fingerprints at `radius` or fewer bits; of the texts that they join, each pair
+    is compared, and linked if its shingle sets have a Jaccard similarity of `similarity` or more,
     computed exactly. Only the texts that stand in a candidate are read again.
     """
 
@@ -203,16 +262,11 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     texts = stable(rows.groupBy("fp", "digest").agg(F.min("id").alias("first")))
     reps = stable(texts.groupBy("fp").agg(F.min("first").alias("rep"), F.count("*").alias("n")))
     twins = texts.join(reps.filter("n > 1"), "fp").filter("first <> rep").select(F.col("rep").alias("u"), F.col("first").alias("v"))
-    links = near_links(reps.select("fp"), radius, steps=tuple(r for r in (3, 7) if r < radius))
+    links = near_links(reps.select("fp"), radius)
     at = reps.select("fp", "rep")
     apart = links.join(at.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(at.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
-    tried = stable(twins.unionByName(apart.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))).distinct())
-    needed = tried.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = stable(_sets(picked.join(needed, "id", "left_semi").dropDuplicates(["id"]), shingle))
-    both = tried.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
-    common = F.size(F.array_intersect("x", "y"))
-    held = both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
-    labels = components(held).select(F.col("u").alias("first"), "label")
+    tried = twins.unionByName(apart.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    labels = components(held_links(tried, picked, shingle, similarity)).select(F.col("u").alias("first"), "label")
     grouped = texts.join(labels, "first", "left").select("fp", "digest", F.coalesce("label", "first").alias("group"))
     return rows.join(grouped, ["fp", "digest"]).groupBy("id").agg(F.min("group").alias("group"))
 

@@ -97,6 +97,31 @@ def test_deduplicate(spark):
     assert kept == [0, 1, 2, 3, 4, 5, 9, 10, 11, 13]
 
 
+def test_each_pair_of_joined_texts_is_compared(spark):
+    # a far text joins near copies that no candidate links directly
+    rng = random.Random(12)
+    a, x = prose(rng, 80), prose(rng, 80)
+    b = " ".join([*a.split()[:78], "changed", "end"])
+    texts = [x, a, b, *[prose(rng, 30) for _ in range(9)]]
+    tried = spark.createDataFrame([(0, 1), (0, 2), *[(0, i) for i in range(3, 12)]], "u long, v long")
+    picked = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, text binary")
+    for block in (2, 256):
+        found = simhash.held_links(tried, picked, 5, 0.8, block).collect()
+        assert {tuple(sorted((r["u"], r["v"]))) for r in found} == {(1, 2)}
+
+
+def test_alike_spans_all_pairs():
+    rng = np.random.default_rng(13)
+    base = [rng.integers(0, 400, 60) for _ in range(6)]
+    sets = [np.unique(np.concatenate([b[: len(b) - k], rng.integers(0, 400, k)])) for b in base for k in range(0, 12, 2)] + [np.empty(0, np.int64)] * 2
+    near = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    want = find_components(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])])
+    assert find_components(len(sets), simhash.alike(sets, None, 0.8)) == want
+    a, b = sets[::2], sets[1::2]
+    cross = [(i, len(a) + j) for i in range(len(a)) for j in range(len(b)) if near(a[i], b[j])]
+    assert find_components(len(sets), simhash.alike(a, b, 0.8)) == find_components(len(sets), cross)
+
+
 # ------------------------------------------------------------------ toxicity
 def test_toxicity_learns_words_not_groups():
     rng = random.Random(5)
