@@ -15,6 +15,7 @@ uses only the id and text columns, so others may have any name.
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -33,6 +34,8 @@ RADIUS = 4
 #: Fingerprints in a tile, about; a pair of tiles is one unit of work of two arrays of 8 bytes each.
 TILE = 16_384
 _CHUNK = 1 << 15
+#: Bands of minima that make candidates of near copies.
+BANDS = 40
 #: Texts in a slice of those that candidates join, about, whose shingle sets are compared at once.
 BLOCK = 256
 
@@ -242,41 +245,63 @@ def held_links(candidates: DataFrame, picked: DataFrame, shingle: int, similarit
     return members.repartition(int(min(20_000, max(4 * cores(spark), bins))), "g", "i", "j").groupBy("g", "i", "j").applyInPandas(compare, "u long, v long")
 
 
-def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signature_rows(similarity: float) -> int:
+    """Minima in a band: as many as leave a pair at the similarity a chance of some 0.32 or more to share one."""
+    return max(1, int(math.log(0.32) / math.log(similarity))) if 0 < similarity < 1 else 1
+
+
+def band_keys(hashes: np.ndarray, rows: int) -> np.ndarray:
+    """BANDS keys of a set of hashes: each is made of the minima under `rows` random multiplications."""
+    if not len(hashes):
+        return np.zeros(BANDS, np.int64)
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(factors), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[None, at : at + 256] * factors[:, None]).min(axis=1), out=least)
+    bands = least.reshape(BANDS, rows)
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(bands)], np.uint64).view(np.int64)
+
+
+def band_links(texts: DataFrame) -> DataFrame:
+    """(first, keys) -> (u, v): each text with the smallest id that shares a key."""
+    keyed = texts.select("first", F.explode("keys").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("first").alias("u"), F.count("*").alias("n")).filter("n > 1").select("key", "u")
+    return keyed.join(least, "key").filter("first <> u").select("u", F.col("first").alias("v")).distinct()
+
+
+def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """-> (id, group): one row for each id; group is the smallest id of its near copies.
 
-    Candidates are links of fingerprints at `radius` or fewer bits; of the texts that they join, each pair
-    is compared, and linked if its shingle sets have a Jaccard similarity of `similarity` or more,
-    computed exactly. Only the texts that stand in a candidate are read again.
+    Candidates are texts that agree in a whole band of minima of their shingle hashes: at 0.8 a pair
+    fails to agree in any of BANDS bands with a chance of 2 in 10 million, above that with less. Of the texts that
+    candidates join, each pair is compared, and linked if its shingle sets have a Jaccard similarity of `similarity`
+    or more, computed exactly. Only the texts that stand in a candidate are read again.
     """
+    size = signature_rows(similarity)
 
     def run(batches):
         for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column(1)]
-            fps = np.array([fingerprint(shingle_hashes(words_of(t), shingle)) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())], names=["id", "fp", "digest"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [x.as_py() or b"" for x in part.column(1)]
+                keys = [band_keys(np.unique(shingle_hashes(words_of(t), shingle)), size) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())], names=["id", "keys", "digest"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("id is not null")
-    rows = stable(picked.mapInArrow(run, "id long, fp long, digest binary"))
-    # equal texts fold into one, then equal fingerprints point at one of them
-    texts = stable(rows.groupBy("fp", "digest").agg(F.min("id").alias("first")))
-    reps = stable(texts.groupBy("fp").agg(F.min("first").alias("rep"), F.count("*").alias("n")))
-    twins = texts.join(reps.filter("n > 1"), "fp").filter("first <> rep").select(F.col("rep").alias("u"), F.col("first").alias("v"))
-    links = near_links(reps.select("fp"), radius)
-    at = reps.select("fp", "rep")
-    apart = links.join(at.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(at.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
-    tried = twins.unionByName(apart.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labels = components(held_links(tried, picked, shingle, similarity)).select(F.col("u").alias("first"), "label")
-    grouped = texts.join(labels, "first", "left").select("fp", "digest", F.coalesce("label", "first").alias("group"))
-    return rows.join(grouped, ["fp", "digest"]).groupBy("id").agg(F.min("group").alias("group"))
-
-
-def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows = stable(picked.mapInArrow(run, "id long, keys array<long>, digest binary"))
+    # equal texts fold into one
+    texts = stable(rows.groupBy("digest").agg(F.min("id").alias("first"), F.min_by("keys", "id").alias("keys")))
+    labels = components(held_links(band_links(texts), picked, shingle, similarity, block)).select(F.col("u").alias("first"), "label")
+    grouped = texts.join(labels, "first", "left").select("digest", F.coalesce("label", "first").alias("group"))
+    return rows.select("id", "digest").join(grouped, "digest").groupBy("id").agg(F.min("group").alias("group"))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each group of near copies that with the smallest id.
 
     Of rows that repeat an id one stays; rows without an id all stay.
     """
-    groups = stable(near_copy_groups(docs, shingle, similarity, radius, id_col, text_col))
+    groups = stable(near_copy_groups(docs, shingle, similarity, id_col, text_col))
     kept = docs.join(groups.filter("id <> group").select(F.col("id").alias("_id")), F.col(id_col).cast("long") == F.col("_id"), "left_anti")
     if docs.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():
         return kept

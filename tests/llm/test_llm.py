@@ -122,6 +122,20 @@ def test_alike_spans_all_pairs():
     assert find_components(len(sets), simhash.alike(a, b, 0.8)) == find_components(len(sets), cross)
 
 
+def test_near_copies_with_distant_fingerprints(spark):
+    rng = random.Random(14)
+    near = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
+    texts = []
+    while len(texts) < 12:
+        words = prose(rng, 70).split()
+        other = [*words[:66], *prose(rng, 4).split()] if rng.random() < 0.5 else [*words[:63], *prose(rng, 3).split()]
+        far = (plain_fingerprint(" ".join(words), 5) ^ plain_fingerprint(" ".join(other), 5)).bit_count() > 12
+        if far and near(*([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (words, other))):
+            texts += [" ".join(words), " ".join(other)]
+    kept = sorted(r["doc_id"] for r in simhash.deduplicate(docs_of(spark, texts)).collect())
+    assert kept == list(range(0, 12, 2))
+
+
 # ------------------------------------------------------------------ toxicity
 def test_toxicity_learns_words_not_groups():
     rng = random.Random(5)
