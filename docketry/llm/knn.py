@@ -108,7 +108,8 @@ def _best(queries: np.ndarray, ids_q: np.ndarray, data: np.ndarray, ids: np.ndar
     scores[ids_q[:, None] == ids[None, :]] = least
     take = min(k, scores.shape[1])
     # ties at the edge: of equal scores the first ids stay
-    edge = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
+    at = scores.shape[1] - take
+    edge = np.partition(scores, at, axis=1)[:, at]
     rows, cols, got = [], [], []
     for i in range(len(scores)):
         above = np.flatnonzero(scores[i] >= max(edge[i], least + 1))

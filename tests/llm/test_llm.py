@@ -177,6 +177,14 @@ def test_knn(spark):
     assert knn.top_k(data.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_own_row_takes_no_place():
+    data = np.arange(1, 21, dtype=float)[:, None]
+    rows, ids, scores = knn._best(np.array([[1.0]]), np.array([7]), data, np.arange(20), 10)
+    assert list(ids) == list(range(19, 9, -1)) and list(scores) == list(range(20, 10, -1)) and set(rows) == {0}
+    repeated = np.array([*range(17), 19, 19, 19])
+    assert list(knn._best(np.array([[1.0]]), np.array([19]), data, repeated, 10)[1]) == list(range(16, 6, -1))
+
+
 def test_bounds_leave_cells_out():
     pivots = np.array([[100.0, 0.0], [-100.0, 0.0], [0.0, 1.0]])
     wanted = knn.needed(pivots, np.array([50, 50, 50]), np.array([1.0, 1.0, 1.0]), np.array([5, 0, 0]), np.array([1.0, 0, 0]), 10)
