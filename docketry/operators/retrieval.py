@@ -180,6 +180,17 @@ def lexical_overlap(a: Column, b: Column) -> Column:
     return F.when(F.size(own) > 0, F.size(F.array_intersect(a, own)) / F.size(own)).otherwise(F.lit(0.0))
 
 
+def holders(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "query", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_QUERIES) -> DataFrame:
+    """-> (query, id): the documents that contain each query's text. Queries are broadcast in blocks of `most`, about."""
+    blocks = max(1, -(-queries.count() // most))
+    out = None
+    for b in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else queries
+        part = docs.select(id_col, text_col).join(F.broadcast(block.select(query_id, query_text)), F.col(text_col).contains(F.col(query_text))).select(query_id, id_col)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def self_at(hits: DataFrame, truth: DataFrame, ks: list[int], query_id: str = "query_id", id_col: str = "doc_id") -> DataFrame:
     """-> one row (queries, self_at_k...): share of queries with a true document among the k best.
 

@@ -263,3 +263,11 @@ def test_stream(spark, tmp_path):
 def test_page_type_with_gutter(spark):
     df = spark.createDataFrame([("긴 본문입니다 " * 5, True)], "t string, g boolean")
     assert df.select(text.page_type(F.col("t"), F.col("g")).alias("p")).first()["p"] == "body_2col"
+
+
+def test_holders_of_all_queries_in_blocks(spark):
+    queries = spark.createDataFrame([(i, f"passage {i}.") for i in range(30)], "query_id long, query string")
+    docs = spark.createDataFrame([(100 + i, f"text with passage {i}. and passage {i + 1}.") for i in range(30)], "doc_id long, text string")
+    want = sorted([(i, 100 + i) for i in range(30)] + [(i + 1, 100 + i) for i in range(29)])
+    for most in (4, 100):
+        assert sorted(map(tuple, retrieval.holders(queries, docs, most=most).collect())) == want
