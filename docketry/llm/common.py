@@ -41,6 +41,27 @@ def cores(spark: SparkSession) -> int:
     return max(8, spark.sparkContext.defaultParallelism)
 
 
+def hot_keys(rows: DataFrame, key: str, total: int | None = None, least: int = 2_000, share: int = 500) -> list:
+    """The values of key that hold over 1/share of the rows, and over `least` of them: fewer than `share` values."""
+    total = rows.count() if total is None else total
+    if total <= least:
+        return []
+    cut = max(least, total // share)
+    return [r[key] for r in rows.groupBy(key).count().filter(F.col("count") > cut).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, other: str, total: int | None = None, salts: int = 64) -> DataFrame:
+    """Inner join of rows with per_key, which has one row for each key. Keys that hold a large part of
+    the rows are dealt over `salts` tasks by a hash of the column `other`. total: rows, if known."""
+    hot = hot_keys(rows, key, total)
+    if not hot:
+        return rows.join(per_key, key)
+    is_hot = F.col(key).isin(hot)
+    left = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(other), F.lit(salts)).cast("int")).otherwise(0))
+    right = per_key.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def smallest(rows: DataFrame, hashed: str, n: int) -> DataFrame:
     """The n rows with the smallest hashes (all that tie with the last). Only hashes meet in one place, not the rows."""
     cut = rows.select(hashed).orderBy(hashed).limit(n).agg(F.max(hashed).alias("m")).first()["m"]

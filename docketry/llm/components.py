@@ -4,8 +4,7 @@ Alternates the large-star and small-star operations (Kiveris et al., "Connected
 MapReduce and Beyond", 2014), which need a number of rounds that is logarithmic in practice. Each
 half round is one aggregate and one join; every round is cut with checkpoint(), so that a lost
 executor costs one round at most. Minimums are taken by a partial aggregate before the shuffle, and
-the join back to the edges is one that adaptive execution may split, so that a hub with very many
-neighbours is not one task's work.
+the join back to the edges deals a hub with very many neighbours over many tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import stable
+from docketry.llm.common import spread_join, stable
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,16 +20,16 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return spread_join(both.filter("v > u"), least, "u", "v", total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = spread_join(down, least, "u", "v", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -44,7 +43,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = _state(edges)
     if before[0]:
         for _ in range(max_rounds):
-            edges = stable(_small_star(_large_star(edges)))
+            edges = stable(_large_star(edges, before[0]))
+            edges = stable(_small_star(edges, before[0]))
             after = _state(edges)
             if after == before:
                 break

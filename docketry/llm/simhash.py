@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import cores, stable
+from docketry.llm.common import cores, spread_join, stable
 from docketry.llm.components import components
 
 SEED = 42
@@ -34,7 +34,9 @@ RADIUS = 4
 #: Fingerprints in a tile, about; a pair of tiles is one unit of work of two arrays of 8 bytes each.
 TILE = 16_384
 _CHUNK = 1 << 15
-#: Bands of minima that make candidates of near copies.
+#: Differing bits up to which fingerprints make candidates of near copies.
+NEAR_RADIUS = 8
+#: Bands of minima that make candidates of near copies beyond it.
 BANDS = 40
 #: Texts in a slice of those that candidates join, about, whose shingle sets are compared at once.
 BLOCK = 256
@@ -171,8 +173,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     labels = components(near_links(reps.select("fp"), radius, tile)).select(F.col("u").alias("fp"), "label")
     labelled = reps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = labelled.join(least, "label").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = spread_join(labelled, least, "label", "fp").select("fp", "component_id")
+    return spread_join(fps, of, "fp", "doc_id").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -182,67 +184,125 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [np.unique(shingle_hashes(words_of(t), k)).view(np.int64) for t in (x.as_py() or b"" for x in part.column(1))]
+                sets = [np.unique(shingle_hashes(words_of(t), k).view(np.int64)) for t in (x.as_py() or b"" for x in part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
 
     return docs.mapInArrow(run, "id long, hashes array<long>")
 
 
-def alike(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float) -> list[tuple[int, int]]:
+def alike(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (index, index) that span the components of all pairs of a with b (b None: within a) whose sets
-    have a Jaccard similarity of `similarity` or more. Each pair is compared. Indices are into a followed by b."""
+    have a Jaccard similarity of `similarity` or more. Sets are sorted; indices are into a followed by b.
+
+    label names the component that each is known to belong to. A pair is left untested only if links that
+    hold join the two already, so a group of near copies costs about as many tests as it has members.
+    """
     own = b is None
     other, shift = (a, 0) if own else (b, len(a))
-    label = np.arange(len(a) + (0 if own else len(b)))
+    label = np.arange(len(a) + (0 if own else len(b))) if label is None else np.unique(label, return_inverse=True)[1]
     sizes = np.array([len(x) for x in other], np.int64)
-    flat, owner = np.concatenate([np.empty(0, np.int64), *other]), np.repeat(np.arange(len(other)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    index: tuple[np.ndarray, np.ndarray] | None = None
     links: list[tuple[int, int]] = []
     for i, x in enumerate(a):
-        start = np.searchsorted(flat, x, "left")
-        n = np.searchsorted(flat, x, "right") - start
-        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        common = np.bincount(owner[at], minlength=len(other))
-        fits = common >= similarity * (len(x) + sizes - common)
+        apart = label[shift:] != label[i]
         if own:
-            fits[: i + 1] = False
-        j = np.flatnonzero(fits)
+            apart[: i + 1] = False
+        live = np.flatnonzero(apart)
+        if not len(live):
+            continue
+        if 4 * len(live) < len(other):
+            flat = np.concatenate([other[j] for j in live])
+            at = np.minimum(np.searchsorted(x, flat), max(0, len(x) - 1))
+            hit = x[at] == flat if len(x) else np.zeros(len(flat), bool)
+            common = np.bincount(np.repeat(np.arange(len(live)), sizes[live])[hit], minlength=len(live))
+        else:
+            if index is None:
+                flat, owner = np.concatenate([np.empty(0, np.int64), *other]), np.repeat(np.arange(len(other)), sizes)
+                order = np.argsort(flat, kind="stable")
+                index = flat[order], owner[order]
+            start = np.searchsorted(index[0], x, "left")
+            n = np.searchsorted(index[0], x, "right") - start
+            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(index[1][at], minlength=len(other))[live]
+        j = live[common >= similarity * (len(x) + sizes[live] - common)]
         _join(label, np.full(len(j), i), j + shift, links)
     return links
 
 
-def held_links(candidates: DataFrame, picked: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """candidates(u, v), picked(id, text) -> (u, v): links that span the groups of near copies.
+def _solved(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """rows(g, i, j, key, side, id, label, hashes) -> (u, v): in each block (g, i, j), for each key, the links that
+    span the pairs of side 0 with side 1 that hold. A key without side 1 is compared with itself."""
 
-    All texts that candidates join, however far around, are compared with each other, not the candidates
-    alone; so a candidate that fails never stands in for a pair that holds. Joined texts up to `block` share a
-    block with others; more are dealt into slices, and each pair of slices is a block.
-    """
-    spark = candidates.sparkSession
-    joined = stable(components(candidates).withColumnRenamed("u", "id"))
-    total = joined.count()
-    sizes = joined.groupBy("label").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
-    bins = max(1, -(-total // block))
-    sliced = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-    dealt = joined.join(sizes, "label").select("id", "label", "n", sliced.alias("s"))
-    one = F.array(F.struct(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side")))
-    pair = lambda t: F.struct(F.col("label").alias("g"), F.least("s", t).alias("i"), F.greatest("s", t).alias("j"), (F.col("s") > t).cast("int").alias("side"))
-    many = F.transform(F.sequence(F.lit(0), F.col("n") - 1), pair)
-    sets = _sets(picked.join(joined.select("id"), "id", "left_semi").dropDuplicates(["id"]), shingle)
-    placed = dealt.select("id", F.when(F.col("n") == 1, one).otherwise(many).alias("at")).join(sets, "id")
-    members = placed.select("id", "hashes", F.explode("at").alias("at")).select("id", "hashes", "at.*")
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends: list[np.ndarray] = []
+        for _, part in pdf.groupby("key", sort=False):
+            sides = [part[part["side"] == k] for k in (0, 1)]
+            if not len(sides[0]):
+                continue
+            both = part.iloc[:0] if not len(sides[1]) else sides[1]
+            sets = [[np.asarray(x, np.int64) for x in side["hashes"]] for side in (sides[0], both)]
+            ids = np.concatenate([sides[0]["id"].to_numpy(), both["id"].to_numpy()])
+            label = np.concatenate([sides[0]["label"].to_numpy(), both["label"].to_numpy()])
+            found = np.array(alike(sets[0], sets[1] or None, similarity, label), np.int64).reshape(-1, 2)
+            ends.append(ids[found])
+        out = np.concatenate(ends) if ends else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"u": out[:, 0], "v": out[:, 1]})
+
+    return rows.repartition(parts, "g", "i", "j").groupBy("g", "i", "j").applyInPandas(solve, "u long, v long")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [part for _, part in pdf.groupby("side")]
-        alone = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        if not alone and len(sides) < 2:
-            return pd.DataFrame({"u": [], "v": []}).astype("int64")
-        found = alike(*[[np.asarray(x, np.int64) for x in part["hashes"]] for part in sides], *([None] if alone else []), similarity)
-        ids, links = np.concatenate([part["id"].to_numpy() for part in sides]), np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"u": ids[links[:, 0]], "v": ids[links[:, 1]]})
 
-    return members.repartition(int(min(20_000, max(4 * cores(spark), bins))), "g", "i", "j").groupBy("g", "i", "j").applyInPandas(compare, "u long, v long")
+def _met(asks: DataFrame, members: DataFrame, sets, similarity: float, block: int) -> DataFrame:
+    """asks, members (key, id, label) -> (u, v): under each key, every member of asks meets every member of members.
+
+    Keys of few members share a block with others; of more, both sides are dealt into slices, and each pair of
+    slices is a block.
+    """
+    spark = asks.sparkSession
+    asks, members = stable(asks), stable(members)
+    count = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
+    cut = count(asks, "a").join(count(members, "m"), "key")
+    bins = max(1, -(-members.count() // block))
+    slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    g = F.when((F.col("a") == 1) & (F.col("m") == 1), F.struct(F.lit(0).alias("t"), F.pmod(F.xxhash64("key"), F.lit(bins)).alias("k"))).otherwise(F.struct(F.lit(1).alias("t"), F.col("key").alias("k")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = spread_join(asks, cut, "key", "id").select(g.alias("g"), slot("a").alias("i"), every("m").alias("j"), "key", F.lit(0).alias("side"), "id", "label")
+    right = spread_join(members, cut, "key", "id").select(g.alias("g"), every("a").alias("i"), slot("m").alias("j"), "key", F.lit(1).alias("side"), "id", "label")
+    placed = left.unionByName(right)
+    return _solved(placed.join(sets(placed.select("id")), "id"), similarity, int(min(20_000, max(4 * cores(spark), bins))))
+
+
+def held_links(candidates: DataFrame, keyed: DataFrame, picked: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """candidates(u, v), keyed(key, id), picked(id, text) -> (u, v): links that span the groups of near copies.
+
+    Candidates only say which texts to compare; a link is one whose exact similarity holds, and a candidate that
+    fails never stands in for a pair that holds. Where candidates join up to `block` texts, all pairs of these are
+    compared. Of larger clusters, first the candidates themselves are compared; then, under each key whose members
+    are not all joined by then, those outside the largest group meet all members. So each pair that is a candidate
+    or shares a key is compared or is joined already, and a large group of near copies costs in proportion to its size.
+    """
+    sets = lambda ids: _sets(picked.join(ids.select("id").distinct(), "id", "left_semi"), shingle)
+    clusters = stable(components(candidates).withColumnRenamed("u", "id"))
+    parts = int(min(20_000, max(4 * cores(candidates.sparkSession), -(-clusters.count() // block))))
+    size = clusters.groupBy("label").agg(F.count("*").alias("n"))
+    # a small cluster shares its block with others
+    small = clusters.join(size.filter(F.col("n") <= block), "label").select(F.pmod(F.xxhash64("label"), F.lit(parts)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("label").alias("key"), F.lit(0).alias("side"), "id", F.col("id").alias("label"))
+    found = _solved(small.join(sets(small), "id"), similarity, parts)
+    large = stable(spread_join(clusters, size.filter(F.col("n") > block), "label", "id").select("id"))
+    if large.isEmpty():
+        return found
+    first = candidates.join(large, F.col("u") == F.col("id"), "left_semi")
+    by_hub = first.select(F.col("u").alias("key"), F.col("v").alias("id"), F.col("v").alias("label"))
+    hubs = first.select(F.col("u").alias("key"), F.col("u").alias("id"), F.col("u").alias("label")).distinct()
+    firm = stable(_met(hubs, by_hub, sets, similarity, block))
+    joined = large.join(components(firm).withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    open_ = stable(keyed.join(joined, "id"))
+    by_label = open_.groupBy("key", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    groups = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.max_by("label", F.struct("n", -F.col("label"))).alias("most"))
+    # keys with the same members are one
+    groups = groups.filter("labels > 1 and n > 2").groupBy("x", "n").agg(F.min(F.struct("key", "most")).alias("k")).select("k.*")
+    members = stable(spread_join(open_, groups, "key", "id"))
+    second = _met(members.filter("label <> most").drop("most"), members.drop("most"), sets, similarity, block)
+    return found.unionByName(firm).unionByName(second)
 
 
 def signature_rows(similarity: float) -> int:
@@ -262,20 +322,44 @@ def band_keys(hashes: np.ndarray, rows: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(bands)], np.uint64).view(np.int64)
 
 
-def band_links(texts: DataFrame) -> DataFrame:
-    """(first, keys) -> (u, v): each text with the smallest id that shares a key."""
-    keyed = texts.select("first", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("first").alias("u"), F.count("*").alias("n")).filter("n > 1").select("key", "u")
-    return keyed.join(least, "key").filter("first <> u").select("u", F.col("first").alias("v")).distinct()
+def fingerprint_links(texts: DataFrame, radius: int) -> DataFrame:
+    """(first, fp) -> (u, v): texts of equal fingerprints with the smallest id among them, and spanning links of these at radius or fewer differing bits."""
+    hubs = stable(texts.groupBy("fp").agg(F.min("first").alias("hub")))
+    links = near_links(hubs.select("fp"), radius)
+    ends = links.join(hubs.select(F.col("fp").alias("u"), F.col("hub").alias("a")), "u").join(hubs.select(F.col("fp").alias("v"), F.col("hub").alias("b")), "v")
+    equal = spread_join(texts.select("fp", "first"), hubs, "fp", "first").filter("first <> hub").select(F.col("hub").alias("u"), F.col("first").alias("v"))
+    return ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).unionByName(equal)
+
+
+def band_keys_of(texts: DataFrame) -> DataFrame:
+    """(first, keys) -> (key, id, hub): the texts of each key that several share, with the smallest id among them."""
+    keyed = texts.select(F.explode("keys").alias("key"), F.col("first").alias("id"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return spread_join(keyed, shared, "key", "id")
 
 
-def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of rows that repeat an id, the one whose text, then whose whole row, has the smallest hash; rows without an id all stay."""
+    if docs.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():
+        return docs
+    order = F.struct(F.xxhash64(text_col), F.xxhash64(F.to_json(F.struct(F.col("*")))))
+    hashed = docs.filter(F.col(id_col).isNotNull()).withColumn("_order", order)
+    least = hashed.groupBy(F.col(id_col).alias("_id")).agg(F.min("_order").alias("_least"))
+    alone = hashed.join(least, (F.col(id_col) == F.col("_id")) & (F.col("_order") == F.col("_least"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return alone.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """-> (id, group): one row for each id; group is the smallest id of its near copies.
 
-    Candidates are texts that agree in a whole band of minima of their shingle hashes: at 0.8 a pair
-    fails to agree in any of BANDS bands with a chance of 2 in 10 million, above that with less. Of the texts that
-    candidates join, each pair is compared, and linked if its shingle sets have a Jaccard similarity of `similarity`
-    or more, computed exactly. Only the texts that stand in a candidate are read again.
+    The tiled comparison of SimHash fingerprints finds candidates at `radius` or fewer differing bits. Pairs at
+    the edge of the similarity may differ in more; for them, texts that agree in a whole band of minima of their
+    shingle hashes are candidates too: at 0.8 a pair agrees in none of BANDS bands with a chance of 2 in 10
+    million, above that with less. A link holds if the shingle sets have a Jaccard similarity of `similarity` or
+    more, computed exactly (see held_links). Only texts that stand in a candidate are read again.
+
+    Null text counts as empty; texts without words are copies of each other; rows without an id take no part; of
+    rows that repeat an id one_row_per_id names the one that counts; an empty table gives an empty result.
     """
     size = signature_rows(similarity)
 
@@ -283,27 +367,32 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [x.as_py() or b"" for x in part.column(1)]
-                keys = [band_keys(np.unique(shingle_hashes(words_of(t), shingle)), size) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())], names=["id", "keys", "digest"])
-
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("id is not null")
-    rows = stable(picked.mapInArrow(run, "id long, keys array<long>, digest binary"))
+                fps, keys, digests = [], [], []
+                for text in (x.as_py() or b"" for x in part.column(1)):
+                    hashes = shingle_hashes(words_of(text), shingle)
+                    fps.append(fingerprint(hashes))
+                    keys.append(band_keys(np.unique(hashes), size))
+                    digests.append(xxhash.xxh3_128_digest(text))
+                made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["id", "fp", "keys", "digest"])
+
+    alone = one_row_per_id(docs, id_col, text_col)
+    picked = alone.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("id is not null")
+    rows = stable(picked.mapInArrow(run, "id long, fp long, keys array<long>, digest binary"))
     # equal texts fold into one
-    texts = stable(rows.groupBy("digest").agg(F.min("id").alias("first"), F.min_by("keys", "id").alias("keys")))
-    labels = components(held_links(band_links(texts), picked, shingle, similarity, block)).select(F.col("u").alias("first"), "label")
+    texts = stable(rows.groupBy("digest").agg(F.min_by(F.struct("id", "fp", "keys"), "id").alias("t")).select("digest", F.col("t.id").alias("first"), "t.fp", "t.keys"))
+    keyed = stable(band_keys_of(texts))
+    by_band = keyed.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v"))
+    candidates = stable(fingerprint_links(texts, radius).unionByName(by_band).distinct())
+    labels = components(held_links(candidates, keyed.select("key", "id"), picked, shingle, similarity, block)).select(F.col("u").alias("first"), "label")
     grouped = texts.join(labels, "first", "left").select("digest", F.coalesce("label", "first").alias("group"))
-    return rows.select("id", "digest").join(grouped, "digest").groupBy("id").agg(F.min("group").alias("group"))
+    return spread_join(rows.select("id", "digest"), grouped, "digest", "id").select("id", "group")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each group of near copies that with the smallest id.
 
-    Of rows that repeat an id one stays; rows without an id all stay.
+    Of rows that repeat an id one stays (one_row_per_id); rows without an id all stay.
     """
-    groups = stable(near_copy_groups(docs, shingle, similarity, id_col, text_col))
-    kept = docs.join(groups.filter("id <> group").select(F.col("id").alias("_id")), F.col(id_col).cast("long") == F.col("_id"), "left_anti")
-    if docs.groupBy(id_col).count().filter(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():
-        return kept
-    some = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return some.unionByName(kept.filter(F.col(id_col).isNull()))
+    groups = stable(near_copy_groups(docs, shingle, similarity, id_col=id_col, text_col=text_col))
+    return one_row_per_id(docs, id_col, text_col).join(groups.filter("id <> group").select(F.col("id").alias("_id")), F.col(id_col).cast("long") == F.col("_id"), "left_anti")

@@ -104,12 +104,80 @@ def test_each_pair_of_joined_texts_is_compared(spark):
     b = " ".join([*a.split()[:78], "changed", "end"])
     texts = [x, a, b, *[prose(rng, 30) for _ in range(9)]]
     tried = spark.createDataFrame([(0, 1), (0, 2), *[(0, i) for i in range(3, 12)]], "u long, v long")
+    keyed = spark.createDataFrame([(7, i) for i in range(12)], "key long, id long")
     picked = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, text binary")
-    for block in (2, 256):
-        found = simhash.held_links(tried, picked, 5, 0.8, block).collect()
+    for block in (2, 5, 256):
+        found = simhash.held_links(tried, keyed, picked, 5, 0.8, block).collect()
         assert {tuple(sorted((r["u"], r["v"]))) for r in found} == {(1, 2)}
 
 
+def jaccard_groups(texts, similarity=0.8):
+    """Smallest reachable index for each text, by a full comparison of five-word shingle sets."""
+    sets, where = [], collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        w = simhash.words_of((t or "").encode())
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} - {()})
+        for x in sets[-1]:
+            where[x].append(i)
+    links = []
+    for i, s in enumerate(sets):
+        common = collections.Counter(j for x in s for j in where[x] if j < i)
+        links += [(i, j) for j, c in common.items() if c >= similarity * (len(s) + len(sets[j]) - c)]
+        links += [(i, j) for j in range(i) if not s and not sets[j]]
+    return find_components(len(texts), links)
+
+
+def families(rng, n, size, words, most):
+    """Texts of n families: each member is the family's text with up to `most` words changed."""
+    out = []
+    for _ in range(n):
+        base = prose(rng, words).split()
+        for _ in range(size):
+            w = list(base)
+            for at in rng.sample(range(words), rng.randint(0, most)):
+                w[at] = f"new{rng.randint(0, 10**6)}"
+            out.append(" ".join(w))
+    return out
+
+
+def test_near_copies_against_a_full_comparison(spark):
+    # families whose members partly lie beyond the similarity: a failed candidate must not part the others
+    texts = families(random.Random(15), 40, 12, 150, 6)
+    want = jaccard_groups(texts)
+    for block in (8, 256):
+        got = {r["id"]: r["group"] for r in simhash.near_copy_groups(docs_of(spark, texts), block=block).collect()}
+        assert got == dict(enumerate(want))
+
+
+def test_one_large_group_of_near_copies(spark):
+    rng = random.Random(16)
+    texts = [*families(rng, 1, 700, 60, 1), *[prose(rng, 60) for _ in range(60)]]
+    rng.shuffle(texts)
+    want = jaccard_groups(texts)
+    got = {r["id"]: r["group"] for r in simhash.near_copy_groups(docs_of(spark, texts), block=32).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_deduplicate_odd_rows(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text), (2, text), (3, "b"), (3, "c"), (3, "b"), (None, text), (None, text), (4, None), (5, ""), (6, " \t"), (7, "x " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "key", "group", "hub")})
+    for part in (docs, docs.repartition(5)):
+        kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(part).collect()]
+        assert sorted((k for k in kept if k[0] is not None), key=lambda x: x[0])[:2] == [(1, text), next(k for k in kept if k[0] == 3)]
+        assert collections.Counter(k[0] for k in kept) == {1: 1, 3: 1, None: 2, 4: 1, 7: 1}
+    assert simhash.deduplicate(docs).columns == docs.columns
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(9_000)], "k long, x long")
+    names = rows.select("k").distinct().withColumn("n", F.col("k") * 2)
+    assert common.hot_keys(rows, "k") == [1] and common.hot_keys(rows, "k", 2_000) == []
+    got = common.spread_join(rows, names, "k", "x")
+    assert got.columns == ["k", "x", "n"] and got.filter("n = 2 * k").count() == 9_000 and got.select("x").distinct().count() == 9_000
+
+
 def test_alike_spans_all_pairs():
     rng = np.random.default_rng(13)
     base = [rng.integers(0, 400, 60) for _ in range(6)]
