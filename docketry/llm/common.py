@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java and Python forms of the word pattern that the contracts fix.
@@ -19,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only a session that names none, as in local tests, gets one here.
+    Only a local session that names none, as in tests, gets one here.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     here = spark.sparkContext._jsc.sc().getCheckpointDir()
     if here.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints", "docketry"))
         here = spark.sparkContext._jsc.sc().getCheckpointDir()
     return here.get().rstrip("/")
@@ -62,10 +64,33 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, other: str, total
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def smallest(rows: DataFrame, hashed: str, n: int) -> DataFrame:
-    """The n rows with the smallest hashes (all that tie with the last). Only hashes meet in one place, not the rows."""
-    cut = rows.select(hashed).orderBy(hashed).limit(n).agg(F.max(hashed).alias("m")).first()["m"]
-    return rows.filter(F.col(hashed) <= F.lit(cut)) if cut is not None else rows.limit(0)
+def sample_of(rows: DataFrame, hashed: str, n: int, *by: str) -> DataFrame:
+    """Up to n rows (of each group by the columns `by`) with distinct hashes, for a bounded sample.
+
+    Hashes are dealt into 16 n random buckets, whose smallest are taken by a partial aggregate; of these
+    the n smallest stay. So no task meets more than 16 n hashes of a group, repeated rows count once, and
+    the whole rows are read only where their hash was drawn.
+    """
+    bucket = F.pmod(F.xxhash64(hashed, F.lit(5)), F.lit(16 * n)).alias("_b")
+    minima = rows.groupBy(*by, bucket).agg(F.min(hashed).alias(hashed))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(hashed))
+    few = minima.withColumn("_n", place).filter(F.col("_n") <= n).select(*by, hashed)
+    rest = [c for c in rows.columns if c not in (*by, hashed)]
+    return rows.join(F.broadcast(few), [*by, hashed]).groupBy(*by, hashed).agg(*[F.first(c).alias(c) for c in rest])
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """wanted, with as many underscores as it takes to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def remainder(column: str, modulus: int):
