@@ -8,7 +8,8 @@ score. Scoring covers every whole text.
 
 Defined cases: null and empty texts have no features and get the score of the intercept; without
 labelled rows of both kinds every text gets the share of toxic rows among them (0 if there are none);
-rows with a null label are not learned from; repeated rows score alike; other columns don't matter.
+rows with a null label are not learned from; an empty table gives an empty result; texts of any length are
+read whole; rows that repeat are learned from once and score alike; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import smallest
+from docketry.llm.common import sample_of
 
-#: Bounds of the learning sample: so many labelled texts, each of up to so many characters.
+#: Bounds of the learning sample: so many labelled texts, each of up to so many characters; a label that only
+#: longer texts have is learned from their starts.
 SAMPLE_DOCS = 6_000
 SAMPLE_CHARS = 10_000
 #: Features kept, by their likelihood ratio with the label; each occurs in LEAST toxic texts or more.
@@ -40,7 +42,7 @@ FAIRNESS = 4.0
 RIDGE = 3e-5
 STEPS = 800
 #: Words in a worker's cache.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 80_000
 
 #: Terms that name groups of people, by kind; a counterfactual swaps within a kind.
 IDENTITY = {
@@ -52,7 +54,9 @@ IDENTITY = {
     "age": ("old", "elderly", "young", "teenage"),
 }
 _KIND = {term: kind for kind, terms in IDENTITY.items() for term in terms}
-_WORDS = re.compile(r"[^\W\d_]+").findall
+#: A hyphen between letters belongs to a word only in terms that are listed with one.
+_HYPHENED = "|".join(re.escape(t) for t in _KIND if "-" in t)
+_WORDS = re.compile(rf"(?<![^\W\d_])(?:{_HYPHENED})(?![^\W\d_])|[^\W\d_]+").findall
 
 
 def words_of(text: str) -> set[str]:
@@ -170,10 +174,14 @@ def _scorer(model: Model) -> Scorer:
 
 
 def learn(labelled: DataFrame, fairness: float = FAIRNESS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on the SAMPLE_DOCS labelled texts with the smallest hashes of their ids."""
-    rows = labelled.filter(F.col(label_col).isNotNull() & (F.coalesce(F.length(text_col), F.lit(0)) <= SAMPLE_CHARS))
-    picked = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(label_col) != 0).cast("int").alias("label"), F.xxhash64(F.col(id_col), F.lit(2)).alias("h"))
-    got = smallest(picked, "h", SAMPLE_DOCS).select("h", "text", "label").toLocalIterator()
+    """Fits on up to SAMPLE_DOCS labelled texts, drawn by a hash of id, text and label."""
+    text, label = F.coalesce(F.col(text_col).cast("string"), F.lit("")), (F.col(label_col) != 0).cast("int")
+    rows = labelled.filter(F.col(label_col).isNotNull()).select(text.alias("text"), label.alias("label"), F.xxhash64(F.col(id_col), text, label, F.lit(2)).alias("h"))
+    short = F.length("text") <= SAMPLE_CHARS
+    have = rows.agg(*[F.count_if((F.col("label") == k) & short).alias(f"l{k}") for k in (0, 1)]).first()
+    lacking = [k for k in (0, 1) if not have[f"l{k}"]]
+    picked = rows.filter(short | F.col("label").isin(lacking)) if lacking else rows.filter(short)
+    got = sample_of(picked.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)), "h", SAMPLE_DOCS).select("h", "text", "label").toLocalIterator()
     texts, labels = [], []
     for _, text, label in sorted((tuple(r) for r in got)):
         texts.append(text)
