@@ -9,13 +9,15 @@ between them count, lower-cased, so that digits, markup and layout don't decide.
 score is the best language's share in a soft minimum over the bits that each spends on a byte;
 documents whose margin is under `margin` are rejected.
 
-Learning reads a bounded sample: for each language, of the texts of up to SAMPLE_CHARS characters,
-those with the smallest hashes of their ids, SAMPLE_DOCS documents and DICTIONARY_BYTES bytes; it is the fit of a classifier, and prediction covers
-every whole text.
+Learning reads a bounded sample: for each language SAMPLE_DOCS documents drawn by a hash of id and text, of
+which the first DICTIONARY_BYTES bytes of words are used; it is the fit of a classifier, and prediction covers every
+whole text. Texts of up to SAMPLE_CHARS characters are preferred; a language that has none is learned from
+the starts of longer ones.
 
 Defined cases: null text or text without a letter: 'und', score 0, rejected. Without any labelled
-text all are 'und'. Ties go to the language with more learning rows. Repeated rows are predicted alike;
-other columns don't matter.
+text, as in an empty table, all are 'und'; an empty table gives an empty result. Texts of any length are read
+whole, block by block. Ties go to the language with more learning rows. Rows that repeat are learned from
+once and predicted alike; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the learning sample, for each language, and of the languages.
+from docketry.llm.common import sample_of
+
+#: Bounds of the learning sample, for each language.
 SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 64_000
 SAMPLE_CHARS = 4_000
@@ -52,28 +56,22 @@ def plain(text: str) -> bytes:
 
 
 def learn(docs: DataFrame, chosen: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
-    """Raw dictionary content by language, from the rows where chosen holds.
-
-    Which texts have the smallest hashes is found from the hashes alone, cut down by hash buckets before
-    a language's meet in one place; only the texts below the cut are then read.
-    """
-    fits = chosen & F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS)
-    rows = docs.filter(fits).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(8)).alias("h"), F.col(text_col).alias("text"))
-    dealt = rows.select("lang", "h", F.pmod(F.xxhash64("h"), F.lit(256)).alias("b"))
-    few = dealt.withColumn("r", F.row_number().over(Window.partitionBy("lang", "b").orderBy("h"))).filter(F.col("r") <= max(1, SAMPLE_DOCS // 64))
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= SAMPLE_DOCS)
-    cut = {r["lang"]: r["m"] for r in few.groupBy("lang").agg(F.max("h").alias("m")).collect()}
-    within = F.lit(False)
-    for lang, most in cut.items():
-        within = within | ((F.col("lang") == lang) & (F.col("h") <= F.lit(most)))
-    out: dict[str, bytearray] = {}
-    for lang, _, text in sorted(tuple(r) for r in rows.filter(within).collect()):
-        body = out.setdefault(lang, bytearray())
-        if len(body) < DICTIONARY_BYTES:
-            body += plain(text)
+    """Raw dictionary content by language, from the rows where chosen holds. The driver gets the sample and
+    the number of rows of each language."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.filter(F.coalesce(chosen, F.lit(False)) & F.col(lang_col).isNotNull())
+    long_ = F.length(text) > SAMPLE_CHARS
     # ties are decided by this order
-    often = {r["lang"]: r["n"] for r in docs.filter(chosen & F.col(lang_col).isin(list(out))).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    return {k: bytes(v[:DICTIONARY_BYTES]) for k, v in sorted(out.items(), key=lambda x: (-often.get(x[0], 0), x[0])) if v}
+    often = {r["lang"]: (r["n"], r["short"]) for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"), F.count_if(~long_).alias("short")).collect()}
+    wordy = [lang for lang, (_, short) in often.items() if not short]
+    wanted = ~long_ | F.col(lang_col).isin(wordy) if wordy else ~long_
+    picked = rows.filter(wanted).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), text, F.lit(8)).alias("h"), F.substring(text, 1, DICTIONARY_BYTES).alias("text"))
+    out: dict[str, bytearray] = {}
+    for lang, _, body in sorted(tuple(r) for r in sample_of(picked, "h", SAMPLE_DOCS, "lang").select("lang", "h", "text").toLocalIterator()):
+        held = out.setdefault(lang, bytearray())
+        if len(held) < DICTIONARY_BYTES:
+            held += plain(body)
+    return {k: bytes(v[:DICTIONARY_BYTES]) for k, v in sorted(out.items(), key=lambda x: (-often[x[0]][0], x[0])) if v}
 
 
 class Compressors:
