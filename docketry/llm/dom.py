@@ -1,8 +1,9 @@
 """A small tolerant HTML reader: blocks and the runs of text in them.
 
 Only block elements become nodes; inline elements leave their text in the run and are counted. Runs
-are leaves. Scripts, styles, comments and other content that is no text is left out; character references are decoded.
-End tags that HTML lets one leave out are supplied; stray ones are ignored.
+are leaves. Scripts, styles, comments, buttons and other content that is no text is left out; character references are
+decoded. End tags that HTML lets one leave out are supplied; stray ones are ignored. A script, style or comment that is
+never closed reaches to the end of the page, as HTML has it; of other such elements only the tag is left out.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ import re
 from dataclasses import dataclass, field
 
 #: Elements whose content is not shown as text, without content, and inline.
-RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "svg", "math", "object", "canvas", "audio", "video", "select"}
+RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "svg", "canvas", "audio", "video", "select", "button"}
+TO_THE_END = {"script", "style"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s",
-    "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "label", "button", "picture", "nobr", "center",
+    "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "label", "picture", "nobr", "center", "object",
+    "math", "mi", "mn", "mo", "mrow", "mfrac", "msup", "msub", "mtext", "semantics", "annotation",
 }
 #: A start tag ends the open element of the key if it is one of the values (None: any block).
 ENDED_BY = {
@@ -26,6 +29,7 @@ ENDED_BY = {
 #: An implied end does not reach beyond these.
 FENCE = {"table", "ul", "ol", "dl", "td", "th", "body", "html", "article", "section", "div", "aside", "nav", "form"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)", re.S)
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -68,7 +72,7 @@ class _Builder:
         if tag == "br":
             self.parts.append(" ")
             return
-        if tag in ("input", "button", "label"):
+        if tag in ("input", "label"):
             self.controls += 1
         if tag == "a":
             self.in_link = True
@@ -102,10 +106,15 @@ class _Builder:
                 return
 
 
+def _lowered(html: str) -> str:
+    """Lower-cased in A-Z, place by place."""
+    return html.translate(_LOWER)
+
+
 def parse(html: str) -> list[Node]:
     """Nodes in page order; a parent comes before its children, the root is the first."""
     b, at = _Builder(), 0
-    lower = None
+    lower, unclosed = None, set()
     while (m := _TOKEN.search(html, at)) is not None:
         b.text(html[at : m.start()])
         at = m.end()
@@ -116,15 +125,19 @@ def parse(html: str) -> list[Node]:
         if m[1] or m[4]:
             b.close(tag)
         elif tag in RAW:
-            if not (m[3] or m[6] or "").endswith("/") or tag not in ("svg", "math"):
-                lower = html.lower() if lower is None and len(html.lower()) == len(html) else lower
-                end = re.compile(f"</{tag}[^>]*>", re.I).search(html, at) if lower is None else None
-                if lower is not None:
-                    k = lower.find(f"</{tag}", at)
-                    stop = html.find(">", k) if k >= 0 else -1
-                    at = stop + 1 if stop >= 0 else len(html)
-                else:
-                    at = end.end() if end else len(html)
+            if tag == "button":
+                b.controls += 1
+            if (m[3] or m[6] or "").endswith("/") and tag == "svg":
+                continue
+            lower = _lowered(html) if lower is None else lower
+            k = -1 if tag in unclosed else lower.find(f"</{tag}", at)
+            stop = html.find(">", k) if k >= 0 else -1
+            if stop >= 0:
+                at = stop + 1
+            elif tag in TO_THE_END:
+                at = len(html)
+            else:
+                unclosed.add(tag)  # not looked for again
         else:
             b.open(tag, m[3] or m[6] or "")
     b.text(html[at:])

@@ -10,9 +10,9 @@ from the same passes.
 Labelled pages can be given; by default the pages of `labelled_pages` are used, which are made from a rule
 in several layouts, so that training needs no data of its own.
 
-Defined cases: null or empty html gives an empty text; malformed html is read as far as it goes and
-nothing is cut off; pages of any length and depth are handled whole; repeated rows give repeated
-rows; other columns don't matter.
+Defined cases: null or empty html gives an empty text; malformed html is read as dom.py says; a run that is exactly as
+likely content as not is content; pages of any length and depth are handled whole; an empty table gives
+an empty result; repeated rows give repeated rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -41,13 +41,20 @@ _TAGS = (
     "article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "dl", "dd", "dt", "table", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "nav",
     "header", "footer", "aside", "form", "fieldset", "body", "html", "head", "address", "dialog", "menu",
 )
+#: What runs of text say that are no part of an article, in lower case.
+_SAYS = (
+    "cookie", "privacy policy", "terms of", "all rights reserved", "subscribe", "newsletter", "sign up", "sign in", "log in", "advertisement", "sponsored",
+    "share this", "follow us", "related", "read more", "most read", "leave a comment", "leave a reply", "accept", "skip to",
+)
 _ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "main", "article", "alert", "dialog", "form")
 _NAMES = [
     "bias", "run", *[f"tag {t}" for t in _TAGS], "tag other", *[f"off {t}" for t in OFF], *[f"on {t}" for t in ON], *[f"role {r}" for r in _ROLES], "hidden",
     *[f"in {t}" for t in ("p", "h1", "h2", "h3", "li", "td", "div", "blockquote", "figcaption", "pre")], "linked all", "linked half", "linked some",
-    "short 20", "short 60", "short 150", "long", "sentence", "copyright", "controls",
+    "short 20", "short 60", "short 150", "long", "sentence", "copyright", "controls", "says",
+    *[f"holds {x}" for x in ("most", "much", "some", "little")], *[f"links {x}" for x in ("all", "half", "some", "none")], *[f"prose {x}" for x in (0, 1, 2, 5)], "holds controls",
 ]
 _AT = {n: i for i, n in enumerate(_NAMES)}
+_ENDS = ".!?…\"”»"
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 ITERATIONS = 250
@@ -56,10 +63,27 @@ RIDGE = 2e-3
 
 def _features(nodes: list[Node]) -> list[list[int]]:
     at, out = _AT, []
-    for n in nodes:
+    # of each block: characters of text below it, of these in links, runs that end like a sentence, controls
+    size, linked, prose, controls = ([0] * len(nodes) for _ in range(4))
+    for k in range(len(nodes) - 1, -1, -1):
+        n = nodes[k]
+        if not n.tag:
+            size[k], linked[k], controls[k] = len(n.text), n.linked, n.controls
+            prose[k] = int(len(n.text) >= 40 and n.text[-1] in _ENDS and 2 * n.linked < len(n.text))
+        if n.parent >= 0:
+            for held in (size, linked, prose, controls):
+                held[n.parent] += held[k]
+    total = max(1, size[0]) if nodes else 1
+    for k, n in enumerate(nodes):
         f = [0]
         if n.tag:
             f.append(at.get(f"tag {n.tag}", at["tag other"]))
+            share, links = size[k] / total, linked[k] / max(1, size[k])
+            f.append(at["holds most" if share > 0.5 else "holds much" if share > 0.2 else "holds some" if share > 0.04 else "holds little"])
+            f.append(at["links all" if links > 0.8 else "links half" if links > 0.3 else "links some" if links > 0.02 else "links none"])
+            f.append(at[f"prose {5 if prose[k] > 4 else 2 if prose[k] > 1 else prose[k]}"])
+            if controls[k]:
+                f.append(at["holds controls"])
             a = n.attributes
             if a:
                 names = set(_SPLIT.split(_CAMEL.sub(r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()))
@@ -70,8 +94,8 @@ def _features(nodes: list[Node]) -> list[list[int]]:
                 if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
                     f.append(at["hidden"])
         else:
-            size = max(1, len(n.text))
-            share = n.linked / size
+            length = max(1, len(n.text))
+            share = n.linked / length
             f.append(1)
             if (kind := f"in {nodes[n.parent].tag}") in at:
                 f.append(at[kind])
@@ -81,9 +105,13 @@ def _features(nodes: list[Node]) -> list[list[int]]:
                 f.append(at["linked half"])
             elif share > 0:
                 f.append(at["linked some"])
-            f.append(at["short 20" if size < 20 else "short 60" if size < 60 else "short 150" if size < 150 else "long"])
-            if n.text[-1] in ".!?…\"”»":
+            f.append(at["short 20" if length < 20 else "short 60" if length < 60 else "short 150" if length < 150 else "long"])
+            if n.text[-1] in _ENDS:
                 f.append(at["sentence"])
+            if length < 200:
+                said = n.text.lower()
+                if any(x in said for x in _SAYS):
+                    f.append(at["says"])
             if "©" in n.text[:40]:
                 f.append(at["copyright"])
             if n.controls:
@@ -178,8 +206,12 @@ def extract_all(pages: list[str], model: Model) -> list[list[str]]:
     return out
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[str]]]:
-    """Made pages with their content blocks: layouts, names and wordings drawn by a seeded rule."""
+def labelled_pages(n: int = 420, seed: int = 7) -> list[tuple[str, list[str]]]:
+    """Made pages with their content blocks: layouts, names and wordings drawn by a seeded rule.
+
+    Three kinds of pages: with the elements that HTML has for the parts of a page, with class and id names that
+    tell them, and bare ones, of unnamed boxes and table cells, whose parts show only by what they hold.
+    """
     rng = random.Random(seed)
     syllables = ["ka", "lo", "mer", "tin", "sa", "ver", "dul", "en", "or", "thi", "pla", "qui", "ré", "ün", "os"]
 
@@ -190,17 +222,34 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[str]]]:
     def sentence(low: int = 4, high: int = 60) -> str:
         return words(low, high) + rng.choice([".", ".", ".", "!", "?"])
 
+    def said(low: int, high: int) -> str:
+        """A line of what pages say around articles, often in the usual words."""
+        line = sentence(low, high)
+        if rng.random() < 0.5:
+            first, _, rest = line.partition(" ")
+            line = f"{first} {rng.choice(_SAYS)} {rest}" if rng.random() < 0.5 else f"{rng.choice(_SAYS).capitalize()} {line}"
+        return line
+
     def named(tag: str, names: list[str], inner: str) -> str:
         name = rng.choice(names)
         mark = rng.choice([f' class="{name}"', f' id="{name}"', f' class="{name} box{rng.randint(1, 9)}"', f' class="site-{name}"'])
         return f"<{tag}{mark}>{inner}</{tag}>"
 
+    def box(inner: str) -> str:
+        """An element whose name tells nothing."""
+        return f"<div{rng.choice(['', '', ' id=\"wrap\"', ' class=\"inner\"', ' class=\"col c1\"', ' id=\"x7\"', ' class=\"row\"'])}>{inner}</div>"
+
     def links(k: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(k)) + "</ul>"
 
+    def loose_links(k: int) -> str:
+        """Links in a row, without a list."""
+        return rng.choice([" ", " | ", " · ", ""]).join(f'<a href="/{i}">{words(1, 3)}</a>' for i in range(k))
+
     pages = []
-    for k in range(n):
+    for _ in range(n):
         blocks: list[str] = []
+        style = rng.choice(["semantic", "semantic", "named", "bare", "bare"])
 
         def keep(text: str, tag: str = "p") -> str:
             blocks.append(text)
@@ -210,48 +259,74 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[str]]]:
                 inner = rng.choice([f"<b>{head}</b> {rest}", f'<a href="/x">{head}</a> {rest}', f"<em>{head}</em> {rest}"])
             return f"<{tag}>{inner}</{tag}>" if tag != "p" or rng.random() < 0.8 else f"<p><b>{text}<br>"
 
-        article = keep(words(3, 12), "h1") if rng.random() < 0.9 else ""
+        def run_on() -> str:
+            """Paragraphs that only line breaks part, in a box of their own."""
+            parts = [sentence(6) for _ in range(rng.randint(1, 4))]
+            blocks.append(" ".join(parts))
+            return f"<div>{'<br><br>'.join(parts)}</div>"
+
+        article = keep(words(3, 12), rng.choice(["h1", "h1", "h2"])) if rng.random() < 0.9 else ""
         for _ in range(rng.randint(1, 9)):
             roll = rng.random()
-            if roll < 0.55:
+            if roll < 0.52:
                 article += keep(sentence(6))
+            elif roll < 0.57:
+                article += run_on()
             elif roll < 0.68:
                 article += keep(rng.choice([sentence(1, 3), words(1, 2), words(1, 1) + "."]))
             elif roll < 0.75:
                 article += keep(rng.choice([" | ".join(words(1, 1) for _ in range(rng.randint(2, 30))), words(6, 40), f"{words(1, 1)} " * rng.randint(2, 20) + rng.choice(["*", "$$$", "1234", "–"])]))
-            elif roll < 0.83:
+            elif roll < 0.82:
                 article += keep(words(2, 6), rng.choice(["h2", "h3"]))
-            elif roll < 0.9:
+            elif roll < 0.88:
                 article += "<ul>" + "".join(keep(sentence(3, 12), "li") for _ in range(rng.randint(2, 4))) + "</ul>"
-            elif roll < 0.94:
+            elif roll < 0.91:
                 article += "<blockquote>" + keep(sentence()) + "</blockquote>"
-            elif roll < 0.97:
+            elif roll < 0.93:
+                article += f"<figure><img src='/i.png'>{keep(words(2, 9), 'figcaption')}</figure>"
+            elif roll < 0.96:
                 article += "<table><tr>" + "".join(keep(words(1, 3), "td") for _ in range(3)) + "</tr></table>"
             else:
-                article += named("div", ["ad", "advert", "promo", "sponsored"], sentence(3, 15))
+                article += named("div", ["ad", "advert", "promo", "sponsored"], said(3, 15))
         if rng.random() < 0.15:
             article += named("div", ["share", "social", "tags", "related"], links(rng.randint(2, 4)))
-        body = rng.choice([
-            f"<article>{article}</article>", f"<article>{article}</article>", f"<main><article>{article}</article></main>", f"<main>{article}</main>",
-            named("div", ["content", "post", "entry", "article", "story", "main-content", "post-body"], article),
-            f"<main>{named('section', ['content', 'text', 'prose'], article)}</main>",
-        ])
-        nav = rng.choice([f"<nav>{links(rng.randint(3, 8))}</nav>", named("div", ["menu", "nav", "navigation-menu", "breadcrumbs"], links(rng.randint(3, 8)))])
-        header = rng.choice(["", f"<header><h1>{words(1, 3)}</h1><p>{words(2, 8)}</p></header>", named("div", ["header", "masthead"], f"<p>{words(1, 5)}</p>"), f"<header>{nav}</header>"])
-        ad = rng.choice(["", named("div", ["ad", "ads", "advert", "banner", "promo", "sponsor"], sentence(3, 25)), named("div", ["ad"], f"<p>{sentence(3, 25)}</p>")])
-        notice = rng.choice(["", "", named("div", ["cookie", "consent", "notice", "alert", "gdpr", "popup"], f"<p>{sentence(5, 25)}</p><button>{words(1, 2)}</button>"), f'<div role="alert">{sentence(4, 14)}</div>'])
-        side = rng.choice(["", f"<aside><h3>{words(1, 3)}</h3>{links(3)}<p>{sentence(5, 25)}</p></aside>", named("div", ["sidebar", "side", "widget", "related"], f"<h3>{words(1, 3)}</h3><p>{sentence(4, 30)}</p>")])
-        form = rng.choice(["", f'<form action="/s"><label>{words(1, 3)}</label><input name="q"><button>{words(1, 1)}</button><p>{sentence(3, 12)}</p></form>', named("div", ["newsletter", "subscribe", "search", "login"], f"<p>{sentence(4, 14)}</p><form><input></form>")])
-        said = "".join(rng.choice([f'<div class="comment"><p>{sentence(3, 40)}</p></div>', f'<article class="comment"><h4>{words(1, 2)}</h4><p>{sentence(3, 40)}</p></article>', f"<li><p>{sentence(3, 40)}</p></li>"]) for _ in range(rng.randint(1, 4)))
-        comments = rng.choice(["", "", named(rng.choice(["section", "div", "ol"]), ["comments", "replies", "discussion", "respond"], f"<h3>{words(1, 2)}</h3>{said}")])
-        footer = rng.choice([f"<footer>&copy; {words(1, 3)} &middot; {sentence(3, 18)}</footer>", f"<footer><p>{sentence(3, 18)}</p>{links(2)}</footer>", named("div", ["footer", "copyright", "legal"], f"<p>© {sentence(3, 12)}</p>")])
-        before = [header, nav, ad, notice, form, side]
-        after = [side, comments, form, footer]
+        if rng.random() < 0.15:
+            article += f"<div><button>{words(1, 2)}</button>{loose_links(2)}</div>"
+
+        menu = f"<nav>{rng.choice([links, loose_links])(rng.randint(3, 8))}</nav>", named("div", ["menu", "nav", "navigation-menu", "breadcrumbs"], links(rng.randint(3, 8)))
+        top = f"<header><h1>{words(1, 3)}</h1><p>{words(2, 8)}</p></header>", named("div", ["header", "masthead"], f"<p>{words(1, 5)}</p>"), f"<header>{menu[0]}</header>"
+        ads = named("div", ["ad", "ads", "advert", "banner", "promo", "sponsor"], said(3, 25)), named("div", ["ad"], f"<p>{said(3, 25)}</p>")
+        notices = named("div", ["cookie", "consent", "notice", "alert", "gdpr", "popup"], f"<p>{said(5, 25)}</p><button>{words(1, 2)}</button>"), f'<div role="alert">{said(4, 14)}</div>'
+        asides = f"<aside><h3>{words(1, 3)}</h3>{links(3)}<p>{said(5, 25)}</p></aside>", named("div", ["sidebar", "side", "widget", "related"], f"<h3>{words(1, 3)}</h3><p>{said(4, 30)}</p>")
+        forms = f'<form action="/s"><label>{words(1, 3)}</label><input name="q"><button>{words(1, 1)}</button><p>{said(3, 12)}</p></form>', named("div", ["newsletter", "subscribe", "search", "login"], f"<p>{said(4, 14)}</p><form><input></form>")
+        remarks = "".join(rng.choice([f'<div class="comment"><p>{sentence(3, 40)}</p></div>', f'<article class="comment"><h4>{words(1, 2)}</h4><p>{sentence(3, 40)}</p></article>', f"<li><p>{sentence(3, 40)}</p></li>"]) for _ in range(rng.randint(1, 4)))
+        comments = rng.choice(["", "", named(rng.choice(["section", "div", "ol"]), ["comments", "replies", "discussion", "respond"], f"<h3>{words(1, 2)}</h3>{remarks}")])
+        ends = f"<footer>&copy; {words(1, 3)} &middot; {said(3, 18)}</footer>", f"<footer><p>{said(3, 18)}</p>{links(2)}</footer>", named("div", ["footer", "copyright", "legal"], f"<p>© {said(3, 12)}</p>")
+        if style == "bare":
+            # parts without a telling name, of links, of the usual words or of controls
+            nav = rng.choice([box(links(rng.randint(3, 8))), box(loose_links(rng.randint(3, 8))), f"<p>{loose_links(rng.randint(3, 8))}</p>", links(rng.randint(3, 8))])
+            header = rng.choice(["", box(f'<a href="/">{words(1, 3)}</a>'), box(f'<a href="/"><b>{words(1, 2)}</b></a><br>{loose_links(3)}')])
+            ad = rng.choice(["", "", box(f'<a href="http://{words(1, 1)}">{said(3, 15)}</a>'), *ads])
+            notice = rng.choice(["", "", box(f"<p>{rng.choice(_SAYS[:4]).capitalize()} {words(3, 9)}.</p><button>{words(1, 1)}</button>"), *notices])
+            side = rng.choice(["", box(f"<h3>{words(1, 3)}</h3>{links(rng.randint(3, 7))}"), asides[0]])
+            form = rng.choice(["", box(f"<form><label>{words(1, 2)}</label><input></form>"), forms[0]])
+            footer = rng.choice([box(f"© 2024 {words(1, 4)}"), f"<p>&copy; {words(1, 3)}. All rights reserved.</p>", box(f"<p>© {words(1, 2)}</p><p>{loose_links(3)}</p>"), ends[0]])
+            body = article
+            for _ in range(rng.randint(0, 3)):
+                body = box(body)
+            if rng.random() < 0.2:
+                body = f"<table><tr><td>{nav}</td><td>{article}</td></tr></table>"
+                nav = ""
+        else:
+            names = ["content", "post", "entry", "article", "story", "main-content", "post-body"]
+            body = rng.choice([f"<article>{article}</article>", f"<article>{article}</article>", f"<main><article>{article}</article></main>", f"<main>{article}</main>", f"<main>{named('section', ['content', 'text', 'prose'], article)}</main>"] if style == "semantic" else [named("div", names, article), named("div", names, box(article)), box(named("div", names, article))])
+            nav, header, ad, notice, side, form, footer = rng.choice(menu), rng.choice(["", *top]), rng.choice(["", *ads]), rng.choice(["", "", *notices]), rng.choice(["", *asides]), rng.choice(["", *forms]), rng.choice(ends)
+        before, after = [header, nav, ad, notice, form, side], [side, comments, form, footer]
         rng.shuffle(before)
         before, after = [x for x in before if rng.random() < 0.7], [x for x in after if rng.random() < 0.8]
         middle = f"{''.join(before)}{body}{''.join(after)}"
         if rng.random() < 0.35:
-            middle = named("div", ["wrapper", "container", "page", "layout", "site"], middle)
+            middle = named("div", ["wrapper", "container", "page", "layout", "site"], middle) if style != "bare" else box(middle)
         pages.append((f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{middle}</body></html>", blocks))
     return pages
 
