@@ -11,7 +11,8 @@ Tokenizers are never trained here: the vocabulary file's path is a parameter.
 
 Defined cases: null text counts as empty and gives no ids and an empty decoded text; texts and words
 of any length are handled whole, in time linear in their length; strings of the special tokens in a
-text become their ids, as the file says; repeated rows give repeated rows; other columns don't matter.
+text become their ids, as the file says; an empty table gives an empty result; repeated rows give repeated
+rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,14 +28,33 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: How the tokenizers library's character tables differ from those of Python and regex, which have other
+#: Unicode versions. Characters that are neither letters nor numbers to it; marks that it takes for characters
+#: of their own; capitals that it lower-cases (and first and last of two alphabets, with the distance).
+_NO_LETTER = (
+    "\u0558\u058B\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C\uAB6D\U000107BB-\U000107BF\U00010940-\U00010959"
+    "\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DE0-\U00011DE9\U00011DF1\U0001246F\U00012475-\U0001247F\U00012550-\U00012686"
+    "\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF6\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2"
+    "\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96"
+    "\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE\U0001E6FF"
+    "\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
+_ALONE = (
+    "\u07FD\u0898-\u089F\u08CA-\u08D3\u09FE\u0C3C\u0D3B\u0D3C\u0EBA\u1715\u1ABF-\u1ACE\u1DF6-\u1DFA\uA82C\U00010D24-\U00010D27\U00010EAB\U00010EAC"
+    "\U00010EFD-\U00010EFF\U00010F46-\U00010F50\U00010F82-\U00010F85\U00011070\U0001133B\U0001145E\U00011839\U0001183A\U00011930\U0001193D\U0001193E\U00011943"
+    "\U000119E0\U00011A34\U00011A47\U00011A99\U00011D42\U00011D44\U00011D45\U00011D97\U00011F41\U00011F42\U00016FF0\U00016FF1\U0001E08F\U0001E130-\U0001E136"
+    "\U0001E2AE\U0001E2EC-\U0001E2EF\U0001E4EC-\U0001E4EF"
+)
+_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_CAPITAL_RANGES = ((0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
 _END = "</w>"
 #: Moves the last character of a word to code points that nothing else has.
 _SHIFT = 0x2000
 #: Words in each of the two generations of a worker's cache, and the longest word that is kept.
-CACHE_WORDS = 140_000
+CACHE_WORDS = 100_000
 CACHE_LENGTH = 64
 #: Tests of neighbouring tokens that a worker keeps.
-CACHE_PAIRS = 300_000
+CACHE_PAIRS = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -102,6 +122,11 @@ class WordBpe:
         self.texts = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(pattern).findall
+        self.find_newer = regex.compile(self._without(pattern), regex.V1).findall
+        self.capitals = _CAPITALS | {c: c + d for a, b, d in _CAPITAL_RANGES for c in range(a, b + 1)}
+        newer = _NO_LETTER + _ALONE + "".join(map(chr, self.capitals))
+        self.newer = regex.compile(f"[{newer}]").search
+        self.alone = regex.compile(f"([{_ALONE}])").split
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.alphabet = byte_alphabet()
         vocab = model["vocab"]
@@ -124,6 +149,11 @@ class WordBpe:
         self.cache, self.words = _Cache(self._chunk, CACHE_WORDS // 3), _Cache(self._word, CACHE_WORDS)
         self.separators = regex.compile(r"[\x1c-\x1f]").search
 
+    @staticmethod
+    def _without(pattern: str) -> str:
+        """The pattern with the library's letters and numbers."""
+        return pattern.replace(r"[^\s\p{L}\p{N}]", f"(?:[^\\s\\p{{L}}\\p{{N}}]|[{_NO_LETTER}])").replace(r"[\p{L}]", f"[\\p{{L}}--[{_NO_LETTER}]]").replace(r"[\p{N}]", f"[\\p{{N}}--[{_NO_LETTER}]]")
+
     def may_follow(self, left: int, right: int) -> bool:
         """True if the encoding of both texts together is just these two tokens."""
         x, y = left, right
@@ -173,12 +203,16 @@ class WordBpe:
 
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
         """Of characters without white space: no pre-token and no composition reaches beyond it."""
-        if not unicodedata.is_normalized("NFC", chunk):
+        find = self.find
+        if self.newer(chunk):
+            chunk = "".join([unicodedata.normalize("NFC", part) for part in self.alone(chunk)]).translate(self.capitals)
+            find = self.find_newer
+        elif not unicodedata.is_normalized("NFC", chunk):
             chunk = unicodedata.normalize("NFC", chunk)
         # lower-cased character by character: a final sigma has no form of its own
         chunk = chunk.replace("Σ", "σ").lower()
         words = self.words
-        got = [words[w] for w in self.find(chunk)]
+        got = [words[w] for w in find(chunk)]
         return got[0] if len(got) == 1 else (sum([w[0] for w in got]), " ".join([w[1] for w in got]), " ".join([w[2] for w in got]))
 
     def _word(self, word: str) -> tuple[int, str, str]:
