@@ -5,11 +5,16 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import bpe, extraction, fingerprints, knn, language, lm, mixing, simhash, toxicity, warc
-from docketry.llm.common import remainder, shared_folder, table, vocabulary
+from docketry.llm.common import drop_folder, remainder, shared_folder, table, vocabulary
+
+
+def held_out(modulus: int, fold: int) -> Column:
+    """The column held_out of the contracts. A row without an id is in no fold: not held out, nor learned from."""
+    return F.coalesce(remainder("doc_id", modulus) == fold, F.lit(False)).alias("held_out")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +29,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
-    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +61,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), path)
     found = warc.resolved(warc.captures(warc.read(spark, path, payloads=False).drop("payload")))
+    drop_folder(spark, path)  # what was read from it is checkpointed
     of = lambda name: F.coalesce(f"original.{name}", f"response.{name}").alias(name)
     return found.select(
         F.col("metadata.page_id").alias("page_id"), of("payload_bytes"), of("payload_digest"),
@@ -67,12 +73,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     content = language.learn(docs, remainder("doc_id", 3) != 1)
     found = language.identify(docs, content)
-    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+    return found.select("doc_id", held_out(3, 1), "lang_pred", "score", "margin", "accepted")
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
-    return scored.withColumn("held_out", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)))
+    return scored.select("doc_id", held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,12 +125,18 @@ WITH sized AS (
 ), rates AS (
   SELECT source, source_size, least(stop, coalesce((SELECT level FROM level) * weight, stop)) AS target FROM ranked
 ), drawn AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+  SELECT doc_id, sized.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
          CAST(('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
+), turned AS (
+  SELECT source, k, abs(sum(size * (floor(rate) + CASE WHEN CASE WHEN u + k / 32 >= 1 THEN u + k / 32 - 1 ELSE u + k / 32 END < rate - floor(rate) THEN 1 ELSE 0 END)) - max(target)) AS miss
+  FROM drawn, (SELECT CAST(range AS DOUBLE) AS k FROM range(32)) GROUP BY source, k
+), best AS (
+  SELECT source, arg_min(k, struct_pack(miss := miss, k := k)) AS k FROM turned GROUP BY source
 )
 SELECT doc_id, size, source_size, target,
-       CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM drawn
+       CAST((floor(rate) + CASE WHEN CASE WHEN u + k / 32 >= 1 THEN u + k / 32 - 1 ELSE u + k / 32 END < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken
+FROM drawn JOIN best ON drawn.source IS NOT DISTINCT FROM best.source
 """
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_knn": op3_knn, "op4_extraction": op4_extraction, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_language": op8_language, "op9_lm": op9_lm, "op10_fingerprints": op10_fingerprints}
