@@ -12,9 +12,11 @@ their concurrent-to identifiers, and revisits to the payload that they refer to,
 per capture.
 
 Defined cases: null html counts as empty; an empty payload is a payload like any other; equal
-payloads under `least` bytes stay in full; a page row that repeats (same id) is captured once for
-each row, record identifiers telling them apart by their count; a null id reads back as null; an
-empty table gives an archive without records and no captures; other columns don't matter.
+payloads under `least` bytes stay in full; a page row that repeats (same id, or none) is captured once for
+each row, its record identifiers told apart by a number; of equal payloads under one id the smallest number
+stays in full; a null id reads back as null and is never referred to; payloads of any length that a string
+can hold (under 2 GB) are written whole, large ones in archives of their own; an empty table gives no captures;
+other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import stable
+from docketry.llm.common import free_name, stable
 
-#: Records in an archive; 2,000 captures. It is parsed as a stream.
-RECORDS_PER_FILE = 6_000
+#: Captures of an archive, by the largest payload that they may hold: about 128 MB before compression. Archives are
+#: parsed as streams.
+PER_FILE = ((64 << 10, 2_000), (1 << 20, 120), (16 << 20, 8), (1 << 62, 1))
 #: Shared payloads are broadcast up to so many, of some 60 bytes each; else joined with so many salts.
 BROADCAST_PAYLOADS = 100_000
 SALTS = 16
@@ -55,20 +58,21 @@ def base32(sha1_hex: Column) -> Column:
 def decided(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """-> (id, url, html, bytes, digest, turn, first): first is the id of the page to refer to, else null; digest is SHA-1 in hex.
 
-    turn counts the rows of an id. Groups of equal payloads are cut down by a partial aggregate; only
+    turn numbers the rows if ids repeat, in a checkpointed copy of the table, so that no task orders the rows of an
+    id; else it is 0. Groups of equal payloads are cut down by a partial aggregate; only
     payloads that occur more than once come back, broadcast if they were counted to be few, else by
     a join on digest and salt, so that a payload of a third of all pages is spread over tasks.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
+    idents = pages.select(F.col(id_col).cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    turn = F.lit(0).cast("long")
+    if not idents.filter("n > 1").isEmpty():
+        mark = free_name(pages.columns, "_turn")
+        pages, turn = stable(pages.withColumn(mark, F.monotonically_increasing_id())), F.col(mark)
     rows = pages.select(
-        F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"),
+        F.col(id_col).cast("long").alias("id"), turn.alias("turn"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"),
         F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("digest"),
     )
-    ids = rows.groupBy("id").agg(F.count("*").alias("n"))
-    if ids.filter("n > 1").isEmpty():
-        rows = rows.withColumn("turn", F.lit(1))
-    else:
-        rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("digest", "url")))
     groups = rows.filter((F.col("bytes") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.min(F.struct("id", "turn")).alias("f"), F.count("*").alias("n"))
     shared = stable(groups.filter("n > 1").select(F.col("digest").alias("d"), F.col("f.id").alias("first"), F.col("f.turn").alias("first_turn")))
     if shared.limit(BROADCAST_PAYLOADS + 1).count() <= BROADCAST_PAYLOADS:
@@ -96,7 +100,11 @@ def _record(kind: Column | str, ident: Column, fields: list[tuple[str, Column]],
 
 
 def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes gzipped archives of bounded numbers of records to the folder path."""
+    """Writes gzipped archives of bounded size to the folder path. Pages are told apart by size only where large ones occur."""
+    payload = F.octet_length(F.col(html_col).cast("string"))
+    limits = [(low, high, n) for (low, _), (high, n) in zip([(-1, 0), *PER_FILE], PER_FILE)]
+    within = lambda c, low, high: (F.coalesce(c, F.lit(0)) > low) & (F.coalesce(c, F.lit(0)) <= high)
+    have = pages.agg(*[F.count_if(within(payload, low, high)).alias(f"s{i}") for i, (low, high, _) in enumerate(limits)]).first()
     rows = decided(pages, least, id_col, url_col, html_col)
     ident, turn = F.col("id"), F.col("turn")
     url = F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20\\x7F]", "%20")
@@ -113,8 +121,11 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
         ),
         _record("metadata", record_id(ident, turn, "metadata"), [target, ("WARC-Concurrent-To", response)], "application/warc-fields", F.concat(F.lit("pageId: "), F.coalesce(ident.cast("string"), F.lit("")), F.lit(_CRLF))),
     )
-    out = rows.select(F.explode(records).alias("value"))
-    out.write.option("lineSep", _CRLF + _CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    wanted = [x for i, x in enumerate(limits) if have[f"s{i}"]] or limits[:1]
+    rows = stable(rows) if len(wanted) > 1 else rows
+    for low, high, n in wanted:
+        part = rows.filter(within(F.col("bytes"), low, high)) if len(wanted) > 1 else rows
+        part.select(F.explode(records).alias("value")).write.mode("append").option("lineSep", _CRLF + _CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * n).text(path)
 
 
 def _records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
