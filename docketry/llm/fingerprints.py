@@ -86,14 +86,23 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def as_text(s: Column) -> Column:
-    """Hashes in 16 hex digits each, joined by dots."""
-    return F.array_join(F.transform(s["hashes"], lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ".")
+    """upto, a colon, and the hashes joined by dots, in 16 hex digits each: all that merging and comparing need."""
+    hexed = lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))
+    return F.concat(hexed(s["upto"]), F.lit(":"), F.array_join(F.transform(s["hashes"], hexed), "."))
+
+
+def from_text(text: Column) -> Column:
+    """The sketch that as_text() wrote."""
+    number = lambda h: ((F.conv(F.substring(h, 1, 8), 16, 10).cast("long") - F.when(F.substring(h, 1, 1) >= "8", F.lit(1 << 32)).otherwise(0)) * (1 << 32)) + F.conv(F.substring(h, 9, 8), 16, 10).cast("long")
+    parts = F.filter(F.split(F.substring_index(text, ":", -1), "\\."), lambda p: p != "")
+    return F.struct(F.transform(parts, number).alias("hashes"), number(F.substring_index(text, ":", 1)).alias("upto"))
 
 
 def with_next(docs: DataFrame, fields: list[str], id_col: str = "doc_id") -> DataFrame:
     """Adds `next`: a struct of the fields of the row with the next smaller id; after the last, of the first.
 
-    No task orders more than a run of about RUN neighbours (longer only beyond MOST_RUNS runs). A run
+    A task orders a run of about RUN neighbours; beyond MOST_RUNS runs they grow longer, as does the run of an id
+    that repeats, but a run is sorted on disk where it doesn't fit and read once, never held. A run
     ends at an id that occurs (a percentile), so the row that opens it, seen downwards, is known by its
     id; it alone is sent to the run above as well. The driver gets these ids, nothing else. Rows
     without an id have no next row and are none.
