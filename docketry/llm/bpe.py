@@ -21,6 +21,7 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -51,10 +52,10 @@ _END = "</w>"
 #: Moves the last character of a word to code points that nothing else has.
 _SHIFT = 0x2000
 #: Words in each of the two generations of a worker's cache, and the longest word that is kept.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 80_000
 CACHE_LENGTH = 64
 #: Tests of neighbouring tokens that a worker keeps.
-CACHE_PAIRS = 200_000
+CACHE_PAIRS = 150_000
 
 
 def byte_alphabet() -> list[str]:
@@ -66,13 +67,13 @@ def byte_alphabet() -> list[str]:
 
 
 class _Cache(dict):
-    """Two generations: what is still used moves on to the new one when it is full."""
+    """Ids by text. Two generations: what is still used moves on to the new one when it is full."""
 
-    def __init__(self, make: Callable[[str], tuple[int, str, str]], most: int):
+    def __init__(self, make: Callable[[str], tuple[int, ...]], most: int):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, word: str) -> tuple[int, str, str]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         got = self.old.get(word)
         if got is None:
             got = self.make(word)
@@ -85,28 +86,24 @@ class _Cache(dict):
 
 
 class Encoded:
-    """An encoded text: per word its number of ids, the ids in decimal and the decoded form."""
+    """An encoded text: its ids, and from them their decimal form and the decoded text."""
 
-    __slots__ = ("words",)
+    __slots__ = ("ids", "_codec")
 
-    def __init__(self, words: list[tuple[int, str, str]]):
-        self.words = words
+    def __init__(self, ids: list[int], codec: WordBpe):
+        self.ids, self._codec = ids, codec
 
     @property
     def n_tokens(self) -> int:
-        return sum([w[0] for w in self.words])
+        return len(self.ids)
 
     @property
     def ids_text(self) -> str:
-        return " ".join([w[1] for w in self.words])
-
-    @property
-    def ids(self) -> list[int]:
-        return [int(x) for x in self.ids_text.split()]
+        return " ".join(map(self._codec.decimals.__getitem__, self.ids))
 
     @property
     def decoded(self) -> str:
-        return " ".join([w[2] for w in self.words])
+        return " ".join(map(self._codec.texts.__getitem__, self.ids))
 
 
 class WordBpe:
@@ -128,7 +125,9 @@ class WordBpe:
         self.newer = regex.compile(f"[{newer}]").search
         self.alone = regex.compile(f"([{_ALONE}])").split
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.alphabet = byte_alphabet()
+        self.decimals = {i: str(i) for i in self.texts}
+        # the byte alphabet as a translation of Latin-1; printable ASCII stands for itself
+        self.alphabet = dict(enumerate(byte_alphabet()))
         vocab = model["vocab"]
         automaton = ahocorasick.Automaton()
         for text, i in vocab.items():
@@ -146,7 +145,7 @@ class WordBpe:
             whole, pair = vocab[a + b], (vocab[a], vocab[b])
             self.joins[pair], self.rank[whole], self.parts[whole] = n, n, pair
         self.beside: dict[int, bool] = {}
-        self.cache, self.words = _Cache(self._chunk, CACHE_WORDS // 3), _Cache(self._word, CACHE_WORDS)
+        self.cache, self.words = _Cache(self._chunk, CACHE_WORDS // 2), _Cache(self.encode_word, CACHE_WORDS)
         self.separators = regex.compile(r"[\x1c-\x1f]").search
 
     @staticmethod
@@ -170,71 +169,74 @@ class WordBpe:
             else:
                 end_y, y = ry, self.parts[y][0]
 
-    def encode_word(self, word: str) -> list[int]:
+    def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token, given in plain characters."""
-        symbols = "".join([self.alphabet[b] for b in word.encode("utf-8")])
+        symbols = word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        size = len(symbols)
         symbols = symbols[:-1] + chr(ord(symbols[-1]) + _SHIFT)
-        last, size = [-1] * (len(symbols) + 1), [0] * (len(symbols) + 1)
-        beside, test, done = self.beside, self.may_follow, 0
+        # for each prefix its last token and that token's length
+        last, length = [-1] * (size + 1), [0] * (size + 1)
+        beside, done = self.beside, 0
         for at, (n, token) in self.matches(symbols):
-            end = at + 1
-            if end == done:
+            if at < done:
                 continue
-            start = end - n
-            if start:
+            if start := at + 1 - n:
                 pair = last[start] << 32 | token
                 ok = beside.get(pair)
                 if ok is None:
                     if len(beside) > CACHE_PAIRS:
                         beside.clear()
-                    ok = beside[pair] = test(last[start], token)
+                    ok = beside[pair] = self.may_follow(last[start], token)
                 if not ok:
                     continue
-            last[end], size[end], done = token, n, end
-        ids, at = [], len(symbols)
+            done = at + 1
+            last[done], length[done] = token, n
+        if length[size] == size:
+            return (last[size],)
+        ids, at = [], size
         while at:
             ids.append(last[at])
-            at -= size[at]
-        return ids[::-1]
+            at -= length[at]
+        ids.reverse()
+        return tuple(ids)
 
     def decode(self, ids: list[int]) -> str:
         """Token texts joined by one space, as the file names no decoder; unknown ids are left out."""
         return " ".join([self.texts[i] for i in ids if i in self.texts])
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
         """Of characters without white space: no pre-token and no composition reaches beyond it."""
-        find = self.find
-        if self.newer(chunk):
-            chunk = "".join([unicodedata.normalize("NFC", part) for part in self.alone(chunk)]).translate(self.capitals)
-            find = self.find_newer
-        elif not unicodedata.is_normalized("NFC", chunk):
-            chunk = unicodedata.normalize("NFC", chunk)
-        # lower-cased character by character: a final sigma has no form of its own
-        chunk = chunk.replace("Σ", "σ").lower()
-        words = self.words
-        got = [words[w] for w in find(chunk)]
-        return got[0] if len(got) == 1 else (sum([w[0] for w in got]), " ".join([w[1] for w in got]), " ".join([w[2] for w in got]))
-
-    def _word(self, word: str) -> tuple[int, str, str]:
-        ids = self.encode_word(word)
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
-
-    def _words(self, text: str) -> list[tuple[int, str, str]]:
-        cache = self.cache
-        if self.separators(text):  # str.split() takes these for white space, the pattern doesn't
-            return [w for w in map(cache.__getitem__, regex.split(r"\s+", text)) if w[0]]
-        return [w for w in map(cache.__getitem__, text.split()) if w[0]]
+        find, words = self.find, self.words
+        if chunk.isascii():
+            chunk = chunk.lower()
+            if chunk.isalpha():
+                return words[chunk]
+        else:
+            if self.newer(chunk):
+                chunk = "".join([unicodedata.normalize("NFC", part) for part in self.alone(chunk)]).translate(self.capitals)
+                find = self.find_newer
+            elif not unicodedata.is_normalized("NFC", chunk):
+                chunk = unicodedata.normalize("NFC", chunk)
+            # lower-cased character by character: a final sigma has no form of its own
+            chunk = chunk.replace("Σ", "σ").lower()
+        got = find(chunk)
+        return words[got[0]] if len(got) == 1 else tuple(chain.from_iterable([words[w] for w in got]))
+
+    def _ids(self, text: str) -> list[int]:
+        # str.split() takes some characters for white space that the pattern doesn't
+        chunks = regex.split(r"\s+", text) if self.separators(text) else text.split()
+        return list(chain.from_iterable(map(self.cache.__getitem__, chunks)))
 
     def encode(self, text: str) -> Encoded:
         if self.split_special is None or "<" not in text:
-            return Encoded(self._words(text))
-        words: list[tuple[int, str, str]] = []
+            return Encoded(self._ids(text), self)
+        ids: list[int] = []
         for part in self.split_special(text):
             if part in self.special:
-                words.append((1, str(self.special[part]), part))
+                ids.append(self.special[part])
             elif part:
-                words += self._words(part)
-        return Encoded(words)
+                ids += self._ids(part)
+        return Encoded(ids, self)
 
 
 @lru_cache(maxsize=2)
