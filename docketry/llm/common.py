@@ -43,19 +43,22 @@ def cores(spark: SparkSession) -> int:
     return max(8, spark.sparkContext.defaultParallelism)
 
 
-def hot_keys(rows: DataFrame, key: str, total: int | None = None, least: int = 2_000, share: int = 500) -> list:
-    """The values of key that hold over 1/share of the rows, and over `least` of them: fewer than `share` values."""
-    total = rows.count() if total is None else total
-    if total <= least:
-        return []
-    cut = max(least, total // share)
-    return [r[key] for r in rows.groupBy(key).count().filter(F.col("count") > cut).select(key).collect()]
+#: A key that holds more rows than this may be dealt over tasks.
+HOT_ROWS = 2_000
+#: Keys that are dealt out, at most: the most frequent. Any other holds less than one part in so many of all rows.
+HOT_KEYS = 500
+
 
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> list:
+    """counts(key, n), a row for each key -> the HOT_KEYS most frequent keys of those over HOT_ROWS."""
+    often = counts.filter(F.col(n) > HOT_ROWS).orderBy(F.desc(n)).limit(HOT_KEYS)
+    return [r[key] for r in often.select(key).collect()]
 
-def spread_join(rows: DataFrame, per_key: DataFrame, key: str, other: str, total: int | None = None, salts: int = 64) -> DataFrame:
-    """Inner join of rows with per_key, which has one row for each key. Keys that hold a large part of
-    the rows are dealt over `salts` tasks by a hash of the column `other`. total: rows, if known."""
-    hot = hot_keys(rows, key, total)
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, other: str, hot: list | None = None, salts: int = 64) -> DataFrame:
+    """Inner join of rows with per_key, which has one row for each key and, unless hot names the keys, the number n of
+    their rows. Keys that hold many rows are dealt over `salts` tasks by a hash of the column `other`."""
+    hot = hot_keys(per_key, key) if hot is None else hot
     if not hot:
         return rows.join(per_key, key)
     is_hot = F.col(key).isin(hot)
@@ -64,19 +67,36 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, other: str, total
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def sample_of(rows: DataFrame, hashed: str, n: int, *by: str) -> DataFrame:
-    """Up to n rows (of each group by the columns `by`) with distinct hashes, for a bounded sample.
+def sample_of(rows: DataFrame, hashed: str, n: int, *by: str) -> list[dict]:
+    """About n rows (of each group by the columns `by`) with distinct hashes, for a bounded sample on the driver.
 
-    Hashes are dealt into 16 n random buckets, whose smallest are taken by a partial aggregate; of these
-    the n smallest stay. So no task meets more than 16 n hashes of a group, repeated rows count once, and
-    the whole rows are read only where their hash was drawn.
+    Hashes are dealt into 16 n random buckets, whose smallest are taken by a partial aggregate; the n-th
+    smallest of these is the cut. So no task meets more than 16 n hashes of a group, and whole rows are read only
+    up to the cut. Of rows that share a hash the smallest counts, so repeated rows count once. Ordered by group and hash.
     """
     bucket = F.pmod(F.xxhash64(hashed, F.lit(5)), F.lit(16 * n)).alias("_b")
-    minima = rows.groupBy(*by, bucket).agg(F.min(hashed).alias(hashed))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(hashed))
-    few = minima.withColumn("_n", place).filter(F.col("_n") <= n).select(*by, hashed)
+    minima = rows.groupBy(*by, bucket).agg(F.min(hashed).alias("_m"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_m"))
+    cuts = minima.withColumn("_n", place).filter(F.col("_n") <= n).groupBy(*by).agg(F.max("_m").alias("_m")).collect()
+    if not cuts or cuts[0]["_m"] is None:
+        return []
+    within = F.lit(False)
+    for r in cuts:
+        fits = F.col(hashed) <= F.lit(r["_m"])
+        for c in by:
+            fits = fits & (F.col(c) == F.lit(r[c]))
+        within = within | fits
     rest = [c for c in rows.columns if c not in (*by, hashed)]
-    return rows.join(F.broadcast(few), [*by, hashed]).groupBy(*by, hashed).agg(*[F.first(c).alias(c) for c in rest])
+    one = rows.filter(within).groupBy(*by, hashed).agg(F.min(F.struct(*rest)).alias("_r")).select(*by, hashed, "_r.*")
+    got = sorted((r.asDict() for r in one.toLocalIterator()), key=lambda r: (*(r[c] for c in by), r[hashed]))
+    counts: dict[tuple, int] = {}
+    out = []
+    for r in got:
+        group = tuple(r[c] for c in by)
+        counts[group] = counts.get(group, 0) + 1
+        if counts[group] <= n:
+            out.append(r)
+    return out
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import spread_join, stable
+from docketry.llm.common import HOT_ROWS, hot_keys, spread_join, stable
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,16 +20,20 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _large_star(edges: DataFrame, hot: list) -> DataFrame:
+    both = _both(edges)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return spread_join(both.filter("v > u"), least, "u", "v", total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return spread_join(both.filter("v > u"), least, "u", "v", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot: list) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = spread_join(down, least, "u", "v", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = spread_join(down, least, "u", "v", hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -43,8 +47,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = _state(edges)
     if before[0]:
         for _ in range(max_rounds):
-            edges = stable(_large_star(edges, before[0]))
-            edges = stable(_small_star(edges, before[0]))
+            # a vertex can only be a hub of the half rounds if it has many neighbours before them
+            hot = hot_keys(_both(edges).groupBy("u").agg(F.count("*").alias("n")), "u") if before[0] > HOT_ROWS else []
+            edges = stable(_small_star(_large_star(edges, hot), hot))
             after = _state(edges)
             if after == before:
                 break

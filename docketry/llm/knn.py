@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from docketry.llm.common import spread_join, stable
+from docketry.llm.common import hot_keys, spread_join, stable
 
 K = 10
 SCALE = 1024
@@ -191,12 +191,14 @@ def _asking(rows: DataFrame, is_query: Column) -> DataFrame:
 def _other_lengths(rows: DataFrame, is_query: Column, k: int, block: int) -> DataFrame:
     rows = stable(rows.withColumn("d", F.size("v")))
     asked = stable(_asking(rows, is_query).select("id", "v", "twin", "d"))
-    slices = lambda df, name: df.groupBy("d").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
-    cut = slices(rows, "a").join(slices(asked, "b"), "d")
+    slices = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    cut = rows.groupBy("d").agg(F.count("*").alias("n")).join(asked.groupBy("d").agg(F.count("*").alias("nb")), "d")
+    cut = stable(cut.select("d", "n", slices("n").alias("a"), slices("nb").alias("b")))
+    hot = hot_keys(cut, "d")
     place = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    own = spread_join(rows, cut, "d", "id").select("d", place("a").alias("s"), every("b").alias("t"), "id", "v")
-    asking = spread_join(asked, cut, "d", "id").select("d", every("a").alias("s"), place("b").alias("t"), "id", "v", "twin")
+    own = spread_join(rows, cut, "d", "id", hot).select("d", place("a").alias("s"), every("b").alias("t"), "id", "v")
+    asking = spread_join(asked, cut, "d", "id", hot).select("d", every("a").alias("s"), place("b").alias("t"), "id", "v", "twin")
     return _solved(own, asking, ["d", "s", "t"], k, max(8, min(20_000, rows.count() // block)))
 
 

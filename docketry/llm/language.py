@@ -9,9 +9,9 @@ between them count, lower-cased, so that digits, markup and layout don't decide.
 score is the best language's share in a soft minimum over the bits that each spends on a byte;
 documents whose margin is under `margin` are rejected.
 
-Learning reads a bounded sample: for each language SAMPLE_DOCS documents drawn by a hash of id and text, of
+Learning reads a bounded sample: for each language SAMPLE_DOCS documents drawn by a hash of the id, of
 which the first DICTIONARY_BYTES bytes of words are used; it is the fit of a classifier, and prediction covers every
-whole text. Texts of up to SAMPLE_CHARS characters are preferred; a language that has none is learned from
+whole text. Texts of up to SAMPLE_CHARS characters are preferred; a language whose sample has none is learned from
 the starts of longer ones.
 
 Defined cases: null text or text without a letter: 'und', score 0, rejected. Without any labelled
@@ -58,20 +58,22 @@ def plain(text: str) -> bytes:
 def learn(docs: DataFrame, chosen: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
     """Raw dictionary content by language, from the rows where chosen holds. The driver gets the sample and
     the number of rows of each language."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.filter(F.coalesce(chosen, F.lit(False)) & F.col(lang_col).isNotNull())
-    long_ = F.length(text) > SAMPLE_CHARS
+    picked = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(8)).alias("h"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, SAMPLE_CHARS + 1).alias("text"))
+    drawn: dict[str, list[str]] = {}
+    for r in sample_of(picked, "h", SAMPLE_DOCS, "lang"):
+        drawn.setdefault(r["lang"], []).append(r["text"])
+    out: dict[str, bytes] = {}
+    for lang, texts in drawn.items():
+        held = bytearray()
+        for text in [t for t in texts if len(t) <= SAMPLE_CHARS] or texts:
+            held += plain(text)
+            if len(held) >= DICTIONARY_BYTES:
+                break
+        out[lang] = bytes(held[:DICTIONARY_BYTES])
     # ties are decided by this order
-    often = {r["lang"]: (r["n"], r["short"]) for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"), F.count_if(~long_).alias("short")).collect()}
-    wordy = [lang for lang, (_, short) in often.items() if not short]
-    wanted = ~long_ | F.col(lang_col).isin(wordy) if wordy else ~long_
-    picked = rows.filter(wanted).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), text, F.lit(8)).alias("h"), F.substring(text, 1, DICTIONARY_BYTES).alias("text"))
-    out: dict[str, bytearray] = {}
-    for lang, _, body in sorted(tuple(r) for r in sample_of(picked, "h", SAMPLE_DOCS, "lang").select("lang", "h", "text").toLocalIterator()):
-        held = out.setdefault(lang, bytearray())
-        if len(held) < DICTIONARY_BYTES:
-            held += plain(body)
-    return {k: bytes(v[:DICTIONARY_BYTES]) for k, v in sorted(out.items(), key=lambda x: (-often[x[0]][0], x[0])) if v}
+    often = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    return {k: v for k, v in sorted(out.items(), key=lambda x: (-often[x[0]], x[0])) if v}
 
 
 class Compressors:

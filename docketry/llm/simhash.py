@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import cores, spread_join, stable
+from docketry.llm.common import cores, hot_keys, spread_join, stable
 from docketry.llm.components import components
 
 SEED = 42
@@ -37,7 +37,7 @@ _CHUNK = 1 << 15
 #: Differing bits up to which fingerprints make candidates of near copies.
 NEAR_RADIUS = 8
 #: Bands of minima that make candidates of near copies beyond it.
-BANDS = 40
+BANDS = 24
 #: Texts in a slice of those that candidates join, about, whose shingle sets are compared at once.
 BLOCK = 256
 
@@ -169,12 +169,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     component_id is the smallest id reachable over links, the document's own included.
     """
     fps = stable(with_fingerprints(docs, shingle, id_col, text_col))
-    reps = stable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = stable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     labels = components(near_links(reps.select("fp"), radius, tile)).select(F.col("u").alias("fp"), "label")
     labelled = reps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = spread_join(labelled, least, "label", "fp").select("fp", "component_id")
-    return spread_join(fps, of, "fp", "doc_id").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = stable(labelled.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")))
+    of = spread_join(labelled.drop("n"), least, "label", "fp").select("fp", "component_id")
+    return spread_join(fps, of, "fp", "doc_id", hot_keys(reps, "fp")).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -259,16 +259,18 @@ def _met(asks: DataFrame, members: DataFrame, sets, similarity: float, block: in
     """
     spark = asks.sparkSession
     asks, members = stable(asks), stable(members)
-    count = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
-    cut = count(asks, "a").join(count(members, "m"), "key")
-    bins = max(1, -(-members.count() // block))
+    slices = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    cut = asks.groupBy("key").agg(F.count("*").alias("na")).join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+    cut = stable(cut.select("key", "n", slices("na").alias("a"), slices("n").alias("m")))
+    total, hot = members.count(), hot_keys(cut, "key")
+    bins = max(1, -(-total // block))
     slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     g = F.when((F.col("a") == 1) & (F.col("m") == 1), F.struct(F.lit(0).alias("t"), F.pmod(F.xxhash64("key"), F.lit(bins)).alias("k"))).otherwise(F.struct(F.lit(1).alias("t"), F.col("key").alias("k")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = spread_join(asks, cut, "key", "id").select(g.alias("g"), slot("a").alias("i"), every("m").alias("j"), "key", F.lit(0).alias("side"), "id", "label")
-    right = spread_join(members, cut, "key", "id").select(g.alias("g"), every("a").alias("i"), slot("m").alias("j"), "key", F.lit(1).alias("side"), "id", "label")
+    left = spread_join(asks, cut, "key", "id", hot).select(g.alias("g"), slot("a").alias("i"), every("m").alias("j"), "key", F.lit(0).alias("side"), "id", "label")
+    right = spread_join(members, cut, "key", "id", hot).select(g.alias("g"), every("a").alias("i"), slot("m").alias("j"), "key", F.lit(1).alias("side"), "id", "label")
     placed = left.unionByName(right)
-    return _solved(placed.join(sets(placed.select("id")), "id"), similarity, int(min(20_000, max(4 * cores(spark), bins))))
+    return _solved(placed.join(sets(placed.select("id")), "id"), similarity, int(min(20_000, max(4 * cores(asks.sparkSession), bins))))
 
 
 def held_links(candidates: DataFrame, keyed: DataFrame, picked: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -283,9 +285,9 @@ def held_links(candidates: DataFrame, keyed: DataFrame, picked: DataFrame, shing
     sets = lambda ids: _sets(picked.join(ids.select("id").distinct(), "id", "left_semi"), shingle)
     clusters = stable(components(candidates).withColumnRenamed("u", "id"))
     parts = int(min(20_000, max(4 * cores(candidates.sparkSession), -(-clusters.count() // block))))
-    size = clusters.groupBy("label").agg(F.count("*").alias("n"))
+    size = stable(clusters.groupBy("label").agg(F.count("*").alias("n")))
     # a small cluster shares its block with others
-    small = clusters.join(size.filter(F.col("n") <= block), "label").select(F.pmod(F.xxhash64("label"), F.lit(parts)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("label").alias("key"), F.lit(0).alias("side"), "id", F.col("id").alias("label"))
+    small = clusters.join(size.filter(F.col("n") <= block).drop("n"), "label").select(F.pmod(F.xxhash64("label"), F.lit(parts)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("label").alias("key"), F.lit(0).alias("side"), "id", F.col("id").alias("label"))
     found = _solved(small.join(sets(small), "id"), similarity, parts)
     large = stable(spread_join(clusters, size.filter(F.col("n") > block), "label", "id").select("id"))
     if large.isEmpty():
@@ -299,15 +301,15 @@ def held_links(candidates: DataFrame, keyed: DataFrame, picked: DataFrame, shing
     by_label = open_.groupBy("key", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
     groups = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.max_by("label", F.struct("n", -F.col("label"))).alias("most"))
     # keys with the same members are one
-    groups = groups.filter("labels > 1 and n > 2").groupBy("x", "n").agg(F.min(F.struct("key", "most")).alias("k")).select("k.*")
-    members = stable(spread_join(open_, groups, "key", "id"))
+    groups = groups.filter("labels > 1 and n > 2").groupBy("x", "n").agg(F.min(F.struct("key", "most")).alias("k")).select("k.*", "n")
+    members = stable(spread_join(open_, stable(groups), "key", "id").drop("n"))
     second = _met(members.filter("label <> most").drop("most"), members.drop("most"), sets, similarity, block)
     return found.unionByName(firm).unionByName(second)
 
 
 def signature_rows(similarity: float) -> int:
-    """Minima in a band: as many as leave a pair at the similarity a chance of some 0.32 or more to share one."""
-    return max(1, int(math.log(0.32) / math.log(similarity))) if 0 < similarity < 1 else 1
+    """Minima in a band: as many as leave a pair at the similarity a chance of some 0.4 or more to share one."""
+    return max(1, int(math.log(0.4) / math.log(similarity))) if 0 < similarity < 1 else 1
 
 
 def band_keys(hashes: np.ndarray, rows: int) -> np.ndarray:
@@ -324,7 +326,7 @@ def band_keys(hashes: np.ndarray, rows: int) -> np.ndarray:
 
 def fingerprint_links(texts: DataFrame, radius: int) -> DataFrame:
     """(first, fp) -> (u, v): texts of equal fingerprints with the smallest id among them, and spanning links of these at radius or fewer differing bits."""
-    hubs = stable(texts.groupBy("fp").agg(F.min("first").alias("hub")))
+    hubs = stable(texts.groupBy("fp").agg(F.min("first").alias("hub"), F.count("*").alias("n")))
     links = near_links(hubs.select("fp"), radius)
     ends = links.join(hubs.select(F.col("fp").alias("u"), F.col("hub").alias("a")), "u").join(hubs.select(F.col("fp").alias("v"), F.col("hub").alias("b")), "v")
     equal = spread_join(texts.select("fp", "first"), hubs, "fp", "first").filter("first <> hub").select(F.col("hub").alias("u"), F.col("first").alias("v"))
@@ -334,8 +336,8 @@ def fingerprint_links(texts: DataFrame, radius: int) -> DataFrame:
 def band_keys_of(texts: DataFrame) -> DataFrame:
     """(first, keys) -> (key, id, hub): the texts of each key that several share, with the smallest id among them."""
     keyed = texts.select(F.explode("keys").alias("key"), F.col("first").alias("id"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return spread_join(keyed, shared, "key", "id")
+    shared = stable(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
+    return spread_join(keyed, shared, "key", "id").drop("n")
 
 
 def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,7 +356,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     The tiled comparison of SimHash fingerprints finds candidates at `radius` or fewer differing bits. Pairs at
     the edge of the similarity may differ in more; for them, texts that agree in a whole band of minima of their
-    shingle hashes are candidates too: at 0.8 a pair agrees in none of BANDS bands with a chance of 2 in 10
+    shingle hashes are candidates too: at 0.8 a pair agrees in none of BANDS bands with a chance of 3 in a
     million, above that with less. A link holds if the shingle sets have a Jaccard similarity of `similarity` or
     more, computed exactly (see held_links). Only texts that stand in a candidate are read again.
 
@@ -380,13 +382,13 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     picked = alone.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("id is not null")
     rows = stable(picked.mapInArrow(run, "id long, fp long, keys array<long>, digest binary"))
     # equal texts fold into one
-    texts = stable(rows.groupBy("digest").agg(F.min_by(F.struct("id", "fp", "keys"), "id").alias("t")).select("digest", F.col("t.id").alias("first"), "t.fp", "t.keys"))
+    texts = stable(rows.groupBy("digest").agg(F.min_by(F.struct("id", "fp", "keys"), "id").alias("t"), F.count("*").alias("n")).select("digest", F.col("t.id").alias("first"), "t.fp", "t.keys", "n"))
     keyed = stable(band_keys_of(texts))
     by_band = keyed.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v"))
     candidates = stable(fingerprint_links(texts, radius).unionByName(by_band).distinct())
     labels = components(held_links(candidates, keyed.select("key", "id"), picked, shingle, similarity, block)).select(F.col("u").alias("first"), "label")
     grouped = texts.join(labels, "first", "left").select("digest", F.coalesce("label", "first").alias("group"))
-    return spread_join(rows.select("id", "digest"), grouped, "digest", "id").select("id", "group")
+    return spread_join(rows.select("id", "digest"), grouped, "digest", "id", hot_keys(texts, "digest")).select("id", "group")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

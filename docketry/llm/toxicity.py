@@ -126,7 +126,7 @@ def fit(texts: list[str], labels: list[int], fairness: float = FAIRNESS) -> Mode
             for words, sign in ((named, 1), (other, -1)):
                 d[[k for k in {at[f] for w in words for f in features_of(w) if f in at}]] += sign
             changes.append(d)
-    change = np.array(changes, np.float32).reshape(-1, len(kept))
+    change = np.array(changes, np.float32).reshape(len(changes), len(kept))
     w, b = np.zeros(len(kept), np.float32), math.log(toxic / (n - toxic))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
@@ -174,19 +174,13 @@ def _scorer(model: Model) -> Scorer:
 
 
 def learn(labelled: DataFrame, fairness: float = FAIRNESS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on up to SAMPLE_DOCS labelled texts, drawn by a hash of id, text and label."""
-    text, label = F.coalesce(F.col(text_col).cast("string"), F.lit("")), (F.col(label_col) != 0).cast("int")
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(text.alias("text"), label.alias("label"), F.xxhash64(F.col(id_col), text, label, F.lit(2)).alias("h"))
-    short = F.length("text") <= SAMPLE_CHARS
-    have = rows.agg(*[F.count_if((F.col("label") == k) & short).alias(f"l{k}") for k in (0, 1)]).first()
-    lacking = [k for k in (0, 1) if not have[f"l{k}"]]
-    picked = rows.filter(short | F.col("label").isin(lacking)) if lacking else rows.filter(short)
-    got = sample_of(picked.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)), "h", SAMPLE_DOCS).select("h", "text", "label").toLocalIterator()
-    texts, labels = [], []
-    for _, text, label in sorted((tuple(r) for r in got)):
-        texts.append(text)
-        labels.append(label)
-    return fit(texts, labels, fairness)
+    """Fits on up to SAMPLE_DOCS labelled texts, drawn by a hash of id and label."""
+    label = (F.col(label_col) != 0).cast("int")
+    rows = labelled.filter(F.col(label_col).isNotNull()).select(F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, SAMPLE_CHARS + 1).alias("text"), label.alias("label"), F.xxhash64(F.col(id_col), label, F.lit(2)).alias("h"))
+    drawn = sample_of(rows, "h", SAMPLE_DOCS)
+    short = {r["label"] for r in drawn if len(r["text"]) <= SAMPLE_CHARS}
+    kept = [r for r in drawn if len(r["text"]) <= SAMPLE_CHARS or r["label"] not in short]
+    return fit([r["text"] for r in kept], [r["label"] for r in kept], fairness)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

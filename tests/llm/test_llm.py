@@ -174,9 +174,12 @@ def test_deduplicate_odd_rows(spark):
 def test_spread_join(spark):
     rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(9_000)], "k long, x long")
     names = rows.select("k").distinct().withColumn("n", F.col("k") * 2)
-    assert common.hot_keys(rows, "k") == [1] and common.hot_keys(rows, "k", 2_000) == []
-    got = common.spread_join(rows, names, "k", "x")
-    assert got.columns == ["k", "x", "n"] and got.filter("n = 2 * k").count() == 9_000 and got.select("x").distinct().count() == 9_000
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    assert common.hot_keys(counts, "k") == [1] and common.hot_keys(counts.filter("n < 9"), "k") == []
+    for per_key, hot in ((names, [1]), (names, []), (names.drop("n").join(counts, "k").withColumn("y", F.col("k") * 2), None)):
+        got = common.spread_join(rows, per_key, "k", "x", hot)
+        assert got.columns[:3] == ["k", "x", "n"] and got.count() == got.select("x").distinct().count() == 9_000
+        assert got.filter(F.col("y" if "y" in got.columns else "n") != F.col("k") * 2).isEmpty()
 
 
 def test_alike_spans_all_pairs():
@@ -261,11 +264,11 @@ def test_toxicity_learns_a_label_of_long_texts(spark):
 
 def test_sample(spark):
     rows = spark.createDataFrame([(i % 500, "x" if i % 3 else "y", str(i % 500)) for i in range(6_000)], "h long, g string, t string")
-    got = [r["h"] for r in common.sample_of(rows, "h", 100).collect()]
-    assert len(got) == len(set(got)) == 100
-    got = collections.Counter(r["g"] for r in common.sample_of(rows, "h", 50, "g").collect())
+    got = [r["h"] for r in common.sample_of(rows, "h", 100)]
+    assert got == sorted(got) and len(got) == len(set(got)) == 100 and common.sample_of(rows.repartition(7), "h", 100) == common.sample_of(rows, "h", 100)
+    got = collections.Counter(r["g"] for r in common.sample_of(rows, "h", 50, "g"))
     assert got == {"x": 50, "y": 50}
-    assert common.sample_of(rows.filter("h < 5"), "h", 100).count() == 5
+    assert len(common.sample_of(rows.filter("h < 5"), "h", 100)) == 5 and common.sample_of(rows.limit(0), "h", 9) == common.sample_of(rows.limit(0), "h", 9, "g") == []
 
 
 # ------------------------------------------------------------------ exact top k
@@ -427,9 +430,9 @@ def test_bpe_without_the_library(codec):
 
 
 def test_bpe_cache_is_bounded(codec, monkeypatch):
-    small = bpe._Cache(lambda w: (1, w, w), 10)
+    small = bpe._Cache(lambda w: (len(w), w), 10)
     assert [small[str(i)][1] for i in range(35)] == [str(i) for i in range(35)] and len(small) <= 10 and len(small.old) <= 10
-    assert small["x" * 100][0] == 1 and "x" * 100 not in small
+    assert small["x" * 100][0] == 100 and "x" * 100 not in small
 
 
 def test_bpe_rows(spark):
@@ -481,7 +484,7 @@ def test_mixing_odd_rows(spark, monkeypatch):
     out = mixing.emit(mixed)
     assert out.columns == docs.columns and out.count() == mixed.agg(F.sum("mix_.copies")).first()[0]
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
-    monkeypatch.setattr(mixing, "hot_keys", lambda rows, key: ["s0", None])
+    monkeypatch.setattr(mixing, "hot_keys", lambda counts, key: ["s0", None])
     assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == whole
     again = mixing.mix(docs.filter("doc_id = 7 and source is null")).select("doc_id", "text", "mix_.copies").collect()
     assert len({r["copies"] for r in again}) == 1
