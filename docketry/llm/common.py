@@ -13,6 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +40,14 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def modest_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hands whole texts to Python in batches of `rows`, unless the session has a size of its own: of Spark's 10,000
+    long rows, both the executor's direct memory and the worker would hold tens of megabytes for each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def cores(spark: SparkSession) -> int:
     return max(8, spark.sparkContext.defaultParallelism)
 
@@ -76,8 +85,9 @@ def sample_of(rows: DataFrame, hashed: str, n: int, *by: str) -> list[dict]:
     """
     bucket = F.pmod(F.xxhash64(hashed, F.lit(5)), F.lit(16 * n)).alias("_b")
     minima = rows.groupBy(*by, bucket).agg(F.min(hashed).alias("_m"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("_m"))
-    cuts = minima.withColumn("_n", place).filter(F.col("_n") <= n).groupBy(*by).agg(F.max("_m").alias("_m")).collect()
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_m")) if by else None
+    few = minima.withColumn("_n", place).filter(F.col("_n") <= n) if by else minima.orderBy("_m").limit(n)
+    cuts = few.groupBy(*by).agg(F.max("_m").alias("_m")).collect()
     if not cuts or cuts[0]["_m"] is None:
         return []
     within = F.lit(False)

@@ -38,7 +38,10 @@ _CHUNK = 1 << 15
 NEAR_RADIUS = 8
 #: Bands of minima that make candidates of near copies beyond it.
 BANDS = 24
-#: Texts in a slice of those that candidates join, about, whose shingle sets are compared at once.
+#: Texts that candidates join, and their distinct shingles, up to which all of them are compared in one block.
+CLUSTER = 4_096
+CLUSTER_HASHES = 1 << 20
+#: Texts in a slice of a larger cluster, about.
 BLOCK = 256
 
 
@@ -273,36 +276,38 @@ def _met(asks: DataFrame, members: DataFrame, sets, similarity: float, block: in
     return _solved(placed.join(sets(placed.select("id")), "id"), similarity, int(min(20_000, max(4 * cores(asks.sparkSession), bins))))
 
 
-def held_links(candidates: DataFrame, keyed: DataFrame, picked: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """candidates(u, v), keyed(key, id), picked(id, text) -> (u, v): links that span the groups of near copies.
+def held_links(candidates: DataFrame, keyed: DataFrame, sized: DataFrame, picked: DataFrame, shingle: int, similarity: float, block: int = BLOCK, most: int = CLUSTER, weight: int = CLUSTER_HASHES) -> DataFrame:
+    """candidates(u, v), keyed(key, id), sized(id, size: distinct shingles), picked(id, text) -> (u, v): links that span the
+    groups of near copies.
 
     Candidates only say which texts to compare; a link is one whose exact similarity holds, and a candidate that
-    fails never stands in for a pair that holds. Where candidates join up to `block` texts, all pairs of these are
-    compared. Of larger clusters, first the candidates themselves are compared; then, under each key whose members
-    are not all joined by then, those outside the largest group meet all members. So each pair that is a candidate
-    or shares a key is compared or is joined already, and a large group of near copies costs in proportion to its size.
+    fails never stands in for a pair that holds. Where candidates join up to `most` texts of `weight` shingles together,
+    all pairs of these are compared, in one block. Of larger clusters, first each text meets its first candidate; then,
+    under each key whose members are not all joined by then, those outside the largest group meet all members. So each
+    pair that shares a key is compared or is joined already, and a large group of near copies costs in proportion to its size.
     """
     sets = lambda ids: _sets(picked.join(ids.select("id").distinct(), "id", "left_semi"), shingle)
-    clusters = stable(components(candidates).withColumnRenamed("u", "id"))
-    parts = int(min(20_000, max(4 * cores(candidates.sparkSession), -(-clusters.count() // block))))
-    size = stable(clusters.groupBy("label").agg(F.count("*").alias("n")))
-    # a small cluster shares its block with others
-    small = clusters.join(size.filter(F.col("n") <= block).drop("n"), "label").select(F.pmod(F.xxhash64("label"), F.lit(parts)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("label").alias("key"), F.lit(0).alias("side"), "id", F.col("id").alias("label"))
+    clusters = stable(components(candidates).withColumnRenamed("u", "id").join(sized, "id"))
+    size = stable(clusters.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("w")).withColumn("fits", (F.col("n") <= most) & (F.col("w") <= weight)))
+    clusters = clusters.drop("size")
+    total = size.filter("fits").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    parts = int(min(20_000, max(4 * cores(candidates.sparkSession), total // (weight // 4))))
+    # small clusters share blocks
+    small = clusters.join(size.filter("fits").select("label"), "label").select(F.pmod(F.xxhash64("label"), F.lit(parts)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("label").alias("key"), F.lit(0).alias("side"), "id", F.col("id").alias("label"))
     found = _solved(small.join(sets(small), "id"), similarity, parts)
-    large = stable(spread_join(clusters, size.filter(F.col("n") > block), "label", "id").select("id"))
-    if large.isEmpty():
+    if size.filter("not fits").isEmpty():
         return found
-    first = candidates.join(large, F.col("u") == F.col("id"), "left_semi")
-    by_hub = first.select(F.col("u").alias("key"), F.col("v").alias("id"), F.col("v").alias("label"))
-    hubs = first.select(F.col("u").alias("key"), F.col("u").alias("id"), F.col("u").alias("label")).distinct()
-    firm = stable(_met(hubs, by_hub, sets, similarity, block))
+    large = stable(spread_join(clusters, size.filter("not fits").select("label", "n"), "label", "id").select("id"))
+    first = stable(candidates.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("key")).join(large, "id", "left_semi"))
+    hubs = first.select("key", F.col("key").alias("id"), F.col("key").alias("label")).distinct()
+    firm = stable(_met(hubs, first.select("key", "id", F.col("id").alias("label")), sets, similarity, block))
     joined = large.join(components(firm).withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     open_ = stable(keyed.join(joined, "id"))
     by_label = open_.groupBy("key", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
     groups = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.max_by("label", F.struct("n", -F.col("label"))).alias("most"))
     # keys with the same members are one
-    groups = groups.filter("labels > 1 and n > 2").groupBy("x", "n").agg(F.min(F.struct("key", "most")).alias("k")).select("k.*", "n")
-    members = stable(spread_join(open_, stable(groups), "key", "id").drop("n"))
+    groups = stable(groups.filter("labels > 1").groupBy("x", "n").agg(F.min(F.struct("key", "most")).alias("k")).select("k.*", "n"))
+    members = stable(spread_join(open_, groups, "key", "id").drop("n"))
     second = _met(members.filter("label <> most").drop("most"), members.drop("most"), sets, similarity, block)
     return found.unionByName(firm).unionByName(second)
 
@@ -351,7 +356,7 @@ def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return alone.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
-def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, most: int = CLUSTER) -> DataFrame:
     """-> (id, group): one row for each id; group is the smallest id of its near copies.
 
     The tiled comparison of SimHash fingerprints finds candidates at `radius` or fewer differing bits. Pairs at
@@ -369,24 +374,26 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                fps, keys, digests = [], [], []
+                fps, keys, sizes, digests = [], [], [], []
                 for text in (x.as_py() or b"" for x in part.column(1)):
                     hashes = shingle_hashes(words_of(text), shingle)
                     fps.append(fingerprint(hashes))
-                    keys.append(band_keys(np.unique(hashes), size))
+                    hashes = np.unique(hashes)
+                    keys.append(band_keys(hashes, size))
+                    sizes.append(len(hashes))
                     digests.append(xxhash.xxh3_128_digest(text))
-                made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(digests, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["id", "fp", "keys", "digest"])
+                made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["id", "fp", "keys", "size", "digest"])
 
     alone = one_row_per_id(docs, id_col, text_col)
     picked = alone.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("id is not null")
-    rows = stable(picked.mapInArrow(run, "id long, fp long, keys array<long>, digest binary"))
+    rows = stable(picked.mapInArrow(run, "id long, fp long, keys array<long>, size long, digest binary"))
     # equal texts fold into one
-    texts = stable(rows.groupBy("digest").agg(F.min_by(F.struct("id", "fp", "keys"), "id").alias("t"), F.count("*").alias("n")).select("digest", F.col("t.id").alias("first"), "t.fp", "t.keys", "n"))
+    texts = stable(rows.groupBy("digest").agg(F.min_by(F.struct("id", "fp", "keys", "size"), "id").alias("t"), F.count("*").alias("n")).select("digest", F.col("t.id").alias("first"), "t.fp", "t.keys", "t.size", "n"))
     keyed = stable(band_keys_of(texts))
     by_band = keyed.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v"))
     candidates = stable(fingerprint_links(texts, radius).unionByName(by_band).distinct())
-    labels = components(held_links(candidates, keyed.select("key", "id"), picked, shingle, similarity, block)).select(F.col("u").alias("first"), "label")
+    labels = components(held_links(candidates, keyed.select("key", "id"), texts.select(F.col("first").alias("id"), "size"), picked, shingle, similarity, block, most)).select(F.col("u").alias("first"), "label")
     grouped = texts.join(labels, "first", "left").select("digest", F.coalesce("label", "first").alias("group"))
     return spread_join(rows.select("id", "digest"), grouped, "digest", "id", hot_keys(texts, "digest")).select("id", "group")
 

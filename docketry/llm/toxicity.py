@@ -174,9 +174,9 @@ def _scorer(model: Model) -> Scorer:
 
 
 def learn(labelled: DataFrame, fairness: float = FAIRNESS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on up to SAMPLE_DOCS labelled texts, drawn by a hash of id and label."""
+    """Fits on up to SAMPLE_DOCS labelled texts, drawn by a hash of the id."""
     label = (F.col(label_col) != 0).cast("int")
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, SAMPLE_CHARS + 1).alias("text"), label.alias("label"), F.xxhash64(F.col(id_col), label, F.lit(2)).alias("h"))
+    rows = labelled.filter(F.col(label_col).isNotNull()).select(F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, SAMPLE_CHARS + 1).alias("text"), label.alias("label"), F.xxhash64(F.col(id_col), F.lit(2)).alias("h"))
     drawn = sample_of(rows, "h", SAMPLE_DOCS)
     short = {r["label"] for r in drawn if len(r["text"]) <= SAMPLE_CHARS}
     kept = [r for r in drawn if len(r["text"]) <= SAMPLE_CHARS or r["label"] not in short]

@@ -107,8 +107,9 @@ def test_each_pair_of_joined_texts_is_compared(spark):
     tried = spark.createDataFrame([(0, 1), (0, 2), *[(0, i) for i in range(3, 12)]], "u long, v long")
     keyed = spark.createDataFrame([(7, i) for i in range(12)], "key long, id long")
     picked = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, text binary")
-    for block in (2, 5, 256):
-        found = simhash.held_links(tried, keyed, picked, 5, 0.8, block).collect()
+    sized = spark.createDataFrame([(i, 80) for i in range(12)], "id long, size long")
+    for block, most in ((2, 3), (5, 11), (256, 12)):
+        found = simhash.held_links(tried, keyed, sized, picked, 5, 0.8, block, most).collect()
         assert {tuple(sorted((r["u"], r["v"]))) for r in found} == {(1, 2)}
 
 
@@ -145,8 +146,8 @@ def test_near_copies_against_a_full_comparison(spark):
     # families whose members partly lie beyond the similarity: a failed candidate must not part the others
     texts = families(random.Random(15), 40, 12, 150, 6)
     want = jaccard_groups(texts)
-    for block in (8, 256):
-        got = {r["id"]: r["group"] for r in simhash.near_copy_groups(docs_of(spark, texts), block=block).collect()}
+    for block, most in ((8, 4), (256, 4096)):
+        got = {r["id"]: r["group"] for r in simhash.near_copy_groups(docs_of(spark, texts), block=block, most=most).collect()}
         assert got == dict(enumerate(want))
 
 
@@ -155,7 +156,7 @@ def test_one_large_group_of_near_copies(spark):
     texts = [*families(rng, 1, 700, 60, 1), *[prose(rng, 60) for _ in range(60)]]
     rng.shuffle(texts)
     want = jaccard_groups(texts)
-    got = {r["id"]: r["group"] for r in simhash.near_copy_groups(docs_of(spark, texts), block=32).collect()}
+    got = {r["id"]: r["group"] for r in simhash.near_copy_groups(docs_of(spark, texts), block=32, most=100).collect()}
     assert got == dict(enumerate(want))
 
 
