@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import bpe, language, mixing, simhash, toxicity
-from docketry.llm.common import drop_folder, free_name, remainder, shared_folder, vocabulary
+from docketry.llm.common import drop_folder, free_name, modest_batches, remainder, shared_folder, vocabulary
 from docketry.llm.queries import toxicity_model
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     content = language.learn(docs, remainder("doc_id", 3) != 1)
     found = free_name(docs.columns, "_found")
     return docs.withColumn(found, language.judged(F.col("text"), content)).filter(F.col(f"{found}.accepted")).drop(found)
