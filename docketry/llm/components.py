@@ -2,17 +2,17 @@
 
 Alternates the large-star and small-star operations (Kiveris et al., "Connected Components in
 MapReduce and Beyond", 2014), which need a number of rounds that is logarithmic in practice. Each
-half round is one aggregate and one join; every round is cut with checkpoint(), so that a lost
-executor costs one round at most. Minimums are taken by a partial aggregate before the shuffle, and
-the join back to the edges deals a hub with very many neighbours over many tasks.
+half round is one shuffle by vertex; every round is cut with checkpoint(), so that a lost executor costs one
+round at most. A hub with very many neighbours is no task's work: its smallest neighbour is found by a
+partial aggregate, and its edges stay where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import HOT_ROWS, hot_keys, spread_join, stable
+from docketry.llm.common import HOT_ROWS, hot_keys, stable
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,17 +24,32 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame, hot: list) -> DataFrame:
-    both = _both(edges)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return spread_join(both.filter("v > u"), least, "u", "v", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+def _hubs(edges: DataFrame) -> list:
+    """The vertices with the most neighbours, HOT_KEYS at most."""
+    return hot_keys(_both(edges).groupBy("u").agg(F.count("*").alias("n")), "u")
 
 
-def _small_star(edges: DataFrame, hot: list) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = spread_join(down, least, "u", "v", hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+def _with_least(edges: DataFrame, hubs: list) -> DataFrame:
+    """Adds m, the smallest v of each u. Of hubs it is found by a partial aggregate, so that no task meets all their edges."""
+    window = Window.partitionBy("u")
+    if not hubs:
+        return edges.withColumn("m", F.min("v").over(window))
+    of_hub = F.col("u").isin(hubs)
+    least = [x for r in edges.filter(of_hub).groupBy("u").agg(F.min("v").alias("m")).collect() for x in (F.lit(r["u"]), F.lit(r["m"]))]
+    cold = edges.filter(~of_hub).withColumn("m", F.min("v").over(window))
+    return cold.unionByName(edges.filter(of_hub).withColumn("m", F.create_map(*least)[F.col("u")])) if least else cold
+
+
+def _large_star(edges: DataFrame, hubs: list) -> DataFrame:
+    """Joins the larger neighbours of each vertex to its smallest neighbour, or to itself."""
+    found = _with_least(_both(edges), hubs).filter("v > u")
+    return found.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+
+
+def _small_star(edges: DataFrame, hubs: list) -> DataFrame:
+    """Joins the smaller neighbours of each vertex, and itself, to the smallest of them."""
+    found = _with_least(edges, hubs)
+    return found.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -47,9 +62,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = _state(edges)
     if before[0]:
         for _ in range(max_rounds):
-            # a vertex can only be a hub of the half rounds if it has many neighbours before them
-            hot = hot_keys(_both(edges).groupBy("u").agg(F.count("*").alias("n")), "u") if before[0] > HOT_ROWS else []
-            edges = stable(_small_star(_large_star(edges, hot), hot))
+            # a vertex has many neighbours within a round only if it had before
+            hubs = _hubs(edges) if before[0] > HOT_ROWS else []
+            edges = stable(_small_star(_large_star(edges, hubs), hubs))
             after = _state(edges)
             if after == before:
                 break

@@ -42,7 +42,7 @@ BANDS = 24
 CLUSTER = 4_096
 CLUSTER_HASHES = 1 << 20
 #: Texts in a slice of a larger cluster, about.
-BLOCK = 256
+BLOCK = 512
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -193,9 +193,10 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, hashes array<long>")
 
 
-def alike(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+def alike(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float, label: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links (index, index) that span the components of all pairs of a with b (b None: within a) whose sets
-    have a Jaccard similarity of `similarity` or more. Sets are sorted; indices are into a followed by b.
+    have a Jaccard similarity of `similarity` or more, and the component of each. Sets are sorted; indices are
+    into a followed by b.
 
     label names the component that each is known to belong to. A pair is left untested only if links that
     hold join the two already, so a group of near copies costs about as many tests as it has members.
@@ -229,25 +230,35 @@ def alike(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float, la
             common = np.bincount(index[1][at], minlength=len(other))[live]
         j = live[common >= similarity * (len(x) + sizes[live] - common)]
         _join(label, np.full(len(j), i), j + shift, links)
-    return links
+    return links, label
+
+
+def _grouped(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """rows(g, cluster, id, hashes), whole clusters in each block g -> (id, label): the smallest id of each text's group."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.groupby("cluster", sort=False):
+            _, label = alike([np.asarray(x, np.int64) for x in part["hashes"]], None, similarity)
+            out.append(pd.DataFrame({"id": part["id"], "label": part["id"].groupby(label).transform("min")}))
+        return pd.concat(out)
+
+    return rows.repartition(parts, "g").groupBy("g").applyInPandas(solve, "id long, label long")
 
 
 def _solved(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
     """rows(g, i, j, key, side, id, label, hashes) -> (u, v): in each block (g, i, j), for each key, the links that
-    span the pairs of side 0 with side 1 that hold. A key without side 1 is compared with itself."""
+    span the pairs of side 0 with side 1 that hold."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ends: list[np.ndarray] = []
         for _, part in pdf.groupby("key", sort=False):
             sides = [part[part["side"] == k] for k in (0, 1)]
-            if not len(sides[0]):
+            if not len(sides[0]) or not len(sides[1]):
                 continue
-            both = part.iloc[:0] if not len(sides[1]) else sides[1]
-            sets = [[np.asarray(x, np.int64) for x in side["hashes"]] for side in (sides[0], both)]
-            ids = np.concatenate([sides[0]["id"].to_numpy(), both["id"].to_numpy()])
-            label = np.concatenate([sides[0]["label"].to_numpy(), both["label"].to_numpy()])
-            found = np.array(alike(sets[0], sets[1] or None, similarity, label), np.int64).reshape(-1, 2)
-            ends.append(ids[found])
+            sets = [[np.asarray(x, np.int64) for x in side["hashes"]] for side in sides]
+            ids, label = (np.concatenate([side[c].to_numpy() for side in sides]) for c in ("id", "label"))
+            ends.append(ids[np.array(alike(*sets, similarity, label)[0], np.int64).reshape(-1, 2)])
         out = np.concatenate(ends) if ends else np.empty((0, 2), np.int64)
         return pd.DataFrame({"u": out[:, 0], "v": out[:, 1]})
 
@@ -276,15 +287,16 @@ def _met(asks: DataFrame, members: DataFrame, sets, similarity: float, block: in
     return _solved(placed.join(sets(placed.select("id")), "id"), similarity, int(min(20_000, max(4 * cores(asks.sparkSession), bins))))
 
 
-def held_links(candidates: DataFrame, keyed: DataFrame, sized: DataFrame, picked: DataFrame, shingle: int, similarity: float, block: int = BLOCK, most: int = CLUSTER, weight: int = CLUSTER_HASHES) -> DataFrame:
-    """candidates(u, v), keyed(key, id), sized(id, size: distinct shingles), picked(id, text) -> (u, v): links that span the
-    groups of near copies.
+def held_groups(candidates: DataFrame, keyed: DataFrame, sized: DataFrame, picked: DataFrame, shingle: int, similarity: float, block: int = BLOCK, most: int = CLUSTER, weight: int = CLUSTER_HASHES) -> DataFrame:
+    """candidates(u, v), keyed(key, id), sized(id, size: distinct shingles), picked(id, text) -> (id, label): the smallest id of the
+    group of near copies, for each text that stands in a candidate.
 
     Candidates only say which texts to compare; a link is one whose exact similarity holds, and a candidate that
     fails never stands in for a pair that holds. Where candidates join up to `most` texts of `weight` shingles together,
-    all pairs of these are compared, in one block. Of larger clusters, first each text meets its first candidate; then,
-    under each key whose members are not all joined by then, those outside the largest group meet all members. So each
-    pair that shares a key is compared or is joined already, and a large group of near copies costs in proportion to its size.
+    all pairs of these are compared, in one block. Of larger clusters, first each text meets its first candidate; then
+    those outside the largest group that this makes meet all members of the cluster, or, if they are many themselves,
+    the members of each of their keys. So each pair that shares a key is compared or is joined already, and a large
+    group of near copies costs in proportion to its size.
     """
     sets = lambda ids: _sets(picked.join(ids.select("id").distinct(), "id", "left_semi"), shingle)
     clusters = stable(components(candidates).withColumnRenamed("u", "id").join(sized, "id"))
@@ -293,23 +305,32 @@ def held_links(candidates: DataFrame, keyed: DataFrame, sized: DataFrame, picked
     total = size.filter("fits").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     parts = int(min(20_000, max(4 * cores(candidates.sparkSession), total // (weight // 4))))
     # small clusters share blocks
-    small = clusters.join(size.filter("fits").select("label"), "label").select(F.pmod(F.xxhash64("label"), F.lit(parts)).alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("label").alias("key"), F.lit(0).alias("side"), "id", F.col("id").alias("label"))
-    found = _solved(small.join(sets(small), "id"), similarity, parts)
+    small = clusters.join(size.filter("fits").select("label"), "label").select(F.pmod(F.xxhash64("label"), F.lit(parts)).alias("g"), F.col("label").alias("cluster"), "id")
+    found = _grouped(small.join(sets(small), "id"), similarity, parts)
     if size.filter("not fits").isEmpty():
         return found
-    large = stable(spread_join(clusters, size.filter("not fits").select("label", "n"), "label", "id").select("id"))
-    first = stable(candidates.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("key")).join(large, "id", "left_semi"))
+    large = stable(spread_join(clusters, size.filter("not fits").select("label", "n"), "label", "id").select("id", F.col("label").alias("cluster")))
+    first = stable(candidates.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("key")).join(large.select("id"), "id", "left_semi"))
     hubs = first.select("key", F.col("key").alias("id"), F.col("key").alias("label")).distinct()
     firm = stable(_met(hubs, first.select("key", "id", F.col("id").alias("label")), sets, similarity, block))
-    joined = large.join(components(firm).withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    open_ = stable(keyed.join(joined, "id"))
-    by_label = open_.groupBy("key", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
-    groups = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.max_by("label", F.struct("n", -F.col("label"))).alias("most"))
-    # keys with the same members are one
-    groups = stable(groups.filter("labels > 1").groupBy("x", "n").agg(F.min(F.struct("key", "most")).alias("k")).select("k.*", "n"))
-    members = stable(spread_join(open_, groups, "key", "id").drop("n"))
-    second = _met(members.filter("label <> most").drop("most"), members.drop("most"), sets, similarity, block)
-    return found.unionByName(firm).unionByName(second)
+    joined = stable(large.join(components(firm).withColumnRenamed("u", "id"), "id", "left").select("id", "cluster", F.coalesce("label", "id").alias("label")))
+    # by clusters whose texts outside the largest group are few slices; else by the keys
+    whole = _open_groups(joined.withColumnRenamed("cluster", "key")).withColumn("few", F.col("n") - F.col("largest") <= F.lit(BANDS * block))
+    by_cluster = whole.filter("few").select("key", "most", "n")
+    keyed = keyed.join(joined.join(whole.filter("not few").select(F.col("key").alias("cluster")), "cluster").select("id", "label"), "id")
+    by_key = _open_groups(stable(keyed)).groupBy("x", "n").agg(F.min(F.struct("key", "most")).alias("k")).select("k.*", "n")  # keys with the same members are one
+    for rows, groups in ((joined.select(F.col("cluster").alias("key"), "id", "label"), stable(by_cluster)), (keyed, stable(by_key))):
+        if not groups.isEmpty():
+            members = stable(spread_join(rows, groups, "key", "id").drop("n"))
+            firm = firm.unionByName(_met(members.filter("label <> most").drop("most"), members.drop("most"), sets, similarity, block))
+    return found.unionByName(components(firm).select(F.col("u").alias("id"), "label"))
+
+
+def _open_groups(rows: DataFrame) -> DataFrame:
+    """rows(key, id, label) -> (key, n, x, most, largest) of the keys with several labels: x tells the members, most is the label of the largest part."""
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    groups = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.max(F.struct("n", -F.col("label"))).alias("m"))
+    return groups.filter("labels > 1").select("key", "n", "x", (-F.col("m.col2")).alias("most"), F.col("m.n").alias("largest"))
 
 
 def signature_rows(similarity: float) -> int:
@@ -363,7 +384,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     the edge of the similarity may differ in more; for them, texts that agree in a whole band of minima of their
     shingle hashes are candidates too: at 0.8 a pair agrees in none of BANDS bands with a chance of 3 in a
     million, above that with less. A link holds if the shingle sets have a Jaccard similarity of `similarity` or
-    more, computed exactly (see held_links). Only texts that stand in a candidate are read again.
+    more, computed exactly (see held_groups). Only texts that stand in a candidate are read again.
 
     Null text counts as empty; texts without words are copies of each other; rows without an id take no part; of
     rows that repeat an id one_row_per_id names the one that counts; an empty table gives an empty result.
@@ -393,7 +414,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     keyed = stable(band_keys_of(texts))
     by_band = keyed.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v"))
     candidates = stable(fingerprint_links(texts, radius).unionByName(by_band).distinct())
-    labels = components(held_links(candidates, keyed.select("key", "id"), texts.select(F.col("first").alias("id"), "size"), picked, shingle, similarity, block, most)).select(F.col("u").alias("first"), "label")
+    labels = held_groups(candidates, keyed.select("key", "id"), texts.select(F.col("first").alias("id"), "size"), picked, shingle, similarity, block, most).withColumnRenamed("id", "first")
     grouped = texts.join(labels, "first", "left").select("digest", F.coalesce("label", "first").alias("group"))
     return spread_join(rows.select("id", "digest"), grouped, "digest", "id", hot_keys(texts, "digest")).select("id", "group")
 

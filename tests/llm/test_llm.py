@@ -46,13 +46,20 @@ def find_components(n, links):
     return [root(i) for i in range(n)]
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(1)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(60 + i, 61 + i) for i in range(25)] + [(5, 5)]
     want = find_components(90, links)
     got = {r["u"]: r["label"] for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     touched = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: want[x] for x in touched}
+    # hubs, at either end of the order
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    monkeypatch.setattr(components, "HOT_ROWS", 8)
+    links += [(0, i) for i in range(0, 60, 3)] + [(200, i) for i in range(1, 60, 7)] + [(100 + i, 101 + i) for i in range(30)]
+    want = find_components(201, links)
+    got = {r["u"]: r["label"] for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {x: want[x] for x in {x for a, b in links if a != b for x in (a, b)}}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -109,8 +116,8 @@ def test_each_pair_of_joined_texts_is_compared(spark):
     picked = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, text binary")
     sized = spark.createDataFrame([(i, 80) for i in range(12)], "id long, size long")
     for block, most in ((2, 3), (5, 11), (256, 12)):
-        found = simhash.held_links(tried, keyed, sized, picked, 5, 0.8, block, most).collect()
-        assert {tuple(sorted((r["u"], r["v"]))) for r in found} == {(1, 2)}
+        found = simhash.held_groups(tried, keyed, sized, picked, 5, 0.8, block, most).collect()
+        assert {r["id"]: r["label"] for r in found if r["id"] != r["label"]} == {2: 1}
 
 
 def jaccard_groups(texts, similarity=0.8):
@@ -189,10 +196,10 @@ def test_alike_spans_all_pairs():
     sets = [np.unique(np.concatenate([b[: len(b) - k], rng.integers(0, 400, k)])) for b in base for k in range(0, 12, 2)] + [np.empty(0, np.int64)] * 2
     near = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
     want = find_components(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])])
-    assert find_components(len(sets), simhash.alike(sets, None, 0.8)) == want
+    assert find_components(len(sets), simhash.alike(sets, None, 0.8)[0]) == want
     a, b = sets[::2], sets[1::2]
     cross = [(i, len(a) + j) for i in range(len(a)) for j in range(len(b)) if near(a[i], b[j])]
-    assert find_components(len(sets), simhash.alike(a, b, 0.8)) == find_components(len(sets), cross)
+    assert find_components(len(sets), simhash.alike(a, b, 0.8)[0]) == find_components(len(sets), cross)
 
 
 def test_near_copies_with_distant_fingerprints(spark):
