@@ -44,7 +44,7 @@ def labelled_amount(docs: DataFrame, labels: list[str], id_col: str = "doc_id",
     tried = []
     for rank, label in enumerate(labels):
         spaced = r"\s*".join(f"\\Q{c}\\E" for c in label)
-        pattern = f"(?<!기)(?<!기.){spaced}[^\\d\\n]{{0,12}}?([\\d,]{{3,}})\\s*(천원|백만원|원)"
+        pattern = f"(?<!기)(?<!기.){spaced}{fixed.LABEL_GAP}"
         hit = F.regexp_extract(F.col(text_col), _U + pattern, 1)
         value = _number(F.nullif(hit, F.lit(""))) * unit[F.regexp_extract(F.col(text_col), _U + pattern, 2)]
         tried.append(F.when(value.isNotNull(), F.struct(F.lit(rank).alias("rank"), value.alias("amount"), F.lit(label).alias("label"))))
@@ -60,10 +60,10 @@ def table_amount(docs: DataFrame, labels: list[str], id_col: str = "doc_id", tex
     unit = F.create_map(*[F.lit(x) for kv in fixed.WON_UNITS.items() for x in kv])
     squeezed = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.regexp_replace(x, r"(?U)\(.*?\)|\s+", "")), lambda x: F.lit(True))
     kept = F.filter(F.arrays_zip(F.split(F.col(text_col), "\n").alias("raw"), squeezed.alias("line")), lambda z: strip_spaces(z["raw"]) != "")
-    base = docs.select(id_col, F.coalesce(unit[_group(F.col(text_col), r"단위\s*[:：]?\s*(천원|백만원|원)")], F.lit(1)).alias("unit"), F.transform(kept, lambda z: z["line"]).alias("ls"))
+    base = docs.select(id_col, F.coalesce(unit[_group(F.col(text_col), fixed.TABLE_UNIT)], F.lit(1)).alias("unit"), F.transform(kept, lambda z: z["line"]).alias("ls"))
     ranks = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i))])
     at = base.select(id_col, "unit", "ls", F.posexplode("ls").alias("pos", "line")).filter(F.col("line").isin(*labels))
-    after = F.filter(F.slice("ls", F.col("pos") + 2, F.lit(6)), lambda x: x.rlike(r"^[\d,]{5,}원?$"))
+    after = F.filter(F.slice("ls", F.col("pos") + 2, F.lit(6)), lambda x: x.rlike(fixed.NUMBER_LINE))
     hit = at.withColumn("n", F.when(F.size(after) > 0, F.element_at(after, 1))).filter("n is not null")
     best = hit.withColumn("o", F.struct(ranks[F.col("line")].alias("r"), "pos")).groupBy(id_col).agg(F.min_by(F.struct("line", "n", "unit"), "o").alias("b"))
     value = _number(F.regexp_replace("b.n", "원$", "")) * F.col("b.unit")
@@ -159,3 +159,26 @@ def toc_entries(pages: DataFrame, keys: list[str], text_col: str = "text") -> Da
         *keys, "seq", F.regexp_extract("head", whole, 2).alias("kind"), F.regexp_extract("head", whole, 3).alias("no"),
         F.trim(F.regexp_extract("head", whole, 4)).alias("title"), "page", F.trim(F.regexp_extract("head", whole, 1)).alias("issuer"),
     )
+
+
+def from_attachment(key: str, text: Column) -> Column:
+    """The value of a slot as an attachment states it, cut off; for amounts else the first grouped one; empty if there is none."""
+    body = F.coalesce(text, F.lit(""))
+    pattern = fixed.ATTACHMENT_FIELDS.get(key)
+    found = F.substring(F.trim(F.regexp_extract(body, _U + pattern, 1)), 1, fixed.ATTACHMENT_CHARS) if pattern else F.lit("")
+    if key != "amount":
+        return found
+    loose = F.regexp_extract(body, _U + fixed.AMOUNT_LOOSE, 1)
+    return F.when(body.rlike(_U + pattern), found).when(loose != "", F.concat(F.lit("금"), loose, F.lit("원"))).otherwise("")
+
+
+def classified(title: Column, body: Column) -> Column:
+    """struct(work_type, amount)."""
+    from docketry.functions.text import work_type
+
+    return F.struct(work_type(title).alias("work_type"), amount(body).alias("amount"))
+
+
+def is_contents_page(text: Column, bullets: int = 3) -> Column:
+    """True for pages with so many bullets."""
+    return F.length(text) - F.length(F.replace(text, F.lit(fixed.TOC_BULLET), F.lit(""))) >= bullets

@@ -65,3 +65,52 @@ TOC_KIND = r"(법률|대통령령|총리령|부령|고시|공고|훈령|예규|
 TOC_LEADER = r"[·․.．]{3,}\s*(\d{1,4})\s*$"
 TOC_BULLET = "○"
 NAME_MASK = "○○○"
+
+# Headings of drafts, table labels that are none, and words that are no key phrases.
+SECTION = r"(?mdU)^[\s○·\-]*(\d{1,2})\s*[.)]\s*([^\n]{1,30})"
+DATE_LIKE = r"(?U)^\s*\d{2,4}\s*[.\-/]"
+TABLE_LABELS = ("등록번호", "등록일자", "결재일자", "공개구분", "접수", "시행")
+DRAFT_STOP = (
+    "합니다", "하고자", "다음과", "같이", "관련", "대하여", "따라", "위하여", "위한",
+    "사항", "내용", "경우", "우리", "해당", "제출", "붙임", "기타", "아래", "통하여",
+)
+LAST_BODY_PAGES = 12
+
+# Approval cells on a page. Windows: least and most dx, least and most dy.
+TITLE_HINTS = (
+    "기록연구사", "환경연구사", "환경연구관", "본부장", "센터장", "담당관", "주사보",
+    "연구관", "연구사", "전문위원", "서기관", "사무관", "주무관", "지사장", "교도소장",
+    "부소장", "장관", "차관", "실장", "국장", "과장", "팀장", "관장", "원장", "소장",
+    "부장", "계장", "차장", "주사", "서기", "교위", "교감", "청장", "시장", "군수",
+)
+PAIR_WINDOWS = {"bottom": (0.0, 95.0, -8.0, 30.0), "top": (-45.0, 45.0, 8.0, 95.0), "override": (-45.0, 95.0, -8.0, 95.0)}
+WRAP_LEFT, WRAP_CENTRE, WRAP_DOWN = 14.0, 22.0, 26.0
+COOPERATION_MARK = "협조자"
+
+# Delegation tables.
+LEVEL_NAMES = {0: "주무관", 1: "팀장", 2: "과장", 3: "국장", 4: "부군수", 5: "군수"}
+HEADER_LEVELS = (
+    ("부군수", 4), ("부시장", 4), ("군수", 5), ("시장", 5), ("국장", 3), ("직속기관장", 3), ("담당관", 2),
+    ("과장", 2), ("사업소장", 2), ("과소장", 2), ("팀장", 1), ("주무관", 0), ("담당자", 0),
+)
+MARKS = ("○", "◯", "O", "ㅇ", "●")
+COMMON_SHEET = "(공통"
+
+# How a predicted field differs from the true one.
+REASONS = {"same": "일치", "missing": "미추출", "no_truth": "정답없음", "part": "부분일치(추출값이 정답의 일부)", "more": "부분일치(추출값이 정답보다 김)", "other": "불일치"}
+
+# Labelled amounts, laws, and fields of an attachment.
+LABEL_GAP = r"[^\d\n]{0,12}?([\d,]{3,})\s*(천원|백만원|원)"
+NUMBER_LINE = r"^[\d,]{5,}원?$"
+TABLE_UNIT = r"단위\s*[:：]?\s*(천원|백만원|원)"
+LAW = r"[「『]([^」』]{2,40})[」』]"
+UNFOUNDED_REF, UNFOUNDED_LAW = "[확인 필요]", "[근거 확인 필요]"
+ATTACHMENT_FIELDS = {
+    "amount": r"(?:지\s*급\s*액|금\s*액|합\s*계)\s*[:：]?\s*([^\n]*\d[\d,]*\s*원[^\n]*)",
+    "breakdown": r"산\s*출\s*내\s*역\s*[:：]?\s*([^\n]+)",
+    "period": r"(?:사\s*용|근\s*무|사\s*업)?\s*기\s*간\s*[:：]\s*([^\n]+)",
+    "payee": r"지\s*급\s*대\s*상\s*[:：]?\s*([^\n]+)",
+    "method": r"결\s*제\s*방\s*법\s*[:：]?\s*([^\n]+)",
+    "budget": r"예\s*산\s*과\s*목\s*[:：]?\s*([^\n]+)",
+}
+ATTACHMENT_CHARS = 120

@@ -18,8 +18,9 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Composed form. Only texts with characters beyond Latin-1 can need it, so that others stay in the JVM."""
-    return F.when(text.rlike(r"[^\x00-˿]"), _nfc(text)).otherwise(text)
+    """Composed form. Spark has no function for it: all texts pass through Python in Arrow batches, which is
+    quick where they are composed already. Callers whose texts surely are say compose=False."""
+    return _nfc(text)
 
 
 def unify_punctuation(text: Column) -> Column:
@@ -92,10 +93,10 @@ def topic_words(text: Column, pattern: str = "[가-힣A-Za-z0-9]{2,}", stop: tup
     return F.array_except(F.filter(found, lambda w: ~w.isin(*stop) & ~w.rlike(r"\d")), person_like(text))
 
 
-def sections(text: Column, labels: tuple[str, ...] = ()) -> Column:
-    """Numbered headings of a draft with two syllables or more that are no dates and no table labels."""
-    found = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:\d{1,2}|[가-하])\s*[.)]\s*(.+?)\s*$"))
-    return F.filter(found, lambda h: (F.regexp_count(h, F.lit("[가-힣]")) >= 2) & ~h.rlike(r"^\d{1,4}\s*[.\-]") & (~strip_spaces(h).isin(*labels) if labels else F.lit(True)))
+def sections(text: Column, labels: tuple[str, ...] = fixed.TABLE_LABELS, letter: str = "[가-힣]") -> Column:
+    """Numbered headings, of 30 characters at most, with two letters or more, that don't start like a date and hold no table label."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(fixed.SECTION), F.lit(2)), lambda h: F.regexp_replace(h, r"(?U)^\s+|\s+$", ""))
+    return F.filter(found, lambda h: (F.regexp_count(h, F.lit(letter)) >= 2) & ~h.rlike(fixed.DATE_LIKE) & ~has_any(h, labels))
 
 
 def leader_ratio(text: Column) -> Column:
@@ -111,20 +112,33 @@ def lines(text: Column) -> Column:
 
 def short_line_ratio(text: Column, limit: int = fixed.SHORT_LINE_CHARS) -> Column:
     """struct(ratio, lines)."""
-    found = lines(text)
-    ratio = F.when(F.size(found) > 0, F.size(F.filter(found, lambda x: F.length(x) < limit)) / F.size(found)).otherwise(F.lit(0.0))
-    return F.struct(ratio.alias("ratio"), F.size(found).alias("lines"))
+
+    def of(found: Column) -> Column:
+        ratio = F.when(F.size(found) > 0, F.size(F.filter(found, lambda x: F.length(x) < limit)) / F.size(found)).otherwise(F.lit(0.0))
+        return F.struct(ratio.alias("ratio"), F.size(found).alias("lines"))
+
+    return F.element_at(F.transform(F.array(lines(text)), of), 1)
 
 
 def page_type(text: Column, gutter: Column | None = None) -> Column:
     """toc, table, body_2col or body_1col; the first that applies."""
-    short = short_line_ratio(text)
-    return (
-        F.when(leader_ratio(text) >= fixed.TOC_LEADER_RATIO, "toc")
-        .when((short["lines"] >= fixed.TABLE_MIN_LINES) & (short["ratio"] >= fixed.TABLE_SHORT_RATIO), "table")
-        .when(F.coalesce(gutter, F.lit(False)) if gutter is not None else F.lit(False), "body_2col")
-        .otherwise("body_1col")
-    )
+    return page_stats(text, gutter)["page_type"]
+
+
+def page_stats(text: Column, gutter: Column | None = None) -> Column:
+    """struct(page_type, leader_ratio, short_line_ratio, lines); lines are split once."""
+
+    def of(short: Column) -> Column:
+        leaders = leader_ratio(text)
+        kind = (
+            F.when(leaders >= fixed.TOC_LEADER_RATIO, "toc")
+            .when((short["lines"] >= fixed.TABLE_MIN_LINES) & (short["ratio"] >= fixed.TABLE_SHORT_RATIO), "table")
+            .when(F.coalesce(gutter, F.lit(False)) if gutter is not None else F.lit(False), "body_2col")
+            .otherwise("body_1col")
+        )
+        return F.struct(kind.alias("page_type"), leaders.alias("leader_ratio"), short["ratio"].alias("short_line_ratio"), short["lines"].alias("lines"))
+
+    return F.element_at(F.transform(F.array(short_line_ratio(text)), of), 1)
 
 
 def first_rule(text: Column, rules: tuple[tuple[str, tuple[str, ...]], ...], default: str, squeeze: bool = True) -> Column:

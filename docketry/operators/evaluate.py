@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from docketry.functions import fixed
 from docketry.functions.extract import check_tokens, grounded, number_tokens
-from docketry.functions.text import drop_leaders, flat, normalize, normalize_field, normalize_token, strip_spaces, words
+from docketry.functions.text import drop_leaders, flat, normalize, normalize_field, normalize_token, sections, strip_spaces, words
 
 
-@F.pandas_udf(IntegerType())
-def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance of word arrays; a row of the table at a time in numpy."""
-
-    def one(x: np.ndarray, y: np.ndarray) -> int:
-        ids: dict[str, int] = {}
-        p, q = (np.array([ids.setdefault(w, len(ids)) for w in s], np.int64) for s in (x, y))
-        if not len(p) or not len(q):
-            return max(len(p), len(q))
-        row, steps = np.arange(len(q) + 1), np.arange(len(q) + 1)
-        for i, w in enumerate(p, 1):
-            new = np.minimum(row[1:] + 1, row[:-1] + (q != w))
-            new = np.concatenate([[i], new])
-            # insertions run to the right: a running minimum after taking the slope out
-            row = np.minimum.accumulate(new - steps) + steps
-        return int(row[-1])
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
+def word_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays of words: each distinct word of the pair becomes a character of its own, from
+    U+10000 on, and Spark's own distance of the two texts is that of the words."""
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    letter = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + F.lit(0xFFFF)), 8, "0")), "UTF-32")
+    spelt = lambda words, known: F.array_join(F.transform(words, lambda w: letter(F.array_position(known, w).cast("int"))), "")
+    return once(F.array_distinct(F.concat(a, b)), lambda known: F.levenshtein(spelt(a, known), spelt(b, known)))
 
 
 def text_error(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", compose: bool = True) -> DataFrame:
@@ -41,7 +27,7 @@ def text_error(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", compose: bo
     rate = lambda a, b: F.when(F.length(a) > 0, F.levenshtein(a, b) / F.length(a))
     out = t.withColumns({
         "cer": rate("_r", "_h"), "cer_no_leader": rate("_rl", "_hl"), "cer_nospace": rate("_rs", "_hs"), "raw_cer": rate(ref, hyp),
-        "wer": F.when(F.size("_rw") > 0, _word_distance(F.col("_rw"), F.col("_hw")) / F.size("_rw")), "char_overlap": char_overlap(F.col("_rs"), F.col("_hs")),
+        "wer": F.when(F.size("_rw") > 0, word_distance(F.col("_rw"), F.col("_hw")) / F.size("_rw")), "char_overlap": char_overlap(F.col("_rs"), F.col("_hs")),
     })
     return out.drop("_r", "_h", "_rl", "_hl", "_rs", "_hs", "_rw", "_hw")
 
@@ -61,7 +47,8 @@ def field_match(pairs: DataFrame, fields: list[str], compose: bool = True) -> Da
     """Wide rows with gold_<f> and pred_<f> -> (field, exact, normalised, reason, n)."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f"gold_{f}"), F.lit("")).alias("g"), F.coalesce(F.col(f"pred_{f}"), F.lit("")).alias("p")) for f in fields])).alias("x")
     rows = pairs.select(each).select("x.*").withColumns({"gn": normalize_field(F.col("g"), compose), "pn": normalize_field(F.col("p"), compose)})
-    reason = F.when(F.col("gn") == F.col("pn"), "일치").when(F.col("p") == "", "미추출").when(F.col("g") == "", "정답없음").when(F.col("gn").contains(F.col("pn")), "부분일치(추출값이 정답의 일부)").when(F.col("pn").contains(F.col("gn")), "부분일치(추출값이 정답보다 김)").otherwise("불일치")
+    said = fixed.REASONS
+    reason = F.when(F.col("gn") == F.col("pn"), said["same"]).when(F.col("p") == "", said["missing"]).when(F.col("g") == "", said["no_truth"]).when(F.col("gn").contains(F.col("pn")), said["part"]).when(F.col("pn").contains(F.col("gn")), said["more"]).otherwise(said["other"])
     scored = rows.withColumn("reason", reason)
     return scored.groupBy("field", "reason").agg(F.count("*").alias("n"), F.count_if(F.col("g") == F.col("p")).alias("exact"), F.count_if(F.col("gn") == F.col("pn")).alias("normalised"))
 
@@ -137,12 +124,13 @@ def location_check(points: DataFrame, pages: DataFrame, pattern: str = "[가-힣
     return shared.groupBy(id_col).agg(F.count_if(F.col("page").isNotNull()).alias("checked"), F.count_if(F.coalesce(F.when(F.col("page").isNotNull(), ok), F.lit(False))).alias("correct"), F.count_if(F.col("page").isNull()).alias("missing_page"))
 
 
-def draft_score(draft: Column, gold_sections: Column, phrases: Column, gold_body: Column) -> Column:
-    """struct(sections, section_hits, phrases, phrase_hits, length_ratio): headings match by their first six characters."""
-    body = strip_spaces(draft)
-    heads = F.filter(gold_sections, lambda s: body.contains(F.substring(strip_spaces(s), 1, 6)))
+def draft_score(draft: Column, actual: Column, phrases: Column, letter: str = "[가-힣]") -> Column:
+    """struct(sections, section_hits, phrases, phrase_hits, length_ratio) of a draft beside the actual text: a heading counts if
+    its first six characters stand in the draft's headings."""
+    wanted, got = sections(actual, letter=letter), F.array_join(sections(draft, letter=letter), " ")
+    heads = F.filter(wanted, lambda s: got.contains(F.substring(s, 1, 6)))
     said = F.filter(phrases, lambda p: draft.contains(p))
-    return F.struct(F.size(gold_sections).alias("sections"), F.size(heads).alias("section_hits"), F.size(phrases).alias("phrases"), F.size(said).alias("phrase_hits"), F.when(F.length(gold_body) > 0, F.length(draft) / F.length(gold_body)).otherwise(F.lit(0.0)).alias("length_ratio"))
+    return F.struct(F.size(wanted).alias("sections"), F.size(heads).alias("section_hits"), F.size(phrases).alias("phrases"), F.size(said).alias("phrase_hits"), (F.length(draft) / F.greatest(F.length(actual), F.lit(1))).alias("length_ratio"))
 
 
 def confusion(rows: DataFrame, gold: str, pred: str) -> DataFrame:
@@ -170,3 +158,104 @@ def delegation_impact(outcomes: DataFrame, diff: DataFrame, org: str = "org", ok
     """Wrong cells in organisations whose rules differ -> (org, cells, wrong)."""
     touched = diff.filter("status <> 'same'").select(org).distinct()
     return outcomes.join(touched, org, "left_semi").groupBy(org).agg(F.count("*").alias("cells"), F.count_if(~F.col(ok)).alias("wrong"))
+
+
+def rule_items(chains: DataFrame, teams: DataFrame, extra: DataFrame, cooperation: DataFrame, bands: DataFrame) -> DataFrame:
+    """A set of rules as comparable items -> (org, item, value): drafter, approver, team leads, extra reviews, cooperating
+    titles, and amount bands (org, work_type or null, amount_min, amount_max, final_title)."""
+    text = lambda c, none: F.coalesce(F.col(c).cast("string"), F.lit(none))
+    band = F.concat(text("work_type", "*"), F.lit("|"), text("amount_min", "None"), F.lit("~"), text("amount_max", "None"), F.lit("→"), "final_title")
+    of = lambda df, item, value: df.select("org", F.lit(item).alias("item"), value.alias("value"))
+    parts = [
+        of(chains, fixed.ROLES[0], F.col("draft")), of(chains, fixed.ROLES[2], F.col("approve")), of(teams, "팀장", F.col("lead")), of(extra, "추가경유", F.concat_ws("→", "work_type", "title")),
+        of(cooperation, fixed.ROLES[3], F.explode("titles")), of(bands, "전결구간", band),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.filter(F.coalesce("value", F.lit("")) != "").distinct()
+
+
+def items_diff(induced: DataFrame, official: DataFrame) -> DataFrame:
+    """Two sets of rule_items -> (org, item, both, only_induced, only_official), of organisations that both know."""
+    sides = induced.withColumn("a", F.lit(True)).join(official.withColumn("b", F.lit(True)), ["org", "item", "value"], "full_outer")
+    of = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("value"))))
+    known = induced.select("org").distinct().join(official.select("org").distinct(), "org")
+    grouped = sides.groupBy("org", "item").agg(of(F.expr("a and b")).alias("both"), of(F.expr("a and b is null")).alias("only_induced"), of(F.expr("b and a is null")).alias("only_official"))
+    return grouped.join(known, "org", "left_semi")
+
+
+def diff_totals(diff: DataFrame) -> DataFrame:
+    """items_diff's rows -> one row (official_items, coverage_ratio, overgeneralised, conflict): a conflict is a drafter or approver that both sides name differently."""
+    single = F.col("item").isin(fixed.ROLES[0], fixed.ROLES[2]) & (F.size("only_induced") > 0) & (F.size("only_official") > 0)
+    sums = diff.agg(F.sum(F.size("both") + F.size("only_official")).alias("official_items"), F.sum(F.size("both")).alias("covered"), F.sum(F.size("only_induced")).alias("overgeneralised"), F.count_if(single).alias("conflict"))
+    return sums.select("official_items", F.when(F.col("official_items") > 0, F.round(F.col("covered") / F.col("official_items"), 4)).alias("coverage_ratio"), "overgeneralised", "conflict")
+
+
+def diff_table(diff: DataFrame) -> DataFrame:
+    """Changed items as lines of a table in markdown -> (org, item, line)."""
+    said = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("-")
+    changed = diff.filter((F.size("only_induced") > 0) | (F.size("only_official") > 0))
+    return changed.select("org", "item", F.concat(F.lit("| "), F.concat_ws(" | ", "org", "item", said("both"), said("only_induced"), said("only_official")), F.lit(" |")).alias("line"))
+
+
+def summary_checks(items: DataFrame, pages: DataFrame, points: DataFrame, names: list[str], id_col: str = "doc_id") -> DataFrame:
+    """items(id, slot, value) of a summary, pages(id, page_no, text), points(id, n, value, page) -> (id, tokens, ungrounded,
+    rate, names_in_output, checked, correct, missing_page, length_ratio): everything that is checked of a summary."""
+    from docketry.functions.masking import name_pattern
+
+    source = pages.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda s: s["text"]), "\n").alias("source"))
+    said = items.join(source, id_col).withColumn("h", hallucination(F.col("value"), F.col("source")))
+    out = said.groupBy(id_col).agg(F.sum("h.tokens").alias("tokens"), F.sum("h.ungrounded").alias("ungrounded"), F.array_join(F.array_sort(F.collect_list("value")), " ").alias("text"), F.first("source").alias("source"))
+    hits = [F.col("text").rlike("(?U)" + name_pattern([n])).cast("int") for n in names if len(n) >= 2]
+    found = out.withColumn("names_in_output", sum(hits, F.lit(0))).join(location_check(points, pages, id_col=id_col), id_col, "left").na.fill(0, ["checked", "correct", "missing_page"])
+    rate = F.when(F.col("tokens") > 0, F.col("ungrounded") / F.col("tokens")).otherwise(F.lit(0.0))
+    return found.select(id_col, "tokens", "ungrounded", rate.alias("rate"), "names_in_output", "checked", "correct", "missing_page", F.round(F.length("text") / F.greatest(F.length("source"), F.lit(1)), 4).alias("length_ratio"))
+
+
+def case_summary(cases: DataFrame, *by: str) -> DataFrame:
+    """Scores of cases (by, title_match, name_match, count_match) -> one row for each group: cases, means, perfect titles."""
+    mean = lambda c: F.round(F.avg(c), 4).alias(f"{c}_mean")
+    return cases.groupBy(*by).agg(F.count("*").alias("cases"), mean("title_match"), mean("name_match"), mean("count_match"), F.count_if(F.col("title_match") == 1.0).alias("title_perfect"))
+
+
+def case_summaries(cases: DataFrame, first: str, second: str) -> DataFrame:
+    """case_summary by the first column alone and by both, in one pass; a null second column stands for all."""
+    means = [F.round(F.avg(c), 4).alias(f"{c}_mean") for c in ("title_match", "name_match", "count_match")]
+    return cases.groupingSets([[first], [first, second]], first, second).agg(F.count("*").alias("cases"), *means, F.count_if(F.col("title_match") == 1.0).alias("title_perfect"))
+
+
+def type_means(pages: DataFrame, kind: str, *metrics: str) -> DataFrame:
+    """Means by kind of page, rounded to four digits."""
+    return pages.groupBy(kind).agg(F.count("*").alias("pages"), *[F.round(F.avg(m), 4).alias(m) for m in metrics])
+
+
+def micro_macro(cases: DataFrame, hits: str, wanted: str, *by: str) -> DataFrame:
+    """Hits over wanted in all (micro), and the mean of the cases' ratios (macro); 0 where nothing was wanted."""
+    ratio = F.when(F.col(wanted) > 0, F.col(hits) / F.col(wanted)).otherwise(F.lit(0.0))
+    micro = F.when(F.sum(wanted) > 0, F.sum(hits) / F.sum(wanted)).otherwise(F.lit(0.0))
+    return cases.groupBy(*by).agg(F.round(micro, 4).alias("micro"), F.round(F.avg(ratio), 4).alias("macro"))
+
+
+def wins(scores: DataFrame, round_col: str, name: str, score: str, candidate: str) -> DataFrame:
+    """How often the candidate's mean score of a round is no less than any other's -> (rounds, won)."""
+    means = scores.groupBy(round_col, name).agg(F.avg(score).alias("m"))
+    rounds = means.groupBy(round_col).agg(F.max(F.when(F.col(name) == candidate, F.col("m"))).alias("own"), F.max(F.when(F.col(name) != candidate, F.col("m"))).alias("best"))
+    return rounds.agg(F.count("*").alias("rounds"), F.count_if(F.coalesce(F.col("own") >= F.col("best"), F.col("own").isNotNull())).alias("won"))
+
+
+def title_counts(cells: DataFrame, title: str = "title") -> DataFrame:
+    return cells.filter(F.coalesce(title, F.lit("")) != "").groupBy(title).agg(F.count("*").alias("n"))
+
+
+def decidable(rows: DataFrame, level: str = "pred_level", least: int = 4) -> DataFrame:
+    """Of final_verdict's rows those that predict a high level -> (n, correct)."""
+    high = F.coalesce(F.col(level), F.lit(0)) >= least
+    return rows.agg(F.count_if(high).alias("n"), F.count_if(high & (F.col("verdict") == "same")).alias("correct"))
+
+
+def document_scores(pages: DataFrame, id_col: str = "doc_id", order: str = "page_no", compose: bool = True) -> DataFrame:
+    """Scores of whole documents: their pages (ref, hyp) put together and compared once, which is not the mean of the pages."""
+    whole = pages.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(order, F.coalesce("ref", F.lit("")).alias("ref"), F.coalesce("hyp", F.lit("")).alias("hyp")))).alias("ps"))
+    joined = lambda c: F.array_join(F.transform("ps", lambda p: p[c]), "\n\n")
+    return text_error(whole.select(id_col, F.size("ps").alias("pages"), joined("ref").alias("ref"), joined("hyp").alias("hyp")), compose=compose)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions import fixed
+
 
 def latest(rows: DataFrame, keys: list[str], *recency: str) -> DataFrame:
     """Latest row of each key; recency columns compare as they are, the last should be unique."""
@@ -13,12 +15,16 @@ def latest(rows: DataFrame, keys: list[str], *recency: str) -> DataFrame:
 
 
 def copy_latest_other(rows: DataFrame, group: str, value: str, *recency: str) -> DataFrame:
-    """Adds `copied`: the value of the latest other row of the group; null for a row alone."""
-    w = Window.partitionBy(group).orderBy(*[F.desc_nulls_last(c) for c in recency])
-    first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    n = F.row_number().over(w)
-    second = F.nth_value(value, 2).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.withColumn("copied", F.when(n == 1, second).otherwise(first))
+    """Adds `copied`: the value of the latest other row of the group; null for a row alone. recency tells rows apart.
+
+    The two latest rows of a group come from partial aggregates; no task orders a group.
+    """
+    r = F.struct(*recency)
+    of = lambda name: F.max(F.struct(r.alias("r"), F.col(value).alias("v"))).alias(name)
+    first = rows.groupBy(group).agg(of("a"))
+    second = rows.join(first, group).filter(r < F.col("a.r")).groupBy(group).agg(of("b"))
+    both = first.join(second, group, "left")
+    return rows.join(both, group, "left").withColumn("copied", F.when(r == F.col("a.r"), F.col("b.v")).otherwise(F.col("a.v"))).drop("a", "b")
 
 
 def mode(rows: DataFrame, keys: list[str], value: str, *recency: str) -> DataFrame:
@@ -33,16 +39,25 @@ def vote_without_self(rows: DataFrame, keys: list[str], value: str, *recency: st
     Totals minus self: each key's distinct values are held with their count and their two latest rows,
     and a row looks at that list once. Work is rows times distinct values, not rows squared.
     """
+    joined = rows.join(vote_lists(rows, keys, value, *recency), keys)
+    return joined.withColumn("_b", best_without("_vs", F.col(value), F.struct(*recency))).withColumn("voted", F.col("_b.v")).withColumn("votes", F.coalesce(F.col("_b.n"), F.lit(0))).drop("_vs", "_b")
+
+
+def vote_lists(rows: DataFrame, keys: list[str], value: str, *recency: str) -> DataFrame:
+    """-> (keys, _vs): each key's distinct values with their count and their two latest rows."""
     r = F.struct(*recency)
     w = Window.partitionBy(*keys, value).orderBy(*[F.desc(c) for c in recency])
-    two = rows.select(*keys, value, r.alias("r"), F.row_number().over(w).alias("n")).filter("n <= 2")
-    latest_two = two.groupBy(*keys, value).agg(F.max(F.when(F.col("n") == 1, F.col("r"))).alias("r1"), F.max(F.when(F.col("n") == 2, F.col("r"))).alias("r2"))
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("n")).join(latest_two, [*keys, value])
-    lists = counted.groupBy(*keys).agg(F.collect_list(F.struct("n", "r1", "r2", F.col(value).alias("v"))).alias("_vs"))
-    own = lambda s: s["v"] == F.col(value)
-    left = lambda s: F.struct((s["n"] - own(s).cast("int")).alias("n"), F.when(own(s) & (s["r1"] == r), s["r2"]).otherwise(s["r1"]).alias("r"), s["v"].alias("v"))
-    best = F.array_max(F.filter(F.transform("_vs", left), lambda s: s["n"] > 0))
-    return rows.join(lists, keys).withColumn("_b", best).withColumn("voted", F.col("_b.v")).withColumn("votes", F.coalesce(F.col("_b.n"), F.lit(0))).drop("_vs", "_b")
+    two = rows.select(*keys, value, r.alias("_r"), F.row_number().over(w).alias("_i")).filter("_i <= 2")
+    latest_two = two.groupBy(*keys, value).agg(F.max(F.when(F.col("_i") == 1, F.col("_r"))).alias("_r1"), F.max(F.when(F.col("_i") == 2, F.col("_r"))).alias("_r2"))
+    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n")).join(latest_two, [*keys, value])
+    return counted.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_r1").alias("r1"), F.col("_r2").alias("r2"), F.col(value).alias("v"))).alias("_vs"))
+
+
+def best_without(lists: str, own: Column, r: Column, has: Column | None = None) -> Column:
+    """struct(n, r, v): the most frequent value of a list but for the own row; of equal ones the latest. has: whether there is an own row."""
+    is_own = lambda s: (F.coalesce(s["v"] == own, F.lit(False)) if has is None else has & (s["v"] == own))
+    left = lambda s: F.struct((s["n"] - is_own(s).cast("int")).alias("n"), F.when(is_own(s) & (s["r1"] == r), s["r2"]).otherwise(s["r1"]).alias("r"), s["v"].alias("v"))
+    return F.array_max(F.filter(F.transform(lists, left), lambda s: s["n"] > 0))
 
 
 def grouped_at_least(rows: DataFrame, key: str | Column, least: int = 2) -> DataFrame:
@@ -58,15 +73,15 @@ def reference_sweep(rows: DataFrame, group: str, value: str, sizes: list[int], *
     Only groups with the largest size plus one rows count, so that all sizes share their cases. A
     row's n latest others are among the group's n + 1 latest rows, so a group is cut down to these first.
     """
-    most = max(sizes)
+    most, r = max(sizes), F.struct(*recency)
     w = Window.partitionBy(group).orderBy(*[F.desc(c) for c in recency])
-    ranked = rows.withColumn("_n", F.row_number().over(w))
-    heads = ranked.filter(F.col("_n") <= most + 1).groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), F.col(value).alias("v")))).alias("_h")).filter(F.size("_h") == most + 1)
-    cases = ranked.join(heads, group).select(group, value, "_n", "_h")
+    ranked = rows.select(group, r.alias("r"), F.col(value).alias("v"), F.row_number().over(w).alias("n")).filter(F.col("n") <= most + 1)
+    heads = ranked.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("n", "r", "v"))).alias("_h")).filter(F.size("_h") == most + 1)
+    cases = rows.select(group, value, r.alias("_r")).join(heads, group)
 
     def vote(k: int) -> Column:
         # places 0.. of the k latest others; of equal counts the smallest place wins
-        others = F.slice(F.filter("_h", lambda h: h["n"] != F.col("_n")), 1, k)
+        others = F.slice(F.filter("_h", lambda h: h["r"] != F.col("_r")), 1, k)
         counted = F.transform(others, lambda h: F.struct(F.size(F.filter(others, lambda o: o["v"] == h["v"])).alias("c"), (-h["n"]).alias("n"), h["v"].alias("v")))
         return F.array_max(counted)["v"]
 
@@ -82,10 +97,10 @@ def induce_final(rows: DataFrame, org: str, work_type: str, value: str, *recency
 
 def exclusive_words(docs: DataFrame, org: str, team: str, words: str, most: int = 12) -> DataFrame:
     """-> (org, team, word, n, rank): words that one team alone uses, most frequent first, ties by word."""
-    each = docs.select(org, team, F.explode(F.array_distinct(words)).alias("word")).groupBy(org, team, "word").agg(F.count("*").alias("n"))
-    sole = each.groupBy(org, "word").agg(F.count("*").alias("teams")).filter("teams = 1").select(org, "word")
+    each = docs.select(org, F.col(team).alias("_t"), F.explode(F.array_distinct(words)).alias("word"))
+    sole = each.groupBy(org, "word").agg(F.min("_t").alias(team), F.max("_t").alias("_last"), F.count("*").alias("n")).filter(F.col(team) == F.col("_last"))
     w = Window.partitionBy(org, team).orderBy(F.desc("n"), "word")
-    return each.join(sole, [org, "word"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select(org, team, "word", "n", "rank")
+    return sole.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select(org, team, "word", "n", "rank")
 
 
 def induce_teams(docs: DataFrame, org: str = "org", reviewer: str = "reviewer", words: str = "words") -> DataFrame:
@@ -100,3 +115,48 @@ def induce_teams(docs: DataFrame, org: str = "org", reviewer: str = "reviewer",
 def mostly_empty(rows: DataFrame, key: str, value: str) -> DataFrame:
     """-> (key, empty): true if over half of the values are empty."""
     return rows.groupBy(key).agg((F.count_if(F.coalesce(F.col(value), F.lit("")) == "") * 2 > F.count("*")).alias("empty"))
+
+
+def _of_role(cells: DataFrame, role: str) -> DataFrame:
+    return cells.filter((F.col("role") == role) & (F.coalesce("title", F.lit("")) != "") & (F.col("title") != fixed.NO_CELL))
+
+
+def induce_chains(docs: DataFrame, cells: DataFrame) -> DataFrame:
+    """docs(doc_id, org, date, doc_no), cells(doc_id, role, pos, title, name) -> (org, observed_docs, draft, approve,
+    review_slots, name_empty): the usual drafter and approver, the usual number of reviewers (latest on ties), and whether
+    most approvers' names are left empty."""
+    own = docs.select("doc_id", "org", "date", "doc_no")
+    draft = _of_role(cells, fixed.ROLES[0]).groupBy("doc_id").agg(F.min_by("title", "pos").alias("draft")).join(own, "doc_id")
+    last = _of_role(cells, fixed.ROLES[2]).groupBy("doc_id").agg(F.max_by(F.struct("title", "name"), "pos").alias("l")).select("doc_id", F.col("l.title").alias("approve"), F.col("l.name").alias("name")).join(own, "doc_id")
+    slots = own.join(_of_role(cells, fixed.ROLES[1]).groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("org", "date", "doc_no", F.coalesce("n", F.lit(0)).alias("review_slots"))
+    empty = last.groupBy("org").agg((F.count_if(F.coalesce("name", F.lit("")).isin("", fixed.NO_CELL)) * 2 > F.count("*")).alias("name_empty"))
+    out = own.groupBy("org").agg(F.count("*").alias("observed_docs"))
+    for part, value in ((draft, "draft"), (last, "approve"), (slots, "review_slots")):
+        out = out.join(mode(part, ["org"], value, "date", "doc_no").select("org", value), "org", "left")
+    return out.join(empty, "org", "left").na.fill(False, ["name_empty"])
+
+
+def induce_extra_review(docs: DataFrame, cells: DataFrame, chains: DataFrame) -> DataFrame:
+    """docs with work_type -> (org, work_type, title, observed_docs): reviewers beyond the usual number."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
+    reviews = _of_role(cells, fixed.ROLES[1]).select("doc_id", "title", place.alias("place"))
+    beyond = reviews.join(docs.select("doc_id", "org", "work_type"), "doc_id").join(chains.select("org", "review_slots"), "org").filter("place > review_slots")
+    return beyond.groupBy("org", "work_type", "title").agg(F.count("*").alias("observed_docs"))
+
+
+def induce_cooperation(docs: DataFrame, cells: DataFrame, words: str = "words") -> DataFrame:
+    """docs with work_type and words -> (org, titles, work_types, triggers, observed_docs): documents of the same
+    cooperating titles make one rule; its triggers are words that no document of the organisation without cooperation has."""
+    titles = _of_role(cells, fixed.ROLES[3]).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda s: s["title"]).alias("titles"))
+    own = docs.select("doc_id", "org", "work_type", F.array_distinct(words).alias("ws"))
+    plain = own.join(titles, "doc_id", "left_anti").select("org", F.explode("ws").alias("w")).distinct()
+    with_ = own.join(titles, "doc_id")
+    rules = with_.groupBy("org", "titles").agg(F.array_sort(F.collect_set("work_type")).alias("work_types"), F.count("*").alias("observed_docs"))
+    triggers = with_.select("org", "titles", F.explode("ws").alias("w")).join(plain, ["org", "w"], "left_anti").groupBy("org", "titles").agg(F.array_sort(F.collect_set("w")).alias("triggers"))
+    return rules.join(triggers, ["org", "titles"], "left").select("org", "titles", "work_types", F.coalesce("triggers", F.array().cast("array<string>")).alias("triggers"), "observed_docs")
+
+
+def induce_acting(docs: DataFrame, cells: DataFrame, chains: DataFrame, mark: str = "대결") -> DataFrame:
+    """-> (org, slot, by, observed_docs): who signed in whose place, where a cell's note says so."""
+    noted = cells.filter(F.col("note").contains(mark)).join(docs.select("doc_id", "org"), "doc_id").join(chains.select("org", F.col("approve").alias("slot")), "org")
+    return noted.groupBy("org", "slot", F.col("title").alias("by")).agg(F.count("*").alias("observed_docs"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,87 +51,153 @@ def idf(posts: DataFrame, sizes: DataFrame, pool: list[str] = ()) -> DataFrame:
     return raw.select(*pool, "term", "avgdl", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-#: Vectors or queries that may stand on the broadcast side of an exact search, and cells of a queries' matrix (32 MB).
+#: Queries of a block, which travel to all tasks, and cells of a matrix that a task makes at once (32 MB).
 MOST_QUERIES = 20_000
 MOST_CELLS = 4_000_000
+#: Distinct terms that a task counts before it hands them on.
+MOST_TERMS = 300_000
+_SPACE = re.compile(r"\s+")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query", id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
-    """-> (query, rank, id, score): the k best documents of each query, ties to the smaller id.
-
-    Documents without a query term score 0 and are returned if fewer than k have one. Only postings of
-    terms that some query has are joined; they are pruned before the shuffle if the distinct query
-    terms were counted to be few.
-    """
-    posts = postings(docs, id_col, text_col)
-    # the total length follows from the postings, so that texts are cut into tokens once
-    total = posts.agg(F.sum("tf").alias("all")).crossJoin(docs.agg(F.count("*").alias("n")))
-    sizes = total.select("n", (F.col("all") / F.col("n")).alias("avgdl"))
-    asked = queries.select(query_id, F.explode(tokenize(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
-    weights = idf(posts, sizes)
-    norm = F.lit(fixed.BM25_K1) * (F.lit(1 - fixed.BM25_B) + F.lit(fixed.BM25_B) * F.col("dl") / F.col("avgdl"))
-    part = F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / (F.col("tf") + norm)
-    weighted = posts.join(weights.join(asked.select("term").distinct(), "term", "left_semi"), "term").select(id_col, "term", part.alias("w"))
-    terms, n = (asked.select("term").distinct().limit(MOST_CELLS + 1).count(), queries.limit(MOST_QUERIES + 1).count())
-    if 0 < terms * n <= MOST_CELLS:
-        scores = _in_blocks(weighted, asked, k, query_id, id_col, digits)
-        return top_with_zeros(scores, queries.select(query_id).distinct(), docs.select(id_col), k, query_id, id_col)
-    scores = weighted.join(asked, "term").groupBy(query_id, id_col).agg(F.round(F.sum(F.col("w") * F.col("qtf")), digits).alias("score"))
-    return top_with_zeros(scores, queries.select(query_id).distinct(), docs.select(id_col), k, query_id, id_col)
-
+def terms_of(text: str | None) -> list[str]:
+    """tokenize() in Python: words, then the bigrams of the text without white space."""
+    words = _SPACE.sub(" ", text or "").strip(" ")
+    flat = words.replace(" ", "")
+    return [*filter(None, words.split(" ")), *map(add, flat, flat[1:])]
 
-def _in_blocks(weighted: DataFrame, asked: DataFrame, k: int, query_id: str, id_col: str, digits: int) -> DataFrame:
-    """Scores as products of blocks of documents with the queries' matrix; each block keeps its k best of each query.
 
-    Most query terms are bigrams that nearly every document has, so that a join makes a row for almost
-    every document, query and term. The matrix has MOST_CELLS cells at most; blocks have 256 documents.
-    """
-    rows = asked.collect()
-    at = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
-    ids = sorted({r[query_id] for r in rows})
-    place = {q: i for i, q in enumerate(ids)}
-    matrix = np.zeros((len(at), len(ids)))
-    for r in rows:
-        matrix[at[r["term"]], place[r[query_id]]] = r["qtf"]
-    index = weighted.sparkSession.createDataFrame(list(at.items()), "term string, i int")
-    kinds = dict(weighted.dtypes) | dict(asked.dtypes)
-    by_doc = weighted.join(F.broadcast(index), "term").groupBy(id_col).agg(F.collect_list(F.struct("i", "w")).alias("ws"))
-    held, kind = weighted.sparkSession.sparkContext.broadcast(matrix), asked.schema[query_id].dataType
+def _term_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """-> (term, df); of the term null, n is the number of documents and df that of all their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, names = held.value, np.array(ids, dtype=object)
-        kind_q = to_arrow_type(kind)
+        held: Counter[str | None] = Counter()
+        n = 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64()), pa.array([n if t is None else 0 for t in held], pa.int64())], names=["term", "df", "n"])
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                lists, docs = part.column(1), np.array(part.column(0).to_pylist(), dtype=object)
-                flat = lists.flatten()
-                row = np.repeat(np.arange(len(docs)), np.diff(np.asarray(lists.offsets)))
-                x = np.zeros((len(docs), len(m)))
-                x[row, np.asarray(flat.field(0))] = np.asarray(flat.field(1))
-                scores = np.round(x @ m, digits)
-                order = np.argsort(docs, kind="stable")
-                best = order[np.argsort(-scores[order], axis=0, kind="stable")[:k]]
-                got = np.take_along_axis(scores, best, axis=0)
-                keep = got != 0
-                q = np.broadcast_to(np.arange(len(names)), best.shape)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(list(names[q]), kind_q), pa.array(list(docs[best[keep]]), part.column(0).type), pa.array(got[keep])], names=[query_id, id_col, "score"])
-
-    out = by_doc.mapInArrow(run, f"`{query_id}` {kinds[query_id]}, `{id_col}` {kinds[id_col]}, score double")
-    return out
-
-
-def top_with_zeros(scores: DataFrame, queries: DataFrame, ids: DataFrame, k: int, query_id: str, id_col: str) -> DataFrame:
-    """Ranks scores; queries with fewer than k rows are filled up with unscored ids, smallest first.
-
-    A query with m < k scored rows needs at most k of the smallest 2 k ids, so only these are offered.
+            for text in batch.column(0):
+                ts = terms_of(text.as_py())
+                held[None] += len(ts)
+                n += 1
+                held.update(set(ts))
+            if len(held) > MOST_TERMS:
+                yield made()
+                held, n = Counter(), 0
+        yield made()
+
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, df long, n long")
+    return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+
+
+def _blocks(queries: DataFrame, query_id: str, most: int) -> list[DataFrame]:
+    n = -(-queries.count() // most)
+    return [queries] if n <= 1 else [queries.filter(F.pmod(F.xxhash64(query_id), F.lit(n)) == b) for b in range(n)]
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query", id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
+    """-> (query, rank, id, score): the k best of all documents for each query, ties to the smaller id. A document without a
+    term of the query scores 0, and comes before those whose terms have negative weights.
+
+    Document frequencies are counted within tasks before the shuffle. Queries travel in blocks; each task scores its
+    documents as products of matrices and hands on its k best for each query.
     """
+    counts = _term_counts(docs, text_col).cache()
+    whole = counts.filter("term is null").agg(F.sum("n").alias("n"), F.sum("df").alias("size")).first()
+    n, size = whole["n"] or 0, whole["size"] or 0
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = counts.filter("term is not null").select("term", raw.alias("raw"))
+    floor = fixed.BM25_EPSILON * (terms.agg(F.avg("raw")).first()[0] or 0.0)
+    kinds = dict(docs.dtypes) | dict(queries.dtypes)
+    spark, found = docs.sparkSession, None
+    for block in _blocks(queries.select(query_id, query_text), query_id, MOST_QUERIES):
+        asked = sorted((r[query_id], Counter(terms_of(r[query_text]))) for r in block.collect())
+        wanted = spark.createDataFrame([(t,) for t in sorted({t for _, ts in asked for t in ts})], "term string")
+        weights = {r["term"]: r["raw"] if r["raw"] >= 0 else floor for r in terms.join(F.broadcast(wanted), "term").collect()}
+        scorer = _Bm25(asked, weights, size / n if n else 1.0, k, digits, (kinds[query_id], queries.schema[query_id].dataType), (kinds[id_col], docs.schema[id_col].dataType), query_id, id_col)
+        part = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(scorer.run, scorer.schema)
+        found = part if found is None else found.unionByName(part)
+    counts.unpersist()
+    return ranked(found, k, query_id, id_col)
+
+
+def ranked(scores: DataFrame, k: int, query_id: str, id_col: str) -> DataFrame:
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    ranked = scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    short = queries.join(ranked.groupBy(query_id).agg(F.count("*").alias("m")), query_id, "left").filter(F.coalesce("m", F.lit(0)) < k).select(query_id)
-    spare = short.crossJoin(F.broadcast(ids.distinct().orderBy(id_col).limit(2 * k))).join(ranked.select(query_id, id_col), [query_id, id_col], "left_anti").withColumn("score", F.lit(0.0))
-    both = ranked.drop("rank").unionByName(spare)
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_id, "rank", id_col, "score")
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_id, "rank", id_col, "score")
+
+
+class _Best:
+    """The k best (score, id) for each of n queries over blocks of rows; ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.ids = k, [np.empty(0)] * n, [[] for _ in range(n)]
+
+    def take(self, scores: np.ndarray, ids: list, first: int = 0) -> None:
+        """scores: rows by queries first, first + 1 and so on; ids ascend."""
+        k, rows = self.k, len(ids)
+        if not rows:
+            return
+        cut = np.partition(scores, rows - min(k, rows), axis=0)[rows - min(k, rows)]
+        for q in range(scores.shape[1]):
+            at = np.flatnonzero(scores[:, q] >= cut[q])
+            at = at[np.argsort(-scores[at, q], kind="stable")][:k]
+            both = [*zip(self.scores[first + q], self.ids[first + q]), *((scores[i, q], ids[i]) for i in at)]
+            both.sort(key=lambda x: (-x[0], x[1]))
+            self.scores[first + q], self.ids[first + q] = np.array([x[0] for x in both[:k]]), [x[1] for x in both[:k]]
+
+
+class _Bm25:
+    def __init__(self, asked: list, weights: dict[str, float], average: float, k: int, digits: int, query_kind: tuple, id_kind: tuple, query_id: str, id_col: str):
+        self.asked, self.weights, self.average, self.k, self.digits = asked, weights, average or 1.0, k, digits
+        self.kinds, self.names = (query_kind[1], id_kind[1]), [query_id, id_col, "score"]
+        self.schema = f"`{query_id}` {query_kind[0]}, `{id_col}` {id_kind[0]}, score double"
+
+    def _slices(self) -> Iterator[tuple[int, list]]:
+        """Runs of queries whose terms by queries stay under MOST_CELLS."""
+        start, seen = 0, set()
+        for i, (_, ts) in enumerate(self.asked):
+            more = seen | ts.keys()
+            if i > start and len(more) * (i + 1 - start) > MOST_CELLS:
+                yield start, self.asked[start:i]
+                start, more = i, set(ts)
+            seen = more
+        yield start, self.asked[start:]
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k1, b = fixed.BM25_K1, fixed.BM25_B
+        slices = [(start, part, {t: i for i, t in enumerate(sorted({t for _, ts in part for t in ts if t in self.weights}))}) for start, part in self._slices()]
+        known, best, single = set(self.weights), _Best(len(self.asked), self.k), None
+        for batch in batches:
+            order = sorted(range(batch.num_rows), key=lambda i, ids=batch.column(0).to_pylist(): ids[i])
+            for at in range(0, len(order), 512):
+                part = batch.take(pa.array(order[at : at + 512], pa.int64()))
+                ids, rows = part.column(0).to_pylist(), []
+                for text in part.column(1):
+                    ts = terms_of(text.as_py())
+                    norm = k1 * (1 - b + b * len(ts) / self.average)
+                    rows.append([(t, self.weights[t] * c * (k1 + 1) / (c + norm)) for t, c in Counter(t for t in ts if t in known).items()])
+                for start, asked, place in slices:
+                    x = np.zeros((len(rows), len(place)))
+                    for i, row in enumerate(rows):
+                        hits = [(place[t], w) for t, w in row if t in place]
+                        if hits:
+                            x[i, [h[0] for h in hits]] = [h[1] for h in hits]
+                    if single is None or len(slices) > 1:
+                        single = np.zeros((len(place), len(asked)))
+                        for q, (_, ts) in enumerate(asked):
+                            for t, c in ts.items():
+                                if t in place:
+                                    single[place[t], q] = c
+                    best.take(np.round(x @ single, self.digits), ids, start)
+        yield best_rows(best, [q for q, _ in self.asked], self.kinds, self.names)
+
+
+def best_rows(best: _Best, queries: list, kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    sizes = [len(x) for x in best.ids]
+    return pa.RecordBatch.from_arrays([
+        pa.array([q for q, n in zip(queries, sizes) for _ in range(n)], to_arrow_type(kinds[0])), pa.array([i for x in best.ids for i in x], to_arrow_type(kinds[1])),
+        pa.array(np.concatenate([np.empty(0), *best.scores])),
+    ], names=names)
 
 
 def unit(vector: Column) -> Column:
@@ -142,15 +210,53 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def vectors(queries: DataFrame, data: DataFrame, k: int, query_id: str = "query_id", id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, same_id: bool = False) -> DataFrame:
-    """-> (query, rank, id, score): exact cosine top k. The stated query set is broadcast after its size was checked."""
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; search in parts")
-    q = queries.select(F.col(query_id), unit(F.col(vector_col)).alias("_q"))
-    pairs = data.select(id_col, unit(F.col(vector_col)).alias("_v")).join(F.broadcast(q), F.lit(True) if same_id else F.col(query_id) != F.col(id_col))
-    scored = pairs.select(query_id, id_col, F.round(dot(F.col("_q"), F.col("_v")), digits).alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_id, "rank", id_col, "score")
+    """-> (query, rank, id, score): exact cosine top k. A query meets vectors of its own length, and, unless same_id, no row of
+    its own id; a vector of zeros scores 0; null vectors take no part.
+
+    Queries travel in blocks; each task multiplies its vectors with them and hands on its k best for each query.
+    """
+    kinds, found = dict(data.dtypes) | dict(queries.dtypes), None
+    types, names = (queries.schema[query_id].dataType, data.schema[id_col].dataType), [query_id, id_col, "score"]
+    rows = data.select(id_col, F.col(vector_col).cast("array<double>").alias("_v")).filter("_v is not null")
+    for block in _blocks(queries.select(query_id, F.col(vector_col).cast("array<double>").alias("_v")).filter("_v is not null"), query_id, MOST_QUERIES):
+        by_length: dict[int, list] = {}
+        for q, v in sorted(((r[query_id], r["_v"]) for r in block.collect()), key=lambda x: x[0]):
+            by_length.setdefault(len(v), []).append((q, v))
+
+        def run(batches: Iterator[pa.RecordBatch], asked=by_length) -> Iterator[pa.RecordBatch]:
+            held = {d: (_units(np.array([v for _, v in part]).reshape(len(part), d)), [q for q, _ in part], _Best(len(part), k)) for d, part in asked.items()}
+            for batch in batches:
+                sizes = np.diff(np.asarray(batch.column(1).offsets)) if batch.num_rows else np.empty(0, int)
+                for d in set(sizes.tolist()) & set(held):
+                    unit_q, ids_q, best = held[d]
+                    part = batch.take(pa.array(np.flatnonzero(sizes == d)))
+                    ids = part.column(0).to_pylist()
+                    order = sorted(range(len(ids)), key=ids.__getitem__)
+                    x = _units(np.asarray(part.column(1).flatten(), np.float64).reshape(len(ids), d))[order]
+                    ids = [ids[i] for i in order]
+                    step = max(1, MOST_CELLS // max(1, len(ids)))
+                    for at in range(0, len(ids_q), step):
+                        scores = np.round(x @ unit_q[at : at + step].T, digits)
+                        if not same_id:
+                            place = {q: i for i, q in enumerate(ids_q[at : at + step])}
+                            for r, own in enumerate(ids):
+                                if own in place:
+                                    scores[r, place[own]] = -np.inf
+                        best.take(scores, ids, at)
+            for unit_q, ids_q, best in held.values():
+                for i, s in enumerate(best.scores):
+                    keep = s > -np.inf
+                    best.scores[i], best.ids[i] = s[keep], [x for x, ok in zip(best.ids[i], keep) if ok]
+                yield best_rows(best, ids_q, types, names)
+
+        part = rows.mapInArrow(run, f"`{query_id}` {kinds[query_id]}, `{id_col}` {kinds[id_col]}, score double")
+        found = part if found is None else found.unionByName(part)
+    return ranked(found, k, query_id, id_col)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1.0)
 
 
 def fuse(lists: list[DataFrame], k: int, query_id: str = "query_id", id_col: str = "doc_id", constant: int = fixed.RRF_K, digits: int = 9) -> DataFrame:
@@ -180,15 +286,42 @@ def lexical_overlap(a: Column, b: Column) -> Column:
     return F.when(F.size(own) > 0, F.size(F.array_intersect(a, own)) / F.size(own)).otherwise(F.lit(0.0))
 
 
-def holders(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "query", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_QUERIES) -> DataFrame:
-    """-> (query, id): the documents that contain each query's text. Queries are broadcast in blocks of `most`, about."""
-    blocks = max(1, -(-queries.count() // most))
-    out = None
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) if blocks > 1 else queries
-        part = docs.select(id_col, text_col).join(F.broadcast(block.select(query_id, query_text)), F.col(text_col).contains(F.col(query_text))).select(query_id, id_col)
-        out = part if out is None else out.unionByName(part)
-    return out
+def holders(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "query", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """-> (query, id): the documents that contain each query's text. Queries travel in blocks; a task reads each of its texts
+    once for all of them, by an automaton where one is installed."""
+    kinds, types, found = dict(docs.dtypes) | dict(queries.dtypes), (queries.schema[query_id].dataType, docs.schema[id_col].dataType), None
+    for block in _blocks(queries.select(query_id, query_text).filter(F.col(query_text).isNotNull()), query_id, MOST_QUERIES):
+        by_text: dict[str, list] = {}
+        for r in block.collect():
+            by_text.setdefault(r[query_text], []).append(r[query_id])
+
+        def run(batches: Iterator[pa.RecordBatch], wanted=by_text) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_type
+
+            within = _finder(list(wanted))
+            for batch in batches:
+                pairs = [(q, ident) for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)) if text.is_valid for t in within(text.as_py()) for q in wanted[t]]
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], to_arrow_type(types[i])) for i in (0, 1)], names=[query_id, id_col])
+
+        part = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{query_id}` {kinds[query_id]}, `{id_col}` {kinds[id_col]}")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _finder(texts: list[str]):
+    """text -> which of the texts it contains."""
+    always, rest = [t for t in texts if not t], [t for t in texts if t]
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [*always, *(t for t in rest if t in text)]
+    automaton = ahocorasick.Automaton()
+    for t in rest:
+        automaton.add_word(t, t)
+    if not rest:
+        return lambda text: always
+    automaton.make_automaton()
+    return lambda text: [*always, *{t for _, t in automaton.iter(text)}]
 
 
 def self_at(hits: DataFrame, truth: DataFrame, ks: list[int], query_id: str = "query_id", id_col: str = "doc_id") -> DataFrame:
@@ -228,3 +361,66 @@ def candidates(queries: DataFrame, rules: DataFrame, k: int = 5, common: str = "
     every = queries.select("query_id", "dept").join(pooled.select("dept", "rid"), "dept").join(scored, ["query_id", "dept", "rid"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rid")
     return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "rid", "score")
+
+
+def item_chunks(items: DataFrame, least: int = 300, most: int = 4_000) -> DataFrame:
+    """items(item_id, source, kind, body) -> (chunk_id, doc_id, org, doc_type, text): one chunk an item, short bodies left out, long ones cut."""
+    kept = items.filter(F.length("body") >= least)
+    return kept.select(F.col("item_id").alias("chunk_id"), F.col("item_id").alias("doc_id"), F.col("source").alias("org"), F.col("kind").alias("doc_type"), F.substring("body", 1, most).alias("text"))
+
+
+def filtered_hits(hits: DataFrame, keep: Column, k: int, query_id: str = "query_id") -> DataFrame:
+    """Of ranked hits, fetched deeper than needed, the first k that `keep` holds for, ranked anew."""
+    w = Window.partitionBy(query_id).orderBy("rank")
+    return hits.filter(keep).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def cut_then_filter(hits: DataFrame, keep: Column, first: int, k: int, query_id: str = "query_id") -> DataFrame:
+    """The variant that cuts to the first hits before it filters, and so may return fewer than k."""
+    return filtered_hits(hits.filter(F.col("rank") <= first), keep, k, query_id)
+
+
+def draft_search_scores(hits: DataFrame, org: str = "org", doc_type: str = "doc_type", target_org: str = "target_org", target_type: str = "target_type", query_id: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """Hits with their own and the target's organisation and type -> (query, same_org_at_3, same_type_at_3, distinct_docs_at_5)."""
+    top3 = F.col("rank") <= 3
+    return hits.filter("rank <= 5").groupBy(query_id).agg(
+        F.count_if(top3 & (F.col(org) == F.col(target_org))).alias("same_org_at_3"), F.coalesce(F.max(top3 & (F.col(doc_type) == F.col(target_type))), F.lit(False)).alias("same_type_at_3"),
+        F.count_distinct(doc).alias("distinct_docs_at_5"),
+    )
+
+
+def candidate_recall(gold: DataFrame, hits: DataFrame, key: str = "query_id", rids: str = "rids", rid: str = "rid") -> DataFrame:
+    """gold(key, rids), hits(key, rank, rid) -> one row (labelled, candidate_recall, pick_correct): rows without a true id don't count."""
+    found = hits.groupBy(key).agg(F.collect_set(rid).alias("c"), F.min_by(rid, "rank").alias("top"))
+    labelled = gold.filter(F.size(rids) > 0).join(found, key)
+    return labelled.agg(F.count("*").alias("labelled"), F.count_if(F.arrays_overlap(rids, "c")).alias("candidate_recall"), F.count_if(F.array_contains(rids, F.col("top"))).alias("pick_correct"))
+
+
+def route_by_duties(docs: DataFrame, teams: DataFrame, id_col: str = "doc_id", chars: int = 800) -> DataFrame:
+    """docs(id, dept, title, body), teams(dept, ord, team, duties) -> (id, team, score): the department's team whose duties score
+    best by BM25 among the department's own; the first on ties, so every document of a department with teams gets one."""
+    posts = postings(teams, "ord", "duties", pool=["dept"])
+    sizes = teams.select("dept", F.size(tokenize(F.col("duties"))).alias("dl")).groupBy("dept").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    weights = idf(posts, sizes, ["dept"])
+    text = F.concat("title", F.lit(" "), F.substring("body", 1, chars))
+    asked = docs.select(id_col, "dept", F.explode(tokenize(text)).alias("term")).groupBy(id_col, "dept", "term").agg(F.count("*").alias("qtf"))
+    norm = F.lit(fixed.BM25_K1) * (F.lit(1 - fixed.BM25_B) + F.lit(fixed.BM25_B) * F.col("dl") / F.col("avgdl"))
+    score = F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / (F.col("tf") + norm))
+    scored = asked.join(weights, ["dept", "term"]).join(posts, ["dept", "term"]).groupBy(id_col, "ord").agg(F.round(score, 6).alias("score"))
+    every = docs.select(id_col, "dept").join(teams.select("dept", "ord", "team"), "dept").join(scored, [id_col, "ord"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return every.groupBy(id_col).agg(F.max_by(F.struct("team", "score"), F.struct("score", -F.col("ord"))).alias("b")).select(id_col, "b.team", "b.score")
+
+
+def make_retriever(chunks_: DataFrame, embedded: DataFrame | None = None, id_col: str = "chunk_id", text_col: str = "text"):
+    """The search that fits what there is: BM25, or, with embeddings (id, embedding), its fusion with vectors.
+
+    -> search(queries (query_id, query[, embedding]), k).
+    """
+
+    def search(queries: DataFrame, k: int) -> DataFrame:
+        by_words = bm25(queries, chunks_, 4 * k if embedded is not None else k, id_col=id_col, text_col=text_col)
+        if embedded is None:
+            return by_words
+        return fuse([by_words, vectors(queries, embedded, 4 * k, id_col=id_col, same_id=True)], k, id_col=id_col)
+
+    return search

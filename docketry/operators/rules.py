@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions import fixed
+from docketry.functions.extract import labelled_amount
+
 #: Rows that a literal rule table may have, and rows of keyed rules that are broadcast.
 MOST_RULES = 2_000
 MOST_KEYS = 50_000
@@ -89,12 +92,12 @@ def acting(slots: DataFrame, spells: DataFrame, slot_col: str = "slot", day_col:
 
 
 def merge_equal(rows: DataFrame, keys: list[str], order: str, value: str, joined: str, separator: str = "+") -> DataFrame:
-    """Runs of equal values become one row: (keys, seq, value, joined texts, n)."""
+    """Runs of equal values become one row: (keys, seq, value, joined texts, n, first: the order of its first row)."""
     w = Window.partitionBy(*keys).orderBy(order)
     flagged = rows.withColumn("_new", F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1))
     runs = flagged.withColumn("seq", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.transform(F.sort_array(F.collect_list(F.struct(order, joined))), lambda s: s[joined])
-    return runs.groupBy(*keys, "seq").agg(F.min(value).alias(value), F.array_join(parts, separator).alias(joined), F.count("*").alias("n"))
+    return runs.groupBy(*keys, "seq").agg(F.min(value).alias(value), F.array_join(parts, separator).alias(joined), F.count("*").alias("n"), F.min(order).alias("first"))
 
 
 def role_by_place(rows: DataFrame, keys: list[str], order: str, single: str = "기안", names: tuple[str, str, str] = ("기안", "검토", "결재")) -> DataFrame:
@@ -105,22 +108,35 @@ def role_by_place(rows: DataFrame, keys: list[str], order: str, single: str = "
 
 
 def slot_chain(requests: DataFrame, chart: DataFrame, spells: DataFrame, skip_deputy: list[str] = (), deputy_level: int = 4) -> DataFrame:
-    """Approval chain of each request up to its final level.
+    """Approval chain of each request up to its final level -> (req, seq, title, slot, evidence, acting_by, n, role).
 
-    requests: (req, dept, team, day, final_level); chart: (dept, team or null, slot, title, level).
-    Drafter (level 0) always stays. A spell in mode 'replace' puts the acting person's title in; in
-    mode 'annotate' the person's own slot goes and the slot keeps a note. Equal neighbours merge.
+    requests: (req, dept, team, day, final_level); chart: (dept, team or null, slot, title, level); the drafter
+    (level 0) always stays. spells: (ord, slot, by, from_date, to_date, mode), applied in their order: mode
+    'annotate' keeps the slot's title, notes who acts, and takes out the slots of that person's title; any other mode
+    puts the acting person's title in. Neighbours of equal titles, white space aside, merge.
     """
     slots = requests.join(chart.withColumnRenamed("team", "_team"), "dept").filter(F.col("_team").isNull() | (F.col("_team") == F.col("team")))
     slots = slots.filter((F.col("level") == 0) | (F.col("level") <= F.col("final_level")))
     if skip_deputy:
         slots = slots.filter(~((F.col("level") == deputy_level) & F.col("dept").isin(*skip_deputy)))
-    seen = acting(slots, spells)
-    noted = seen.filter(F.col("acting.mode") == "annotate").select("req", F.col("acting.by").alias("slot")).distinct()
-    kept = seen.join(noted, ["req", "slot"], "left_anti")
-    shown = kept.withColumn("title", F.when(F.col("acting.mode") == "replace", F.col("acting.by")).otherwise(F.col("title")))
-    merged = merge_equal(shown, ["req"], "level", "title", "slot")
-    return role_by_place(merged, ["req"], "seq")
+    cell = F.struct("level", "slot", "title", F.lit("org_chart").alias("evidence"), F.lit(None).cast("string").alias("acting_by"))
+    lines = slots.groupBy("req").agg(F.sort_array(F.collect_list(cell)).alias("cells"), F.first("day").alias("day"))
+    kind = "array<struct<level: int, slot: string, title: string, evidence: string, acting_by: string>>"
+
+    def applied(cells: Column, s: Column) -> Column:
+        mine = lambda c: c["slot"] == s["slot"]
+        fields = lambda c, title, evidence, by: F.struct(c["level"].alias("level"), c["slot"].alias("slot"), title.alias("title"), evidence.alias("evidence"), by.alias("acting_by"))
+        noted = lambda c: fields(c, c["title"], F.concat(c["evidence"], F.lit("+acting:"), s["by"]), s["by"])
+        put = lambda c: fields(c, s["by"], F.concat(F.lit("acting:"), s["slot"]), c["acting_by"])
+        stays = F.filter(cells, lambda c: mine(c) | (c["title"] != s["by"]))
+        annotated = F.transform(F.when(F.exists(cells, mine), stays).otherwise(cells), lambda c: F.when(mine(c), noted(c)).otherwise(c))
+        return F.when(s["mode"] == "annotate", annotated).otherwise(F.transform(cells, lambda c: F.when(mine(c), put(c)).otherwise(c))).cast(kind)
+
+    held = F.filter(literal_rules(spells, "ord"), lambda s: in_interval(F.col("day"), s["from_date"], s["to_date"]))
+    done = lines.select("req", F.posexplode(F.aggregate(held, F.col("cells").cast(kind), applied)).alias("place", "c")).select("req", "place", "c.*")
+    merged = merge_equal(done.withColumn("_flat", F.regexp_replace("title", r"(?U)\s+", "")), ["req"], "place", "_flat", "slot")
+    started = merged.join(done.select("req", F.col("place").alias("first"), "title", "evidence", "acting_by"), ["req", "first"])
+    return role_by_place(started.select("req", "seq", "title", "slot", "evidence", "acting_by", "n"), ["req"], "seq")
 
 
 def pick_team(docs: DataFrame, teams: DataFrame, id_col: str = "doc_id", title_col: str = "title", body_col: str = "body", body_chars: int = 1500) -> DataFrame:
@@ -185,11 +201,11 @@ def is_execution(title: Column, strong: tuple[str, ...], weak: tuple[str, ...],
     """A strong keyword decides; a weak one unless the title ends with what excludes it."""
     from docketry.functions.text import has_any, strip_spaces
 
-    flat = strip_spaces(title)
-    out = has_any(flat, weak)
+    flat, bare = strip_spaces(title), lambda ks: tuple("".join(k.split()) for k in ks)
+    out = has_any(flat, bare(weak))
     if excluded_ending:
         out = out & ~flat.rlike(excluded_ending)
-    return has_any(flat, strong) | out
+    return has_any(flat, bare(strong)) | out
 
 
 def roster_by_recency(cells: DataFrame) -> DataFrame:
@@ -199,6 +215,76 @@ def roster_by_recency(cells: DataFrame) -> DataFrame:
     return last.select("org", "title", "name", F.row_number().over(w).alias("rank"))
 
 
+def with_prior(routed: DataFrame, teams: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """pick_team's rows with lead and prior: no lead on ties and without a hit; prior is the organisation's team with the
+    most documents (teams: with observed_docs), the first on ties."""
+    often = teams.groupBy("org").agg(F.max_by("lead", F.struct("observed_docs", -F.col("ord"))).alias("prior"))
+    placed = routed.join(docs.select(id_col, "org"), id_col).join(often, "org", "left")
+    return placed.withColumn("lead", F.when(~F.col("tied"), F.col("team")))
+
+
+def execution(docs: DataFrame, bands: DataFrame, categories: list[tuple[str, tuple[str, ...], str]], labels: list[str], id_col: str = "doc_id") -> DataFrame:
+    """docs(id, title, body) of execution requests -> (id, category, amount, amount_label, row, level).
+
+    categories: (key, keywords, what the table's items say); bands: (rid, sheet, item, amount_min, amount_max,
+    final_level), of which the common sheets count; the first that holds the amount, over its lower bound and up to the upper one.
+    """
+    kind = execution_category(F.col("title"), [(key, words) for key, words, _ in categories])
+    found = labelled_amount(docs, labels, id_col, "body").withColumnRenamed("label", "amount_label")
+    said = F.create_map(*[F.lit(x) for key, _, table in categories for x in (key, table)])
+    rows = docs.select(id_col, kind.alias("category")).join(found, id_col, "left").withColumn("_said", said[F.col("category")])
+    rules = literal_rules(bands.filter(F.col("sheet").startswith(fixed.COMMON_SHEET)), "rid")
+    hit = first(rules, lambda r: r["item"].contains(F.col("_said")) & F.coalesce(open_low_closed_high(F.col("amount"), r["amount_min"], r["amount_max"]), F.lit(False)))
+    return rows.withColumn("_hit", F.when(F.col("amount").isNotNull(), hit)).select(id_col, "category", "amount", "amount_label", F.col("_hit.item").alias("row"), F.col("_hit.final_level").alias("level"))
+
+
+def decide_final(docs: DataFrame, executes: Column, executed: DataFrame, ranked: DataFrame, table: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """-> (id, source, category, amount, rid, row, level): execution requests by their amount, others by the best row of a search.
+
+    executes tells the branch; executed: what execution() gives; ranked: (id, rank, rid); table: (rid, sheet, item, final_level).
+    """
+    kinds = dict(executed.dtypes)
+    by_amount = docs.filter(executes).select(id_col).join(executed, id_col).select(id_col, F.lit("amount_bracket").alias("source"), "category", "amount", F.lit(None).cast("int").alias("rid"), "row", "level")
+    named = table.select("rid", F.concat(F.lit("["), "sheet", F.lit("] "), "item").alias("row"), F.col("final_level").alias("level"))
+    top = docs.filter(~executes).select(id_col).join(ranked.filter("rank = 1").select(id_col, "rid"), id_col).join(named, "rid")
+    by_row = top.select(id_col, F.lit("top1").alias("source"), F.lit(None).cast("string").alias("category"), F.lit(None).cast(kinds["amount"]).alias("amount"), F.col("rid").cast("int").alias("rid"), "row", "level")
+    return by_amount.unionByName(by_row)
+
+
+def team_lead(teams: DataFrame, requests: DataFrame) -> DataFrame:
+    """Adds lead to requests (req, dept, team): a title stays; a team's name gives the chart's lead, or its name as a title.
+
+    teams: (dept, team, lead).
+    """
+    known = teams.select("dept", "team", F.nullif("lead", F.lit("")).alias("_lead"))
+    joined = requests.join(known, ["dept", "team"], "left")
+    is_title = F.col("team").endswith("팀장") | F.col("team").endswith("소장")
+    return joined.withColumn("lead", F.when(F.col("team") == "", None).when(is_title, F.col("team")).otherwise(F.coalesce("_lead", F.concat("team", F.lit("장"))))).drop("_lead")
+
+
+def team_of_lead(teams: DataFrame, requests: DataFrame) -> DataFrame:
+    """Adds team to requests (req, dept, lead): the department's first team (by ord) with that lead, white space aside."""
+    flat = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    by_lead = teams.groupBy("dept", flat("lead").alias("_flat")).agg(F.min_by("team", "ord").alias("team"))
+    return requests.withColumn("_flat", flat("lead")).join(by_lead, ["dept", "_flat"], "left").drop("_flat")
+
+
+def confirmations(finals: DataFrame, cells: DataFrame, requests: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """What a drafter should confirm -> (id, what, why), from decide_final's rows, slot_chain's cells (by id) and requests
+    (id, dept_known, lead, lead_team)."""
+    level = F.create_map(*[F.lit(x) for kv in fixed.LEVEL_NAMES.items() for x in kv])[F.col("level")]
+    asks = F.array_compact(F.array(
+        F.when(F.col("level").isNull(), F.struct(F.lit("금액").alias("what"), F.col("category").alias("why"))),
+        F.when(F.col("level").isNotNull() & (F.col("source") != "amount_bracket"), F.struct(F.lit("전결 사무").alias("what"), F.col("row").alias("why"))),
+        F.when(F.col("level") < 5, F.struct(F.lit("상향 결재").alias("what"), level.alias("why"))),
+    ))
+    known = requests.filter("dept_known")
+    of_final = finals.join(known.select(id_col), id_col, "left_semi").select(id_col, F.explode(asks).alias("a")).select(id_col, "a.*")
+    of_team = known.filter("lead is not null and lead_team is null").select(id_col, F.lit("팀").alias("what"), F.col("lead").alias("why"))
+    of_cells = cells.filter(F.col("evidence").contains("acting")).select(id_col, F.lit("직무대리").alias("what"), F.concat("slot", F.lit(" → "), F.coalesce("acting_by", "title")).alias("why"))
+    return requests.filter("not dept_known").select(id_col, F.lit("부서").alias("what"), F.col("dept").alias("why")).unionByName(of_final).unionByName(of_team).unionByName(of_cells)
+
+
 def identify(people: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (req, name) against people (name, org, title) -> (req, status, org, title)."""
     found = requests.join(people.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("org", "title")).alias("p")), "name", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions import fixed
+
 
 def round_robin(rows: DataFrame, kind: str, order: Column | str, n: int) -> DataFrame:
     """n rows by turns over the kinds (in their order), each kind's rows in the given order."""
@@ -26,25 +28,46 @@ def resampled(rows: DataFrame, group: str, key: str, rounds: int, size: int, see
 
 
 def keyphrases(docs: DataFrame, id_col: str, text_col: str, pattern: str = "[가-힣]{2,}", stop: tuple[str, ...] = (), most: int = 20) -> DataFrame:
-    """-> (id, word, n, rank): most frequent words, ties by first appearance."""
-    found = docs.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(f"({pattern})"), F.lit(1))).alias("pos", "word"))
-    if stop:
-        found = found.filter(~F.col("word").isin(*stop))
-    counted = found.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.min("pos").alias("at"))
-    w = Window.partitionBy(id_col).orderBy(F.desc("n"), "at")
-    return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("at")
+    """-> (id, word, n, rank): most frequent words, ties by first appearance. Counted within the row, without a shuffle."""
+    counted = docs.select(id_col, F.posexplode(top_words(F.col(text_col), pattern, stop, most)).alias("p", "w"))
+    return counted.select(id_col, "w.word", F.col("w.n").cast("long").alias("n"), (F.col("p") + 1).alias("rank"))
+
+
+def top_words(text: Column, pattern: str = "[가-힣]{2,}", stop: tuple[str, ...] = fixed.DRAFT_STOP, most: int = 20) -> Column:
+    """array<struct(n, at, word)>: the words are sorted with their places, so that equal ones stand together."""
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    kept = F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i)["w"] != F.element_at(s, F.greatest(i - 1, F.lit(1)))["w"]))
+
+        def counted(at: Column) -> Column:
+            ends = F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(s) + 1))
+            return F.zip_with(at, ends, lambda a, e: F.struct((a - e).alias("less"), F.element_at(s, a)["at"].alias("at"), F.element_at(s, a)["w"].alias("word"), (e - a).alias("n")))
+
+        return F.slice(F.array_sort(once(starts, counted)), 1, most)
+
+    placed = F.array_sort(F.transform(kept, lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
+    kind = "array<struct<less: int, at: int, word: string, n: int>>"
+    return once(placed, lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast(kind)))
 
 
-def segments(entries: DataFrame, source: str, seq: str, page: str, last_reach: int = 12) -> DataFrame:
-    """Adds `until`: the page before the next entry's start, at least the own page; the last entry reaches on."""
+def segments(entries: DataFrame, source: str, seq: str, page: str, last_pages: int = fixed.LAST_BODY_PAGES, offset: str | None = None, page_count: str | None = None) -> DataFrame:
+    """Adds `first` and `until`: from the own page to that before the next entry's, one page at least; the last
+    entry has `last_pages` pages. offset: a column added to stated pages; page_count: one that bounds them.
+    """
     w = Window.partitionBy(source).orderBy(seq)
-    nxt = F.lead(page).over(w)
-    return entries.withColumn("until", F.when(nxt.isNull(), F.col(page) + last_reach).otherwise(F.greatest(F.col(page), nxt - 1)))
+    start = F.col(page) + (F.coalesce(F.col(offset), F.lit(0)) if offset else F.lit(0))
+    nxt = F.lead(start).over(w)
+    first = F.greatest(F.least(start, F.col(page_count)) if page_count else start, F.lit(1)) if page_count or offset else start
+    end = F.coalesce(nxt - 1, start + last_pages - 1)
+    return entries.withColumns({"first": first, "until": F.greatest(F.least(end, F.col(page_count)) if page_count else end, first)})
 
 
-def bodies(entries: DataFrame, pages: DataFrame, source: str, key: list[str], page: str = "page", text: str = "text") -> DataFrame:
+def bodies(entries: DataFrame, pages: DataFrame, source: str, key: list[str], text: str = "text") -> DataFrame:
     """Texts of the pages of each segment, in page order -> (*key, body)."""
-    joined = entries.withColumn("page_no", F.explode(F.sequence(page, "until"))).join(pages.select(source, "page_no", text), [source, "page_no"])
+    joined = entries.withColumn("page_no", F.explode(F.sequence("first", "until"))).join(pages.select(source, "page_no", text), [source, "page_no"])
     return joined.groupBy(source, *key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", text))), lambda s: s[text]), "\n").alias("body"))
 
 

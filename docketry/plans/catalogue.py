@@ -92,7 +92,7 @@ SELECT *, CASE WHEN count(*) OVER (PARTITION BY user_id) = 1 THEN '기안' WHEN
 """)
 def org_chain_merge(spark, d):
     rows = _t(spark, d, "events").select("user_id", "event_id", "event_type", F.col("event_id").cast("string").alias("ids"))
-    return rules.role_by_place(rules.merge_equal(rows, ["user_id"], "event_id", "event_type", "ids"), ["user_id"], "seq")
+    return rules.role_by_place(rules.merge_equal(rows, ["user_id"], "event_id", "event_type", "ids").drop("first"), ["user_id"], "seq")
 
 
 @query("""
@@ -362,9 +362,6 @@ def field_match(spark, d):
 
 
 # ---------------------------------------------------------------- text
-_DOTS = "·ᆞ•∙⋅・·‧"
-
-
 @query("""
 SELECT doc_id, trim(regexp_replace(translate(text, '“”„‟«»‘’‚‛【】〔〕［］「」『』〈〉《》ᆞ•∙⋅・·‧', '\"\"\"\"\"\"''''''''[][][][][]<><>·······'), '\\s+', ' ', 'g')) AS normalised FROM documents
 """)
@@ -378,8 +375,8 @@ s AS (SELECT doc_id, CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda x: le
 SELECT doc_id, short_ratio, lines, CASE WHEN length(regexp_replace(text, '[·ᆞ•∙⋅・‧․…‥]{3,}', '', 'g')) <= 0.85 * length(text) AND length(text) > 0 THEN 'toc' WHEN lines >= 10 AND short_ratio >= 0.6 THEN 'table' ELSE 'body_1col' END AS page_type FROM s
 """)
 def page_type_stats(spark, d):
-    s = text.short_line_ratio(F.col("text"))
-    return _t(spark, d, "documents").select("doc_id", s["ratio"].alias("short_ratio"), s["lines"].alias("lines"), text.page_type(F.col("text")).alias("page_type"))
+    stats = _t(spark, d, "documents").select("doc_id", text.page_stats(F.col("text")).alias("s"))
+    return stats.select("doc_id", F.col("s.short_line_ratio").alias("short_ratio"), "s.lines", "s.page_type")
 
 
 @query("""
@@ -439,7 +436,7 @@ def keyphrases(spark, d):
 
 
 @query("""
-SELECT conv_id, turn, CASE WHEN lead(turn) OVER w IS NULL THEN turn + 12 ELSE greatest(turn, lead(turn) OVER w - 1) END AS until FROM conversations WHERE role <> 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+SELECT conv_id, turn, turn AS "first", CASE WHEN lead(turn) OVER w IS NULL THEN turn + 11 ELSE greatest(turn, lead(turn) OVER w - 1) END AS until FROM conversations WHERE role <> 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 """)
 def toc_segments(spark, d):
     entries = _t(spark, d, "conversations").filter("role <> 'assistant'").select("conv_id", "turn")
@@ -468,12 +465,23 @@ def chunk_documents(spark, d):
     return retrieval.chunks(_t(spark, d, "documents"), separator="\n")
 
 
+@query("""
+WITH p AS (SELECT a.p_partkey, string_split(a.p_name, ' ') AS r, string_split(b.p_name, ' ') AS h FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1), k AS (SELECT *, list_distinct(list_concat(r, h)) AS known FROM p)
+SELECT p_partkey, levenshtein(array_to_string(list_transform(r, lambda w: chr(CAST(list_position(known, w) AS INTEGER))), ''), array_to_string(list_transform(h, lambda w: chr(CAST(list_position(known, w) AS INTEGER))), '')) / len(r) AS wer FROM k
+""")
+def name_word_errors(spark, d):
+    """Names have few words, so that SQL, whose distance counts bytes, can make a character of each."""
+    part = _t(spark, d, "part")
+    pairs = part.select("p_partkey", F.col("p_name").alias("ref")).join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("hyp")), "p_partkey")
+    return evaluate.text_error(pairs).select("p_partkey", "wer")
+
+
 @query()
 def word_error_rate(spark, d):
-    """Edit distance over words has no SQL form; tested against a plain loop."""
+    """Pairs of turns have too many words for SQL's distance, which counts bytes; tested against a plain loop."""
     turns = _t(spark, d, "conversations")
     pairs = turns.select("conv_id", "turn", F.col("text").alias("ref")).join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp")), ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", (evaluate._word_distance(text.words(F.col("ref")), text.words(F.col("hyp"))) / F.size(text.words(F.col("ref")))).alias("wer"))
+    return pairs.select("conv_id", "turn", (evaluate.word_distance(text.words(F.col("ref")), text.words(F.col("hyp"))) / F.size(text.words(F.col("ref")))).alias("wer"))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -610,3 +618,6 @@ SELECT doc_id, CASE w WHEN 'the' THEN 'goods' WHEN 'and' THEN 'works' WHEN 'ment
 def execution_category(spark, d):
     kinds = [("goods", ("the",)), ("works", ("and",)), ("service", ("ment",)), ("other", ())]
     return _t(spark, d, "documents").select("doc_id", rules.execution_category(F.lower("text"), kinds).alias("category"))
+
+
+from docketry.plans import more  # noqa: E402,F401  registers its queries

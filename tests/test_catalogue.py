@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from docketry.plans import catalogue
@@ -23,7 +24,7 @@ def duck():
 
 def plain(df):
     columns = sorted(df.columns)
-    fix = lambda v: None if v is None or v != v else (repr(float(v)) if isinstance(v, float) else str(v))
+    fix = lambda v: None if v is None or v is pd.NA or v != v else (repr(float(v)) if isinstance(v, float) else str(v))
     return columns, sorted([[fix(v) for v in row] for row in df[columns].astype(object).values.tolist()], key=str)
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from docketry.functions import text
-from docketry.operators import evaluate, history, layout, retrieval, rules, sampling
+from docketry.operators import evaluate, history, layout, predict, retrieval, rules, sampling
 from docketry.sources import files, sinks
 
 
@@ -33,7 +33,7 @@ def test_slot_chain(spark):
     chart = spark.createDataFrame([("d", "t", "s0", "주무관", 0), ("d", "t", "s1", "팀장", 1), ("d", None, "s2", "과장", 2), ("d", None, "s3", "국장", 3)], "dept string, team string, slot string, title string, level int")
     day = "date"
     req = spark.createDataFrame([(1, "d", "t", "2026-01-05", 2), (2, "d", "t", None, 3)], "req int, dept string, team string, day string, final_level int").withColumn("day", F.col("day").cast(day))
-    spells = spark.createDataFrame([("s2", "팀장", "2026-01-01", None, "replace")], "slot string, by string, from_date string, to_date string, mode string").withColumns({c: F.col(c).cast(day) for c in ("from_date", "to_date")})
+    spells = spark.createDataFrame([(0, "s2", "팀장", "2026-01-01", None, "replace")], "ord int, slot string, by string, from_date string, to_date string, mode string").withColumns({c: F.col(c).cast(day) for c in ("from_date", "to_date")})
     got = rules.slot_chain(req, chart, spells).orderBy("req", "seq").collect()
     assert [(r["req"], r["title"], r["slot"], r["role"]) for r in got] == [
         (1, "주무관", "s0", "기안"), (1, "팀장", "s1+s2", "결재"), (2, "주무관", "s0", "기안"), (2, "팀장", "s1", "검토"), (2, "과장", "s2", "검토"), (2, "국장", "s3", "결재"),
@@ -172,7 +172,7 @@ def test_word_distance(spark):
         return d[-1]
 
     df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "i int, x array<string>, y array<string>")
-    got = {r["i"]: r["d"] for r in df.select("i", evaluate._word_distance("x", "y").alias("d")).collect()}
+    got = {r["i"]: r["d"] for r in df.select("i", evaluate.word_distance(F.col("x"), F.col("y")).alias("d")).collect()}
     assert got == {i: slow(x, y) for i, (x, y) in enumerate(pairs)}
 
 
@@ -208,18 +208,24 @@ def test_verdicts_and_diff(spark):
 
 
 def test_layout(spark):
-    words = spark.createDataFrame([(1, 0, 10.0, 0.0, "과장"), (1, 1, 12.0, 20.0, "김철수"), (1, 2, 60.0, 0.0, "팀장"), (1, 3, 55.0, 25.0, "이영희"), (1, 4, 200.0, 20.0, "먼이름")], "doc_id int, word_id int, xc double, y double, text string")
-    got = {(r["title"], r["name"]) for r in layout.pair_cells(words, ["과장", "팀장"]).collect()}
-    assert got == {("과장", "김철수"), ("팀장", "이영희")}
-    spans = spark.createDataFrame([(1, 100.0, 5.0, 45.0), (1, 100.0, 55.0, 95.0), (2, 100.0, 5.0, 95.0)], "p int, page_width double, x0 double, x1 double")
-    assert rows_of(layout.gutter(spans, ["p"])) == [(1, True), (2, False)]
+    words = [(1, 0, 10.0, 0.0, "과장", 0.0), (1, 1, 12.0, 20.0, "김철수", 0.0), (1, 2, 60.0, 0.0, "팀장", 50.0), (1, 3, 55.0, 25.0, "이 영희", 50.0), (1, 4, 200.0, 20.0, "먼이름", 190.0), (1, 5, 300.0, 0.0, "국장", 290.0)]
+    words = spark.createDataFrame(words, "doc_id int, word_id int, xc double, y double, text string, xl double")
+    got = [(r["role"], r["title"], r["name"]) for r in layout.approval_cells(words, "top").orderBy("ord").collect()]
+    assert got == [("기안", "과장", "김철수"), ("검토", "팀장", "이영희"), ("결재", "국장", "")]
+    block = lambda p, a, b: (p, 100.0, float(a), float(b))
+    columns = [block(1, 5, 45), block(1, 55, 95), block(1, 5, 40), block(1, 58, 95)]
+    spans = [*columns, *[(2, *c[1:]) for c in columns[:3]], *[(3, *c[1:]) for c in columns], block(3, 5, 95), *[block(4, 60 + i, 95) for i in range(4)], *[block(5, 90 + i, 95) for i in range(4)]]
+    spans = spark.createDataFrame(spans, "p int, page_width double, x0 double, x1 double")
+    assert rows_of(layout.gutter(spans, ["p"])) == [(1, True), (2, False), (3, False), (4, True), (5, True)]
 
 
 def test_sampling(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4)], "k string, i int")
     assert [r["i"] for r in sampling.round_robin(df, "k", "i", 3).collect()] == [1, 4, 2]
     rows = spark.createDataFrame([("s", 1, 3), ("s", 2, 3), ("s", 3, 9)], "s string, seq int, page int")
-    assert [r["until"] for r in sampling.segments(rows, "s", "seq", "page").orderBy("seq").collect()] == [3, 8, 21]
+    assert [r["until"] for r in sampling.segments(rows, "s", "seq", "page").orderBy("seq").collect()] == [3, 8, 20]
+    moved = sampling.segments(rows.withColumns({"offset": F.lit(2), "pages": F.lit(12)}), "s", "seq", "page", offset="offset", page_count="pages").orderBy("seq").collect()
+    assert [(r["first"], r["until"]) for r in moved] == [(5, 5), (5, 10), (11, 12)]
     held = spark.createDataFrame([(1, "g", "x"), (2, None, None), (3, "h", ""), (4, None, None)], "n int, g string, i string").withColumn("k", F.lit(1))
     assert [(r["g"], r["i"]) for r in sampling.carry(held, ["k"], "n", "g", "i").orderBy("n").collect()] == [("g", "x"), ("g", "x"), ("h", ""), ("h", "")]
 
@@ -265,9 +271,60 @@ def test_page_type_with_gutter(spark):
     assert df.select(text.page_type(F.col("t"), F.col("g")).alias("p")).first()["p"] == "body_2col"
 
 
-def test_holders_of_all_queries_in_blocks(spark):
+def test_holders_of_all_queries_in_blocks(spark, monkeypatch):
     queries = spark.createDataFrame([(i, f"passage {i}.") for i in range(30)], "query_id long, query string")
     docs = spark.createDataFrame([(100 + i, f"text with passage {i}. and passage {i + 1}.") for i in range(30)], "doc_id long, text string")
     want = sorted([(i, 100 + i) for i in range(30)] + [(i + 1, 100 + i) for i in range(29)])
     for most in (4, 100):
-        assert sorted(map(tuple, retrieval.holders(queries, docs, most=most).collect())) == want
+        monkeypatch.setattr(retrieval, "MOST_QUERIES", most)
+        assert sorted(map(tuple, retrieval.holders(queries, docs).collect())) == want
+    assert sorted(retrieval._finder(["", "ab", "b"])("xab")) == ["", "ab", "b"] and retrieval._finder([""])("x") == [""]
+
+
+def test_bm25_with_negative_weights(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x y"), (2, "x y"), (3, "x y"), (4, "q"), (5, None)][:4], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "x"), (2, "q"), (3, "")], "query_id long, query string")
+    monkeypatch.setattr(retrieval, "tokenize", None)
+    for most, cells in ((20_000, 4_000_000), (1, 1), (20_000, 2)):
+        monkeypatch.setattr(retrieval, "MOST_QUERIES", most)
+        monkeypatch.setattr(retrieval, "MOST_CELLS", cells)
+        got = {}
+        for r in retrieval.bm25(asked, docs.repartition(3), 2).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+        assert got[1][0] == (4, 0.0) and got[1][1][0] == 1 and got[1][1][1] < 0
+        assert got[2][0][0] == 4 and got[2][0][1] > 0 and got[2][1] == (1, 0.0) and got[3] == [(1, 0.0), (2, 0.0)]
+
+
+def test_terms_agree(spark):
+    texts = ["가나 다", "a", "  ", "", "x\ty\u3000z", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.tokenize(F.col("t")).alias("ts")).collect()
+    assert {r["i"]: r["ts"] or [] for r in rows} == {i: retrieval.terms_of(t) for i, t in enumerate(texts)}
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(2 + i % 2)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0])]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / ((math.hypot(*a) or 1) * (math.hypot(*b) or 1))
+    want = sorted((q, r, i) for q, v in rows if v and q % 5 == 0 for r, i in enumerate(sorted((i for i, w in rows if w and len(w) == len(v) and i != q), key=lambda i: (-round(cos(v, rows[i][1]), 6) + 0.0, i))[:4], 1))
+    for most in (3, 20_000):
+        monkeypatch.setattr(retrieval, "MOST_QUERIES", most)
+        got = retrieval.vectors(data.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), data.repartition(3), 4)
+        assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == want
+
+
+def test_chain_annotations(spark):
+    chart = spark.createDataFrame([("d", None, "s0", "주무관", 0), ("d", None, "s3", "국장", 3), ("d", None, "s4", "부군수", 4), ("d", None, "s5", "군수", 5)], "dept string, team string, slot string, title string, level int")
+    req = spark.createDataFrame([(1, "d", "t", "2026-01-05", 5)], "req int, dept string, team string, day string, final_level int").withColumn("day", F.col("day").cast("date"))
+    spells = spark.createDataFrame([(0, "s4", "국 장", None, None, "replace"), (1, "s5", "국장", None, None, "annotate")], "ord int, slot string, by string, from_date string, to_date string, mode string").withColumns({c: F.col(c).cast("date") for c in ("from_date", "to_date")})
+    got = rules.slot_chain(req, chart, spells).orderBy("seq").collect()
+    assert [(r["title"], r["slot"], r["evidence"], r["acting_by"], r["role"]) for r in got] == [("주무관", "s0", "org_chart", None, "기안"), ("국 장", "s4", "acting:s4", None, "검토"), ("군수", "s5", "org_chart+acting:국장", "국장", "결재")]
+
+
+def test_robustness(spark):
+    docs = spark.createDataFrame([(i, i % 2, f"2026-01-{i + 1:02}", i) for i in range(16)], "doc_id int, org int, date string, doc_no int")
+    cells = spark.createDataFrame([(i, "기안", 0, f"t{i % 2}", "n") for i in range(16)], "doc_id int, role string, pos int, title string, name string")
+    got = predict.robustness(docs, cells, 3)
+    assert got.count() == 48 and got.filter("title_match = 1.0 and name_match = 1.0").count() == 48
+    again = sorted(map(tuple, got.collect()))
+    assert again == sorted(map(tuple, predict.robustness(docs.repartition(5), cells, 3).collect()))
