@@ -52,10 +52,10 @@ _END = "</w>"
 #: Moves the last character of a word to code points that nothing else has.
 _SHIFT = 0x2000
 #: Words in each of the two generations of a worker's cache, and the longest word that is kept.
-CACHE_WORDS = 80_000
+CACHE_WORDS = 160_000
 CACHE_LENGTH = 64
 #: Tests of neighbouring tokens that a worker keeps.
-CACHE_PAIRS = 150_000
+CACHE_PAIRS = 300_000
 
 
 def byte_alphabet() -> list[str]:
