@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java and Python forms of the word pattern that the contracts fix.
@@ -76,6 +76,48 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, other: str, hot:
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
+def joined_totals(rows: DataFrame, table: DataFrame, key: str, column: str, into: str | None = None, most: int = 50_000, salts: int = 64) -> DataFrame:
+    """rows with what `table`, one row for each value of its column `key`, says of their `column`, null matching null: as
+    columns, or as a struct `into`. The table is broadcast if it was counted to have at most `most` rows; else the few
+    values that hold a large part of the rows are dealt over tasks."""
+    rest = [c for c in table.columns if c != key]
+    other, packed, salt, own = (free_name(rows.columns, c) for c in ("_key", "_packed", "_salt", "_own"))
+    packing = table.select(F.col(key).alias(other), F.struct(*rest).alias(packed))
+    if table.limit(most + 1).count() <= most:
+        joined = rows.join(F.broadcast(packing), F.col(column).eqNullSafe(F.col(other)))
+    else:
+        hot = [x for x in hot_keys(rows.groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n")), "k") if x is not None]
+        is_hot = lambda c: F.coalesce(F.col(c).isin(hot), F.lit(True))
+        spread = packing.withColumn(salt, F.explode(F.when(is_hot(other), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+        dealt = F.when(is_hot(column), F.pmod(F.xxhash64(*[c for c in rows.columns if c != column]), F.lit(salts)).cast("int")).otherwise(0)
+        joined = rows.withColumn(own, dealt).join(spread, F.col(column).eqNullSafe(F.col(other)) & (F.col(own) == F.col(salt))).drop(own, salt)
+    if into is None:
+        return joined.select(*rows.columns, f"{packed}.*")
+    return joined.withColumn(into, F.col(packed)).drop(other, packed)
+
+
+def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """Adds _place (from 0) in the order of all rows, and for each of sums its total over the rows before.
+
+    Rows are dealt by ranges of the order; the driver gets one row of totals for each range.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stable(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_range").agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()]).orderBy("_range").collect()
+    before: dict[str, list] = {name: [0.0] * ranges for name in ("n", *sums)}
+    for name, held in before.items():
+        at = dict((r["_range"], r[name] or 0) for r in totals)
+        for i in range(1, ranges):
+            held[i] = held[i - 1] + float(at.get(i - 1, 0))
+    start = lambda name: F.element_at(F.array(*[F.lit(x) for x in before[name]]), F.col("_range") + 1)
+    within = Window.partitionBy("_range").orderBy(*order)
+    ahead = within.rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn("_place", (start("n") + F.row_number().over(within) - 1).cast("long"))
+    for name, c in sums.items():
+        out = out.withColumn(name, start(name) + F.coalesce(F.sum(c).over(ahead), F.lit(0.0)))
+    return out.drop("_range")
+
+
 def sample_of(rows: DataFrame, hashed: str, n: int, *by: str) -> list[dict]:
     """About n rows (of each group by the columns `by`) with distinct hashes, for a bounded sample on the driver.
 

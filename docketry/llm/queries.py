@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, extraction, fingerprints, knn, language, lm, mixing, simhash, toxicity, warc
-from docketry.llm.common import drop_folder, remainder, shared_folder, table, vocabulary
+from docketry.llm import bpe, codes, extraction, fingerprints, knn, language, lexical, lm, mixing, sharding, simhash, toxicity, warc
+from docketry.llm.common import drop_folder, remainder, shared_folder, stable, table, vocabulary
 
 
 def held_out(modulus: int, fold: int) -> Column:
@@ -93,6 +93,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return placed.select("doc_id", "place.size", "place.text_crc32", F.lit("bytes").alias("law"), "place.shard", "place.slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = stable(made.select("vec_id", "label", "compressed.*"))
+    return codes.with_sums(rows, "label", "error", "label_error").select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLE_OP3 = """
 WITH v AS (
   SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings
@@ -128,16 +143,50 @@ WITH sized AS (
   SELECT doc_id, sized.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
          CAST(('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
-), turned AS (
-  SELECT source, k, abs(sum(size * (floor(rate) + CASE WHEN CASE WHEN u + k / 32 >= 1 THEN u + k / 32 - 1 ELSE u + k / 32 END < rate - floor(rate) THEN 1 ELSE 0 END)) - max(target)) AS miss
-  FROM drawn, (SELECT CAST(range AS DOUBLE) AS k FROM range(32)) GROUP BY source, k
-), best AS (
-  SELECT source, arg_min(k, struct_pack(miss := miss, k := k)) AS k FROM turned GROUP BY source
 )
-SELECT doc_id, size, source_size, target,
-       CAST((floor(rate) + CASE WHEN CASE WHEN u + k / 32 >= 1 THEN u + k / 32 - 1 ELSE u + k / 32 END < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken
-FROM drawn JOIN best ON drawn.source IS NOT DISTINCT FROM best.source
+SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM drawn
+"""
+
+_ENTRIES_OP12 = """
+{to} AS MATERIALIZED (
+  SELECT p, j, list(z ORDER BY k) AS c FROM (
+    SELECT b.p, b.j, k, CASE WHEN count(a.x) = 0 THEN any_value(b.c[k]) ELSE CAST((sum(a.x[k]) - ((sum(a.x[k]) % count(a.x)) + count(a.x)) % count(a.x)) // count(a.x) AS BIGINT) END AS z
+    FROM {of} b CROSS JOIN LATERAL (SELECT unnest(range(1, len(b.c) + 1)) AS k) u LEFT JOIN {near} a ON a.p = b.p AND a.j = b.j GROUP BY b.p, b.j, k) GROUP BY p, j
+)"""
+_NEAR_OP12 = """
+{to} AS MATERIALIZED (
+  SELECT rid, p, any_value(x) AS x, min(d) AS d, arg_min(j, struct_pack(d := d, j := j)) AS j FROM (
+    SELECT a.rid, a.p, a.x, b.j, list_sum([(a.x[k] - b.c[k]) * (a.x[k] - b.c[k]) for k in range(1, len(b.c) + 1)]) AS d FROM cut a JOIN {of} b ON a.p = b.p) GROUP BY rid, p
+)"""
+ORACLE_OP12 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), cut AS MATERIALIZED (
+  SELECT rid, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM kept CROSS JOIN (SELECT range AS p FROM range(16))
+), b0 AS MATERIALIZED (SELECT p, rid - 1 AS j, x AS c FROM cut WHERE rid <= 64),
+{_NEAR_OP12.format(to="n0", of="b0")}, {_ENTRIES_OP12.format(to="b1", of="b0", near="n0")},
+{_NEAR_OP12.format(to="n1", of="b1")}, {_ENTRIES_OP12.format(to="b2", of="b1", near="n1")},
+{_NEAR_OP12.format(to="n2", of="b2")},
+made AS (SELECT rid, string_agg(lower(printf('%02x', j)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM n2 GROUP BY rid),
+told AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN made USING (rid) CROSS JOIN told
+"""
+
+_TERMS_OP13 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_OP13 = f"""
+WITH d AS (SELECT doc_id, {_TERMS_OP13} AS ts FROM documents),
+s AS (SELECT doc_id, ts, len(ts) AS n FROM d WHERE len(ts) > 0),
+c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM s),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS_OP13}) AS term FROM benchmark),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM s) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+r AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // l)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id
+), k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_knn": op3_knn, "op4_extraction": op4_extraction, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_language": op8_language, "op9_lm": op9_lm, "op10_fingerprints": op10_fingerprints}
-ORACLES: dict[str, str] = {"op3_knn": ORACLE_OP3, "op6_mixing": ORACLE_OP6}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_knn": op3_knn, "op4_extraction": op4_extraction, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_language": op8_language, "op9_lm": op9_lm, "op10_fingerprints": op10_fingerprints, "op11_sharding": op11_sharding, "op12_codes": op12_codes, "op13_lexical": op13_lexical}
+ORACLES: dict[str, str] = {"op3_knn": ORACLE_OP3, "op6_mixing": ORACLE_OP6, "op12_codes": ORACLE_OP12, "op13_lexical": ORACLE_OP13}
