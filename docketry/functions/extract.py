@@ -34,40 +34,52 @@ def amount_range(text: Column) -> Column:
     return F.struct(guarded("초과|이상").alias("lo"), guarded("이하|미만").alias("hi"))
 
 
-def labelled_amount(docs: DataFrame, labels: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> (id, amount, label): by priority of the labels, which may be spaced; amounts already paid are skipped.
-
-    Documents without a labelled amount in a line fall back on tables, where the label and the number
-    stand in lines of their own.
-    """
-    unit = F.create_map(*[F.lit(x) for kv in fixed.WON_UNITS.items() for x in kv])
-    tried = []
-    for rank, label in enumerate(labels):
+def _times(number: Column, unit: Column) -> Column:
+    return _number(number) * F.create_map(*[F.lit(x) for kv in fixed.WON_UNITS.items() for x in kv])[unit]
+
+
+def labelled(text: Column, labels: list[str]) -> Column:
+    """struct(amount, label), or null: by priority of the labels, which may be spaced. Amounts already paid, with the mark 기
+    among the two characters before the label, are skipped. Texts without a labelled amount in a line fall back on tables,
+    where the label and the number stand in lines of their own. All within the row."""
+    def hits(label: str) -> Column:
         spaced = r"\s*".join(f"\\Q{c}\\E" for c in label)
-        pattern = f"(?<!기)(?<!기.){spaced}{fixed.LABEL_GAP}"
-        hit = F.regexp_extract(F.col(text_col), _U + pattern, 1)
-        value = _number(F.nullif(hit, F.lit(""))) * unit[F.regexp_extract(F.col(text_col), _U + pattern, 2)]
-        tried.append(F.when(value.isNotNull(), F.struct(F.lit(rank).alias("rank"), value.alias("amount"), F.lit(label).alias("label"))))
-    found = docs.select(F.col(id_col), F.col(text_col), F.coalesce(*tried).alias("hit"))
-    direct = found.filter("hit is not null").select(id_col, "hit.amount", "hit.label")
-    rest = found.filter("hit is null")
-    table = table_amount(rest, labels, id_col, text_col)
-    return direct.unionByName(rest.select(id_col).join(table, id_col, "left"))
+        pattern = f"{_U}{spaced}{fixed.LABEL_GAP}"
+        part = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+        # what stands between the matches tells what stands before each
+        found = F.arrays_zip(part(1).alias("n"), part(2).alias("u"), F.split(text, pattern).alias("before"))
+        unpaid = F.filter(found, lambda z: z["n"].isNotNull() & ~F.right(z["before"], F.lit(2)).contains("기"))
+        return F.transform(unpaid, lambda z: F.struct(_times(z["n"], z["u"]).alias("amount"), F.lit(label).alias("label")))
 
+    direct = F.get(F.filter(F.concat(*map(hits, labels)), lambda z: z["amount"].isNotNull()), F.lit(0))
+    return F.coalesce(direct, in_table(text, labels))
 
-def table_amount(docs: DataFrame, labels: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> (id, amount, label) for a label's line followed within six lines by a line that is a number."""
-    unit = F.create_map(*[F.lit(x) for kv in fixed.WON_UNITS.items() for x in kv])
-    squeezed = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.regexp_replace(x, r"(?U)\(.*?\)|\s+", "")), lambda x: F.lit(True))
-    kept = F.filter(F.arrays_zip(F.split(F.col(text_col), "\n").alias("raw"), squeezed.alias("line")), lambda z: strip_spaces(z["raw"]) != "")
-    base = docs.select(id_col, F.coalesce(unit[_group(F.col(text_col), fixed.TABLE_UNIT)], F.lit(1)).alias("unit"), F.transform(kept, lambda z: z["line"]).alias("ls"))
+
+def in_table(text: Column, labels: list[str]) -> Column:
+    """struct(amount, label), or null: of a label's line followed within six lines by a line that is a number; in the unit that the
+    text states."""
     ranks = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i))])
-    at = base.select(id_col, "unit", "ls", F.posexplode("ls").alias("pos", "line")).filter(F.col("line").isin(*labels))
-    after = F.filter(F.slice("ls", F.col("pos") + 2, F.lit(6)), lambda x: x.rlike(fixed.NUMBER_LINE))
-    hit = at.withColumn("n", F.when(F.size(after) > 0, F.element_at(after, 1))).filter("n is not null")
-    best = hit.withColumn("o", F.struct(ranks[F.col("line")].alias("r"), "pos")).groupBy(id_col).agg(F.min_by(F.struct("line", "n", "unit"), "o").alias("b"))
-    value = _number(F.regexp_replace("b.n", "원$", "")) * F.col("b.unit")
-    return best.select(id_col, value.alias("amount"), F.concat("b.line", F.lit("(표)")).alias("label"))
+    bare = F.transform(F.filter(F.split(text, "\n"), lambda x: strip_spaces(x) != ""), lambda x: F.regexp_replace(x, r"(?U)\(.*?\)|\s+", ""))
+    unit = F.coalesce(_group(text, fixed.TABLE_UNIT), F.lit("원"))
+
+    def found(ls: Column) -> Column:
+        after = lambda i: F.get(F.filter(F.slice(ls, i + 2, F.lit(6)), lambda x: x.rlike(fixed.NUMBER_LINE)), F.lit(0))
+        spots = F.transform(ls, lambda x, i: F.when(x.isin(*labels), F.struct(ranks[x].alias("rank"), i.alias("at"), x.alias("label"), after(i).alias("n"))))
+        return F.array_min(F.filter(spots, lambda s: s["n"].isNotNull()))
+
+    once = F.element_at(F.transform(F.array(bare), found), 1)
+    value = _times(F.regexp_replace(once["n"], "원$", ""), unit)
+    return F.when(value.isNotNull(), F.struct(value.alias("amount"), F.concat(once["label"], F.lit("(표)")).alias("label")))
+
+
+def labelled_amount(docs: DataFrame, labels: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """-> (id, amount, label), null without a labelled amount."""
+    return docs.select(id_col, labelled(F.col(text_col), labels).alias("hit")).select(id_col, "hit.amount", "hit.label")
+
+
+def table_amount(docs: DataFrame, labels: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """-> (id, amount, label) of the documents that have one in a table."""
+    return docs.select(id_col, in_table(F.col(text_col), labels).alias("hit")).filter("hit is not null").select(id_col, "hit.amount", "hit.label")
 
 
 def dates(text: Column) -> Column:

@@ -620,4 +620,4 @@ def execution_category(spark, d):
     return _t(spark, d, "documents").select("doc_id", rules.execution_category(F.lower("text"), kinds).alias("category"))
 
 
-from docketry.plans import more  # noqa: E402,F401  registers its queries
+from docketry.plans import flows, more  # noqa: E402,F401  register their queries
