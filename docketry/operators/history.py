@@ -17,14 +17,14 @@ def latest(rows: DataFrame, keys: list[str], *recency: str) -> DataFrame:
 def copy_latest_other(rows: DataFrame, group: str, value: str, *recency: str) -> DataFrame:
     """Adds `copied`: the value of the latest other row of the group; null for a row alone. recency tells rows apart.
 
-    The two latest rows of a group come from partial aggregates; no task orders a group.
+    Each task hands on its two latest rows of a group; no task orders a group. Rows of the null group are a group.
     """
     r = F.struct(*recency)
-    of = lambda name: F.max(F.struct(r.alias("r"), F.col(value).alias("v"))).alias(name)
-    first = rows.groupBy(group).agg(of("a"))
-    second = rows.join(first, group).filter(r < F.col("a.r")).groupBy(group).agg(of("b"))
-    both = first.join(second, group, "left")
-    return rows.join(both, group, "left").withColumn("copied", F.when(r == F.col("a.r"), F.col("b.v")).otherwise(F.col("a.v"))).drop("a", "b")
+    w = Window.partitionBy(group).orderBy(*[F.desc_nulls_last(c) for c in recency])
+    two = rows.select(F.col(group).alias("_g"), r.alias("_r"), F.col(value).alias("_v"), F.row_number().over(w).alias("_i")).filter("_i <= 2")
+    held = lambda i: F.max(F.when(F.col("_i") == i, F.struct(F.col("_r").alias("r"), F.col("_v").alias("v"))))
+    both = two.groupBy("_g").agg(held(1).alias("a"), held(2).alias("b"))
+    return rows.join(both, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("copied", F.when(r.eqNullSafe(F.col("a.r")), F.col("b.v")).otherwise(F.col("a.v"))).drop("a", "b", "_g")
 
 
 def mode(rows: DataFrame, keys: list[str], value: str, *recency: str) -> DataFrame:
@@ -34,29 +34,40 @@ def mode(rows: DataFrame, keys: list[str], value: str, *recency: str) -> DataFra
 
 
 def vote_without_self(rows: DataFrame, keys: list[str], value: str, *recency: str) -> DataFrame:
-    """Adds `voted` and `votes`: the mode of all other rows of the key, ties to the latest.
+    """Adds `voted` and `votes`: the mode of all other rows of the key, ties to the latest; null and 0 for a row alone.
 
-    Totals minus self: each key's distinct values are held with their count and their two latest rows,
-    and a row looks at that list once. Work is rows times distinct values, not rows squared.
+    Totals minus self: a row's own vote can only take the first of its key's values down, below the second at most, so each key
+    keeps its two best values with their count and two latest rows. Work is in proportion to the rows. Null keys and values count.
     """
-    joined = rows.join(vote_lists(rows, keys, value, *recency), keys)
+    joined = by_keys(rows, vote_lists(rows, keys, value, *recency), keys)
     return joined.withColumn("_b", best_without("_vs", F.col(value), F.struct(*recency))).withColumn("voted", F.col("_b.v")).withColumn("votes", F.coalesce(F.col("_b.n"), F.lit(0))).drop("_vs", "_b")
 
 
+def by_keys(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys, of which null matches null."""
+    named = table.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(named, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def vote_lists(rows: DataFrame, keys: list[str], value: str, *recency: str) -> DataFrame:
-    """-> (keys, _vs): each key's distinct values with their count and their two latest rows."""
+    """-> (keys, _vs): each key's two most frequent values, of equal ones the latest, with their count and their two latest rows."""
     r = F.struct(*recency)
-    w = Window.partitionBy(*keys, value).orderBy(*[F.desc(c) for c in recency])
+    w = Window.partitionBy(*keys, value).orderBy(*[F.desc_nulls_last(c) for c in recency])
     two = rows.select(*keys, value, r.alias("_r"), F.row_number().over(w).alias("_i")).filter("_i <= 2")
     latest_two = two.groupBy(*keys, value).agg(F.max(F.when(F.col("_i") == 1, F.col("_r"))).alias("_r1"), F.max(F.when(F.col("_i") == 2, F.col("_r"))).alias("_r2"))
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n")).join(latest_two, [*keys, value])
-    return counted.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_r1").alias("r1"), F.col("_r2").alias("r2"), F.col(value).alias("v"))).alias("_vs"))
+    counted = by_keys(rows.groupBy(*keys, value).agg(F.count("*").alias("_n")), latest_two, [*keys, value])
+    best = Window.partitionBy(*keys).orderBy(F.desc("_n"), F.desc("_r1"))
+    first = counted.withColumn("_i", F.row_number().over(best)).filter("_i <= 2")
+    return first.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_r1").alias("r1"), F.col("_r2").alias("r2"), F.col(value).alias("v"))).alias("_vs"))
 
 
 def best_without(lists: str, own: Column, r: Column, has: Column | None = None) -> Column:
     """struct(n, r, v): the most frequent value of a list but for the own row; of equal ones the latest. has: whether there is an own row."""
-    is_own = lambda s: (F.coalesce(s["v"] == own, F.lit(False)) if has is None else has & (s["v"] == own))
-    left = lambda s: F.struct((s["n"] - is_own(s).cast("int")).alias("n"), F.when(is_own(s) & (s["r1"] == r), s["r2"]).otherwise(s["r1"]).alias("r"), s["v"].alias("v"))
+    is_own = lambda s: (s["v"].eqNullSafe(own) if has is None else has & s["v"].eqNullSafe(own))
+    left = lambda s: F.struct((s["n"] - is_own(s).cast("int")).alias("n"), F.when(is_own(s) & s["r1"].eqNullSafe(r), s["r2"]).otherwise(s["r1"]).alias("r"), s["v"].alias("v"))
     return F.array_max(F.filter(F.transform(lists, left), lambda s: s["n"] > 0))
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.operators import bundles, requests
+from docketry.operators import bundles, evaluate, predict, requests
 from docketry.plans.catalogue import _rows, _t, query
-from docketry.plans.more import _n, _said
+from docketry.plans.more import _VOTED, _docs_cells, _n, _said
 
 # ---------------------------------------------------------------- requests
 DEPARTMENTS = [("도로과", "건설도시국", "도로과장"), ("행정과", "행정안전국", "행정과장"), ("감사담당관", None, "감사담당관")]
@@ -117,3 +117,64 @@ SELECT req, ord, role, title FROM official UNION ALL SELECT req, CAST(row_number
 def request_lines(spark, d):
     """Approval lines of all branches."""
     return requests.lines(_handled(spark, d)).select("req", "ord", "role", "title")
+
+
+# ---------------------------------------------------------------- layered lines
+LAYERED = [
+    ("1", "manual", 1, None, "AF", 1, [], [(1, None, None, 200_000, "NO", "small")], "RF", False, [], None, []),
+    ("2", "manual", 1, "NO", "AF", 2, [("RF", ["가나"], 2), ("AF", ["다라"], 5)], [(1, None, None, None, "NO", "all")], None, True, [(None, "RF"), (["결과보고"], "NO")], [(["AF", "RF"], None, False, ["협의"])], []),
+]
+
+
+def _layered(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, cells = _docs_cells(spark, d)
+    total = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").cast("long").alias("amount"))
+    pick = F.element_at(F.array(F.lit("가 나 점검"), F.lit("다라 협 의"), F.lit("가나 다라"), F.lit("점검")), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = docs.join(total, "doc_id").withColumns({"org": (F.col("org") % 400).cast("string"), "title": pick, "body": _said("금 ", F.format_number("amount", 0), "원")}).drop("amount")
+    bundled = _rows(spark, LAYERED, bundles.SCHEMA).withColumn("org", F.explode(F.transform(F.sequence(F.lit(0), F.lit(132)), lambda i: (i * 3 + F.col("org").cast("int")).cast("string"))))
+    return docs, cells, predict.layered(docs, cells, bundled)
+
+
+_LAYERED = f"""
+{_VOTED.replace("o_custkey AS org", "o_custkey % 400 AS org")},
+x AS (SELECT o_orderkey AS doc_id, o_custkey % 400 AS org, CAST(floor(o_totalprice) AS BIGINT) AS amount, o_custkey % 400 % 3 AS b, (['가나점검', '다라협의', '가나다라', '점검'])[o_orderkey % 4 + 1] AS title FROM orders),
+e AS (SELECT *, CASE WHEN b = 2 THEN 'NO' WHEN amount <= 200000 THEN 'NO' ELSE 'RF' END AS fin, CASE WHEN title = '가나점검' THEN 'RF' WHEN title = '다라협의' THEN 'AF' END AS lead FROM x WHERE b > 0),
+one AS (SELECT e.*, v.title AS voted FROM e LEFT JOIN voted v ON v.doc_id = e.doc_id AND v.role = '기안' AND v.pos = 0),
+rev AS (
+  SELECT doc_id, 0 AS o, coalesce(lead, 'AF') AS title, CASE WHEN lead IS NULL THEN 'vote' ELSE 'rule' END AS src FROM e WHERE b = 2
+  UNION ALL SELECT doc_id, 1, 'RF', 'rule' FROM e WHERE b = 2 AND coalesce(lead, 'AF') <> 'RF'),
+got AS (SELECT doc_id, count(*) AS n FROM rev GROUP BY 1),
+more AS (SELECT e.doc_id, v.pos, v.title, row_number() OVER (PARTITION BY e.doc_id ORDER BY v.pos) AS i, coalesce(got.n, 0) AS n, CASE WHEN e.b = 2 THEN 2 ELSE 1 END AS want
+  FROM e JOIN voted v ON v.doc_id = e.doc_id AND v.role = '검토' AND v.title <> e.fin AND NOT (e.b = 2 AND v.title IN ('RF', 'AF')) LEFT JOIN got ON got.doc_id = e.doc_id),
+slots AS (
+  SELECT doc_id, '기안' AS role, 0 AS o, CASE WHEN b = 2 THEN 'NO' ELSE coalesce(voted, '') END AS title, CASE WHEN b = 2 THEN 'rule' ELSE 'vote' END AS src FROM one
+  UNION ALL SELECT doc_id, '검토', o, title, src FROM rev UNION ALL SELECT doc_id, '검토', 100 + pos, title, 'vote' FROM more WHERE i <= want - n
+  UNION ALL SELECT doc_id, '결재', 0, fin, 'rule' FROM e
+  UNION ALL SELECT doc_id, '협조', i, t, 'rule' FROM e CROSS JOIN (VALUES (0, 'AF'), (1, 'RF')) c(i, t) WHERE b = 2 AND title = '다라협의'
+  UNION ALL SELECT e.doc_id, '협조', v.pos, v.title, 'vote' FROM e JOIN voted v ON v.doc_id = e.doc_id AND v.role = '협조' WHERE b = 1),
+placed AS (SELECT doc_id, role, CAST(row_number() OVER (PARTITION BY doc_id, role ORDER BY o) - 1 AS INTEGER) AS pos, title, src FROM slots),
+known AS (SELECT p.target AS doc_id, c.title, c.name, max(struct_pack(d := p.date, k := p.doc_id)) AS last_at FROM pairs p JOIN cells c USING (doc_id) GROUP BY 1, 2, 3),
+roster AS (SELECT doc_id, title, count(*) AS n, max(last_at) AS top FROM known GROUP BY 1, 2),
+best AS (SELECT k.doc_id, k.title, min(k.name) AS name FROM known k JOIN roster r ON r.doc_id = k.doc_id AND r.title = k.title AND r.top = k.last_at GROUP BY 1, 2),
+lines AS (
+  SELECT p.doc_id, p.role, p.pos, p.title, CASE WHEN x.b = 2 AND p.role = '결재' THEN '' ELSE coalesce(best.name, '') END AS name, p.src AS title_source,
+    CASE WHEN x.b = 2 AND p.role = '결재' THEN 'rule' WHEN r.n = 1 THEN 'roster' WHEN r.n > 1 THEN 'vote' ELSE 'none' END AS name_source
+  FROM placed p JOIN x ON x.doc_id = p.doc_id LEFT JOIN roster r ON r.doc_id = p.doc_id AND r.title = p.title LEFT JOIN best ON best.doc_id = p.doc_id AND best.title = p.title
+  UNION ALL SELECT v.doc_id, v.role, v.pos, v.title, v.name, 'vote', 'vote' FROM voted v JOIN x ON x.doc_id = v.doc_id WHERE x.b = 0)"""
+
+
+@query(f"WITH {_LAYERED} SELECT * FROM lines")
+def layered_lines(spark, d):
+    """Lines by rules, votes and rosters, each cell with its evidence; organisations without rules by votes alone."""
+    return _layered(spark, d)[2]
+
+
+@query(f"""
+WITH {_LAYERED}, j AS (SELECT l.title_source, l.name_source, coalesce(l.title = c.title, false) AS t, CASE WHEN c.doc_id IS NULL THEN false ELSE l.name = c.name END AS n FROM lines l LEFT JOIN cells c USING (doc_id, role, pos)),
+k AS (SELECT 'title' AS kind, title_source AS evidence, t AS ok FROM j UNION ALL SELECT 'name', name_source, n FROM j)
+SELECT kind, evidence, count(*) AS n, count(*) FILTER (WHERE ok) AS correct, count(*) FILTER (WHERE ok) / count(*) AS accuracy FROM k GROUP BY 1, 2
+""")
+def layered_evidence(spark, d):
+    """How often each kind of evidence is right."""
+    _, cells, lines = _layered(spark, d)
+    return evaluate.by_evidence(evaluate.cell_outcomes(cells, lines), {"title": ("title_source", "title_ok"), "name": ("name_source", "name_ok")})
