@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from docketry.operators import bundles, evaluate, predict, requests
+from docketry.functions.shared import drop_folder, shared_folder, stable
+from docketry.operators import bundles, evaluate, gazette, predict, requests
 from docketry.plans.catalogue import _rows, _t, query
 from docketry.plans.more import _VOTED, _docs_cells, _n, _said
+from docketry.sources import engines, matrix, side_table
 
 # ---------------------------------------------------------------- requests
 DEPARTMENTS = [("도로과", "건설도시국", "도로과장"), ("행정과", "행정안전국", "행정과장"), ("감사담당관", None, "감사담당관")]
@@ -178,3 +183,98 @@ def layered_evidence(spark, d):
     """How often each kind of evidence is right."""
     _, cells, lines = _layered(spark, d)
     return evaluate.by_evidence(evaluate.cell_outcomes(cells, lines), {"title": ("title_source", "title_ok"), "name": ("name_source", "name_ok")})
+
+
+# ---------------------------------------------------------------- sources
+def _sheets(spark, d) -> DataFrame:
+    """A workbook made of parts: a sheet for each brand, a row for each part."""
+    p = _t(spark, d, "part")
+    lines = p.withColumn("row", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) + 3)
+    kind, lit = F.col("p_size") % 4, lambda c, t: F.struct(F.lit(c).alias("col"), t.alias("text"))
+    band = F.concat((F.col("p_size") % 9 + 1).cast("string"), F.lit("만원 초과 "), (F.col("p_size") % 9 + 20).cast("string"), F.lit("만원  이하"))
+    text = F.when(kind == 3, band).otherwise(F.concat(F.lit(" "), "p_name"))
+    mark = lambda c: F.when((kind >= 2) & ((F.col("p_partkey") % 3 + 4 == c) | (F.col("p_partkey") % 5 + 4 == c)), "○").when((kind == 2) & (F.col("p_partkey") % 2 + 4 == c), "기안 ").otherwise("-")
+    made = F.array(lit(1, F.when(kind == 0, "1")), lit(2, text), *[lit(c, mark(c)) for c in range(4, 9)])
+    rows = lines.select(F.lit("b").alias("book"), F.col("p_brand").alias("sheet"), "row", F.explode(made).alias("c")).select("book", "sheet", "row", "c.*")
+    heads = [(1, 2, "사 무 명"), (1, 4, "담 당 자"), (1, 5, "팀 장"), (2, 4, "과장"), (2, 6, "과 장"), (2, 7, "국장"), (3, 8, "부군수 (군수)"), (3, 3, "비고")]
+    top = p.select("p_brand").distinct().crossJoin(F.broadcast(_rows(spark, heads, "row int, col int, text string")))
+    return rows.unionByName(top.select(F.lit("b").alias("book"), F.col("p_brand").alias("sheet"), "row", "col", "text"))
+
+
+@query("""
+WITH l AS (SELECT p_brand AS sheet, p_partkey AS k, p_size % 9 AS z, p_size % 4 AS kind, trim(p_name) AS name, 3 + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row FROM part),
+t AS (SELECT *, CASE WHEN kind = 3 THEN CAST(z + 1 AS VARCHAR) || '만원 초과 ' || CAST(z + 20 AS VARCHAR) || '만원 이하' ELSE name END AS text, CASE WHEN kind = 0 THEN row END AS g,
+  CASE WHEN kind < 3 THEN row END AS i FROM l),
+c AS (SELECT *, max(g) OVER w AS g_row, max(i) OVER w AS i_row FROM t WINDOW w AS (PARTITION BY sheet ORDER BY row)),
+f AS (SELECT c.*, CASE WHEN p.kind = 0 THEN '' ELSE coalesce(p.text, '') END AS parent, coalesce(q.text, '') AS "group", greatest(c.k % 3, c.k % 5) AS final_level FROM c LEFT JOIN t p ON p.sheet = c.sheet AND p.row = c.i_row LEFT JOIN t q ON q.sheet = c.sheet AND q.row = c.g_row)
+SELECT sheet, CAST(row AS INTEGER) AS row, "group", CASE WHEN kind = 3 AND parent <> '' THEN parent || ' ' || text ELSE text END AS item, CASE WHEN kind = 3 THEN (z + 1) * 10000 ELSE -1 END AS amount_min, CASE WHEN kind = 3 THEN (z + 20) * 10000 ELSE -1 END AS amount_max,
+  CASE WHEN kind = 2 AND k % 2 <> k % 3 AND k % 2 <> k % 5 THEN CAST(k % 2 AS INTEGER) ELSE -1 END AS drafter_level, CAST(final_level AS INTEGER) AS final_level, (['주무관', '팀장', '과장', '국장', '부군수'])[final_level + 1] AS final_title FROM f WHERE kind >= 2
+""")
+def delegation_matrix_rows(spark, d):
+    """Tasks, amounts and deciding grades of sheets, with their groups and parents carried down."""
+    return matrix.delegation(_sheets(spark, d)).drop("book").na.fill(-1, ["amount_min", "amount_max", "drafter_level"])
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS value, CASE WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 5 = 0 THEN 3 ELSE 2 END AS made_by, (SELECT count(*) FILTER (WHERE doc_id % 3 = 0) || '+' || count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0) || '+' || count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 5 = 0) || '+0' FROM documents) AS fills FROM documents")
+def side_table_fills(spark, d):
+    """A side table filled four times: with a third of the documents, with all while an engine fails for some, with all, and again."""
+    path = f"{shared_folder(spark)}/side-{uuid.uuid4().hex}"
+    docs = _t(spark, d, "documents").select(side_table.content_key("v1", F.col("doc_id")).alias("key"), "doc_id", "text")
+    schema, counts = "key string, value bigint, made_by int", []
+    for turn in (1, 2, 3, 4):
+        wanted = docs.filter("doc_id % 3 = 0") if turn == 1 else docs
+        make = lambda todo, turn=turn: todo.filter(F.lit(turn != 2) | (F.col("doc_id") % 5 != 0)).select("key", F.length("text").cast("bigint").alias("value"), F.lit(turn).alias("made_by"))
+        table, n = side_table.fill(wanted, path, make, schema)
+        counts.append(str(n))
+    side_table.compact(spark, path, schema)
+    out = stable(side_table.looked_up(docs, side_table.read(spark, path, schema)).select("doc_id", "value", "made_by", F.lit("+".join(counts)).alias("fills")))
+    drop_folder(spark, path)
+    return out
+
+
+def _lengths(asks: list[str]) -> list[int | None]:
+    """An engine that fails whole batches over some texts, some texts always, and answers with a text's length."""
+    if len(asks) > 1 and any(a.startswith("T") for a in asks):
+        raise TimeoutError("batch")
+    return [None if a.startswith("W") else len(a) for a in asks]
+
+
+@query("SELECT doc_id, CASE WHEN text NOT LIKE 'W%' THEN CAST(length(text) AS INTEGER) ELSE -1 END AS answer, text LIKE 'W%' AS failed FROM documents")
+def engine_answers(spark, d):
+    """Answers of an engine that fails at times: each row once, failures as data."""
+    return engines.called(_t(spark, d, "documents").select("doc_id", "text"), "text", _lengths, "answer", IntegerType()).select("doc_id", F.coalesce("answer", F.lit(-1)).alias("answer"), F.col("error").isNotNull().alias("failed"))
+
+
+# ---------------------------------------------------------------- gazette
+def _issues(spark, d) -> DataFrame:
+    """Issues made of parts: one for each brand, with a contents page behind a cover, and an item for each part of one to three pages."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    length, before = F.col("p_size") % 3 + 1, w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = _t(spark, d, "part").select("p_brand", "p_partkey", F.col("p_brand").alias("source"), F.row_number().over(w).alias("i"), length.alias("pages"), (F.coalesce(F.sum(length).over(before), F.lit(0)) + 1).alias("page"), (F.col("p_partkey") % 2).alias("kind"), "p_name")
+    kind, title = F.when(F.col("kind") == 0, "고시").otherwise("공고"), F.concat(F.lit("제목("), "p_name", F.lit(") 번호 "), F.col("p_partkey").cast("string"))
+    line = F.concat(F.lit("○ 도로청"), kind, F.lit("제"), F.col("p_partkey").cast("string"), F.lit("호("), title, F.lit(")·····"), F.col("page").cast("string"))
+    contents = parts.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", line.alias("line")))), lambda s: s["line"]), "\n").alias("text"))
+    bodies = parts.select("source", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("k"), "page", title.alias("title"), "p_partkey").select(
+        "source", (F.col("page") + F.col("k") + 2).cast("int").alias("page_no"), F.concat(F.when(F.col("k") == 0, F.col("title")).otherwise("이어서"), F.lit(" 내용 "), F.repeat(F.concat(F.col("p_partkey").cast("string"), F.lit(" ")), F.lit(30))).alias("text"),
+    )
+    cover = contents.select("source", F.lit(1).alias("page_no"), F.lit("표지").alias("text"))
+    return bodies.unionByName(contents.select("source", F.lit(2).alias("page_no"), "text")).unionByName(cover)
+
+
+@query("""
+WITH p AS (SELECT p_brand AS source, p_partkey AS k, p_name, p_size % 3 + 1 AS n, row_number() OVER w AS i, count(*) OVER (PARTITION BY p_brand) AS m, coalesce(sum(p_size % 3 + 1) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS page FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
+t AS (SELECT *, CASE WHEN k % 2 = 0 THEN '고시' ELSE '공고' END AS kind, '제목(' || p_name || ') 번호 ' || k AS title FROM p)
+SELECT source, CAST(i AS INTEGER) AS seq, source || '#' || kind || k AS item_id, title, CAST(page + 2 AS INTEGER) AS first, CAST(page + 1 + n AS INTEGER) AS last,
+  CAST(length(title) + (n - 1) * 3 + n * 4 + n * 30 * (length(CAST(k AS VARCHAR)) + 1) + n - 1 AS INTEGER) AS body_chars FROM t
+""")
+def gazette_items(spark, d):
+    """Items of issues whose printed pages start behind a cover and the contents."""
+    return gazette.items(_issues(spark, d)).select("source", "seq", "item_id", "title", "pdf_pages.*", "body_chars")
+
+
+@query("SELECT 'bm25' AS retriever, count(*) AS cases, 1.0::DOUBLE AS self_at_1, 1.0::DOUBLE AS self_at_3, 1.0::DOUBLE AS same_kind_at_3 FROM part WHERE p_partkey % 20 = 0")
+def gazette_search(spark, d):
+    """Searches by titles among the items: each title has a number that only its own item has."""
+    found = gazette.items(_issues(spark, d)).withColumn("body", F.concat("body", F.rpad(F.lit(""), 300, "쪽"))).cache()
+    asked = found.filter("cast(no as int) % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("title").alias("query"))
+    return gazette.search_report(found, asked)

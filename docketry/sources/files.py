@@ -118,10 +118,3 @@ def org_chart(raw: DataFrame, lead: str = "팀장", weak_lead: str = "소장") -
         F.coalesce(F.max_by("title", F.when(strong, F.col("row_no"))), F.min_by("title", F.when(weak, F.col("row_no"))), F.lit("")).alias("lead"), duties.alias("duties"),
     )
     return dept, team
-
-
-def delegation_matrix(cells: DataFrame, levels: DataFrame, marks: tuple[str, ...] = ("○", "◯", "O", "ㅇ", "●"), draft: str = "기안") -> DataFrame:
-    """Sheet cells (sheet, row, col, text) and level columns (sheet, col, level) -> (sheet, row, drafter_level, final_level)."""
-    hits = cells.join(levels, ["sheet", "col"]).withColumn("t", F.trim("text"))
-    marked = hits.filter(F.col("t").isin(*marks) | (F.col("t") == draft))
-    return marked.groupBy("sheet", "row").agg(F.min("level").alias("drafter_level"), F.max(F.when(F.col("t").isin(*marks), F.col("level"))).alias("final_level"))
