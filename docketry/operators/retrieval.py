@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import fixed
 from docketry.functions.text import tokenize
+from docketry.operators import index
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = r"\n\s*\n", least: int = fixed.MIN_CHUNK, most: int = fixed.MAX_CHUNK) -> DataFrame:
@@ -54,38 +53,6 @@ def idf(posts: DataFrame, sizes: DataFrame, pool: list[str] = ()) -> DataFrame:
 #: Queries of a block, which travel to all tasks, and cells of a matrix that a task makes at once (32 MB).
 MOST_QUERIES = 20_000
 MOST_CELLS = 4_000_000
-#: Distinct terms that a task counts before it hands them on.
-MOST_TERMS = 300_000
-_SPACE = re.compile(r"\s+")
-
-
-def terms_of(text: str | None) -> list[str]:
-    """tokenize() in Python: words, then the bigrams of the text without white space."""
-    words = _SPACE.sub(" ", text or "").strip(" ")
-    flat = words.replace(" ", "")
-    return [*filter(None, words.split(" ")), *map(add, flat, flat[1:])]
-
-
-def _term_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """-> (term, df); of the term null, n is the number of documents and df that of all their tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str | None] = Counter()
-        n = 0
-        made = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64()), pa.array([n if t is None else 0 for t in held], pa.int64())], names=["term", "df", "n"])
-        for batch in batches:
-            for text in batch.column(0):
-                ts = terms_of(text.as_py())
-                held[None] += len(ts)
-                n += 1
-                held.update(set(ts))
-            if len(held) > MOST_TERMS:
-                yield made()
-                held, n = Counter(), 0
-        yield made()
-
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, df long, n long")
-    return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
 
 
 def _blocks(queries: DataFrame, query_id: str, most: int) -> list[DataFrame]:
@@ -95,27 +62,24 @@ def _blocks(queries: DataFrame, query_id: str, most: int) -> list[DataFrame]:
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query", id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
     """-> (query, rank, id, score): the k best of all documents for each query, ties to the smaller id. A document without a
-    term of the query scores 0, and comes before those whose terms have negative weights.
-
-    Document frequencies are counted within tasks before the shuffle. Queries travel in blocks; each task scores its
-    documents as products of matrices and hands on its k best for each query.
-    """
-    counts = _term_counts(docs, text_col).cache()
-    whole = counts.filter("term is null").agg(F.sum("n").alias("n"), F.sum("df").alias("size")).first()
-    n, size = whole["n"] or 0, whole["size"] or 0
-    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = counts.filter("term is not null").select("term", raw.alias("raw"))
-    floor = fixed.BM25_EPSILON * (terms.agg(F.avg("raw")).first()[0] or 0.0)
-    kinds = dict(docs.dtypes) | dict(queries.dtypes)
-    spark, found = docs.sparkSession, None
+    term of the query scores 0, and comes before those whose terms have negative weights. Texts are tokenised once, into an index."""
+    return search(queries, index.build(docs, None, id_col, text_col), k, query_id, query_text, id_col, digits)
+
+
+def search(queries: DataFrame, kept: index.Index, k: int, query_id: str = "query_id", query_text: str = "query", id_col: str = "doc_id", digits: int = 6) -> DataFrame:
+    """BM25 over an index, as bm25(). Queries travel in blocks; each task scores its documents as products of matrices and hands on its
+    k best for each query."""
+    n, size, _ = kept.sizes()
+    spark, found = kept.rows.sparkSession, None
+    # a task ranks many documents, as it hands on k rows for each query
+    rows = kept.rows.coalesce(4 * max(8, spark.sparkContext.defaultParallelism))
+    kinds = dict(kept.rows.dtypes) | dict(queries.dtypes)
     for block in _blocks(queries.select(query_id, query_text), query_id, MOST_QUERIES):
-        asked = sorted((r[query_id], Counter(terms_of(r[query_text]))) for r in block.collect())
-        wanted = spark.createDataFrame([(t,) for t in sorted({t for _, ts in asked for t in ts})], "term string")
-        weights = {r["term"]: r["raw"] if r["raw"] >= 0 else floor for r in terms.join(F.broadcast(wanted), "term").collect()}
-        scorer = _Bm25(asked, weights, size / n if n else 1.0, k, digits, (kinds[query_id], queries.schema[query_id].dataType), (kinds[id_col], docs.schema[id_col].dataType), query_id, id_col)
-        part = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(scorer.run, scorer.schema)
+        asked = sorted((r[query_id], Counter(index.terms_of(r[query_text]))) for r in block.collect())
+        weights = kept.weights(sorted({t for _, ts in asked for t in ts}))
+        scorer = _Bm25(asked, weights, size / n if n else 1.0, k, digits, (kinds[query_id], queries.schema[query_id].dataType), (kinds["id"], kept.rows.schema["id"].dataType), query_id, id_col)
+        part = rows.mapInArrow(scorer.run, scorer.schema)
         found = part if found is None else found.unionByName(part)
-    counts.unpersist()
     return ranked(found, k, query_id, id_col)
 
 
@@ -163,30 +127,28 @@ class _Bm25:
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k1, b = fixed.BM25_K1, fixed.BM25_B
-        slices = [(start, part, {t: i for i, t in enumerate(sorted({t for _, ts in part for t in ts if t in self.weights}))}) for start, part in self._slices()]
-        known, best, single = set(self.weights), _Best(len(self.asked), self.k), None
+        slices = []
+        for start, part in self._slices():
+            terms = sorted({t for _, ts in part for t in ts if t in self.weights})
+            slices.append((start, part, terms, pa.array(terms, pa.string()), np.array([self.weights[t] for t in terms])))
+        best, times = _Best(len(self.asked), self.k), None
         for batch in batches:
-            order = sorted(range(batch.num_rows), key=lambda i, ids=batch.column(0).to_pylist(): ids[i])
-            for at in range(0, len(order), 512):
-                part = batch.take(pa.array(order[at : at + 512], pa.int64()))
-                ids, rows = part.column(0).to_pylist(), []
-                for text in part.column(1):
-                    ts = terms_of(text.as_py())
-                    norm = k1 * (1 - b + b * len(ts) / self.average)
-                    rows.append([(t, self.weights[t] * c * (k1 + 1) / (c + norm)) for t, c in Counter(t for t in ts if t in known).items()])
-                for start, asked, place in slices:
-                    x = np.zeros((len(rows), len(place)))
-                    for i, row in enumerate(rows):
-                        hits = [(place[t], w) for t, w in row if t in place]
-                        if hits:
-                            x[i, [h[0] for h in hits]] = [h[1] for h in hits]
-                    if single is None or len(slices) > 1:
-                        single = np.zeros((len(place), len(asked)))
+            order = pa.array(np.argsort(np.array(batch.column(0).to_pylist(), dtype=object), kind="stable") if batch.num_rows else [], pa.int64())
+            for at in range(0, batch.num_rows, 512):
+                part = batch.take(order[at : at + 512])
+                ids, norm = part.column(0).to_pylist(), k1 * (1 - b + b * np.asarray(part.column(1)) / self.average)
+                for start, asked, terms, values, weights in slices:
+                    row, place, tf = index.matched(part, values)
+                    x = np.zeros((len(ids), len(terms)))
+                    x[row, place] = weights[place] * tf * (k1 + 1) / (tf + norm[row])
+                    if times is None or len(slices) > 1:
+                        at_term = {t: i for i, t in enumerate(terms)}
+                        times = np.zeros((len(terms), len(asked)))
                         for q, (_, ts) in enumerate(asked):
                             for t, c in ts.items():
-                                if t in place:
-                                    single[place[t], q] = c
-                    best.take(np.round(x @ single, self.digits), ids, start)
+                                if t in at_term:
+                                    times[at_term[t], q] = c
+                    best.take(np.round(x @ times, self.digits), ids, start)
         yield best_rows(best, [q for q, _ in self.asked], self.kinds, self.names)
 
 
@@ -209,16 +171,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def finite(vector: Column) -> Column:
+    """The vector in doubles; null if a component is null, infinite or no number."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    return F.when(F.coalesce(fine, F.lit(False)), vector.cast("array<double>"))
+
+
 def vectors(queries: DataFrame, data: DataFrame, k: int, query_id: str = "query_id", id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6, same_id: bool = False) -> DataFrame:
     """-> (query, rank, id, score): exact cosine top k. A query meets vectors of its own length, and, unless same_id, no row of
-    its own id; a vector of zeros scores 0; null vectors take no part.
+    its own id; a vector of zeros scores 0; vectors that are null or hold null or non-finite components take no part.
 
     Queries travel in blocks; each task multiplies its vectors with them and hands on its k best for each query.
     """
     kinds, found = dict(data.dtypes) | dict(queries.dtypes), None
     types, names = (queries.schema[query_id].dataType, data.schema[id_col].dataType), [query_id, id_col, "score"]
-    rows = data.select(id_col, F.col(vector_col).cast("array<double>").alias("_v")).filter("_v is not null")
-    for block in _blocks(queries.select(query_id, F.col(vector_col).cast("array<double>").alias("_v")).filter("_v is not null"), query_id, MOST_QUERIES):
+    rows = data.select(id_col, finite(F.col(vector_col)).alias("_v")).filter("_v is not null")
+    for block in _blocks(queries.select(query_id, finite(F.col(vector_col)).alias("_v")).filter("_v is not null"), query_id, MOST_QUERIES):
         by_length: dict[int, list] = {}
         for q, v in sorted(((r[query_id], r["_v"]) for r in block.collect()), key=lambda x: x[0]):
             by_length.setdefault(len(v), []).append((q, v))
@@ -342,15 +310,48 @@ def same_kind_at(hits: DataFrame, kinds: DataFrame, k: int, query_id: str = "que
     return both.groupBy(query_id).agg(F.count_if(F.col("_k") == F.col("_q")).alias("same")).withColumn("any_same", F.col("same") > 0)
 
 
-def candidates(queries: DataFrame, rules: DataFrame, k: int = 5, common: str = "(공통") -> DataFrame:
-    """Delegation rows for (query_id, dept, query), with statistics of each department's own pool.
+def candidates(queries: DataFrame, rules: DataFrame, k: int = 5, common: str = "(공통", embedded: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Delegation rows for (query_id, dept, query), with statistics of each department's own pool -> (query_id, rank, rid, score).
 
-    rules: (rid, sheet, group, item, amount_min, amount_max); rows with amounts are left out; a pool
-    is the department's sheet and the common sheets.
+    rules: (rid, sheet, group, item, amount_min, amount_max); rows with amounts are left out; a pool is the department's
+    sheet and the common sheets. embedded: (query_id, embedding) and (rid, embedding); with it the score fuses both ranked lists.
     """
-    texts = rules.filter("amount_min is null and amount_max is null").withColumn("text", F.concat_ws(" ", "group", "item"))
-    depts = queries.select("dept").distinct()
-    pooled = depts.join(texts, (F.col("sheet") == F.col("dept")) | F.col("sheet").startswith(common)).select("dept", "rid", "text")
+    texts = rules.filter("amount_min is null and amount_max is null").select("rid", "sheet", F.concat_ws(" ", "group", "item").alias("text"))
+    depth = 4 * k if embedded is not None else k
+    held = index.small_rows(texts, "text")
+    if held is None:
+        hits = _pooled(queries, texts, depth, common)
+    else:
+        rows = sorted((r["rid"], r["sheet"], r["text"]) for r in held)
+        sheets = {sheet for _, sheet, _ in rows if not sheet.startswith(common)}
+
+        def members(dept):
+            own = dept if dept in sheets else None
+            return own, [(rid, text) for rid, sheet, text in rows if sheet == own or sheet.startswith(common)]
+
+        hits = index.search_pools(queries, members, depth, dict(rules.dtypes)["rid"])
+    if embedded is None:
+        return hits
+    asked, known = embedded
+    rows = _shared_key(known.select("rid", finite(F.col("embedding")).alias("v")).filter("v is not null").join(texts.select("rid", "sheet"), "rid"), common)
+    near = asked.select("query_id", unit(finite(F.col("embedding"))).alias("q")).filter("q is not null").join(queries.select("query_id", "dept"), "query_id")
+    pairs = near.withColumn("_key", _own_and_shared("dept")).join(rows.drop("sheet"), "_key").filter(F.size("q") == F.size("v"))
+    scored = pairs.select("query_id", "rid", F.round(dot(F.col("q"), unit(F.col("v"))), 6).alias("score"))
+    return fuse([hits, ranked(scored, depth, "query_id", "rid")], k, id_col="rid")
+
+
+def _own_and_shared(dept: str) -> Column:
+    """The keys of a department's pool: its own sheet, and the common ones as one."""
+    return F.explode(F.array(F.concat(F.lit("="), dept), F.lit("*")))
+
+
+def _shared_key(rows: DataFrame, common: str) -> DataFrame:
+    return rows.withColumn("_key", F.when(F.col("sheet").startswith(common), "*").otherwise(F.concat(F.lit("="), "sheet")))
+
+
+def _pooled(queries: DataFrame, texts: DataFrame, k: int, common: str) -> DataFrame:
+    """candidates() for tables that are too large to travel: postings joined by pool and term."""
+    pooled = queries.select("dept").distinct().withColumn("_key", _own_and_shared("dept")).join(_shared_key(texts, common), "_key").select("dept", "rid", "text")
     posts = postings(pooled, "rid", "text", pool=["dept"])
     sizes = pooled.select("dept", F.size(tokenize(F.col("text"))).alias("dl")).groupBy("dept").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     weights = idf(posts, sizes, ["dept"])
@@ -398,17 +399,19 @@ def candidate_recall(gold: DataFrame, hits: DataFrame, key: str = "query_id", ri
 
 def route_by_duties(docs: DataFrame, teams: DataFrame, id_col: str = "doc_id", chars: int = 800) -> DataFrame:
     """docs(id, dept, title, body), teams(dept, ord, team, duties) -> (id, team, score): the department's team whose duties score
-    best by BM25 among the department's own; the first on ties, so every document of a department with teams gets one."""
-    posts = postings(teams, "ord", "duties", pool=["dept"])
-    sizes = teams.select("dept", F.size(tokenize(F.col("duties"))).alias("dl")).groupBy("dept").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    weights = idf(posts, sizes, ["dept"])
-    text = F.concat("title", F.lit(" "), F.substring("body", 1, chars))
-    asked = docs.select(id_col, "dept", F.explode(tokenize(text)).alias("term")).groupBy(id_col, "dept", "term").agg(F.count("*").alias("qtf"))
-    norm = F.lit(fixed.BM25_K1) * (F.lit(1 - fixed.BM25_B) + F.lit(fixed.BM25_B) * F.col("dl") / F.col("avgdl"))
-    score = F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / (F.col("tf") + norm))
-    scored = asked.join(weights, ["dept", "term"]).join(posts, ["dept", "term"]).groupBy(id_col, "ord").agg(F.round(score, 6).alias("score"))
-    every = docs.select(id_col, "dept").join(teams.select("dept", "ord", "team"), "dept").join(scored, [id_col, "ord"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return every.groupBy(id_col).agg(F.max_by(F.struct("team", "score"), F.struct("score", -F.col("ord"))).alias("b")).select(id_col, "b.team", "b.score")
+    best by BM25 among the department's own; the first on ties, so every document of a department with teams gets one.
+
+    Teams are an organisation's chart: their duties travel to the documents' tasks. A chart that is too large for it is refused.
+    """
+    held = index.small_rows(teams.select("dept", "ord", "team", F.coalesce("duties", F.lit("")).alias("duties")), "duties")
+    if held is None:
+        raise ValueError(f"more than {index.MOST_POOL_ROWS} teams, or {index.MOST_POOL_CHARS} characters of duties: route by parts of the chart")
+    by_dept: dict = {}
+    for r in sorted(held, key=lambda r: r["ord"]):
+        by_dept.setdefault(r["dept"], []).append((r["team"], r["duties"]))
+    asked = docs.select(F.col(id_col).alias("query_id"), "dept", F.concat("title", F.lit(" "), F.substring("body", 1, chars)).alias("query"))
+    hits = index.search_pools(asked, lambda dept: (dept, by_dept.get(dept, [])), 1, "string", id_col="team")
+    return hits.select(F.col("query_id").alias(id_col), "team", "score")
 
 
 def make_retriever(chunks_: DataFrame, embedded: DataFrame | None = None, id_col: str = "chunk_id", text_col: str = "text"):

@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from docketry.functions import text
-from docketry.operators import evaluate, history, layout, predict, retrieval, rules, sampling
+from docketry.operators import evaluate, history, index, layout, predict, retrieval, rules, sampling
 from docketry.sources import files, sinks
 
 
@@ -298,7 +298,7 @@ def test_bm25_with_negative_weights(spark, monkeypatch):
 def test_terms_agree(spark):
     texts = ["가나 다", "a", "  ", "", "x\ty\u3000z", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.tokenize(F.col("t")).alias("ts")).collect()
-    assert {r["i"]: r["ts"] or [] for r in rows} == {i: retrieval.terms_of(t) for i, t in enumerate(texts)}
+    assert {r["i"]: r["ts"] or [] for r in rows} == {i: index.terms_of(t) for i, t in enumerate(texts)}
 
 
 def test_vectors_in_blocks(spark, monkeypatch):
