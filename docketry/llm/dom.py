@@ -18,7 +18,7 @@ TO_THE_END = {"script", "style"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s",
-    "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "label", "picture", "nobr", "center", "object",
+    "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "label", "picture", "nobr", "object",
     "math", "mi", "mn", "mo", "mrow", "mfrac", "msup", "msub", "mtext", "semantics", "annotation",
 }
 #: A start tag ends the open element of the key if it is one of the values (None: any block).

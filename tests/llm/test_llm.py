@@ -880,3 +880,8 @@ def test_queries(spark, name):
 
 def test_all_operators_have_a_query():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 14))
+
+
+def test_centred_blocks_stand_apart():
+    nodes = dom.parse("<body><center>Alpha today.</center><center>Beta <b>bold</b> gamma</center><p>Delta<label>1</label></p></body>")
+    assert [n.text for n in nodes if not n.tag] == ["Alpha today.", "Beta bold gamma", "Delta1"]
