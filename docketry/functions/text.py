@@ -11,6 +11,9 @@ from pyspark.sql.types import StringType
 
 from docketry.functions import fixed
 
+#: White space as Python has it: Unicode's, and the four separators of files, groups, records and units.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+
 
 @F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
@@ -36,11 +39,11 @@ def drop_leaders(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def strip_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+", "")
+    return F.regexp_replace(text, f"{SPACE}+", "")
 
 
 def normalize(text: Column, no_leader: bool = False, compose: bool = True) -> Column:
@@ -60,7 +63,7 @@ def normalize_token(value: Column, compose: bool = True) -> Column:
 
 def flat(text: Column) -> Column:
     """No white space, no commas."""
-    return F.regexp_replace(text, r"(?U)[\s,]", "")
+    return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f,]", "")
 
 
 def words(text: Column) -> Column:
