@@ -75,6 +75,7 @@ DRAFT_STOP = (
     "사항", "내용", "경우", "우리", "해당", "제출", "붙임", "기타", "아래", "통하여",
 )
 LAST_BODY_PAGES = 12
+PROMPT_MARKS = ("## 참고문서", "# 작성할 문서", "본문:", "위 제목으로 문서 본문")
 
 # Approval cells on a page. Windows: least and most dx, least and most dy.
 TITLE_HINTS = (
@@ -87,6 +88,10 @@ PAIR_WINDOWS = {"bottom": (0.0, 95.0, -8.0, 30.0), "top": (-45.0, 45.0, 8.0, 95.
 WRAP_LEFT, WRAP_CENTRE, WRAP_DOWN = 14.0, 22.0, 26.0
 COOPERATION_MARK = "협조자"
 
+# Where a page's approval cells stand, in shares of its height or width, or in points.
+TOP_BAND, BOTTOM_BAND = 0.30, (0.70, 0.93)
+BAR_MIN_WIDTH, BAR_MAX_HEIGHT, BAND_HEIGHT, ISSUE_MARK = 0.60, 12.0, 80.0, "시행"
+
 # Delegation tables.
 LEVEL_NAMES = {0: "주무관", 1: "팀장", 2: "과장", 3: "국장", 4: "부군수", 5: "군수"}
 HEADER_LEVELS = (

@@ -111,8 +111,9 @@ def team_title(team: Column, by_team: Column) -> Column:
     return F.when(F.coalesce(team, F.lit("")) == "", None).when(team.endswith("팀장") | team.endswith("소장"), team).otherwise(named)
 
 
-def _official(rows: DataFrame, published: Published) -> DataFrame:
-    """Adds _branch, _lead, final and query to rows with _d, drafter, text: all that the row itself can tell."""
+def _official(rows: DataFrame, published: Published, any_dept: bool = False) -> DataFrame:
+    """Adds _branch, _lead, final and query to rows with _d, drafter, text: all that the row itself can tell. any_dept: departments that the
+    chart lacks are decided too, by the common sheets."""
     title = F.col("title")
     kind = rules.execution_category(title, [(key, words) for key, words, _ in published.categories])
     says = F.create_map(*[F.lit(x) for key, _, table in published.categories for x in (key, table)])
@@ -126,7 +127,7 @@ def _official(rows: DataFrame, published: Published) -> DataFrame:
         return once(row, lambda r: F.struct(F.lit(BAND).alias("source"), x["kind"].alias("category"), n.alias("amount"), x["hit"]["label"].alias("amount_label"), F.lit(None).cast("int").alias("rid"), r["item"].alias("row"), r["final_level"].alias("level"))).cast(FINAL)
 
     executes = rules.is_execution(title, published.strong, published.weak, published.excluded_ending)
-    branch = F.when(F.col("_d").isNull(), NO_DEPT).when(executes, BAND).otherwise(SEARCHED)
+    branch = F.when(F.col("_d").isNull() & F.lit(not any_dept), NO_DEPT).when(executes, BAND).otherwise(SEARCHED)
     lead = F.when(title_level(F.col("drafter")) == 0, team_title(F.col("team"), F.col("_d.by_team")))
     found = rows.withColumn("_branch", branch).withColumn("_lead", lead)
     banded = once(F.struct(kind.alias("kind"), labelled(F.col("text"), published.labels).alias("hit")), by_amount)
@@ -168,6 +169,14 @@ def _finished(rows: DataFrame, published: Published) -> DataFrame:
     return out.withColumn("needs", F.concat(asked, acting.cast(NEEDS))).withColumn("final_title", names[level])
 
 
+def decided(rows: DataFrame, published: Published, k: int = 5) -> DataFrame:
+    """rows(req, dept, team, drafter, title, text, ...) -> the same with _d, _branch, _lead, final and candidates: the final level of each
+    request by the published rules, those of departments that the chart lacks too. The rows are written to the shared folder once; each branch is worked on by itself."""
+    told = stable(_official(with_department(rows, published), published, any_dept=True).drop("text"))
+    rest = told.filter(F.col("_branch") != SEARCHED).withColumn("candidates", F.lit(None).cast("array<int>"))
+    return rest.unionByName(_searched(told.filter(F.col("_branch") == SEARCHED), published, k).withColumn("candidates", F.col("candidates").cast("array<int>"))).drop("query")
+
+
 def _texts(requests: DataFrame) -> DataFrame:
     """Requests without nulls in their texts; `text` is the body with the attachments behind."""
     filled = requests.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("body", F.coalesce("body", F.lit("")))

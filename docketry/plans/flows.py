@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from docketry.functions.shared import drop_folder, shared_folder, stable
-from docketry.operators import bundles, evaluate, gazette, predict, requests
-from docketry.plans.catalogue import _rows, _t, query
-from docketry.plans.more import _VOTED, _docs_cells, _n, _said
+from docketry.operators import bundles, drafts, evaluate, gazette, layout, predict, requests, retrieval, tracks
+from docketry.plans.catalogue import _TOKENS, _rows, _t, query
+from docketry.plans.more import _O, _VOTED, _docs_cells, _n, _orders, _said
 from docketry.sources import engines, matrix, side_table
 
 # ---------------------------------------------------------------- requests
@@ -131,13 +131,17 @@ LAYERED = [
 ]
 
 
+def _layered_bundles(spark) -> DataFrame:
+    of_all = F.transform(F.sequence(F.lit(0), F.lit(132)), lambda i: (i * 3 + F.col("org").cast("int")).cast("string"))
+    return _rows(spark, LAYERED, bundles.SCHEMA).withColumn("org", F.explode(of_all))
+
+
 def _layered(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs, cells = _docs_cells(spark, d)
     total = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").cast("long").alias("amount"))
     pick = F.element_at(F.array(F.lit("가 나 점검"), F.lit("다라 협 의"), F.lit("가나 다라"), F.lit("점검")), (F.col("doc_id") % 4 + 1).cast("int"))
     docs = docs.join(total, "doc_id").withColumns({"org": (F.col("org") % 400).cast("string"), "title": pick, "body": _said("금 ", F.format_number("amount", 0), "원")}).drop("amount")
-    bundled = _rows(spark, LAYERED, bundles.SCHEMA).withColumn("org", F.explode(F.transform(F.sequence(F.lit(0), F.lit(132)), lambda i: (i * 3 + F.col("org").cast("int")).cast("string"))))
-    return docs, cells, predict.layered(docs, cells, bundled)
+    return docs, cells, predict.layered(docs, cells, _layered_bundles(spark))
 
 
 _LAYERED = f"""
@@ -278,3 +282,156 @@ def gazette_search(spark, d):
     found = gazette.items(_issues(spark, d)).withColumn("body", F.concat("body", F.rpad(F.lit(""), 300, "쪽"))).cache()
     asked = found.filter("cast(no as int) % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("title").alias("query"))
     return gazette.search_report(found, asked)
+
+
+# ---------------------------------------------------------------- candidates among a table's rows
+POOL_TEXTS = ["도로 관리 계획", "도로 점검", "하천 정비 공사", "하천 관리", "민원 답변 처리", "예산 편성 관리", "공원 정비", "도로 도로 굴착 허가"]
+
+
+@query(f"""
+WITH q AS (SELECT o_orderkey AS query_id, (['도로과', '하천과', '없는과'])[o_orderkey % 3 + 1] AS dept, (['도로 관리', '하천 정비 점검', '민원 처리 결과', '관리 계획 허가', '도로 점검 도로'])[o_custkey % 5 + 1] AS query FROM orders),
+rows_ AS (SELECT i - 1 AS rid, CASE (i - 1) % 3 WHEN 0 THEN '도로과' WHEN 1 THEN '하천과' ELSE '(공통) 관리' END AS sheet, '업무 ' || t AS text FROM (SELECT unnest({POOL_TEXTS}) AS t, unnest(range(1, 9)) AS i)),
+kinds AS (SELECT DISTINCT dept, query FROM q), pool AS (SELECT d.dept, rid, text FROM (SELECT DISTINCT dept FROM kinds) d JOIN rows_ ON sheet = dept OR starts_with(sheet, '(공통')),
+tok AS (SELECT dept, rid, unnest({_TOKENS.format(c="text")}) AS term FROM pool), post AS (SELECT dept, rid, term, count(*) AS tf FROM tok GROUP BY 1, 2, 3), len AS (SELECT dept, rid, sum(tf) AS dl FROM post GROUP BY 1, 2),
+stat AS (SELECT dept, count(*) AS n, avg(dl) AS avgdl FROM len GROUP BY 1), raw AS (SELECT dept, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post JOIN stat USING (dept) GROUP BY dept, term, n),
+idf AS (SELECT dept, term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY dept) ELSE raw END AS idf FROM raw),
+ask AS (SELECT dept, query, unnest({_TOKENS.format(c="query")}) AS term FROM kinds), sc AS (SELECT a.dept, a.query, p.rid, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s FROM ask a JOIN post p USING (dept, term) JOIN idf USING (dept, term) JOIN len USING (dept, rid) JOIN stat USING (dept) GROUP BY 1, 2, 3),
+r AS (SELECT k.dept, k.query, pool.rid, round(coalesce(s, 0), 6) AS score, row_number() OVER (PARTITION BY k.dept, k.query ORDER BY round(coalesce(s, 0), 6) DESC, pool.rid) AS rank FROM kinds k JOIN pool USING (dept) LEFT JOIN sc ON sc.dept = k.dept AND sc.query = k.query AND sc.rid = pool.rid)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(rid AS INTEGER) AS rid FROM q JOIN r USING (dept, query) WHERE rank <= 3
+""")
+def pool_candidates(spark, d):
+    """The three best rows of each request's own sheet and the common ones, by the statistics of that pool."""
+    pick = lambda of, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(of) % len(values) + 1).cast("int"))
+    asked = _t(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), pick("o_orderkey", "도로과", "하천과", "없는과").alias("dept"), pick("o_custkey", "도로 관리", "하천 정비 점검", "민원 처리 결과", "관리 계획 허가", "도로 점검 도로").alias("query"))
+    table = _rows(spark, [(i, ("도로과", "하천과", "(공통) 관리")[i % 3], "업무", t, None, None) for i, t in enumerate(POOL_TEXTS)], "rid int, sheet string, `group` string, item string, amount_min bigint, amount_max bigint")
+    return retrieval.candidates(asked, table, 3).select("query_id", "rank", "rid")
+
+
+# ---------------------------------------------------------------- pages and drafts
+@query("""
+SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 IN (0, 3) THEN 'top' WHEN o_orderkey % 4 = 1 THEN 'bottom' ELSE 'override' END AS kind, '기안:주무관:김철수|결재:총무과장:' || CASE WHEN o_custkey % 2 = 0 THEN '홍길동' ELSE '이몽룡' END || CASE WHEN o_orderkey % 4 = 1 THEN '|협조:재무과장:성춘향' ELSE '' END AS line FROM orders
+""")
+def approval_regions(spark, d):
+    """Cells from recognised lines that hold several words each: at the top, below a bar at the bottom, and where an override says."""
+    k = F.col("doc_id") % 4
+    name = F.when(F.col("o_custkey") % 2 == 0, "홍길동").otherwise("이몽룡")
+    at = F.when(k.isin(0, 3), 100.0).when(k == 1, 620.0).otherwise(400.0)
+    box = lambda n, text, x, y, w, when=F.lit(True): F.when(when, F.struct(F.lit(n).alias("line_no"), text.alias("text"), F.lit(x).alias("x"), (1 - (y + 10.0) / 800.0).alias("y"), F.lit(w).alias("w"), F.lit(0.0125).alias("h")))
+    bottom = k.isin(0, 3)
+    # one line holds both titles, the next both names; at the top names stand below their titles, elsewhere beside them
+    lines = F.array_compact(F.array(
+        box(0, F.rpad(F.lit("주무관"), 40, " "), 0.1, at, 0.5), box(1, F.concat(F.lit("총무과장"), F.lit("      ")), 0.5, at, 0.25), box(2, F.lit("김철수"), F.lit(0.1 + 0.0), at + 20, 0.1, bottom), box(3, name, F.lit(0.52), at + 20, 0.1, bottom),
+        box(4, F.lit("김철수"), F.lit(0.15), at, 0.1, ~bottom), box(5, name, F.lit(0.62), at, 0.1, ~bottom), box(6, F.lit("협조자 재무과장 성춘향"), F.lit(0.1), at + 20, 0.3, k == 1), box(7, F.lit("시행 도로과-1"), F.lit(0.1), at + 60, 0.3, k == 1), box(8, F.lit("소장 국장"), F.lit(0.1), at + 90, 0.3, k == 1),
+    ))
+    pages = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
+    region = {"x0": F.lit(0.0), "y0": F.lit(0.0), "width": F.lit(600.0), "height": F.lit(800.0)}
+    words = layout.token_places(pages.select("doc_id", F.explode(lines).alias("l")).select("doc_id", "l.*").withColumns(region)).withColumn("y", F.round("y", 3))
+    sized = pages.select("doc_id", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    bars = sized.filter("doc_id % 4 = 1").select("doc_id", F.lit(0.0).alias("x0"), F.lit(605.0).alias("y0"), F.lit(500.0).alias("x1"), F.lit(610.0).alias("y1"))
+    forced = sized.filter("doc_id % 4 = 2").select("doc_id", F.lit(0.45).alias("low"), F.lit(0.6).alias("high"))
+    cells = layout.located_cells(sized, words, bars, forced)
+    line = cells.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.concat_ws(":", "role", "title", "name").alias("c")))), lambda s: s["c"]), "|").alias("line"))
+    return line.join(layout.approval_region(sized, words, bars, forced).select("doc_id", "kind"), "doc_id").select("doc_id", "kind", "line")
+
+
+@query(f"""
+WITH o AS ({_O}), t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 4 WHEN doc_id % 5 = 1 THEN 5 ELSE 7 END AS hits, doc_id % 5 < 2 AS first_bad FROM o)
+SELECT count(*) AS cases, round(sum(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 2 END) / (2.0 * count(*)), 3) AS section_recall, round(sum(hits) / (7.0 * count(*)), 3) AS keyphrase_recall, CAST(sum(CASE WHEN first_bad THEN 2 ELSE 0 END) AS BIGINT) AS retries, count(*) FILTER (WHERE doc_id % 5 = 1) AS leaks FROM t
+""")
+def best_drafts(spark, d):
+    """Two drafts for each request, each with a second attempt: those that leak or miss the topic give way, the best is scored."""
+    o = _orders(spark, d).select("doc_id")
+    k, actual = F.col("doc_id") % 5, F.lit("1. 사업 개요\n도서관 도서관 이용자 안내문\n2. 추진 일정\n")
+    title = F.lit("도서관 안내")
+    # the first style: off topic, then thin (0), or leaking both times (1), or whole at once
+    first = F.when(k == 0, "날씨가 좋다").when(k == 1, "도서관 본문: 그대로").otherwise("1. 사업 개요\n도서관 이용자 안내문\n2. 추진 일정")
+    second = F.when(k == 0, "1. 사업 개요\n도서관 이용자").when(k == 1, "도서관 본문: 다시\n1. 사업 개요\n2. 추진 일정").otherwise("")
+    other = F.when(k < 2, "없음").otherwise("도서관")
+    again = F.when(k < 2, "도서관").otherwise("")
+    attempts = o.select(F.col("doc_id").alias("req"), F.explode(F.array(F.struct(F.lit("a").alias("style"), F.lit(0).alias("ord"), first.alias("first"), second.alias("second")), F.struct(F.lit("b").alias("style"), F.lit(1).alias("ord"), other.alias("first"), again.alias("second")))).alias("x")).select("req", "x.*").withColumn("title", title)
+    best = drafts.best_drafts(drafts.chosen_attempts(attempts), o.select(F.col("doc_id").alias("req"), actual.alias("body")))
+    return drafts.draft_summary(best).drop("length_ratio_mean")
+
+
+# ---------------------------------------------------------------- evaluations from end to end
+@query(f"""
+WITH {_LAYERED}, kept AS (SELECT doc_id, org AS grp FROM docs WHERE org IN (SELECT org FROM docs GROUP BY 1 HAVING count(*) >= 2)),
+given AS (SELECT doc_id, role, pos, CASE WHEN doc_id % 3 = 0 THEN 'XX' ELSE title END AS title, CASE WHEN doc_id % 4 = 0 THEN name ELSE 'n9' END AS name FROM cells WHERE doc_id % 5 > 0 OR role <> '기안'),
+guess AS (
+  SELECT 'baseline_copy' AS predictor, doc_id, role, pos, title, name FROM copied UNION ALL SELECT 'baseline_vote', doc_id, role, pos, title, name FROM voted UNION ALL SELECT 'layered[manual]', doc_id, role, pos, title, name FROM lines
+  UNION ALL SELECT 'engine', doc_id, role, pos, title, name FROM given
+  UNION ALL SELECT 'vote_titles+engine', v.doc_id, v.role, v.pos, v.title, coalesce(g.name, '') FROM voted v LEFT JOIN given g USING (doc_id, role, pos)
+  UNION ALL SELECT 'vote_titles+engine', g.doc_id, g.role, g.pos, g.title, g.name FROM given g WHERE NOT EXISTS (SELECT 1 FROM voted v WHERE v.doc_id = g.doc_id AND v.role = g.role)),
+who AS (SELECT DISTINCT predictor FROM guess), g AS (SELECT * FROM guess SEMI JOIN kept USING (doc_id)), c AS (SELECT predictor, cells.* FROM cells SEMI JOIN kept USING (doc_id) CROSS JOIN who),
+j AS (SELECT coalesce(c.predictor, g.predictor) AS predictor, coalesce(c.doc_id, g.doc_id) AS doc_id, coalesce(c.role, g.role) AS role, coalesce(c.pos, g.pos) AS pos, c.title IS NOT NULL AS is_gold, g.title IS NOT NULL AS is_pred, coalesce(c.title = g.title, false) AS t, coalesce(c.name = g.name, false) AS n
+  FROM c FULL JOIN g ON c.predictor = g.predictor AND c.doc_id = g.doc_id AND c.role = g.role AND c.pos = g.pos),
+d AS (SELECT predictor, doc_id, count(*) FILTER (WHERE is_gold) AS gold, count(*) FILTER (WHERE t) AS ts, count(*) FILTER (WHERE is_gold AND n) AS ns,
+  count(*) FILTER (WHERE is_gold AND role = '협조') AS cg, count(*) FILTER (WHERE is_pred AND role = '협조') AS cp, count(*) FILTER (WHERE t AND role = '협조') AS ch, max(CASE WHEN role = '검토' AND pos = 0 AND is_gold THEN CAST(t AS INT) END) AS fr,
+  {" + ".join(f"CAST(count(*) FILTER (WHERE is_gold AND role = '{r}') = count(*) FILTER (WHERE is_pred AND role = '{r}') AS INT)" for r in ("기안", "검토", "결재", "협조"))} AS even FROM j GROUP BY 1, 2),
+s AS (SELECT who.predictor, grp, coalesce(cg, 0) AS cg, coalesce(cp, 0) AS cp, coalesce(ch, 0) AS ch, fr, CASE WHEN gold > 0 THEN ts / gold ELSE 0 END AS tm, CASE WHEN gold > 0 THEN ns / gold ELSE 0 END AS nm, coalesce(even, 4) / 4 AS cm
+  FROM kept CROSS JOIN who LEFT JOIN d ON d.predictor = who.predictor AND d.doc_id = kept.doc_id)
+SELECT predictor, coalesce(grp, -1) AS grp, count(*) AS cases, round(avg(tm), 8) AS title_match_mean, round(avg(nm), 8) AS name_match_mean, round(avg(cm), 8) AS count_match_mean, count(*) FILTER (WHERE tm = 1) AS title_perfect, CAST(sum(cg) AS BIGINT) AS coop_gold_cells,
+  CAST(sum(ch) AS BIGINT) AS coop_cell_hits, CAST(sum(greatest(cp - cg, 0)) AS BIGINT) AS coop_extra_cells, count(*) FILTER (WHERE cg = cp AND ch = cg) AS coop_case_exact, count(*) FILTER (WHERE fr = 1) AS first_review_ok, count(fr) AS first_review_scored FROM s GROUP BY GROUPING SETS ((predictor), (predictor, grp))
+""")
+def prediction_report(spark, d):
+    """Five predictors, one of them supplied and one made with it, over all documents of groups of two or more."""
+    docs, cells, _ = _layered(spark, d)
+    given = cells.filter("doc_id % 5 > 0 or role <> '기안'").withColumns({"title": F.when(F.col("doc_id") % 3 == 0, "XX").otherwise(F.col("title")), "name": F.when(F.col("doc_id") % 4 == 0, F.col("name")).otherwise("n9")})
+    cases, _ = tracks.prediction_cases(docs.withColumn("dept", F.lit("")), cells, {"manual": _layered_bundles(spark)}, {"engine": given}, ["없는이름"], compose=False)
+    return tracks.prediction_summary(cases, digits=8).withColumn("grp", F.coalesce(F.col("grp").cast("bigint"), F.lit(-1).cast("bigint")))
+
+
+_ROUNDS = 2
+
+
+@query(f"""
+WITH {_VOTED.replace("o_custkey AS org", "o_custkey % 400 AS org").replace("pairs AS (SELECT a.doc_id AS target, b.doc_id, b.date FROM docs a JOIN docs b ON a.org = b.org AND a.doc_id <> b.doc_id)", f'''ring AS (SELECT r.range AS round, docs.*, row_number() OVER (PARTITION BY r.range, org ORDER BY md5('draw:0:' || r.range || ':' || doc_id), doc_id) - 1 AS i, count(*) OVER (PARTITION BY r.range, org) AS m FROM docs, range({_ROUNDS}) r),
+pairs AS (SELECT a.round * 100000000 + a.doc_id AS target, b.doc_id, b.date FROM ring a JOIN ring b ON a.round = b.round AND a.org = b.org AND a.m > 5 AND (b.i - a.i + a.m) % a.m BETWEEN 1 AND 5)''')},
+asked AS (SELECT DISTINCT target, target // 100000000 AS round, target % 100000000 AS doc_id FROM pairs),
+j AS (SELECT a.round, a.target, coalesce(v.title = c.title, false) AS t, coalesce(v.name = c.name, false) AS n FROM asked a JOIN cells c ON c.doc_id = a.doc_id LEFT JOIN voted v ON v.doc_id = a.target AND v.role = c.role AND v.pos = c.pos),
+s AS (SELECT a.round, a.target, coalesce(count(*) FILTER (WHERE t) / nullif(count(j.target), 0), 0) AS tm, coalesce(count(*) FILTER (WHERE n) / nullif(count(j.target), 0), 0) AS nm FROM asked a LEFT JOIN j USING (target) GROUP BY 1, 2)
+SELECT CAST(round AS INTEGER) AS round, count(*) AS cases, round(avg(tm), 6) AS title_mean, round(avg(nm), 6) AS name_mean FROM s GROUP BY 1
+""")
+def resampled_votes(spark, d):
+    """The vote's scores on five references drawn anew in each round."""
+    docs, cells = _docs_cells(spark, d)
+    got = predict.robustness(docs.withColumn("org", F.col("org") % 400), cells, _ROUNDS, compose=False)
+    return got.groupBy("round").agg(F.count("*").alias("cases"), F.round(F.avg("title_match"), 6).alias("title_mean"), F.round(F.avg("name_match"), 6).alias("name_mean"))
+
+
+def _gold_lines(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, their lines, and rows that are right: the line reaches level 2 to 5, with or without a team's lead."""
+    q = _requests(spark, d).filter("dept in ('도로과', '행정과', '감사담당관')").withColumn("top", (F.col("req") % 4 + 2).cast("int"))
+    lead = F.when(F.col("req") % 5 < 3, F.when(F.col("dept") == "도로과", "도로팀장").otherwise("총무 팀장"))
+    cell = lambda role, title, when, note="": F.when(when, F.struct(F.lit(role).alias("role"), title.alias("title"), F.lit(note).alias("note")))
+    up = F.element_at(F.array(F.lit("x"), F.lit("x"), F.when(F.col("dept") == "감사담당관", F.col("dept")).otherwise(F.concat("dept", F.lit("장"))), F.lit("국장"), F.lit("부군수"), F.lit("군수")), F.col("top") + 1)
+    notes = F.col("req") % 7 == 0
+    made = F.array_compact(F.array(cell("기안", F.lit("주무관"), F.lit(True)), cell("검토", lead, lead.isNotNull()), cell("결재", up, ~notes), cell("결재", up, notes, "권한대행"), cell("협조", F.lit("전산팀장"), F.col("req") % 2 == 0)))
+    gold = q.select(F.col("req").alias("doc_id"), F.posexplode(made).alias("pos", "c")).select("doc_id", "pos", "c.*")
+    docs = q.select(F.col("req").alias("doc_id"), _n("req").alias("doc_no"), "dept", "day", "title", F.concat_ws("\n", "body", F.array_join("attachments", "\n")).alias("body"))
+    return docs, gold, docs.select("doc_no", F.array(F.lit(0), F.lit(7)).alias("rids"))
+
+
+@query(f"""
+WITH {_REQUESTS}, x AS (SELECT f.*, CAST(req % 4 + 2 AS INT) AS top, CASE WHEN req % 5 < 3 THEN CASE WHEN dept = '도로과' THEN '도로팀장' ELSE '총무 팀장' END END AS boss, req % 7 = 0 AS amb FROM f WHERE dept IN ('도로과', '행정과', '감사담당관')),
+gold AS (SELECT req, 0 AS o, '주무관' AS title FROM x UNION ALL SELECT req, 1, boss FROM x WHERE boss IS NOT NULL UNION ALL SELECT req, 2, CASE top WHEN 2 THEN head WHEN 3 THEN '국장' WHEN 4 THEN '부군수' ELSE '군수' END FROM x),
+g AS (SELECT req, row_number() OVER (PARTITION BY req ORDER BY o) AS i, title FROM gold),
+m AS (SELECT 'path_no_acting' AS mode, req, day, dept, bureau, head, boss, top AS up, false AS act FROM x UNION ALL SELECT 'path_acting', req, day, dept, bureau, head, boss, top, true FROM x UNION ALL SELECT 'agent', req, day, dept, bureau, head, boss, coalesce(level, 5), true FROM x),
+s AS (
+  SELECT mode, req, 0 AS o, '주무관' AS title FROM m UNION ALL SELECT mode, req, 1, boss FROM m WHERE boss IS NOT NULL AND up >= 1 UNION ALL SELECT mode, req, 2, head FROM m WHERE up >= 2 UNION ALL SELECT mode, req, 3, bureau || '장' FROM m WHERE up >= 3 AND bureau IS NOT NULL
+  UNION ALL SELECT mode, req, 4, CASE WHEN act AND day >= '1998-01-01' THEN '행정안전국장' ELSE '부군수' END FROM m WHERE up >= 4 AND dept <> '감사담당관' AND NOT (act AND up = 5 AND day BETWEEN '1996-01-01' AND '1997-06-30') UNION ALL SELECT mode, req, 5, '군수' FROM m WHERE up >= 5),
+l AS (SELECT *, lag(title) OVER (PARTITION BY mode, req ORDER BY o) AS before FROM s), p AS (SELECT mode, req, row_number() OVER (PARTITION BY mode, req ORDER BY o) AS i, title FROM l WHERE before IS NULL OR before <> title),
+pw AS (SELECT mode, coalesce(p.req, g.req) AS req, p.title AS pt, g.title AS gt FROM p FULL JOIN (SELECT mode, g.* FROM g CROSS JOIN (SELECT DISTINCT mode FROM m)) g USING (mode, req, i)),
+a AS (SELECT mode, req, count(*) FILTER (WHERE pt = gt) / count(*) AS acc, count(*) FILTER (WHERE pt = gt) = count(*) AS exact, count(pt) = count(gt) AS even FROM pw GROUP BY 1, 2),
+k AS (SELECT mode, round(avg(acc), 4) AS acc, count(*) FILTER (WHERE exact) AS exact, count(*) FILTER (WHERE even) AS even FROM a GROUP BY 1),
+v AS (SELECT x.*, CASE WHEN level IS NULL THEN 'unknown' WHEN (amb AND level IN (4, 5)) OR (NOT amb AND level = top) THEN 'same' WHEN level < CASE WHEN amb THEN 4 ELSE top END THEN 'escalated' ELSE 'violation' END AS verdict, CASE WHEN branch = 'row_search' THEN CASE WHEN dept = '행정과' THEN false WHEN dept = '도로과' AND title LIKE '하천%' THEN false ELSE true END END AS pick FROM x)
+SELECT count(*) AS documents, count(*) AS path_docs, count(*) FILTER (WHERE verdict = 'same') AS same, count(*) FILTER (WHERE verdict = 'escalated') AS escalated, count(*) FILTER (WHERE verdict = 'violation') AS violation, count(*) FILTER (WHERE verdict = 'unknown') AS "unknown",
+  count(*) FILTER (WHERE level >= 4) AS decidable, count(*) FILTER (WHERE level >= 4 AND verdict = 'same') AS decidable_correct, count(pick) AS labelled, count(pick) AS candidate_recall, count(*) FILTER (WHERE pick) AS pick_correct,
+  count(*) FILTER (WHERE boss IS NOT NULL AND dept <> '감사담당관') AS team_cases, count(*) FILTER (WHERE boss IS NOT NULL AND dept <> '감사담당관') AS team_correct,
+  {", ".join(f"(SELECT acc FROM k WHERE mode = '{m}') AS {m}_accuracy, (SELECT exact FROM k WHERE mode = '{m}') AS {m}_exact, (SELECT even FROM k WHERE mode = '{m}') AS {m}_count_match" for m in ("path_no_acting", "path_acting", "agent"))} FROM v
+""")
+def delegation_report(spark, d):
+    """Final levels, lines three ways, rows and teams found by the published rules, against gold lines."""
+    docs, gold, rids = _gold_lines(spark, d)
+    duties = _rows(spark, [("도로과", 1, "도로팀", "도로 하천 청사"), ("행정과", 1, "총무팀", "도로 청사 물품 민원 하천"), ("행정과", 2, "민원팀", "가")], "dept string, ord int, team string, duties string")
+    return tracks.delegation_summary(tracks.delegation_cases(docs, gold, rids, _published(spark), duties))

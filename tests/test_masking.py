@@ -165,11 +165,6 @@ def test_org_chart(spark):
     assert sorted(tuple(r) for r in team.collect()) == [("과1", "팀1", "팀2팀장", "하나 둘"), ("과1", "팀2", "", "")]
 
 
-def test_bottom_region(spark):
-    words = spark.createDataFrame([("d", "과장", 700.0), ("d", "팀장", 720.0), ("d", "팀장", 100.0), ("e", "과장", 700.0)], "doc_id string, text string, y double").withColumn("page_height", F.lit(800.0))
-    assert [tuple(r) for r in layout.bottom_region(words, ["과장", "팀장"], ["doc_id"]).collect()] == [("d", 680.0, 760.0, 2)]
-
-
 def test_broken_titles_are_joined(spark):
     words = [(1, 50.0, 10.0, "출입국관리서", 40.0), (2, 52.0, 25.0, "기", 41.0), (3, 50.0, 40.0, "홍길동", 40.0), (4, 200.0, 10.0, "총무사무관", 190.0), (5, 200.0, 25.0, "이몽룡", 190.0), (6, 300.0, 10.0, "시설관리주", 290.0), (7, 300.0, 28.0, "사", 290.0), (8, 300.0, 30.0, "사보", 290.0)]
     rows = spark.createDataFrame([("d", *w) for w in words], "doc_id string, word_id int, xc double, y double, text string, xl double")
