@@ -12,7 +12,7 @@ from docketry.functions.shared import drop_folder, shared_folder, stable
 from docketry.operators import bundles, drafts, evaluate, gazette, layout, predict, requests, retrieval, tracks
 from docketry.plans.catalogue import _TOKENS, _rows, _t, query
 from docketry.plans.more import _O, _VOTED, _docs_cells, _n, _orders, _said
-from docketry.sources import engines, matrix, side_table
+from docketry.sources import documents, engines, matrix, side_table
 
 # ---------------------------------------------------------------- requests
 DEPARTMENTS = [("도로과", "건설도시국", "도로과장"), ("행정과", "행정안전국", "행정과장"), ("감사담당관", None, "감사담당관")]
@@ -435,3 +435,51 @@ def delegation_report(spark, d):
     docs, gold, rids = _gold_lines(spark, d)
     duties = _rows(spark, [("도로과", 1, "도로팀", "도로 하천 청사"), ("행정과", 1, "총무팀", "도로 청사 물품 민원 하천"), ("행정과", 2, "민원팀", "가")], "dept string, ord int, team string, duties string")
     return tracks.delegation_summary(tracks.delegation_cases(docs, gold, rids, _published(spark), duties))
+
+
+# ---------------------------------------------------------------- documents and their gold
+def _portal(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metadata, files that are there, and gold rows, made of customers and their orders' lines."""
+    o = _t(spark, d, "orders")
+    meta = o.select(F.col("o_orderkey").alias("row_no"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("file"), F.concat("o_orderpriority", F.lit(" 계획")).alias("title"))
+    files = o.filter("o_orderkey % 7 > 0").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("file"))
+    lines = _t(spark, d, "lineitem").filter("l_orderkey % 5 > 0")
+    none = F.col("l_orderkey") % 11 == 0
+    gold = lines.select(
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_no"), F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit(".pdf")).alias("file"), F.concat(F.lit("org"), (F.col("l_linenumber") % 3).cast("string")).alias("org"),
+        F.when(F.col("l_returnflag") == "R", "결재").otherwise("검토").alias("role"), F.when(none, "-").otherwise(F.col("l_linestatus")).alias("title"), F.when(none, "-").otherwise(F.col("l_returnflag")).alias("name"), F.lit("").alias("note"),
+    )
+    return meta, files, gold.groupBy("row_no", "file").agg(*[F.min_by(c, F.struct("role", "title", "name", "org")).alias(c) for c in ("org", "role", "title", "name", "note")])
+
+
+@query("""
+WITH meta AS (SELECT o_orderkey AS k, o_orderpriority || ' 계획' AS title FROM orders), here AS (SELECT * FROM meta WHERE k % 7 > 0 ORDER BY k LIMIT 1000),
+raw AS (SELECT l_orderkey AS k, l_linenumber AS n, 'org' || l_linenumber % 3 AS org, CASE WHEN l_returnflag = 'R' THEN '결재' ELSE '검토' END AS role, CASE WHEN l_orderkey % 11 = 0 THEN '-' ELSE l_linestatus END AS title, CASE WHEN l_orderkey % 11 = 0 THEN '-' ELSE l_returnflag END AS name FROM lineitem WHERE l_orderkey % 5 > 0),
+g AS (SELECT k, n, min_by(org, struct_pack(a := role, b := title, c := name, d := org)) AS org, min_by(title, struct_pack(a := role, b := title, c := name, d := org)) AS title, min_by(role, struct_pack(a := role, b := title, c := name, d := org)) AS role, min_by(name, struct_pack(a := role, b := title, c := name, d := org)) AS name FROM raw GROUP BY 1, 2),
+o AS (SELECT k, arg_max(org, n) AS org FROM g GROUP BY 1), t AS (SELECT k, string_agg(title, '+' ORDER BY CASE role WHEN '검토' THEN 1 ELSE 2 END, n) AS titles, count(*) AS cells FROM g WHERE NOT (title = '-' AND name = '-') GROUP BY 1)
+SELECT 'f' || h.k AS doc_id, o.org, '계획' AS doc_type, CAST(coalesce(cells, 0) AS INTEGER) AS gold_cell_count, coalesce(titles, '') AS gold_titles, (SELECT count(*) FROM meta WHERE k % 7 = 0 AND k < (SELECT max(k) FROM here)) AS skipped FROM here h JOIN o USING (k) LEFT JOIN t USING (k)
+""")
+def document_cards(spark, d):
+    """The first thousand documents whose files are there, of those that gold knows: organisation, type and titles of the line."""
+    meta, files, gold = _portal(spark, d)
+    kept, skipped = documents.collected(meta, files, 1000)
+    known, cells = documents.with_gold(kept, gold)
+    typed = documents.with_types(known.drop("org"), gold).withColumns({"doc_no": F.lit(""), "date": F.lit(""), "dept": F.lit(""), "page_count": F.lit(1), "body": F.lit("")})
+    shown = documents.cards(typed, cells).select("doc_id", "org", "doc_type", "gold_cell_count", F.array_join("gold_titles", "+").alias("gold_titles"))
+    return shown.withColumn("skipped", F.lit(skipped.count()))
+
+
+@query(f"""
+WITH {_REQUESTS}, c AS (SELECT * FROM w WHERE org IS NOT NULL),
+e AS (SELECT *, CASE WHEN org = 'F' THEN '관장' WHEN kind = '계약·검사' THEN '국장' WHEN amount <= 100000 THEN '과장' ELSE '관장' END AS fin, CASE WHEN org = 'O' AND title LIKE '%도서%' THEN '자료팀장' WHEN org = 'O' AND title LIKE '%공연%' THEN '운영팀장' END AS team FROM c),
+hit AS (SELECT e.*, CASE WHEN org IN ('O', 'F') THEN 1 + CAST(fin = '관장' AS INT) ELSE 0 END AS hits, CASE WHEN org IN ('O', 'F') THEN CAST(coalesce(team, CASE WHEN org = 'O' AND kind = '계약·검사' THEN '회계팀장' WHEN org = 'O' AND fin <> '과장' THEN '과장' END) = '자료팀장' AS INT) ELSE 0 END AS rev,
+  CASE WHEN org IN ('O', 'F') THEN 1 ELSE 0 END AS ruled, CASE WHEN org = 'O' THEN CAST(team IS NOT NULL AS INT) + CAST(kind = '계약·검사' AS INT) + CAST(fin <> '과장' AS INT) ELSE 0 END AS reviewers FROM e),
+s AS (SELECT kind = '계약·검사' AS ok, (hits + coalesce(rev, 0)) / 3 AS tm, (CASE WHEN ruled = 1 THEN 2 ELSE 0 END + CAST(reviewers = 1 AS INT) + CAST(NOT (org = 'O' AND title LIKE '%전산%') AS INT)) / 4 AS cm FROM hit)
+SELECT count(*) AS documents, round(avg(CAST(ok AS INT)), 4) AS work_type_accuracy, round(avg(tm), 4) AS title_accuracy, 0.0::DOUBLE AS name_accuracy, round(avg(cm), 4) AS count_accuracy, count(*) FILTER (WHERE tm = 1) AS title_perfect FROM s
+""")
+def ruled_lines_report(spark, d):
+    """Lines that bundles of rules make, against gold that says the same of every document."""
+    handled = _handled(spark, d).filter(F.col("branch") == requests.INDUCED)
+    docs = handled.select(F.col("req").alias("doc_id"))
+    gold = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(0).alias("pos"), F.lit(t).alias("title"), F.lit("아무개").alias("name")) for r, t in (("기안", "주무관"), ("검토", "자료팀장"), ("결재", "관장"))])).alias("c")).select("doc_id", "c.*")
+    return tracks.ruled_summary(tracks.ruled_cases(docs, gold, handled, docs.withColumn("gold", F.lit("계약·검사")), compose=False)).drop("needs_mean")
