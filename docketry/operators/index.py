@@ -143,10 +143,10 @@ def small_rows(rows: DataFrame, text_col: str) -> list | None:
     return rows.collect() if size["n"] <= MOST_POOL_ROWS and (size["chars"] or 0) <= MOST_POOL_CHARS else None
 
 
-def search_pools(queries: DataFrame, members: Callable[[object], tuple[object, list[tuple[object, str]]]], k: int, id_type: str, query_id: str = "query_id", pool: str = "dept", query: str = "query", id_col: str = "rid") -> DataFrame:
+def search_pools(queries: DataFrame, name_of: Callable[[object], object], rows_of: Callable[[object], list[tuple[object, str]]], k: int, id_type: str, query_id: str = "query_id", pool: str = "dept", query: str = "query", id_col: str = "rid") -> DataFrame:
     """-> (query_id, rank, id, score): the k best rows of each query's pool.
 
-    members(pool value) -> (name, rows (id, text) in order): a worker builds each pool it meets once, by name.
+    name_of(pool value) -> the pool's name; rows_of(name) -> its rows (id, text), in order: a worker builds each pool it meets once.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -158,9 +158,9 @@ def search_pools(queries: DataFrame, members: Callable[[object], tuple[object, l
         for batch in batches:
             out: list[tuple] = []
             for q, p, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                name, rows = members(p)
+                name = name_of(p)
                 if name not in pools:
-                    pools[name] = Pool(rows)
+                    pools[name] = Pool(rows_of(name))
                 out += [(q, rank, ident, score) for rank, (ident, score) in enumerate(pools[name].best(text, k), 1)]
             column = lambda i, t: pa.array([r[i] for r in out], t)
             yield pa.RecordBatch.from_arrays([column(0, to_arrow_type(kind)), column(1, pa.int32()), column(2, to_arrow_type(id_kind)), column(3, pa.float64())], names=[query_id, "rank", id_col, "score"])

@@ -325,11 +325,9 @@ def candidates(queries: DataFrame, rules: DataFrame, k: int = 5, common: str = "
         rows = sorted((r["rid"], r["sheet"], r["text"]) for r in held)
         sheets = {sheet for _, sheet, _ in rows if not sheet.startswith(common)}
 
-        def members(dept):
-            own = dept if dept in sheets else None
-            return own, [(rid, text) for rid, sheet, text in rows if sheet == own or sheet.startswith(common)]
-
-        hits = index.search_pools(queries, members, depth, dict(rules.dtypes)["rid"])
+        # departments without a sheet share the pool of the common ones
+        rows_of = lambda own: [(rid, text) for rid, sheet, text in rows if sheet == own or sheet.startswith(common)]
+        hits = index.search_pools(queries, lambda dept: dept if dept in sheets else None, rows_of, depth, dict(rules.dtypes)["rid"])
     if embedded is None:
         return hits
     asked, known = embedded
@@ -410,7 +408,7 @@ def route_by_duties(docs: DataFrame, teams: DataFrame, id_col: str = "doc_id", c
     for r in sorted(held, key=lambda r: r["ord"]):
         by_dept.setdefault(r["dept"], []).append((r["team"], r["duties"]))
     asked = docs.select(F.col(id_col).alias("query_id"), "dept", F.concat("title", F.lit(" "), F.substring("body", 1, chars)).alias("query"))
-    hits = index.search_pools(asked, lambda dept: (dept, by_dept.get(dept, [])), 1, "string", id_col="team")
+    hits = index.search_pools(asked, lambda dept: dept, lambda dept: by_dept.get(dept, []), 1, "string", id_col="team")
     return hits.select(F.col("query_id").alias(id_col), "team", "score")
 
 

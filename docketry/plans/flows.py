@@ -136,12 +136,12 @@ def _layered_bundles(spark) -> DataFrame:
     return _rows(spark, LAYERED, bundles.SCHEMA).withColumn("org", F.explode(of_all))
 
 
-def _layered(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _titled(spark, d) -> tuple[DataFrame, DataFrame]:
     docs, cells = _docs_cells(spark, d)
     total = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").cast("long").alias("amount"))
     pick = F.element_at(F.array(F.lit("가 나 점검"), F.lit("다라 협 의"), F.lit("가나 다라"), F.lit("점검")), (F.col("doc_id") % 4 + 1).cast("int"))
     docs = docs.join(total, "doc_id").withColumns({"org": (F.col("org") % 400).cast("string"), "title": pick, "body": _said("금 ", F.format_number("amount", 0), "원")}).drop("amount")
-    return docs, cells, predict.layered(docs, cells, _layered_bundles(spark))
+    return docs, cells
 
 
 _LAYERED = f"""
@@ -175,7 +175,7 @@ lines AS (
 @query(f"WITH {_LAYERED} SELECT * FROM lines")
 def layered_lines(spark, d):
     """Lines by rules, votes and rosters, each cell with its evidence; organisations without rules by votes alone."""
-    return _layered(spark, d)[2]
+    return predict.layered(*_titled(spark, d), _layered_bundles(spark))
 
 
 @query(f"""
@@ -185,8 +185,8 @@ SELECT kind, evidence, count(*) AS n, count(*) FILTER (WHERE ok) AS correct, cou
 """)
 def layered_evidence(spark, d):
     """How often each kind of evidence is right."""
-    _, cells, lines = _layered(spark, d)
-    return evaluate.by_evidence(evaluate.cell_outcomes(cells, lines), {"title": ("title_source", "title_ok"), "name": ("name_source", "name_ok")})
+    docs, cells = _titled(spark, d)
+    return evaluate.by_evidence(evaluate.cell_outcomes(cells, predict.layered(docs, cells, _layered_bundles(spark))), {"title": ("title_source", "title_ok"), "name": ("name_source", "name_ok")})
 
 
 # ---------------------------------------------------------------- sources
@@ -375,7 +375,7 @@ SELECT predictor, coalesce(grp, -1) AS grp, count(*) AS cases, round(avg(tm), 8)
 """)
 def prediction_report(spark, d):
     """Five predictors, one of them supplied and one made with it, over all documents of groups of two or more."""
-    docs, cells, _ = _layered(spark, d)
+    docs, cells = _titled(spark, d)
     given = cells.filter("doc_id % 5 > 0 or role <> '기안'").withColumns({"title": F.when(F.col("doc_id") % 3 == 0, "XX").otherwise(F.col("title")), "name": F.when(F.col("doc_id") % 4 == 0, F.col("name")).otherwise("n9")})
     cases, _ = tracks.prediction_cases(docs.withColumn("dept", F.lit("")), cells, {"manual": _layered_bundles(spark)}, {"engine": given}, ["없는이름"], compose=False)
     return tracks.prediction_summary(cases, digits=8).withColumn("grp", F.coalesce(F.col("grp").cast("bigint"), F.lit(-1).cast("bigint")))

@@ -99,7 +99,7 @@ def test_names_and_masks(spark):
 def test_lookups_of_a_bundle(spark):
     rules = [(2, ["a"], None, 10, "x", "n2"), (1, None, 20, None, "y", "n1"), (3, ["*"], 12, 15, "z", "n3")]
     data = spark.createDataFrame([(k, a, rules) for k, a in (("a", 10), ("a", 11), ("b", 20), ("b", 10), ("b", None), ("b", 15))], f"k string, a bigint, rules {bundles.RULES}")
-    got = [tuple(r[0]) for r in data.select(bundles.final(F.col("rules"), F.lit(""), F.lit("top"), F.col("k"), F.col("a"))).collect()]
+    got = [tuple(r[0]) for r in data.select(bundles.final(bundles.by_priority(F.col("rules")), F.lit(""), F.lit("top"), F.col("k"), F.col("a"))).collect()]
     assert got == [("x", True, "n2"), ("top", False, None), ("y", True, "n1"), ("top", False, None), ("top", False, None), ("z", True, "n3")]
     teams = [("one", ["도서", "책"], 2), ("two", ["공연"], 5), ("three", [], 5)]
     texts = [("도 서 축제", ""), ("공연", "도서 책"), ("축제", "공 연"), ("도서 공연", ""), ("없음", "")]
