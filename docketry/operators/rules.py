@@ -44,6 +44,15 @@ def with_rules(rows: DataFrame, packed: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(packed) if few else packed, key, "left")
 
 
+def with_table(rows: DataFrame, rules: DataFrame, into: str, *order: str) -> DataFrame:
+    """Adds all rules, sorted, as an array to every row: as a literal, or, beyond MOST_RULES, as the one row of a join. The rows of a
+    rule table are configuration; the array is held once by each task."""
+    if rules.limit(MOST_RULES + 1).count() <= MOST_RULES:
+        return rows.withColumn(into, literal_rules(rules, *order))
+    whole = keyed(rules.withColumn("_every", F.lit(0)), "_every", *order).withColumnRenamed("rules", into)
+    return rows.withColumn("_every", F.lit(0)).join(F.broadcast(whole), "_every").drop("_every")
+
+
 def first(rules: Column, applies) -> Column:
     """First rule that applies, or null."""
     return F.get(F.filter(rules, applies), F.lit(0))
@@ -66,8 +75,8 @@ def in_interval(day: Column, start: Column, end: Column) -> Column:
 
 def band(rows: DataFrame, bands: DataFrame, amount_col: str, order: str = "rid", low: str = "amount_min", high: str = "amount_max") -> DataFrame:
     """Adds `band`: the first band, by order, that holds the amount; null without one."""
-    rules = literal_rules(bands, order)
-    return rows.withColumn("band", first(rules, lambda r: open_low_closed_high(F.col(amount_col), r[low], r[high])))
+    joined = with_table(rows, bands, "_bands", order)
+    return joined.withColumn("band", first(F.col("_bands"), lambda r: open_low_closed_high(F.col(amount_col), r[low], r[high]))).drop("_bands")
 
 
 def delegate(rows: DataFrame, rules: DataFrame, fallback: DataFrame, key: str = "org", type_col: str = "work_type", amount_col: str = "amount") -> DataFrame:
@@ -233,8 +242,8 @@ def execution(docs: DataFrame, bands: DataFrame, categories: list[tuple[str, tup
     found = labelled_amount(docs, labels, id_col, "body").withColumnRenamed("label", "amount_label")
     said = F.create_map(*[F.lit(x) for key, _, table in categories for x in (key, table)])
     rows = docs.select(id_col, kind.alias("category")).join(found, id_col, "left").withColumn("_said", said[F.col("category")])
-    rules = literal_rules(bands.filter(F.col("sheet").startswith(fixed.COMMON_SHEET)), "rid")
-    hit = first(rules, lambda r: r["item"].contains(F.col("_said")) & F.coalesce(open_low_closed_high(F.col("amount"), r["amount_min"], r["amount_max"]), F.lit(False)))
+    rows = with_table(rows, bands.filter(F.col("sheet").startswith(fixed.COMMON_SHEET)), "_bands", "rid")
+    hit = first(F.col("_bands"), lambda r: r["item"].contains(F.col("_said")) & F.coalesce(open_low_closed_high(F.col("amount"), r["amount_min"], r["amount_max"]), F.lit(False)))
     return rows.withColumn("_hit", F.when(F.col("amount").isNotNull(), hit)).select(id_col, "category", "amount", "amount_label", F.col("_hit.item").alias("row"), F.col("_hit.final_level").alias("level"))
 
 

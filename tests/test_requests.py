@@ -136,3 +136,15 @@ def test_labelled_amounts_as_the_text_stands(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r["doc_id"]: (r["amount"], r["label"]) for r in extract.labelled_amount(docs, ["도급액", "사업비"]).collect()}
     assert got == dict(enumerate(texts.values()))
+
+
+def test_rule_tables_of_any_size(spark, monkeypatch):
+    from docketry.operators import rules
+
+    bands = spark.createDataFrame([(i, float(10 * i) if i else None, float(10 * i + 15), f"b{i}") for i in range(30)], "rid int, amount_min double, amount_max double, level string")
+    rows = spark.createDataFrame([(i, i * 7.5) for i in range(50)] + [(99, None)], "k int, amount double")
+    want = sorted((r["k"], r["band"] and r["band"]["level"]) for r in rules.band(rows, bands, "amount").collect())
+    assert want[0] == (0, "b0") and want[-1] == (99, None) and want[4] == (4, "b2")
+    monkeypatch.setattr(rules, "MOST_RULES", 5)
+    got = rules.band(rows, bands, "amount")
+    assert sorted((r["k"], r["band"] and r["band"]["level"]) for r in got.collect()) == want and got.columns == ["k", "amount", "band"]
