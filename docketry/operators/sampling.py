@@ -15,6 +15,13 @@ def round_robin(rows: DataFrame, kind: str, order: Column | str, n: int) -> Data
     return turned.orderBy("_r", kind, order).limit(n).drop("_r")
 
 
+def round_robin_within(rows: DataFrame, keys: list[str], kind: str, order: str, n: int) -> DataFrame:
+    """Up to n rows of each key, by turns over its kinds (in their order), each kind's in the given order; the rows of a key are few by nature."""
+    turned = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, kind).orderBy(order))).filter(F.col("_r") <= n)
+    picked = turned.withColumn("_p", F.row_number().over(Window.partitionBy(*keys).orderBy("_r", kind, order)))
+    return picked.filter(F.col("_p") <= n).drop("_r", "_p")
+
+
 def shuffled(seed: int, *keys: str) -> Column:
     """A seeded order that any run reproduces."""
     return F.xxhash64(F.lit(seed), *keys)

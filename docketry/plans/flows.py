@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from docketry.functions.shared import drop_folder, shared_folder, stable
-from docketry.operators import bundles, drafts, evaluate, gazette, layout, predict, requests, retrieval, tracks
+from docketry.operators import bundles, drafts, evaluate, gazette, layout, predict, requests, retrieval, sampling, tracks
 from docketry.plans.catalogue import _TOKENS, _rows, _t, query
 from docketry.plans.more import _O, _VOTED, _docs_cells, _n, _orders, _said
 from docketry.sources import documents, engines, matrix, side_table
@@ -483,3 +483,26 @@ def ruled_lines_report(spark, d):
     docs = handled.select(F.col("req").alias("doc_id"))
     gold = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(0).alias("pos"), F.lit(t).alias("title"), F.lit("아무개").alias("name")) for r, t in (("기안", "주무관"), ("검토", "자료팀장"), ("결재", "관장"))])).alias("c")).select("doc_id", "c.*")
     return tracks.ruled_summary(tracks.ruled_cases(docs, gold, handled, docs.withColumn("gold", F.lit("계약·검사")), compose=False)).drop("needs_mean")
+
+
+@query("""
+WITH k AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS doc_pages, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY r, role, turn) AS p FROM k WHERE r <= 4) SELECT conv_id, turn, role, doc_pages FROM p WHERE p <= 4
+""")
+def turns_by_role(spark, d):
+    """Up to four turns of each conversation, by turns over the roles."""
+    c = _t(spark, d, "conversations").withColumn("doc_pages", F.count("*").over(Window.partitionBy("conv_id")))
+    return sampling.round_robin_within(c, ["conv_id"], "role", "turn", 4).select("conv_id", "turn", "role", "doc_pages")
+
+
+@query("""
+WITH l AS (SELECT doc_id, page, lines FROM (SELECT doc_id, string_split(text, chr(10)) AS all_lines, unnest(range(0, (len(string_split(text, chr(10))) + 19) // 20)) AS page FROM documents), LATERAL (SELECT [trim(x) FOR x IN all_lines[page * 20 + 1 : page * 20 + 20] IF trim(x) <> ''] AS lines)),
+s AS (SELECT doc_id, page, len(lines) AS n, CASE WHEN len(lines) > 0 THEN len([x FOR x IN lines IF length(x) < 20]) / len(lines) ELSE 0 END AS short FROM l)
+SELECT doc_id, CAST(page + 1 AS INTEGER) AS page_no, CASE WHEN n >= 10 AND short >= 0.6 THEN 'table' ELSE 'body_1col' END AS page_type, round(short, 4) AS short_line_ratio, CAST(n AS INTEGER) AS lines, count(*) OVER (PARTITION BY doc_id) AS doc_pages FROM s
+""")
+def document_pages(spark, d):
+    """Documents cut into pages of twenty lines, with the type and figures of each page."""
+    docs = _t(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ls") + 19) / 20).cast("int") - 1), lambda i: F.array_join(F.slice("ls", i * 20 + 1, F.lit(20)), "\n"))
+    pages = docs.select("doc_id", F.posexplode(cut).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("page_no"), "text")
+    return documents.page_table(pages).select("doc_id", "page_no", "page_type", "short_line_ratio", "lines", "doc_pages")

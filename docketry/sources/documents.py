@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docketry.functions import extract, fixed
 from docketry.functions.masking import mask_names
-from docketry.functions.text import doc_type
+from docketry.functions.text import doc_type, page_stats
+from docketry.operators.sampling import round_robin_within
 from docketry.sources.files import gold_cells, last_wins
 
 #: Why a document is left out.
@@ -29,6 +30,22 @@ def collected(metadata: DataFrame, files: DataFrame, max_docs: int | None = None
     return there.filter("_there").drop("_there").withColumn("doc_id", stem), there.filter(~F.col("_there")).select(key, F.lit(NO_FILE).alias("reason"))
 
 
+def page_table(pages: DataFrame, gutters: DataFrame | None = None) -> DataFrame:
+    """pages(doc_id, page_no, text), gutters(doc_id, page_no, has_gutter) -> the pages with page_type, leader_ratio, short_line_ratio, lines and
+    doc_pages, the number of pages of their document."""
+    sized = pages.join(pages.groupBy("doc_id").agg(F.count("*").alias("doc_pages")), "doc_id")
+    if gutters is not None:
+        sized = sized.join(gutters.select("doc_id", "page_no", "has_gutter"), ["doc_id", "page_no"], "left")
+    stats = page_stats(F.coalesce("text", F.lit("")), F.col("has_gutter") if gutters is not None else None)
+    rounded = lambda f: F.round(F.col(f"_s.{f}"), 4).alias(f)
+    return sized.withColumn("_s", stats).select(*pages.columns, "doc_pages", "_s.page_type", rounded("leader_ratio"), rounded("short_line_ratio"), "_s.lines")
+
+
+def selected_pages(table: DataFrame, max_pages: int) -> DataFrame:
+    """Up to max_pages pages of each document, by turns over their types."""
+    return round_robin_within(table, ["doc_id"], "page_type", "page_no", max_pages)
+
+
 def bodies(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """pages(id, page_no, text) -> (id, body, page_count): all pages' texts, in order, a line break between them."""
     ordered = F.sort_array(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))))

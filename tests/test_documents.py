@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import drafts, evaluate, tracks
-from docketry.sources import documents, files
+from docketry.sources import documents, files, render
 
 GOLD = "row_no int, file string, org string, role string, title string, name string, note string"
 
@@ -94,3 +94,34 @@ def test_rules_from_yaml(spark, tmp_path):
     (tmp_path / "r.yaml").write_text("rules:\n  - {org: A, title: 과장}\n  - {org: B, title: 국장}\n", encoding="utf-8")
     got = files.yaml_rules(spark, str(tmp_path / "r.yaml"), lambda y: [(r["org"], r["title"]) for r in y["rules"]], "org string, title string")
     assert sorted(tuple(r) for r in got.collect()) == [("A", "과장"), ("B", "국장")]
+
+
+# ------------------------------------------------------------------ pages
+def test_pages_with_figures_and_their_choice(spark):
+    body, table, toc = "긴 문장이 이어지는 본문 줄입니다 아주 길게", "\n".join(["짧은"] * 12), "○ 제목 ·········· 3"
+    pages = spark.createDataFrame([("a", i + 1, t) for i, t in enumerate([body, body, body, table, toc, None])] + [("b", 1, body)], "doc_id string, page_no int, text string")
+    gutters = spark.createDataFrame([("a", 2, True), ("b", 1, None)], "doc_id string, page_no int, has_gutter boolean")
+    told = documents.page_table(pages, gutters)
+    assert [(r["page_no"], r["page_type"], r["doc_pages"], r["lines"]) for r in told.filter("doc_id = 'a'").orderBy("page_no").collect()] == [(1, "body_1col", 6, 1), (2, "body_2col", 6, 1), (3, "body_1col", 6, 1), (4, "table", 6, 12), (5, "toc", 6, 1), (6, "body_1col", 6, 0)]
+    picked = lambda n: sorted((r["doc_id"], r["page_no"]) for r in documents.selected_pages(told, n).collect())
+    assert picked(4) == [("a", 1), ("a", 2), ("a", 4), ("a", 5), ("b", 1)] and picked(5) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("a", 5), ("b", 1)]
+
+
+def test_pages_are_rendered_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, content in (("a.pdf", b"one two"), ("b.pdf", b"one two"), ("c.pdf", b"three"), ("d.txt", b"x")):
+        (tmp_path / "in" / name).write_bytes(content)
+    calls = spark.sparkContext.accumulator(0)
+
+    def draw(content, dpi):
+        calls.add(1)
+        return [w + str(dpi).encode() for w in content.split()]
+
+    files_, kept = render.documents(spark, str(tmp_path / "in")), str(tmp_path / "kept")
+    images, made = render.rendered(files_, kept, draw, 100)
+    assert made == 2 and calls.value == 2  # two files of equal content are rendered once
+    assert sorted((r["doc_id"], r["page_no"], bytes(r["image"])) for r in images.collect()) == [("a", 1, b"one100"), ("a", 2, b"two100"), ("b", 1, b"one100"), ("b", 2, b"two100"), ("c", 1, b"three100")]
+    assert render.rendered(files_, kept, draw, 100)[1] == 0 and render.rendered(files_, kept, draw, 200)[1] == 2
+    regions = spark.createDataFrame([("a", 2, 1, 3), ("c", 1, 0, 2)], "doc_id string, page_no int, y0 int, y1 int")
+    cut = render.cropped(images, regions, lambda image, y0, y1: image[int(y0) : int(y1)])
+    assert sorted((r["doc_id"], bytes(r["image"])) for r in cut.collect()) == [("a", b"wo"), ("c", b"th")]
