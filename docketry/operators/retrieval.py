@@ -50,13 +50,16 @@ def idf(posts: DataFrame, sizes: DataFrame, pool: list[str] = ()) -> DataFrame:
     return raw.select(*pool, "term", "avgdl", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-#: Queries of a block, which travel to all tasks, and cells of a matrix that a task makes at once (32 MB).
+#: Queries of a block, which travel to all tasks, their bytes, and cells of a matrix that a task makes at once (32 MB).
 MOST_QUERIES = 20_000
+MOST_BYTES = 64 << 20
 MOST_CELLS = 4_000_000
 
 
-def _blocks(queries: DataFrame, query_id: str, most: int) -> list[DataFrame]:
-    n = -(-queries.count() // most)
+def _blocks(queries: DataFrame, query_id: str, most: int, size: Column) -> list[DataFrame]:
+    """The queries in blocks of about `most`, and of MOST_BYTES; size: a query's bytes."""
+    told = queries.agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    n = max(-(-told["n"] // most), -(-(told["bytes"] or 0) // MOST_BYTES))
     return [queries] if n <= 1 else [queries.filter(F.pmod(F.xxhash64(query_id), F.lit(n)) == b) for b in range(n)]
 
 
@@ -74,7 +77,7 @@ def search(queries: DataFrame, kept: index.Index, k: int, query_id: str = "query
     # a task ranks many documents, as it hands on k rows for each query
     rows = kept.rows.coalesce(4 * max(8, spark.sparkContext.defaultParallelism))
     kinds = dict(kept.rows.dtypes) | dict(queries.dtypes)
-    for block in _blocks(queries.select(query_id, query_text), query_id, MOST_QUERIES):
+    for block in _blocks(queries.select(query_id, query_text), query_id, MOST_QUERIES, F.octet_length(query_text)):
         asked = sorted((r[query_id], Counter(index.terms_of(r[query_text]))) for r in block.collect())
         weights = kept.weights(sorted({t for _, ts in asked for t in ts}))
         scorer = _Bm25(asked, weights, size / n if n else 1.0, k, digits, (kinds[query_id], queries.schema[query_id].dataType), (kinds["id"], kept.rows.schema["id"].dataType), query_id, id_col)
@@ -186,7 +189,7 @@ def vectors(queries: DataFrame, data: DataFrame, k: int, query_id: str = "query_
     kinds, found = dict(data.dtypes) | dict(queries.dtypes), None
     types, names = (queries.schema[query_id].dataType, data.schema[id_col].dataType), [query_id, id_col, "score"]
     rows = data.select(id_col, finite(F.col(vector_col)).alias("_v")).filter("_v is not null")
-    for block in _blocks(queries.select(query_id, finite(F.col(vector_col)).alias("_v")).filter("_v is not null"), query_id, MOST_QUERIES):
+    for block in _blocks(queries.select(query_id, finite(F.col(vector_col)).alias("_v")).filter("_v is not null"), query_id, MOST_QUERIES, F.size("_v") * 8):
         by_length: dict[int, list] = {}
         for q, v in sorted(((r[query_id], r["_v"]) for r in block.collect()), key=lambda x: x[0]):
             by_length.setdefault(len(v), []).append((q, v))
@@ -258,7 +261,7 @@ def holders(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", que
     """-> (query, id): the documents that contain each query's text. Queries travel in blocks; a task reads each of its texts
     once for all of them, by an automaton where one is installed."""
     kinds, types, found = dict(docs.dtypes) | dict(queries.dtypes), (queries.schema[query_id].dataType, docs.schema[id_col].dataType), None
-    for block in _blocks(queries.select(query_id, query_text).filter(F.col(query_text).isNotNull()), query_id, MOST_QUERIES):
+    for block in _blocks(queries.select(query_id, query_text).filter(F.col(query_text).isNotNull()), query_id, MOST_QUERIES, F.octet_length(query_text)):
         by_text: dict[str, list] = {}
         for r in block.collect():
             by_text.setdefault(r[query_text], []).append(r[query_id])

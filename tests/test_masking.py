@@ -177,3 +177,13 @@ def test_extractors_over_documents_text(spark):
     got = spark.createDataFrame([(t,) for t, *_ in docs], "t string").select(extract.doc_no(F.col("t")).alias("n"), extract.amount(F.col("t")).alias("a"), extract.earliest_date(F.col("t")).alias("d")).collect()
     assert [tuple(r) for r in got] == [d[1:] for d in docs]
     assert [r[0] for r in spark.createDataFrame([("12,3a",), ("x",), ("-5",)], "t string").select(extract.lenient_int(F.col("t"))).collect()] == [123, None, -5]
+
+
+def test_blocks_by_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"도로 {i} 하천") for i in range(12)], "doc_id int, text string")
+    queries = spark.createDataFrame([(i, f"하천 {i}") for i in range(9)], "query_id int, query string")
+    data = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)]) for i in range(12)], "vec_id int, embedding array<double>")
+    found = lambda: (sorted(map(tuple, retrieval.bm25(queries, docs, 2).collect())), sorted(map(tuple, retrieval.vectors(data.withColumnRenamed("vec_id", "query_id"), data, 2).collect())), sorted(map(tuple, retrieval.holders(queries, docs).collect())))
+    want = found()
+    monkeypatch.setattr(retrieval, "MOST_BYTES", 40)
+    assert found() == want and len(want[0]) == 18 and len(want[1]) == 24
