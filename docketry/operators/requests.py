@@ -97,7 +97,9 @@ def chain(dept: Column, head: Column, bureau: Column, drafter: Column, lead: Col
 
 def with_department(requests: DataFrame, published: Published) -> DataFrame:
     """Adds _d: null, or the department's struct(bureau, head, by_team: team -> lead, leads: flat titles of all leads)."""
-    own = published.teams.filter(F.coalesce("lead", F.lit("")) != "").groupBy("dept").agg(
+    # a team that is listed twice has the first lead
+    listed = published.teams.filter(F.coalesce("lead", F.lit("")) != "").groupBy("dept", "team").agg(F.min_by("lead", "ord").alias("lead"))
+    own = listed.groupBy("dept").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("team").isNotNull(), F.struct("team", "lead")))).alias("by_team"), F.collect_set(strip_spaces(F.col("lead"))).alias("leads"),
     )
     known = published.departments.join(own, "dept", "left").select("dept", F.struct("bureau", "head", "by_team", F.coalesce("leads", F.array().cast("array<string>")).alias("leads")).alias("_d"))

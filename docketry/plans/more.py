@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions import extract, fixed, masking, text
-from docketry.operators import drafts, evaluate, history, layout, predict, retrieval, rules, sampling
+from docketry.functions import extract, masking, text
+from docketry.operators import drafts, evaluate, history, layout, predict, retrieval, rules
 from docketry.plans.catalogue import _rows, _t, query
 
 

@@ -148,3 +148,12 @@ def test_rule_tables_of_any_size(spark, monkeypatch):
     monkeypatch.setattr(rules, "MOST_RULES", 5)
     got = rules.band(rows, bands, "amount")
     assert sorted((r["k"], r["band"] and r["band"]["level"]) for r in got.collect()) == want and got.columns == ["k", "amount", "band"]
+
+
+def test_teams_listed_twice(spark):
+    from dataclasses import replace
+
+    twice = replace(flows._published(spark), teams=spark.createDataFrame([("도로과", 2, "도로팀", "둘째팀장"), ("도로과", 1, "도로팀", "첫째팀장"), ("도로과", 3, None, "없음팀장")], "dept string, ord int, team string, lead string"))
+    rows = spark.createDataFrame([("도로과", "도로팀"), ("도로과", "하천팀"), ("없는과", "도로팀")], "dept string, team string")
+    got = requests.with_department(rows, twice).select("dept", "team", requests.team_title(F.col("team"), F.col("_d.by_team")).alias("lead"), F.array_contains("_d.leads", "없음팀장").alias("known")).collect()
+    assert sorted((r["dept"], r["team"], r["lead"], r["known"]) for r in got if r["dept"] == "도로과") == [("도로과", "도로팀", "첫째팀장", True), ("도로과", "하천팀", "하천팀장", True)]
