@@ -189,6 +189,13 @@ def test_items_stay_within_the_issue(spark):
     assert gazette.targets(spark.createDataFrame([(f"i{k}", "고시" if k % 3 else "공고", 400 - 150 * (k == 5)) for k in range(9)], "item_id string, kind string, body_chars int"), 4).groupBy("kind").count().collect().__len__() == 2
 
 
+def test_items_of_issues_with_many_pages(spark):
+    toc = "○ 도로청 고시제1호(가나 고시)·····1\n○ 하천청 공고제2호(다라 공고)·····9999\n○ 산림청 공고제3호(마바 공고)·····10000"
+    pages = [("g", 2, toc), ("g", 3, "가나 고시"), ("g", 10001, "다라 공고"), ("g", 10002, "마바 공고")]
+    got = gazette.items(spark.createDataFrame(pages, "source string, page_no int, text string")).orderBy("seq").collect()
+    assert [(r["no"], tuple(r["pdf_pages"]), r["body"]) for r in got] == [("1", (3, 10000), "가나 고시"), ("2", (10001, 10001), "다라 공고"), ("3", (10002, 10002), "마바 공고")]
+
+
 @pytest.mark.parametrize("with_vectors", [False, True])
 def test_search_report(spark, with_vectors):
     words = ["도로", "하천", "산림", "공원"]
