@@ -100,12 +100,16 @@ def fit(texts: list[str], labels: list[int], fairness: float = FAIRNESS) -> Mode
         if label:
             bad.update({f for w in words_of(text) for f in features_of(w)})
     bad = Counter({f: c for f, c in bad.items() if c >= LEAST or f in _KIND})
-    seen, sets = Counter({t: 0 for t in _KIND}), []
+    # what a text holds stands as numbers of candidates, which take a small part of what their strings would
+    number = {f: i for i, f in enumerate(dict.fromkeys([*bad, *_KIND]))}
+    times, sets = np.zeros(len(number), np.int64), []
     for text in texts:
         words = words_of(text)
-        found = {f for w in words for f in features_of(w) if f in bad or f in _KIND}
-        seen.update(found)
-        sets.append(({w for w in words if w in _KIND}, found))
+        found = {number[f] for w in words for f in features_of(w) if f in number}
+        ids = np.fromiter(found, np.int32, len(found))
+        times[ids] += 1
+        sets.append(({w for w in words if w in _KIND}, ids))
+    seen = {f: int(times[i]) for f, i in number.items()}
 
     def ratio(f: str) -> float:  # log likelihood ratio of the feature's 2 x 2 table
         def part(k: float, m: float, p: float) -> float:
@@ -113,14 +117,16 @@ def fit(texts: list[str], labels: list[int], fairness: float = FAIRNESS) -> Mode
 
         return part(bad[f], toxic, seen[f] / n) + part(seen[f] - bad[f], n - toxic, seen[f] / n)
 
-    kept = sorted((f for f, c in seen.items() if c < n and bad[f] >= LEAST), key=lambda f: (-ratio(f), f))[:FEATURES]
+    kept = sorted((f for f, c in seen.items() if 0 < c < n and bad[f] >= LEAST), key=lambda f: (-ratio(f), f))[:FEATURES]
     kept = list(dict.fromkeys([*(t for t in _KIND if seen[t]), *kept]))
     at = {f: i for i, f in enumerate(kept)}
 
     x = np.zeros((n, len(kept)), np.float32)
+    column = np.array([at.get(f, -1) for f in number], np.int32)
     changes = []
-    for i, (named, found) in enumerate(sets):
-        x[i, [at[f] for f in found if f in at]] = 1
+    for i, (named, ids) in enumerate(sets):
+        columns = column[ids]
+        x[i, columns[columns >= 0]] = 1
         if (other := swapped(named, i)) is not None:
             d = np.zeros(len(kept), np.float32)
             for words, sign in ((named, 1), (other, -1)):

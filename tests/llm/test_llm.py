@@ -885,3 +885,17 @@ def test_all_operators_have_a_query():
 def test_centred_blocks_stand_apart():
     nodes = dom.parse("<body><center>Alpha today.</center><center>Beta <b>bold</b> gamma</center><p>Delta<label>1</label></p></body>")
     assert [n.text for n in nodes if not n.tag] == ["Alpha today.", "Beta bold gamma", "Delta1"]
+
+
+def test_toxicity_fit_holds_numbers_of_candidates():
+    """The fit's memory doesn't grow by a string for each feature of each text."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(300)]
+    texts = [" ".join(words) for _ in range(400)]
+    tracemalloc.start()
+    toxicity.fit(texts, [i % 2 for i in range(400)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000
