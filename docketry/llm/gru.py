@@ -109,7 +109,7 @@ class Gru:
         self.p = {k: part.reshape(v.shape).copy() for (k, v), part in zip(self.p.items(), np.split(flat, ends))}
         return self
 
-    def fit(self, texts: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE) -> "Gru":
+    def fit(self, texts: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE, n_lanes: int = LANES) -> "Gru":
         """texts: ids without the end mark. The bucket and word biases start at the corpus counts; the step size falls to a tenth of rate."""
         if not texts:
             return self
@@ -119,7 +119,7 @@ class Gru:
         pieces = [t[at : at + PIECE] for t in texts for at in range(0, max(1, len(t)), PIECE)]
         last = [at + PIECE >= len(t) for t in texts for at in range(0, max(1, len(t)), PIECE)]
         for _ in range(epochs):
-            x, y, _, loads = lanes(pieces, min(LANES, len(pieces)), last)
+            x, y, _, loads = lanes(pieces, min(n_lanes, len(pieces)), last)
             h = np.zeros((x.shape[1], self.hidden), np.float32)
             total = -(-len(x) // WINDOW) * epochs
             for at in range(0, len(x), WINDOW):
@@ -153,6 +153,7 @@ class Gru:
         dh_all[at] = d
         dh_all = dh_all.reshape(len(x), -1, k)
         later = np.zeros_like(h)
+        inputs = np.empty((len(x), h.shape[0], 3 * k), np.float32)
         for t in range(len(x) - 1, -1, -1):
             before, r, z, n, a = kept[t]
             dh = dh_all[t] + later
@@ -162,10 +163,15 @@ class Gru:
             da = dn * r
             dx = np.concatenate([dr, dz, dn], axis=1)
             dg = np.concatenate([dr, dz, da], axis=1)
-            np.add.at(grad["e"], x[t], dx)
+            inputs[t] = dx
             grad["n"] += da.sum(axis=0)
             grad["u"] += before.T @ dg
             later = (dh * z + dg @ p["u"].T) * (x[t] != 0)[:, None]
+        # rows of the same input are summed in runs
+        flat = x.ravel()
+        order = np.argsort(flat, kind="stable")
+        symbols, first = np.unique(flat[order], return_index=True)
+        grad["e"][symbols] += np.add.reduceat(inputs.reshape(-1, 3 * k)[order], first, axis=0)
         n = np.float32(len(at))
         return {name: g / n for name, g in grad.items()}, h
 

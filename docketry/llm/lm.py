@@ -3,9 +3,9 @@
 Counts of all words are gathered from every training text, whole and exact: each task counts its own texts
 before the shuffle. They give the base score (add-one unigram), the network's vocabulary, the initial
 biases of its output and the distribution within its buckets of rarer words. The network's weights (gru.py)
-start from a bounded sample, a window of each drawn text wherever it lies in it; then one in SHARE of all different
-training texts, whole, trains them on: dealt into groups of about GROUP texts, each group carries on from the same weights, and the
-groups' weights are averaged by their tokens. So what the weights learn from grows with the corpus, while no task and
+start from a bounded sample, a window of each drawn text wherever it lies in it; then all different training
+texts, whole, train them on: dealt into groups of about GROUP tokens, each group carries on from the same weights, and the
+groups' weights are averaged by their tokens. So the weights learn from the whole corpus, while no task and
 not the driver holds more than a group. The network then reads every whole text, its state carried from window to window.
 
 The GLOSSARY most frequent words travel to the workers with their counts; words of more than LONG_WORD bytes stand
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import cores, sample_of, stable
-from docketry.llm.gru import Gru
+from docketry.llm.gru import LANES, WINDOW, Gru
 
 #: Frequent words of the network, buckets of the others, and words whose counts travel.
 VOCABULARY = 1_024
@@ -47,9 +47,10 @@ LONG_WORD = 48
 #: Bounds of the sample that the weights start from: texts, and characters of each.
 TRAIN_DOCS = 600
 TRAIN_CHARS = 20_000
-#: One in so many training texts trains the weights on, in groups of about so many.
-SHARE = 24
-GROUP = 400
+#: All training texts train the weights on, in groups of about so many tokens, in about so many steps and up to so many lanes.
+GROUP = 1_000_000
+STEPS = 64
+MOST_LANES = 512
 #: Symbols, about, that a task scores at once.
 SCORED = 2_000_000
 #: Numbers in a block of weights, as groups hand them on.
@@ -159,24 +160,25 @@ def learn(docs: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str
     at = F.pmod("h", F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1).cast("int") + 1
     drawn = sample_of(hashed.withColumn("text", F.substring("text", at, F.lit(TRAIN_CHARS))), "h", TRAIN_DOCS)
     network = reader.network().fit([reader.read(r["text"].encode())[1] for r in drawn])
-    return counts, reader, _trained_on(hashed, reader, network), n
+    return counts, reader, _trained_on(hashed, reader, network, n), n
 
 
-def _trained_on(hashed: DataFrame, reader: Reader, network: Gru) -> Gru:
-    """The network after one in SHARE of the texts (h, text) trained it on, group by group, averaged by tokens."""
+def _trained_on(hashed: DataFrame, reader: Reader, network: Gru, n: int) -> Gru:
+    """The network after all texts (h, text), of n tokens together, trained it on, group by group, averaged by tokens."""
     spark = hashed.sparkSession
-    share = stable(hashed.filter(F.pmod("h", F.lit(SHARE)) == 0).withColumn("t", F.xxhash64("text")).groupBy("h", "t").agg(F.first("text").alias("text")))
-    groups = -(-share.count() // GROUP)
+    groups = -(-n // GROUP)
     if not groups:
         return network
     held = spark.sparkContext.broadcast((reader, network))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         of, start = held.value
-        texts = [of.read(t.encode())[1] for t in pdf.sort_values(["h", "text"])["text"]]
-        flat = start.copy().fit(texts, epochs=1, rate=ON_RATE).flat()
+        # rows that repeat an id and its text train once
+        texts = [of.read(t.encode())[1] for t in pdf.drop_duplicates().sort_values(["h", "text"])["text"]]
+        size = sum(map(len, texts)) + len(texts)
+        flat = start.copy().fit(texts, epochs=1, rate=ON_RATE, n_lanes=max(LANES, min(MOST_LANES, size // (STEPS * WINDOW)))).flat()
         blocks = [flat[i : i + _BLOCK] for i in range(0, len(flat), _BLOCK)]
-        return pd.DataFrame({"block": range(len(blocks)), "size": sum(map(len, texts)) + len(texts), "w": [b.tobytes() for b in blocks]})
+        return pd.DataFrame({"block": range(len(blocks)), "size": size, "w": [b.tobytes() for b in blocks]})
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
         total, size = 0.0, 0
@@ -184,8 +186,9 @@ def _trained_on(hashed: DataFrame, reader: Reader, network: Gru) -> Gru:
             total, size = total + n * np.frombuffer(w, np.float32).astype(np.float64), size + n
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "w": [(total / size).astype(np.float32).tobytes()]})
 
-    dealt = share.withColumn("g", F.pmod(F.xxhash64("h", "t"), F.lit(groups)))
-    fitted = dealt.repartition(int(min(20_000, max(cores(spark), groups))), "g").groupBy("g").applyInPandas(fit, "block int, size long, w binary")
+    # a text goes to its group once, and is kept nowhere else
+    dealt = hashed.withColumn("g", F.pmod(F.xxhash64("h", F.xxhash64("text")), F.lit(groups)))
+    fitted = dealt.repartition(int(min(20_000, max(cores(spark), groups))), "g").groupBy("g").applyInPandas(lambda pdf: fit(pdf[["h", "text"]]), "block int, size long, w binary")
     means = fitted.groupBy("block").applyInPandas(mean, "block int, w binary").collect()
     return network.copy().load(np.concatenate([np.frombuffer(w, np.float32) for _, w in sorted(tuple(r) for r in means)]))
 

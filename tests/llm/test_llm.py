@@ -887,6 +887,17 @@ def test_centred_blocks_stand_apart():
     assert [n.text for n in nodes if not n.tag] == ["Alpha today.", "Beta bold gamma", "Delta1"]
 
 
+def test_every_training_text_trains_the_network(spark):
+    """Each text moves the weights, whatever its id; a row that repeats counts once."""
+    docs = docs_of(spark, [f"wort{i} und noch {i}" for i in range(6)])
+    _, reader, _, n = lm.learn(docs, F.lit(True))
+    hashed = docs.select(F.xxhash64("doc_id", F.lit(9)).alias("h"), "text")
+    trained = lambda rows: lm._trained_on(rows, reader, reader.network(), n).flat()
+    whole = trained(hashed)
+    assert n == 30 and np.array_equal(whole, trained(hashed.unionByName(hashed.limit(2))))
+    assert not any(np.array_equal(whole, trained(hashed.filter(~F.col("text").startswith(f"wort{i}")))) for i in range(6))
+
+
 def test_toxicity_fit_holds_numbers_of_candidates():
     """The fit's memory doesn't grow by a string for each feature of each text."""
     import tracemalloc
