@@ -222,3 +222,14 @@ def test_cells_of_pages_of_several_regions_in_one_pass(spark):
     assert {(r["doc_id"][0], r["ord"], r["role"], r["title"], r["name"]) for r in made.collect()} == {("b", 0, "기안", "출입국관리서기", "홍길동"), ("t", 0, "기안", "과장", "이영희"), ("o", 0, "기안", "과장", "김철수")} and made.count() == 90
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and plan.count("MapInArrow") >= 1
+
+
+def test_votes_in_a_row_are_those_by_place(spark):
+    """Five references in a row vote as vote_by_place() does among the documents of an organisation, ties and empty lines included."""
+    docs = spark.createDataFrame([(i, i // 6, f"2024-01-{i % 6 // 2 + 1:02}", i) for i in range(60)], "doc_id int, org int, date string, doc_no int")
+    cells = spark.createDataFrame([(i, role, p, "가나다"[(i * 7 + p) % 3], f"n{(i * 5 + p) % 2}") for i in range(60) for role, n in (("기안", 1), ("검토", i * i % 4), ("결재", i % 2)) for p in range(n)], "doc_id int, role string, pos int, title string, name string")
+    packed = cells.groupBy("doc_id").agg(F.collect_list(F.struct("role", "pos", "title", "name")).alias("c"))
+    refs = docs.join(packed, "doc_id", "left").select(F.col("doc_id").alias("ref"), "org", F.struct(F.struct("date", "doc_no").alias("r"), F.coalesce("c", F.array().cast(dict(packed.dtypes)["c"])).alias("cells")).alias("x"))
+    met = docs.select("doc_id", "org").join(refs, "org").filter("doc_id <> ref").groupBy("doc_id").agg(F.collect_list("x").alias("refs"))
+    got = met.select("doc_id", F.explode(predict.votes_of("refs")).alias("c")).select("doc_id", "c.*")
+    assert got.count() > 60 and sorted(map(tuple, got.collect())) == sorted(map(tuple, predict.vote_by_place(docs, cells).collect()))
