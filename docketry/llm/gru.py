@@ -19,13 +19,33 @@ RATE = 6e-3
 EPOCHS = 2
 #: Symbols after which training lets go of a text's state, so that one long text doesn't hold up all lanes.
 PIECE = 1_024
-SCORE_LANES = 256
+SCORE_LANES = 512
 SCORE_WINDOW = 64
 
 
+#: Rows whose logits are worked on at once, so that they stay in a core's cache.
+BLOCK = 1_024
+#: Logits up to this size need no shift before exp(): float32 ends at 88.
+SAFE = 60
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
     with np.errstate(over="ignore"):  # exp() of a large number is infinite, and its inverse 0
-        return 1 / (1 + np.exp(-x))
+        np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
+def _softmax(s: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """(exp, its sums, what was taken off) of logits, in place. safe: the largest of a row lies within SAFE of 0, so that nothing needs taking off."""
+    top = 0.0
+    if not safe:
+        top = s.max(axis=1)
+        s -= top[:, None]
+    np.exp(s, out=s)
+    return s, s @ np.ones(s.shape[1], s.dtype), top
 
 
 class Gru:
@@ -54,45 +74,64 @@ class Gru:
         """x: the input's rows of e."""
         k, g = self.hidden, h @ self.p["u"]
         rz = _sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
-        r, z = rz[:, :k], rz[:, k:]
+        r, z = rz[:, :k].copy(), rz[:, k:].copy()  # runs of their own are worked on faster
         a = g[:, 2 * k :] + self.p["n"]
-        n = np.tanh(x[:, 2 * k :] + r * a)
-        return n + z * (h - n), r, z, n, a
+        n = r * a
+        n += x[:, 2 * k :]
+        np.tanh(n, out=n)
+        out = h - n
+        out *= z
+        out += n
+        return out, r, z, n, a
+
+    def _safe(self) -> tuple[bool, np.ndarray]:
+        """Whether the largest logit of any state lies within SAFE of 0: over the classes, and within each class. States lie between -1 and 1."""
+        p, within = self.p, (self.n_classes, self.share)
+        reach, far = np.abs(p["c"]).sum(axis=0), np.abs(p["w"]).sum(axis=0)
+        ends = lambda b, d: (np.abs((b + d).max(axis=-1)) <= SAFE) & (np.abs((b - d).max(axis=-1)) <= SAFE)
+        return bool(ends(p["cb"], reach)), ends(p["wb"].reshape(within), far.reshape(within))
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural-log probability of each target given its state; with grad also d(-sum)/dh, and grad is added to."""
         p, rows = self.p, np.arange(len(y))
         cls = self.class_of(y)
-        s = h @ p["c"] + p["cb"]
-        s -= s.max(axis=1, keepdims=True)
-        e = np.exp(s)
-        total = e.sum(axis=1)
-        out = s[rows, cls] - np.log(total)
-        dh = None
-        if grad is not None:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            grad["c"] += h.T @ e
-            grad["cb"] += e.sum(axis=0)
-            dh = e @ p["c"].T
-        words = np.flatnonzero(y < self.n_words)
-        order = words[np.argsort(cls[words], kind="stable")]
-        kinds, first = np.unique(cls[order], return_index=True)
-        for kind, at in zip(kinds, np.split(order, first[1:])):
-            span = slice(kind * self.share, (kind + 1) * self.share)
-            s = h[at] @ p["w"][:, span] + p["wb"][span]
-            s -= s.max(axis=1, keepdims=True)
-            e = np.exp(s)
-            total = e.sum(axis=1)
-            i, within = np.arange(len(at)), y[at] - kind * self.share
-            out[at] += s[i, within] - np.log(total)
+        # all is worked out in the order of classes, so that a class is a run of rows
+        order = np.argsort(cls.astype(np.int16) if len(p["cb"]) < 1 << 15 else cls, kind="stable")
+        h, y, cls = h.take(order, axis=0), y[order], cls[order]
+        all_safe, safe = self._safe()
+        out, dh, c_back = np.empty(len(y), h.dtype), None if grad is None else np.empty_like(h), np.ascontiguousarray(p["c"].T)
+        for at in range(0, len(y), BLOCK):
+            run = slice(at, at + BLOCK)
+            s = h[run] @ p["c"]
+            s += p["cb"]
+            i = rows[: len(s)]
+            out[run] = s[i, cls[run]]
+            e, total, top = _softmax(s, all_safe)
+            out[run] -= np.log(total) + top
+            if grad is not None:
+                e *= (1 / total)[:, None]
+                e[i, cls[run]] -= 1
+                grad["c"] += h[run].T @ e
+                grad["cb"] += np.ones(len(e), e.dtype) @ e
+                np.matmul(e, c_back, out=dh[run])
+        ends = np.searchsorted(cls, np.arange(self.n_classes + 1))
+        for kind in np.flatnonzero(np.diff(ends)):
+            run, span = slice(ends[kind], ends[kind + 1]), slice(kind * self.share, (kind + 1) * self.share)
+            s = h[run] @ p["w"][:, span]
+            s += p["wb"][span]
+            i, within = rows[: len(s)], y[run] - kind * self.share
+            out[run] += s[i, within]
+            e, total, top = _softmax(s, safe[kind])
+            out[run] -= np.log(total) + top
             if grad is not None:
-                e /= total[:, None]
+                e *= (1 / total)[:, None]
                 e[i, within] -= 1
-                grad["w"][:, span] += h[at].T @ e
-                grad["wb"][span] += e.sum(axis=0)
-                dh[at] += e @ p["w"][:, span].T
-        return out, dh
+                grad["w"][:, span] += h[run].T @ e
+                grad["wb"][span] += np.ones(len(e), e.dtype) @ e
+                dh[run] += e @ p["w"][:, span].T
+        back = np.empty_like(order)
+        back[order] = rows
+        return out[back], None if dh is None else dh.take(back, axis=0)
 
     def copy(self) -> "Gru":
         other = object.__new__(Gru)
@@ -138,40 +177,61 @@ class Gru:
         """Gradient of the mean loss of a window. y: -1 where a lane has ended; input 0 starts a text."""
         p, k = self.p, self.hidden
         grad = {name: np.zeros_like(a) for name, a in p.items()}
-        kept, states = [], []
+        live = (x != 0).astype(h.dtype)[:, :, None]
+        before, states = np.empty((2, *x.shape, k), h.dtype)
+        kept = []
         for t in range(len(x)):
-            before = h * (x[t] != 0)[:, None]
-            h, r, z, n, a = self.step(p["e"][x[t]], before)
-            kept.append((before, r, z, n, a))
-            states.append(h)
+            np.multiply(h, live[t], out=before[t])
+            h, *gates = self.step(p["e"].take(x[t], axis=0), before[t])
+            kept.append(gates)
+            states[t] = h
         at = np.flatnonzero(y.ravel() >= 0)
         if not len(at):
             return grad, h
-        every = np.concatenate(states)
-        _, d = self.log_probs(every[at], y.ravel()[at], grad)
-        dh_all = np.zeros_like(every)
-        dh_all[at] = d
-        dh_all = dh_all.reshape(len(x), -1, k)
+        every = states.reshape(-1, k)
+        if len(at) == len(every):
+            dh_all = self.log_probs(every, y.ravel(), grad)[1]
+        else:
+            dh_all = np.zeros_like(every)
+            dh_all[at] = self.log_probs(every.take(at, axis=0), y.ravel()[at], grad)[1]
+        dh_all = dh_all.reshape(states.shape)
         later = np.zeros_like(h)
-        inputs = np.empty((len(x), h.shape[0], 3 * k), np.float32)
+        # gradients of a, r, z and n beside each other: the first three go back by u, the last three to the input
+        back = np.empty((*x.shape, 4 * k), h.dtype)
+        u = p["u"]
+        u_back = np.ascontiguousarray(np.concatenate([u[:, 2 * k :], u[:, : 2 * k]], axis=1).T)
         for t in range(len(x) - 1, -1, -1):
-            before, r, z, n, a = kept[t]
-            dh = dh_all[t] + later
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * a * r * (1 - r)
+            r, z, n, a = kept[t]
+            dh = dh_all[t]
+            dh += later
+            dz = 1 - z
+            dz *= dh
+            dn = n * n
+            np.subtract(1, dn, out=dn)
+            dn *= dz
+            n -= before[t]
+            dz *= n
+            dz *= z
+            np.negative(dz, out=dz)
             da = dn * r
-            dx = np.concatenate([dr, dz, dn], axis=1)
-            dg = np.concatenate([dr, dz, da], axis=1)
-            inputs[t] = dx
-            grad["n"] += da.sum(axis=0)
-            grad["u"] += before.T @ dg
-            later = (dh * z + dg @ p["u"].T) * (x[t] != 0)[:, None]
+            dr = np.subtract(1, r, out=r)
+            dr *= da
+            dr *= a
+            dh *= z
+            for i, d in enumerate((da, dr, dz, dn)):
+                back[t, :, i * k : (i + 1) * k] = d
+            later = back[t, :, : 3 * k] @ u_back
+            later += dh
+            later *= live[t]
+        flat = back.reshape(-1, 4 * k)
+        du = before.reshape(-1, k).T @ flat[:, : 3 * k]
+        grad["u"] += np.concatenate([du[:, k:], du[:, :k]], axis=1)
+        grad["n"] += np.ones(len(flat), h.dtype) @ flat[:, :k]
         # rows of the same input are summed in runs
-        flat = x.ravel()
-        order = np.argsort(flat, kind="stable")
-        symbols, first = np.unique(flat[order], return_index=True)
-        grad["e"][symbols] += np.add.reduceat(inputs.reshape(-1, 3 * k)[order], first, axis=0)
+        ids = x.ravel()
+        order = np.argsort(ids.astype(np.int16) if len(p["e"]) < 1 << 15 else ids, kind="stable")
+        symbols, first = np.unique(ids[order], return_index=True)
+        grad["e"][symbols] += np.add.reduceat(flat[:, k:].take(order, axis=0), first, axis=0)
         n = np.float32(len(at))
         return {name: g / n for name, g in grad.items()}, h
 
@@ -191,7 +251,7 @@ class Gru:
                 n = int(np.searchsorted(-loads, -t))  # lanes with more than t symbols come first
                 h = h[:n]
                 row = x[t, :n]
-                h = self.step(e[row], h * (row != 0)[:, None])[0]
+                h = self.step(e.take(row, axis=0), h * (row != 0)[:, None])[0]
                 states.append(h), targets.append(y[t, :n]), owners.append(of[t, :n])
             logs, _ = self.log_probs(np.concatenate(states), np.concatenate(targets))
             out += np.bincount(np.concatenate(owners), logs.astype(np.float64), len(texts))

@@ -24,9 +24,10 @@ glossary by a hash; rows that repeat are counted, and scored, once for each row;
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
+from zlib import crc32 as crc
 
 import numpy as np
 import pandas as pd
@@ -73,7 +74,7 @@ def key_of(word: bytes) -> bytes:
 
 def bucket(word: bytes) -> int:
     """By the last three bytes, which tell much about a word's language and kind."""
-    return zlib.crc32(word[-3:]) % BUCKETS
+    return crc(word[-3:]) % BUCKETS
 
 
 def bucket_column(word: Column) -> Column:
@@ -125,17 +126,17 @@ class Reader:
     def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(places in the glossary or -1, symbols, words not in the glossary), without the end mark."""
         words = tokens(text)
-        get = self.at.get
-        places = np.array([get(w, -1) for w in words], np.int32)
-        for i in np.flatnonzero(places < 0):
-            if len(words[i]) > LONG_WORD:
-                words[i] = key_of(words[i])
-                places[i] = get(words[i], -1)
-        symbols = self.symbol[places]
+        places = np.fromiter(map(self.at.get, words, repeat(-1)), np.int32, len(words))
         rare = np.flatnonzero(places < 0)
-        unknown = [words[i] for i in rare]
+        unknown = [words[i] for i in rare.tolist()]
+        if unknown and len(max(unknown, key=len)) > LONG_WORD:
+            unknown = list(map(key_of, unknown))
+            places[rare] = [self.at.get(w, -1) for w in unknown]
+            unknown = [w for w, place in zip(unknown, places[rare].tolist()) if place < 0]
+            rare = np.flatnonzero(places < 0)
+        symbols = self.symbol[places]
         if unknown:
-            symbols[rare] = [self.k + bucket(w) for w in unknown]
+            symbols[rare] = [self.k + crc(w[-3:]) % BUCKETS for w in unknown]
         return places, symbols, unknown
 
 
@@ -211,7 +212,9 @@ class _Texts:
     """Texts that are scored together, and what a task says of each."""
 
     def __init__(self, reader: Reader):
-        self.of, self.symbols, self.main, self.rare = reader, [], [], []
+        self.of, self.symbols, self.main = reader, [], []
+        # words out of the glossary and how often each text has them; how many of them a text has
+        self.words, self.times, self.rare = [], [], []
 
     def take(self, ident: int | None, text: bytes) -> int:
         of, uid = self.of, xxhash.xxh3_64_intdigest(text) - (1 << 63)
@@ -223,7 +226,10 @@ class _Texts:
         inner = float(of.log_count[seen[seen >= of.k]].sum() - of.log_bucket[symbols[outside] - of.k].sum())
         size = len(places) + 1
         self.main.append((uid, ident, size, int(of.known[seen].sum() + of.known[0]), base - size * of.log_all, inner))
-        self.rare += [(uid, ident, word, times) for word, times in Counter(unknown).items()]
+        counted = Counter(unknown)
+        self.words += counted.keys()
+        self.times += counted.values()
+        self.rare.append(len(counted))
         return size
 
     def scored(self, net: Gru, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
@@ -233,10 +239,12 @@ class _Texts:
         m = len(self.main)
         keys = [f" {uid} {i}" for i, uid in enumerate(columns[0])]
         yield pa.RecordBatch.from_arrays([*made, pa.array(whole + np.array(columns[5], np.float64), kinds[5]), pa.array(keys, kinds[6]), pa.nulls(m, kinds[7]), pa.nulls(m, kinds[8])], names=names)
-        for at in range(0, len(self.rare), 50_000):
-            uids, idents, words, times = zip(*self.rare[at : at + 50_000])
-            words = pa.array(words, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(uids, kinds[0]), pa.array(idents, kinds[1]), *[pa.nulls(len(words), k) for k in kinds[2:6]], words, words, pa.array(times, kinds[8])], names=names)
+        of = np.repeat(np.arange(m, dtype=np.int32), np.array(self.rare, np.int64))
+        uids, idents = made[:2]
+        for at in range(0, len(of), 50_000):
+            run = slice(at, at + 50_000)
+            texts, words = pa.array(of[run]), pa.array(self.words[run], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([uids.take(texts), idents.take(texts), *[pa.nulls(len(words), k) for k in kinds[2:6]], words, words, pa.array(self.times[run], kinds[8])], names=names)
 
 
 def score(docs: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

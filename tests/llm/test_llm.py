@@ -669,6 +669,22 @@ def test_state_carries_over_windows_and_lanes(monkeypatch):
     assert np.allclose(whole, g.score(texts), atol=1e-2) and np.allclose(whole, [g.score([t])[0] for t in texts], atol=1e-2)
 
 
+@pytest.mark.parametrize("shift", [0, 200])
+def test_probabilities_in_blocks_by_class(monkeypatch, shift):
+    """Sorted by class and in blocks, with logits that need a shift or none, targets have the plain softmax's probabilities."""
+    monkeypatch.setattr(gru, "BLOCK", 3)
+    rng = np.random.default_rng(4)
+    g = gru.Gru(np.arange(1, 9), np.array([4, 2]), share=4, hidden=6)
+    g.p = {k: v.astype(np.float64) for k, v in g.p.items()}
+    g.p["cb"] += shift * np.array([1, 1, -1, 1])
+    g.p["wb"][:4] -= shift
+    h, y = np.tanh(rng.normal(size=(40, 6))), rng.integers(0, 10, 40)
+    soft = lambda s: s - s.max() - np.log(np.exp(s - s.max()).sum())
+    classes = [soft(x @ g.p["c"] + g.p["cb"]) for x in h]
+    want = [c[i // 4] + soft(x @ g.p["w"][:, i // 4 * 4 : i // 4 * 4 + 4] + g.p["wb"][i // 4 * 4 : i // 4 * 4 + 4])[i % 4] if i < 8 else c[i - 6] for c, x, i in zip(classes, h, y)]
+    assert np.allclose(g.log_probs(h, y)[0], want, atol=1e-9)
+
+
 def test_lm(spark, monkeypatch):
     monkeypatch.setattr(lm, "GLOSSARY", 12)
     monkeypatch.setattr(lm, "VOCABULARY", 6)
