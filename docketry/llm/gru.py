@@ -9,6 +9,7 @@ backpropagation through time over windows; the state runs on from window to wind
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
@@ -29,6 +30,19 @@ BLOCK = 1_024
 SAFE = 60
 
 
+class Room:
+    """Arrays to work in, each kept under a name and used again: the system clears all memory that is asked for anew."""
+
+    def __init__(self, dtype: type = np.float32):
+        self.dtype, self.held = dtype, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, self.dtype)
+        return self.held[name][:size].reshape(shape)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
     np.negative(x, out=x)
@@ -70,13 +84,15 @@ class Gru:
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < self.n_words, ids // self.share, ids - self.n_words + self.n_classes)
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
-        """x: the input's rows of e."""
-        k, g = self.hidden, h @ self.p["u"]
-        rz = _sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
-        r, z = rz[:, :k].copy(), rz[:, k:].copy()  # runs of their own are worked on faster
-        a = g[:, 2 * k :] + self.p["n"]
-        n = r * a
+    def step(self, x: np.ndarray, h: np.ndarray, room: Room | None = None, gates: np.ndarray | None = None) -> tuple:
+        """x: the input's rows of e. (next state, r, z, n, a), the last four in `gates` if it is given."""
+        k, m, room = self.hidden, len(h), room or Room(h.dtype)
+        r, z, n, a = room("gates", 4, m, k) if gates is None else gates
+        g = np.matmul(h, self.p["u"], out=room("g", m, 3 * k))
+        rz = _sigmoid(np.add(x[:, : 2 * k], g[:, : 2 * k], out=room("rz", m, 2 * k)))
+        r[:], z[:] = rz[:, :k], rz[:, k:]  # runs of their own are worked on faster
+        np.add(g[:, 2 * k :], self.p["n"], out=a)
+        np.multiply(r, a, out=n)
         n += x[:, 2 * k :]
         np.tanh(n, out=n)
         out = h - n
@@ -91,18 +107,18 @@ class Gru:
         ends = lambda b, d: (np.abs((b + d).max(axis=-1)) <= SAFE) & (np.abs((b - d).max(axis=-1)) <= SAFE)
         return bool(ends(p["cb"], reach)), ends(p["wb"].reshape(within), far.reshape(within))
 
-    def log_probs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    def log_probs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None, room: Room | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural-log probability of each target given its state; with grad also d(-sum)/dh, and grad is added to."""
-        p, rows = self.p, np.arange(len(y))
+        p, rows, room = self.p, np.arange(len(y)), room or Room(h.dtype)
         cls = self.class_of(y)
         # all is worked out in the order of classes, so that a class is a run of rows
         order = np.argsort(cls.astype(np.int16) if len(p["cb"]) < 1 << 15 else cls, kind="stable")
-        h, y, cls = h.take(order, axis=0), y[order], cls[order]
+        h, y, cls = h.take(order, axis=0, out=room("sorted", *h.shape), mode="clip"), y[order], cls[order]
         all_safe, safe = self._safe()
-        out, dh, c_back = np.empty(len(y), h.dtype), None if grad is None else np.empty_like(h), np.ascontiguousarray(p["c"].T)
+        out, dh, c_back = np.empty(len(y), h.dtype), None if grad is None else room("dh", *h.shape), np.ascontiguousarray(p["c"].T)
         for at in range(0, len(y), BLOCK):
             run = slice(at, at + BLOCK)
-            s = h[run] @ p["c"]
+            s = np.matmul(h[run], p["c"], out=room("s", len(h[run]), len(p["cb"])))
             s += p["cb"]
             i = rows[: len(s)]
             out[run] = s[i, cls[run]]
@@ -117,7 +133,7 @@ class Gru:
         ends = np.searchsorted(cls, np.arange(self.n_classes + 1))
         for kind in np.flatnonzero(np.diff(ends)):
             run, span = slice(ends[kind], ends[kind + 1]), slice(kind * self.share, (kind + 1) * self.share)
-            s = h[run] @ p["w"][:, span]
+            s = np.matmul(h[run], p["w"][:, span], out=room("s", len(h[run]), self.share))
             s += p["wb"][span]
             i, within = rows[: len(s)], y[run] - kind * self.share
             out[run] += s[i, within]
@@ -128,10 +144,10 @@ class Gru:
                 e[i, within] -= 1
                 grad["w"][:, span] += h[run].T @ e
                 grad["wb"][span] += np.ones(len(e), e.dtype) @ e
-                dh[run] += e @ p["w"][:, span].T
+                dh[run] += np.matmul(e, p["w"][:, span].T, out=room("dh of words", len(e), self.hidden))
         back = np.empty_like(order)
         back[order] = rows
-        return out[back], None if dh is None else dh.take(back, axis=0)
+        return out[back], None if dh is None else dh.take(back, axis=0, out=room("dh in order", *dh.shape), mode="clip")
 
     def copy(self) -> "Gru":
         other = object.__new__(Gru)
@@ -154,7 +170,7 @@ class Gru:
             return self
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        updates = 0
+        updates, room = 0, Room()
         pieces = [t[at : at + PIECE] for t in texts for at in range(0, max(1, len(t)), PIECE)]
         last = [at + PIECE >= len(t) for t in texts for at in range(0, max(1, len(t)), PIECE)]
         for _ in range(epochs):
@@ -162,65 +178,75 @@ class Gru:
             h = np.zeros((x.shape[1], self.hidden), np.float32)
             total = -(-len(x) // WINDOW) * epochs
             for at in range(0, len(x), WINDOW):
-                grad, h = self._window(x[at : at + WINDOW], y[at : at + WINDOW], h)
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+                grad, h = self._window(x[at : at + WINDOW], y[at : at + WINDOW], h, room)
+                norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
                 updates += 1
                 step = rate * (1 - 0.9 * updates / total)
                 for k, g in grad.items():
-                    g = g * min(1.0, 5.0 / max(norm, 1e-9))
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] -= (step * (m[k] / (1 - 0.9**updates)) / (np.sqrt(v[k] / (1 - 0.99**updates)) + 1e-6)).astype(np.float32)
+                    g *= min(1.0, 5.0 / max(norm, 1e-9))
+                    t = np.multiply(g, 0.1, out=room("update", *g.shape))
+                    m[k] *= 0.9
+                    m[k] += t
+                    np.multiply(g, g, out=t)
+                    t *= 0.01
+                    v[k] *= 0.99
+                    v[k] += t
+                    np.divide(v[k], 1 - 0.99**updates, out=t)
+                    np.sqrt(t, out=t)
+                    t += 1e-6
+                    np.divide(m[k], t, out=t)
+                    t *= step / (1 - 0.9**updates)
+                    self.p[k] -= t
         return self
 
-    def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
+    def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, room: Room | None = None) -> tuple[dict, np.ndarray]:
         """Gradient of the mean loss of a window. y: -1 where a lane has ended; input 0 starts a text."""
-        p, k = self.p, self.hidden
+        p, k, room = self.p, self.hidden, room or Room(h.dtype)
         grad = {name: np.zeros_like(a) for name, a in p.items()}
         live = (x != 0).astype(h.dtype)[:, :, None]
-        before, states = np.empty((2, *x.shape, k), h.dtype)
-        kept = []
+        before, states = room("states", 2, *x.shape, k)
+        kept = room("kept", len(x), 4, x.shape[1], k)
         for t in range(len(x)):
             np.multiply(h, live[t], out=before[t])
-            h, *gates = self.step(p["e"].take(x[t], axis=0), before[t])
-            kept.append(gates)
+            h = self.step(p["e"].take(x[t], axis=0, out=room("x", x.shape[1], 3 * k), mode="clip"), before[t], room, kept[t])[0]
             states[t] = h
         at = np.flatnonzero(y.ravel() >= 0)
         if not len(at):
             return grad, h
         every = states.reshape(-1, k)
         if len(at) == len(every):
-            dh_all = self.log_probs(every, y.ravel(), grad)[1]
+            dh_all = self.log_probs(every, y.ravel(), grad, room)[1]
         else:
             dh_all = np.zeros_like(every)
-            dh_all[at] = self.log_probs(every.take(at, axis=0), y.ravel()[at], grad)[1]
+            dh_all[at] = self.log_probs(every.take(at, axis=0), y.ravel()[at], grad, room)[1]
         dh_all = dh_all.reshape(states.shape)
         later = np.zeros_like(h)
         # gradients of a, r, z and n beside each other: the first three go back by u, the last three to the input
-        back = np.empty((*x.shape, 4 * k), h.dtype)
+        back = room("back", *x.shape, 4 * k)
         u = p["u"]
         u_back = np.ascontiguousarray(np.concatenate([u[:, 2 * k :], u[:, : 2 * k]], axis=1).T)
+        da, dr, dz, dn = room("of gates", 4, *h.shape)
         for t in range(len(x) - 1, -1, -1):
             r, z, n, a = kept[t]
             dh = dh_all[t]
             dh += later
-            dz = 1 - z
+            np.subtract(1, z, out=dz)
             dz *= dh
-            dn = n * n
+            np.multiply(n, n, out=dn)
             np.subtract(1, dn, out=dn)
             dn *= dz
             n -= before[t]
             dz *= n
             dz *= z
             np.negative(dz, out=dz)
-            da = dn * r
-            dr = np.subtract(1, r, out=r)
+            np.multiply(dn, r, out=da)
+            np.subtract(1, r, out=dr)
             dr *= da
             dr *= a
             dh *= z
             for i, d in enumerate((da, dr, dz, dn)):
                 back[t, :, i * k : (i + 1) * k] = d
-            later = back[t, :, : 3 * k] @ u_back
+            np.matmul(back[t, :, : 3 * k], u_back, out=later)
             later += dh
             later *= live[t]
         flat = back.reshape(-1, 4 * k)
@@ -231,9 +257,10 @@ class Gru:
         ids = x.ravel()
         order = np.argsort(ids.astype(np.int16) if len(p["e"]) < 1 << 15 else ids, kind="stable")
         symbols, first = np.unique(ids[order], return_index=True)
-        grad["e"][symbols] += np.add.reduceat(flat[:, k:].take(order, axis=0), first, axis=0)
-        n = np.float32(len(at))
-        return {name: g / n for name, g in grad.items()}, h
+        grad["e"][symbols] += np.add.reduceat(flat.take(order, axis=0, out=room("flat", *flat.shape), mode="clip")[:, k:], first, axis=0)
+        for g in grad.values():
+            g /= np.float32(len(at))
+        return grad, h
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural-log probability of each text, its end mark included (buckets: of the bucket only)."""
@@ -243,18 +270,20 @@ class Gru:
         longest, total = max(map(len, texts)) + 1, sum(map(len, texts)) + len(texts)
         x, y, of, loads = lanes(texts, max(1, min(SCORE_LANES, len(texts), 4 * total // longest)))
         out = np.zeros(len(texts))
-        h = np.zeros((x.shape[1], self.hidden), np.float32)
-        e = self.p["e"]
+        h, room = np.zeros((x.shape[1], self.hidden), np.float32), Room()
+        e, ends = self.p["e"], np.searchsorted(-loads, -np.arange(len(x)))  # lanes with more than t symbols come first
         for at in range(0, len(x), SCORE_WINDOW):
-            states, targets, owners = [], [], []
-            for t in range(at, min(at + SCORE_WINDOW, len(x))):
-                n = int(np.searchsorted(-loads, -t))  # lanes with more than t symbols come first
-                h = h[:n]
+            window = ends[at : at + SCORE_WINDOW].tolist()
+            states, end = room("states", sum(window), self.hidden), 0
+            for t, n in enumerate(window, at):
                 row = x[t, :n]
-                h = self.step(e.take(row, axis=0), h * (row != 0)[:, None])[0]
-                states.append(h), targets.append(y[t, :n]), owners.append(of[t, :n])
-            logs, _ = self.log_probs(np.concatenate(states), np.concatenate(targets))
-            out += np.bincount(np.concatenate(owners), logs.astype(np.float64), len(texts))
+                before = np.multiply(h[:n], (row != 0)[:, None], out=room("before", n, self.hidden))
+                h = self.step(e.take(row, axis=0, out=room("x", n, e.shape[1]), mode="clip"), before, room)[0]
+                states[end : end + n] = h
+                end += n
+            some = np.arange(x.shape[1]) < ends[at : at + SCORE_WINDOW, None]
+            logs, _ = self.log_probs(states, y[at : at + SCORE_WINDOW][some], room=room)
+            out += np.bincount(of[at : at + SCORE_WINDOW][some], logs.astype(np.float64), len(texts))
         return out
 
 

@@ -24,14 +24,13 @@ glossary by a hash; rows that repeat are counted, and scored, once for each row;
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 from zlib import crc32 as crc
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,15 +55,24 @@ MOST_LANES = 512
 SCORED = 2_000_000
 #: Numbers in a block of weights, as groups hand them on.
 _BLOCK = 8_192
-#: Distinct words that a task counts before it hands them on.
-FLUSH = 300_000
+#: Bytes of words that a task gathers before it counts them, and characters, about, that it reads at once for training.
+COUNTED = 48_000_000
+READ = 100_000_000
 #: Step size when groups train the weights on.
 ON_RATE = 1e-2
 END = b"\n"
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has. Words stay in Arrow's buffers: there is no object for each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).fill_null(0).to_numpy()
+    # white space at an end of a text, or no word at all, leaves an empty string
+    real = pc.greater(pc.binary_length(words), 0)
+    kept = real.to_numpy(zero_copy_only=False)
+    if kept.all():
+        return words, sizes
+    return words.filter(real), np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
 
 
 def key_of(word: bytes) -> bytes:
@@ -72,6 +80,15 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= LONG_WORD else b"\n" + xxhash.xxh3_128_hexdigest(word).encode()
 
 
+def keys_of(words: pa.Array) -> pa.Array:
+    """key_of() each word."""
+    long = pc.greater(pc.binary_length(words), LONG_WORD)
+    if not pc.any(long).as_py():
+        return words
+    digests = [key_of(w) for w in words.filter(long).cast(pa.binary()).to_pylist()]
+    return pc.replace_with_mask(words, long, pa.array(digests, pa.binary()).cast(pa.string()))
+
+
 def bucket(word: bytes) -> int:
     """By the last three bytes, which tell much about a word's language and kind."""
     return crc(word[-3:]) % BUCKETS
@@ -85,22 +102,21 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(text binary) -> (word, c), without the end mark; long words by their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                held.update(tokens(text.as_py() or b""))
-                if len(held) > FLUSH:
-                    yield _counted(held)
-                    held = Counter()
+            held.append(words_of(batch.column(0))[0])
+            size += held[-1].nbytes
+            if size > COUNTED:
+                yield _counted(held)
+                held, size = [], 0
         yield _counted(held)
 
     return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _counted(held: Counter) -> pa.RecordBatch:
-    for word in [w for w in held if len(w) > LONG_WORD]:
-        held[key_of(word)] += held.pop(word)
-    return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())], names=["word", "c"])
+def _counted(held: list[pa.Array]) -> pa.RecordBatch:
+    found = pa.chunked_array(held, pa.string()).value_counts()
+    return pa.RecordBatch.from_arrays([keys_of(found.field("values")), found.field("counts")], names=["word", "c"])
 
 
 class Reader:
@@ -112,7 +128,7 @@ class Reader:
         words = [END, *[w for w, _ in glossary]]
         counts = np.array([ends, *[c for _, c in glossary]], np.float64)
         k = len(self.vocabulary)
-        self.at = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.binary()).cast(pa.string())
         self.symbol = np.array([i if i < k else k + bucket(w) for i, w in enumerate(words)], np.int32)
         self.log_count = np.log10(counts + 1)
         self.known = counts > 0
@@ -123,21 +139,30 @@ class Reader:
     def network(self) -> Gru:
         return Gru(self.counts[: self.k], self.totals)
 
-    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(places in the glossary or -1, symbols, words not in the glossary), without the end mark."""
-        words = tokens(text)
-        places = np.fromiter(map(self.at.get, words, repeat(-1)), np.int32, len(words))
-        rare = np.flatnonzero(places < 0)
-        unknown = [words[i] for i in rare.tolist()]
-        if unknown and len(max(unknown, key=len)) > LONG_WORD:
-            unknown = list(map(key_of, unknown))
-            places[rare] = [self.at.get(w, -1) for w in unknown]
-            unknown = [w for w, place in zip(unknown, places[rare].tolist()) if place < 0]
-            rare = np.flatnonzero(places < 0)
-        symbols = self.symbol[places]
-        if unknown:
-            symbols[rare] = [self.k + crc(w[-3:]) % BUCKETS for w in unknown]
-        return places, symbols, unknown
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(words of each text; of all texts, one after the other: places in the glossary or -1, symbols, keys of words not in the glossary), without the end marks."""
+        words, sizes = words_of(texts)
+        words = keys_of(words)
+        found = pc.index_in(words, value_set=self.words)
+        places = found.fill_null(-1).to_numpy()
+        unknown, symbols = words.filter(found.is_null()), self.symbol[places]
+        if len(unknown):
+            ends = pc.binary_slice(unknown.cast(pa.binary()), -3)
+            symbols[places < 0] = [self.k + crc(w) % BUCKETS for w in ends.to_numpy(zero_copy_only=False)]
+        return sizes, places, symbols, unknown
+
+    def symbols(self, texts: list[str]) -> list[np.ndarray]:
+        """The symbols of each text."""
+        ends, found = np.cumsum([len(t) for t in texts]), []
+        # by runs of bounded length, as an array of Arrow's holds 2 GB at most
+        for run in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // READ)) + 1):
+            sizes, _, symbols, _ = self.read(pa.array([texts[i] for i in run], pa.string()))
+            found += _split(symbols, sizes)
+        return found
+
+
+def _split(symbols: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(symbols, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def learn(docs: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Reader, Gru, int]:
@@ -160,7 +185,7 @@ def learn(docs: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str
     hashed = training.select(F.xxhash64(F.col(id_col), F.lit(9)).alias("h"), text.alias("text"))
     at = F.pmod("h", F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1).cast("int") + 1
     drawn = sample_of(hashed.withColumn("text", F.substring("text", at, F.lit(TRAIN_CHARS))), "h", TRAIN_DOCS)
-    network = reader.network().fit([reader.read(r["text"].encode())[1] for r in drawn])
+    network = reader.network().fit(reader.symbols([r["text"] for r in drawn]))
     return counts, reader, _trained_on(hashed, reader, network, n), n
 
 
@@ -175,7 +200,7 @@ def _trained_on(hashed: DataFrame, reader: Reader, network: Gru, n: int) -> Gru:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         of, start = held.value
         # rows that repeat an id and its text train once
-        texts = [of.read(t.encode())[1] for t in pdf.drop_duplicates().sort_values(["h", "text"])["text"]]
+        texts = of.symbols(pdf.drop_duplicates().sort_values(["h", "text"])["text"].tolist())
         size = sum(map(len, texts)) + len(texts)
         flat = start.copy().fit(texts, epochs=1, rate=ON_RATE, n_lanes=max(LANES, min(MOST_LANES, size // (STEPS * WINDOW)))).flat()
         blocks = [flat[i : i + _BLOCK] for i in range(0, len(flat), _BLOCK)]
@@ -212,59 +237,56 @@ class _Texts:
     """Texts that are scored together, and what a task says of each."""
 
     def __init__(self, reader: Reader):
-        self.of, self.symbols, self.main = reader, [], []
-        # words out of the glossary and how often each text has them; how many of them a text has
-        self.words, self.times, self.rare = [], [], []
-
-    def take(self, ident: int | None, text: bytes) -> int:
-        of, uid = self.of, xxhash.xxh3_64_intdigest(text) - (1 << 63)
-        places, symbols, unknown = of.read(text)
-        self.symbols.append(symbols)
-        seen, outside = places[places >= 0], symbols >= of.k
-        base = float(of.log_count[seen].sum() + of.log_count[0])
+        self.of, self.size, self.symbols, self.main = reader, 0, [], []
+
+    def take(self, idents: pa.Array, texts: pa.Array, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        """Yields the rare words of each text and how often it has them."""
+        of, m = self.of, len(texts)
+        uids = pa.array([xxhash.xxh3_64_intdigest(t.as_py() or b"") - (1 << 63) for t in texts], kinds[0])
+        sizes, places, symbols, unknown = of.read(texts)
+        self.symbols += _split(symbols, sizes)
+        self.size += len(symbols) + m
+        text = np.repeat(np.arange(m), sizes)
+        seen, outside = places >= 0, symbols >= of.k
+        total = lambda at, x: np.bincount(text[at], x, m)
+        base = total(seen, of.log_count[places[seen]]) + of.log_count[0] - (sizes + 1) * of.log_all
+        known = total(seen, of.known[places[seen]]).astype(np.int64) + int(of.known[0])
         # what the counts say within the buckets
-        inner = float(of.log_count[seen[seen >= of.k]].sum() - of.log_bucket[symbols[outside] - of.k].sum())
-        size = len(places) + 1
-        self.main.append((uid, ident, size, int(of.known[seen].sum() + of.known[0]), base - size * of.log_all, inner))
-        counted = Counter(unknown)
-        self.words += counted.keys()
-        self.times += counted.values()
-        self.rare.append(len(counted))
-        return size
-
-    def scored(self, net: Gru, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-        whole = net.score(self.symbols) / math.log(10)
-        columns = list(zip(*self.main)) if self.main else [()] * 6
-        made = [pa.array(c, k) for c, k in zip(columns[:5], kinds)]
-        m = len(self.main)
-        keys = [f" {uid} {i}" for i, uid in enumerate(columns[0])]
-        yield pa.RecordBatch.from_arrays([*made, pa.array(whole + np.array(columns[5], np.float64), kinds[5]), pa.array(keys, kinds[6]), pa.nulls(m, kinds[7]), pa.nulls(m, kinds[8])], names=names)
-        of = np.repeat(np.arange(m, dtype=np.int32), np.array(self.rare, np.int64))
-        uids, idents = made[:2]
-        for at in range(0, len(of), 50_000):
-            run = slice(at, at + 50_000)
-            texts, words = pa.array(of[run]), pa.array(self.words[run], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([uids.take(texts), idents.take(texts), *[pa.nulls(len(words), k) for k in kinds[2:6]], words, words, pa.array(self.times[run], kinds[8])], names=names)
+        inside = seen & outside
+        inner = total(inside, of.log_count[places[inside]]) - total(outside, of.log_bucket[symbols[outside] - of.k])
+        self.main.append((uids, idents, pa.array(sizes + 1, kinds[2]), pa.array(known), pa.array(base), inner))
+        words = unknown.dictionary_encode()
+        each, times = np.unique(text[~seen] * (len(words.dictionary) + 1) + words.indices.to_numpy(), return_counts=True)
+        for at in range(0, len(each), 50_000):
+            row, word = map(pa.array, np.divmod(each[at : at + 50_000], len(words.dictionary) + 1))
+            yield pa.RecordBatch.from_arrays([uids.take(row), idents.take(row), *[pa.nulls(len(word), k) for k in kinds[2:6]], words.dictionary.take(word), pa.array(times[at : at + 50_000])], names=names)
+
+    def scored(self, net: Gru, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """Yields a row for each text."""
+        whole, at = net.score(self.symbols) / math.log(10), 0
+        for uids, *more, inner in self.main:
+            keys = pa.array([f" {uid} {at + i}" for i, uid in enumerate(uids.to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([uids, *more, pa.array(whole[at : at + len(uids)] + inner), keys, pa.nulls(len(uids), pa.int64())], names=names)
+            at += len(uids)
 
 
 def score(docs: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> (id, n_tokens, n_known, train_tokens, base_score, score): one row for each row of docs."""
     counts, reader, network, n = learn(docs, chosen, id_col, text_col)
     held = docs.sparkSession.sparkContext.broadcast((reader, network))
-    fields = "uid long, id long, n_tokens long, n_known long, base double, score double, key string, word string, times long"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.int64()]
+    fields = "uid long, id long, n_tokens long, n_known long, base double, score double, key string, times long"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, net = held.value
-        texts, size = _Texts(of), 0
+        texts = _Texts(of)
         for batch in batches:
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                size += texts.take(ident, text.as_py() or b"")
-            if size > SCORED:
-                yield from texts.scored(net, names, kinds)
-                texts, size = _Texts(of), 0
-        yield from texts.scored(net, names, kinds)
+            yield from texts.take(batch.column(0), batch.column(1), names, kinds)
+            if texts.size > SCORED:
+                yield from texts.scored(net, names)
+                texts = _Texts(of)
+        yield from texts.scored(net, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, fields)
     # the row of a text itself has a key of its own that is no word (it holds a space), so that it is dealt out evenly

@@ -10,6 +10,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -914,6 +915,52 @@ def test_every_training_text_trains_the_network(spark):
     assert not any(np.array_equal(whole, trained(hashed.filter(~F.col("text").startswith(f"wort{i}")))) for i in range(6))
 
 
+def test_words_are_read_without_an_object_for_each(monkeypatch):
+    """Words, places and symbols are those of plain splitting, of odd texts too, and a long text's words stay in Arrow's buffers."""
+    import tracemalloc
+
+    monkeypatch.setattr(lm, "VOCABULARY", 3)
+    texts = ["".join(map(chr, range(128))), " a  B\t\n c ", "", " \x0b ", None, "É\u00a0é \x1c \u3000 \x85x", "q" * 60 + " One " + "Z" * 49 + " one", "one"]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    words, sizes = lm.words_of(pa.array([t and t.encode() for t in texts], pa.binary()))
+    assert [w.encode() for w in words.to_pylist()] == [w for t in plain for w in t] and sizes.tolist() == [len(t) for t in plain]
+    glossary = [(b"one", 9), (b"c", 8), (lm.key_of(b"z" * 49), 7), (b"a", 6)]
+    reader, at = lm.Reader(glossary, 5, 40, 9, np.ones(lm.BUCKETS)), {w: i for i, (w, _) in enumerate(glossary, 1)}
+    sizes, places, symbols, unknown = reader.read(pa.array(texts, pa.string()))
+    keys = [lm.key_of(w) for t in plain for w in t]
+    assert sizes.tolist() == [len(t) for t in plain] and places.tolist() == [at.get(w, -1) for w in keys]
+    assert symbols.tolist() == [at[w] if at.get(w, 3) < 3 else 3 + lm.bucket(w) for w in keys] and unknown.to_pylist() == [w.decode() for w in keys if w not in at]
+    monkeypatch.setattr(lm, "READ", 20)
+    assert [x.tolist() for x in reader.symbols([t or "" for t in texts])] == [x.tolist() for x in np.split(symbols, np.cumsum(sizes)[:-1])]
+    assert reader.symbols([]) == [] and len(reader.read(pa.array([], pa.string()))[0]) == 0
+    counted = lm._counted([words, words[:0], words])
+    assert dict(zip(counted[0].to_pylist(), counted[1].to_pylist())) == {w.decode(): 2 * n for w, n in collections.Counter(keys).items()}
+    text = pa.array(["one two " * 200_000], pa.string())
+    tracemalloc.start()
+    reader.read(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 400_000
+
+
+def test_training_works_in_the_same_arrays():
+    """Windows after the first ask for no large arrays anew, and have the gradients of fresh ones."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    g, room = gru.Gru(np.arange(1, 40), np.ones(8), share=8), gru.Room()
+    x, y, _, _ = gru.lanes([rng.integers(1, 40, size=n) for n in rng.integers(20, 60, 600)], 300)
+    h = np.zeros((300, g.hidden), np.float32)
+    for at in (0, 32, 64, 0):
+        tracemalloc.start()
+        grad, end = g._window(x[at : at + 32], y[at : at + 32], h, room)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        fresh, same = g._window(x[at : at + 32], y[at : at + 32], h)
+        assert np.array_equal(end, same) and all(np.array_equal(grad[k], fresh[k]) for k in g.p)
+    assert peak < 2_000_000
+
+
 def test_toxicity_fit_holds_numbers_of_candidates():
     """The fit's memory doesn't grow by a string for each feature of each text."""
     import tracemalloc
