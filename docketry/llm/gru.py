@@ -26,6 +26,8 @@ SCORE_WINDOW = 64
 
 #: Rows whose logits are worked on at once, so that they stay in a core's cache.
 BLOCK = 1_024
+#: Rows of the same input, up to which they are summed beside those of other inputs.
+FEW = 16
 #: Logits up to this size need no shift before exp(): float32 ends at 88.
 SAFE = 60
 
@@ -113,28 +115,33 @@ class Gru:
         cls = self.class_of(y)
         # all is worked out in the order of classes, so that a class is a run of rows
         order = np.argsort(cls.astype(np.int16) if len(p["cb"]) < 1 << 15 else cls, kind="stable")
-        h, y, cls = h.take(order, axis=0, out=room("sorted", *h.shape), mode="clip"), y[order], cls[order]
+        # a state's last number is 1 and meets the biases
+        k, y, cls, states = self.hidden, y[order], cls[order], h
+        h = room("sorted", len(y), k + 1)
+        h[:, :k], h[:, k] = states.take(order, axis=0, out=room("dh in order", *states.shape), mode="clip"), 1
+        c, w = np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["w"], p["wb"][None]])
         all_safe, safe = self._safe()
-        out, dh, c_back = np.empty(len(y), h.dtype), None if grad is None else room("dh", *h.shape), np.ascontiguousarray(p["c"].T)
+        out, dh, c_back = np.empty(len(y), h.dtype), None if grad is None else room("dh", *states.shape), np.ascontiguousarray(p["c"].T)
         for at in range(0, len(y), BLOCK):
             run = slice(at, at + BLOCK)
-            s = np.matmul(h[run], p["c"], out=room("s", len(h[run]), len(p["cb"])))
-            s += p["cb"]
+            s = np.matmul(h[run], c, out=room("s", len(h[run]), c.shape[1]))
             i = rows[: len(s)]
             out[run] = s[i, cls[run]]
             e, total, top = _softmax(s, all_safe)
             out[run] -= np.log(total) + top
             if grad is not None:
-                e *= (1 / total)[:, None]
-                e[i, cls[run]] -= 1
-                grad["c"] += h[run].T @ e
-                grad["cb"] += np.ones(len(e), e.dtype) @ e
+                # what is narrower than e is divided by the sums in its place
+                e[i, cls[run]] -= total
+                total = (1 / total)[:, None]
+                dc = np.multiply(h[run], total, out=room("divided", len(e), k + 1)).T @ e
+                grad["c"] += dc[:k]
+                grad["cb"] += dc[k]
                 np.matmul(e, c_back, out=dh[run])
+                dh[run] *= total
         ends = np.searchsorted(cls, np.arange(self.n_classes + 1))
         for kind in np.flatnonzero(np.diff(ends)):
             run, span = slice(ends[kind], ends[kind + 1]), slice(kind * self.share, (kind + 1) * self.share)
-            s = np.matmul(h[run], p["w"][:, span], out=room("s", len(h[run]), self.share))
-            s += p["wb"][span]
+            s = np.matmul(h[run], w[:, span], out=room("s", len(h[run]), self.share))
             i, within = rows[: len(s)], y[run] - kind * self.share
             out[run] += s[i, within]
             e, total, top = _softmax(s, safe[kind])
@@ -142,8 +149,9 @@ class Gru:
             if grad is not None:
                 e *= (1 / total)[:, None]
                 e[i, within] -= 1
-                grad["w"][:, span] += h[run].T @ e
-                grad["wb"][span] += np.ones(len(e), e.dtype) @ e
+                dw = h[run].T @ e
+                grad["w"][:, span] += dw[:k]
+                grad["wb"][span] += dw[k]
                 dh[run] += np.matmul(e, p["w"][:, span].T, out=room("dh of words", len(e), self.hidden))
         back = np.empty_like(order)
         back[order] = rows
@@ -256,8 +264,16 @@ class Gru:
         # rows of the same input are summed in runs
         ids = x.ravel()
         order = np.argsort(ids.astype(np.int16) if len(p["e"]) < 1 << 15 else ids, kind="stable")
-        symbols, first = np.unique(ids[order], return_index=True)
-        grad["e"][symbols] += np.add.reduceat(flat.take(order, axis=0, out=room("flat", *flat.shape), mode="clip")[:, k:], first, axis=0)
+        symbols, first, sizes = np.unique(ids[order], return_index=True, return_counts=True)
+        rows = flat.take(order, axis=0, out=room("flat", *flat.shape), mode="clip")[:, k:]
+        ones = np.ones(sizes.max(), h.dtype)
+        for i in np.flatnonzero(sizes > FEW).tolist():
+            grad["e"][symbols[i]] += ones[: sizes[i]] @ rows[first[i] : first[i] + sizes[i]]
+        # short runs: the first row of each, then the second
+        symbols, first, sizes = symbols[sizes <= FEW], first[sizes <= FEW], sizes[sizes <= FEW]
+        for i in range(sizes.max(initial=0)):
+            more = sizes > i
+            grad["e"][symbols[more]] += rows[first[more] + i]
         for g in grad.values():
             g /= np.float32(len(at))
         return grad, h

@@ -961,6 +961,17 @@ def test_training_works_in_the_same_arrays():
     assert peak < 2_000_000
 
 
+def test_gradients_of_frequent_and_rare_inputs_agree(monkeypatch):
+    rng = np.random.default_rng(8)
+    g = gru.Gru(np.arange(1, 9), np.array([4, 2]), share=4, hidden=6)
+    x, y, _, _ = gru.lanes([rng.integers(1, 10, size=30) for _ in range(9)], 4)
+    found = []
+    for few in (0, 5, 1_000):
+        monkeypatch.setattr(gru, "FEW", few)
+        found.append(g._window(x, y, np.zeros((4, 6), np.float32))[0]["e"])
+    assert np.allclose(found[0], found[2], atol=1e-6) and np.allclose(found[1], found[2], atol=1e-6) and np.abs(found[0]).max() > 1e-4
+
+
 def test_toxicity_fit_holds_numbers_of_candidates():
     """The fit's memory doesn't grow by a string for each feature of each text."""
     import tracemalloc
