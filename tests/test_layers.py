@@ -208,6 +208,18 @@ def test_search_report(spark, with_vectors):
         assert got["vector"] == (3, 0.0)
 
 
+def test_every_title_is_searched(spark, tmp_path, monkeypatch):
+    from docketry.operators import retrieval
+    from docketry.plans import flows
+
+    rows = [(f"Brand#{i % 2}", i, i % 7 + 1, f"green part {i}") for i in range(101, 141)]
+    spark.createDataFrame(rows, "p_brand string, p_partkey long, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    whole = [tuple(r) for r in flows.gazette_search(spark, str(tmp_path)).collect()]
+    assert [r[:2] for r in whole] == [("bm25", 40)]
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 15)  # several blocks
+    assert [tuple(r) for r in flows.gazette_search(spark, str(tmp_path)).collect()] == whole
+
+
 def test_overlap_of_question_and_title(spark):
     row = spark.createDataFrame([("도로 언제 막나", "도로 통제 공고"), ("x", "")], "q string, t string")
     assert [round(r[0], 3) for r in row.select(gazette.question_overlap(F.col("q"), F.col("t"))).collect()] == [0.333, 0.0]
