@@ -208,6 +208,18 @@ def test_search_report(spark, with_vectors):
         assert got["vector"] == (3, 0.0)
 
 
+def test_amounts_are_read_once_for_a_row(spark):
+    from docketry.operators import predict
+    from docketry.plans import flows
+
+    docs = spark.createDataFrame([(i, "1", f"2020-01-0{i}", str(i), "가 나 점검", f"금 {i}00,000원") for i in (1, 2, 3)], "doc_id long, org string, date string, doc_no string, title string, body string")
+    cells = spark.createDataFrame([(i, "기안", 0, "AF", "n1") for i in (1, 2, 3)], "doc_id long, role string, pos int, title string, name string")
+    plan = predict.layered(docs, cells, flows._layered_bundles(spark))._jdf.queryExecution().optimizedPlan()
+    told = plan.toString().split("\n")
+    assert any("regexp_extract" in x and "bundle" not in x for x in told)  # in the row, before it meets the rules
+    assert not any("regexp_extract" in x and "bundle" in x for x in told)
+
+
 def test_every_title_is_searched(spark, tmp_path, monkeypatch):
     from docketry.operators import retrieval
     from docketry.plans import flows
